@@ -176,3 +176,16 @@ def slices(offsets: np.ndarray, limit: int = 1 << 22):
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, side="right")) - 1)
         yield a, min(b, n)
         a = min(b, n)
+
+
+def parts(batches, column: str, limit: int = 1 << 22):
+    """Record batches cut to about ``limit`` bytes of text; a longer row stands
+    alone. Empty batches are left out."""
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        c = batch.column(batch.schema.get_field_index(column))
+        kind = pa.types.is_large_string(c.type)
+        offsets = np.frombuffer(c.buffers()[1], dtype=np.int64 if kind else np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)
+        for a, b in slices(offsets, limit):
+            yield batch.slice(a, b - a)
