@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: query -> (module, whether the module's ORACLE holds SQL for it)
 _QUERIES = {
     "op5_chat_format": ("chat_format", True),
+    "op6_secret_scan": ("secret_scan", False),
     "op10_lang_id": ("lang_id", False),
 }
 
