@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query -> (module, whether the module's ORACLE holds SQL for it)
 _QUERIES = {
+    "op1_decontaminate": ("decontaminate", True),
     "op2_topk_search": ("topk_search", True),
     "op4_html_text": ("html_text", False),
     "op5_chat_format": ("chat_format", True),
