@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 _QUERIES = {
     "op1_decontaminate": ("decontaminate", True),
     "op2_topk_search": ("topk_search", True),
+    "op3_ngram_lm": ("ngram_lm", False),
     "op4_html_text": ("html_text", False),
     "op5_chat_format": ("chat_format", True),
     "op6_secret_scan": ("secret_scan", False),
