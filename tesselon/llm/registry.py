@@ -16,6 +16,7 @@ _QUERIES = {
     "op4_html_text": ("html_text", False),
     "op5_chat_format": ("chat_format", True),
     "op6_secret_scan": ("secret_scan", False),
+    "op7_toxicity": ("toxicity", False),
     "op8_pieces": ("pieces", False),
     "op9_near_dup": ("near_dup", True),
     "op10_lang_id": ("lang_id", False),

@@ -104,9 +104,15 @@ def _segments(space_at, starts: np.ndarray, n: int):
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every token in order, first token's index for each row and the
     total at the end)."""
+    hashes, first, _, _ = placed_tokens(raw, offsets)
+    return hashes, first
+
+
+def placed_tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As tokens(), and where each token starts and ends in raw."""
     values, space = _byte_tables()
     starts = np.unique(offsets[:-1])
-    hashes, ends_at = [], []
+    hashes, begins, stops = [], [], []
     for low, high in _segments(lambda a, b: space[raw[a:b]], starts, int(offsets[-1])):
         part = raw[low:high]
         solid = ~space[part]
@@ -128,9 +134,12 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         h *= down[a]
         h ^= (b - a).astype(np.uint64) << np.uint64(48)
         hashes.append(mix64(h))
-        ends_at.append(a + low)
-    where = np.concatenate(ends_at) if ends_at else np.zeros(0, np.int64)
-    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.searchsorted(where, offsets)
+        begins.append(a + low)
+        stops.append(b + low + 1)
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    where = np.concatenate(begins)
+    return np.concatenate(hashes), np.searchsorted(where, offsets), where, np.concatenate(stops)
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
