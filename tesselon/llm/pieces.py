@@ -38,6 +38,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from tesselon.llm import text as T
 from tesselon.llm.common import table
@@ -351,7 +352,7 @@ def encode(docs: DataFrame, keep: list[str], vocabulary: Vocabulary, giant: int
     base = docs.select(*keep, F.col("text").alias("__text"))
     small = base.where(F.coalesce(F.length("__text") <= giant, F.lit(True)))
     large = base.where(F.length("__text") > giant)
-    schema = docs.select(*keep).schema.add("n_tokens", "long").add("token_ids", "array<int>").add("round_trip", "boolean")
+    schema = docs.select(*keep).schema.add("n_tokens", "long").add("token_ids", ArrayType(IntegerType())).add("round_trip", "boolean")
     names = [*keep, "n_tokens", "token_ids", "round_trip"]
 
     def run(batches):
