@@ -10,12 +10,13 @@ Texts with equal sets are one class from the start: only the smallest id of each
 class goes on. Every bucket sends one edge from each member to its smallest member
 (a star), so a bucket of m texts gives m - 1 candidate pairs. Pairs are confirmed
 on the full sets. Confirmed links are joined to components by rounds of
-star contraction on written tables. Where a bucket's members then lie in several
-components, a link could hide between two members that are both unlike the smallest
-one: those buckets' members of different components are compared with each other
-too, unless their set sizes, or their known distances to the bucket's smallest member
-(Jaccard distance is a metric), rule a link out. So a link is lost only if two texts
-share no bucket.
+star contraction on written tables. Texts joined by candidate pairs form clusters.
+Where a cluster holds several components, a link could hide between two members that
+are both unlike their buckets' smallest one. There, all members outside the cluster's
+largest component are compared, block by block, with every member of the cluster
+that they share a bucket with and whose component differs. Blocks have a bounded
+number of shingles and no pair becomes a row unless it is a link, so a link is lost
+only if two texts share no bucket.
 
 Defined results: null and empty texts have an empty set, link with nothing and stay;
 a text with fewer words than the shingle width has its whole sequence as one
@@ -122,22 +123,42 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def _pairs_checked(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """pairs (a, b) with inter, total (sizes of the intersection and the union of
-    the full sets) and linked."""
-    nodes = written(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct(), "nodes")
-    side = F.broadcast(nodes) if small_enough(nodes) else nodes
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id", "left_semi")
-    sets = written(full_sets(some, width), "sets")
-    left, right = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    inter = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .select("a", "b", inter.alias("inter"), (F.size("sa") + F.size("sb")).cast("long").alias("both"))
-        .select("a", "b", "inter", (F.col("both") - F.col("inter")).alias("total"))
-        .withColumn("linked", 100 * F.col("inter") >= percent * F.col("total"))
-    )
+#: Shingles in one block of a cluster's members, about.
+BLOCK_SHINGLES = 100_000
+
+
+def _stray_links(batches, percent: int):
+    """Links between the members of two blocks; each is a list of structs rep,
+    component, bands, shingles."""
+
+    def members(cell):
+        out = []
+        for m in cell:
+            x = m.as_py()
+            out.append((x["rep"], x["component"], np.array(x["bands"], np.int64), np.sort(np.array(x["shingles"], np.int64))))
+        return out
+
+    for b in batches:
+        found: list[tuple[int, int]] = []
+        for left, right in zip(b.column("strays"), b.column("block"), strict=True):
+            xs, ys = members(left), members(right)
+            keys = np.stack([y[2] for y in ys])
+            sizes = np.array([len(y[3]) for y in ys])
+            parts = np.array([y[1] for y in ys])
+            for rep, part, bands, own in xs:
+                near = (keys == bands).any(axis=1) & (parts != part)
+                near &= 100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own))
+                joined = set()
+                for k in np.flatnonzero(near):
+                    if parts[k] in joined:
+                        continue
+                    other = ys[k][3]
+                    at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                    inter = int(np.count_nonzero(own[at] == other))
+                    if 100 * inter >= percent * (len(own) + len(other) - inter):
+                        found.append((rep, ys[k][0]))
+                        joined.add(parts[k])
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -146,45 +167,62 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     sig = written(sketch(docs, width), "sketch")
     whole = sig.where("doc_id IS NOT NULL AND n_shingles > 0")
     reps = written(whole.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), "reps")
-    members = reps.select("rep", "n", F.explode("bands").alias("key"))
+    members = reps.select("rep", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    shared = written(members.join(buckets, "key"), "buckets")
-    stars = written(shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    checked = written(_pairs_checked(docs, stars, width, percent), "checked")
-    links = checked.where("linked").select("a", "b")
-    found = components(links)
-
-    # members of one bucket that are still apart
-    apart = shared.where("size > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = apart.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    far = checked.select(F.col("a").alias("hub"), F.col("b").alias("rep"), (1 - F.col("inter") / F.col("total")).alias("far"))
-    open_ = written(apart.where("rep <> hub").join(mixed, "key").join(far, ["hub", "rep"]).select("key", "rep", "n", "component", "far"), "open")
-    x, y = (open_.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "component", "far")]) for s in "xy")
-    rest = (
-        x.join(y, "key")
-        .where((F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y")))
-        .where((100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (100 * F.abs(F.col("far_x") - F.col("far_y")) <= 100 - percent + 1e-6))
-        .select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
-        .distinct()
+    stars = written(members.join(buckets, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+
+    # the full sets of all texts that occur in a pair
+    nodes = written(stars.select(F.col("a").alias("doc_id")).unionAll(stars.select(F.col("b").alias("doc_id"))).distinct(), "nodes")
+    side = F.broadcast(nodes) if small_enough(nodes) else nodes
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id", "left_semi")
+    sets = written(full_sets(some, width), "sets")
+    left, right = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    links = written(
+        stars.join(left, "a")
+        .join(right, "b")
+        .select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("inter"), (F.size("sa") + F.size("sb")).alias("both"))
+        .where(100 * F.col("inter") >= percent * (F.col("both") - F.col("inter")))
+        .select("a", "b"),
+        "links",
+    )
+    found = written(components(links), "components")
+
+    # clusters of candidates that still hold several components
+    cluster = components(stars).withColumnRenamed("component", "cluster")
+    placed = written(cluster.join(found, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("component")), "clusters")
+    counts = placed.groupBy("cluster", "component").agg(F.count("*").alias("size"))
+    mixed = counts.groupBy("cluster").agg(F.count("*").alias("parts"), F.sum("size").alias("size"), F.max_by("component", F.struct("size", "component")).alias("main")).where("parts > 1 AND size > 2")
+    apart = placed.join(mixed.select("cluster", "main"), "cluster")
+    loaded = (
+        apart.join(reps.select(F.col("rep").alias("node"), "bands", "n"), "node")
+        .join(sets.withColumnRenamed("doc_id", "node"), "node")
+        .select("cluster", "n", (F.col("component") != F.col("main")).alias("stray"), F.struct(F.col("node").alias("rep"), "component", "bands", "shingles").alias("m"))
     )
-    rest = written(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    if rest.limit(1).count():
-        more = _pairs_checked(docs, rest, width, percent).where("linked").select("a", "b")
+    sizes = loaded.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.ceil(F.sum(F.when(F.col("stray"), F.col("n")).otherwise(0)) / BLOCK_SHINGLES).cast("int").alias("stray_blocks"))
+    dealt = written(loaded.join(sizes, "cluster"), "dealt")
+    into = lambda df, c: df.groupBy("cluster", F.pmod(F.xxhash64("m.rep"), F.col(c)).alias("k")).agg(F.collect_list("m").alias("ms"))
+    blocks = into(dealt, "blocks").select("cluster", F.col("ms").alias("block"))
+    strays = into(dealt.where("stray"), "stray_blocks").select("cluster", F.col("ms").alias("strays"))
+    more = written(strays.join(blocks, "cluster").select("strays", "block").mapInArrow(lambda x: _stray_links(x, percent), "a long, b long"), "more")
+    if more.limit(1).count():
         found = components(links.unionAll(more))
     label = reps.select("f1", "f2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     return sig.join(label, ["f1", "f2"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs but one for each component, the one of the smallest doc_id;
-    rows with a null doc_id stay, and of repeated rows of a doc_id one stays."""
-    found = classes(docs, width, percent)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi")
-    unkeyed = docs.where("doc_id IS NULL")
-    return first.unionByName(unkeyed)
+    """The rows of docs but one for each component, the one of the smallest doc_id.
+    Rows with a null doc_id stay; of rows that repeat a doc_id one stays."""
+    found = written(classes(docs, width, percent), "classes")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
+    gone, again = (F.broadcast(x) if small_enough(x) else x for x in (gone, again))
+    key = docs["doc_id"].cast("long")
+    kept = docs.join(gone, key == gone["__gone"], "left_anti")
+    once = kept.join(again, key == again["__again"], "left_anti")
+    return once.unionByName(kept.join(again, key == again["__again"], "left_semi").dropDuplicates(["doc_id"]))
 
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +232,8 @@ def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS words
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS words
   FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN [words[1]]
     ELSE list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) END AS sh FROM w),
