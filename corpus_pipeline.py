@@ -1,15 +1,69 @@
-"""The corpus pipeline: STAGES of the operators in tesselon.llm over documents."""
+"""The corpus pipeline over documents.
+
+Five stages, each a function of (spark, docs, sf_dir):
+
+1. lang_id: learn language profiles from the documents' own labels, drop documents
+   without an identifiable language (no letters), fill in missing labels;
+2. near_dup: keep one document of each group of near copies (five-word shingles,
+   similarity 0.8 or more);
+3. decontaminate: drop documents that hold a benchmark item (0.8 of its five-word
+   shingles or more);
+4. secrets: replace every secret, also those in encoded layers, by a mask;
+5. pieces: encode the texts; the result is doc_id, n_tokens, token_ids, round_trip.
+
+All stages but the last return the columns that they are given.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tesselon.llm import decontaminate, lang_id, near_dup, pieces, secret_scan
+from tesselon.llm.common import table, written
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    langs, weights = lang_id.learn(docs.select("text", "lang"))
+    if not langs:  # no labels, no profiles: nothing can be told
+        return docs
+    found, score = "__lang_found", "__lang_score"
+    marked = lang_id.predict(docs, langs, weights, docs.columns, (found, score)).where(F.col(found) != lang_id.UNKNOWN)
+    return marked.withColumn("lang", F.coalesce("lang", found)).select(*docs.columns)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dup.deduplicated(docs).select(*docs.columns)
+
+
+def decontaminate_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return decontaminate.decontaminated(docs, items).select(*docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = secret_scan.redacted(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encode(docs.select("doc_id", "text"), ["doc_id"], pieces.Vocabulary.load())
+
+
+STAGES = [
+    ("lang_id", identify),
+    ("near_dup", deduplicate),
+    ("decontaminate", decontaminate_),
+    ("secrets", mask_secrets),
+    ("pieces", encode),
+]
 
-STAGES: list = []
-ORACLE_SQL: str | None = None
+#: SQL can't express language profiles, decoded layers or piece segmentation.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
