@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,12 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+_MODULES = ("timeseries", "tables", "graphs", "statistics", "kernels")
+
+
 def _loaded() -> dict:
+    for m in _MODULES:
+        importlib.import_module(f"tesselon.plans.{m}")
     return _REGISTERED
 
 
