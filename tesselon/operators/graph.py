@@ -75,27 +75,35 @@ def rank1_by_group(edges: DataFrame, by: list[str], max_iter: int = 300, tol: fl
     return edges.groupBy(*by).applyInPandas(run, schema)
 
 
-def rank1_distributed(edges: DataFrame, iterations: int = 50) -> DataFrame:
+def rank1_distributed(edges: DataFrame, iterations: int = 50, every: int = 4) -> DataFrame:
     """node, c_out, c_in, dca of one graph of any size: a fixed number of rounds of
-    joins and sums; each tenth round is checkpointed to cut lineage (G1, G5)."""
+    joins and sums (G1, G5). Vectors are scaled to length 1 and checkpointed every few
+    rounds, so neither values nor lineage grow."""
+    from tesselon.operators.relational import checkpointed
+
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
-    e = edges.groupBy("src", "dst").agg(F.sum("w").alias("w")).persist()
-    out = nodes.withColumn("c", F.lit(1.0))
-    into = nodes.withColumn("c", F.lit(1.0))
+    e = checkpointed(edges.groupBy("src", "dst").agg(F.sum("w").alias("w")))
 
     def half(vector: DataFrame, end: str, to: str) -> DataFrame:
-        got = e.join(vector.withColumnRenamed("node", end), end).groupBy(F.col(to).alias("node")).agg(F.sum(F.col("w") * F.col("c")).alias("c"))
-        size = got.agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("s"))
-        return got.crossJoin(F.broadcast(size)).select("node", divide("c", "s").alias("c"))  # size is one row
+        return e.join(vector.withColumnRenamed("node", end), end).groupBy(F.col(to).alias("node")).agg(F.sum(F.col("w") * F.col("c")).alias("c"))
+
+    def unit(vector: DataFrame) -> DataFrame:
+        v = checkpointed(vector)
+        size = v.agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("s"))
+        return v.crossJoin(F.broadcast(size)).select("node", divide("c", "s").alias("c"))  # size is one row
 
-    checkpoints = edges.sparkSession.sparkContext.getCheckpointDir() is not None
+    into = checkpointed(nodes.withColumn("c", F.lit(1.0)))
+    out = into
     for i in range(iterations):
         out = half(into, "dst", "src")
+        if (i + 1) % every == 0 or i == iterations - 1:
+            out = unit(out)
         into = half(out, "src", "dst")
-        if checkpoints and i % 10 == 9:
-            out, into = out.checkpoint(), into.checkpoint()
+        if (i + 1) % every == 0 or i == iterations - 1:
+            into = unit(into)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return nodes.join(out.withColumnRenamed("c", "c_out"), "node", "left").join(into.withColumnRenamed("c", "c_in"), "node", "left").select("node", zero("c_out").alias("c_out"), zero("c_in").alias("c_in"), (zero("c_out") - zero("c_in")).alias("dca"))
+    both = nodes.join(out.withColumnRenamed("c", "c_out"), "node", "left").join(into.withColumnRenamed("c", "c_in"), "node", "left")
+    return both.select("node", zero(F.col("c_out")).alias("c_out"), zero(F.col("c_in")).alias("c_in"), (zero(F.col("c_out")) - zero(F.col("c_in"))).alias("dca"))
 
 
 def region_structure(adj: DataFrame, dca: DataFrame, regions: DataFrame) -> DataFrame:
@@ -307,7 +315,7 @@ def split_two_means(df: DataFrame, by: list[str], value: str, ties: list[str]) -
     left, right = F.col("__s"), F.col("__t") - F.col("__s")
     between = F.when(F.col("__i") < F.col("__n"), left * left / F.col("__i") + F.try_divide(right * right, F.col("__n") - F.col("__i")))
     scored = d.withColumn("__b", F.round(between, 9))
-    cut = F.min_by(F.when(F.col("__b").isNotNull(), F.col("__i")), F.struct(-F.col("__b"), F.col("__i"))).over(whole)
+    cut = F.min_by("__i", F.when(F.col("__b").isNotNull(), F.struct(-F.col("__b"), F.col("__i")))).over(whole)
     flat = F.min(x).over(whole) == F.max(x).over(whole)
     half = F.ceil(F.col("__n") / 2)
     low = F.when(x.isNull(), False).when(F.col("__n") <= 1, True).when(flat, F.col("__i") <= half).otherwise(F.col("__i") <= cut)

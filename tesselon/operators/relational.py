@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,15 @@ from pyspark.sql import functions as F
 from tesselon.functions.scalars import clean, col, divide
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed into the shared checkpoint folder; its lineage ends there. Where
+    the session names no folder (one machine), a local one is set."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tesselon-"))
+    return df.checkpoint()
+
+
 class CheckFailed(ValueError):
     """A table doesn't have the shape that was asked for."""
 

@@ -115,13 +115,14 @@ def interval(draws: DataFrame, value: str, by: list[str], level: float = 0.95) -
 
 def empirical_p(null: DataFrame, observed: DataFrame, value: str, by: list[str]) -> DataFrame:
     """(1 + count beyond the observed) / (N + 1): two-sided, upper, and two-sided about
-    the null's mean (ST6, ST7). observed: by, obs."""
+    the null's mean (ST6, ST7). observed: by, obs. Values are compared at 12 decimals, so
+    a draw that equals the observation counts whatever the order of its sums."""
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     n = null.join(observed, by) if by else null.crossJoin(F.broadcast(observed))  # observed is one row
     n = n.withColumn("__m", F.avg(value).over(w))
-    beyond = lambda c: (1 + F.count_if(c)) / (F.count(value) + 1)
+    beyond = lambda a, b: (1 + F.count_if(F.round(a, 12) >= F.round(b, 12))) / (F.count(value) + 1)
     return n.groupBy(*by, "obs").agg(
-        beyond(F.abs(value) >= F.abs("obs")).alias("p_two_sided"), beyond(F.col(value) >= F.col("obs")).alias("p_upper"), beyond(F.abs(F.col(value) - F.col("__m")) >= F.abs(F.col("obs") - F.col("__m"))).alias("p_centred")
+        beyond(F.abs(value), F.abs("obs")).alias("p_two_sided"), beyond(F.col(value), F.col("obs")).alias("p_upper"), beyond(F.abs(F.col(value) - F.col("__m")), F.abs(F.col("obs") - F.col("__m"))).alias("p_centred")
     )
 
 
