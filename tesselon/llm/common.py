@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a side that may be broadcast, after they have been counted.
 BROADCAST_ROWS = 2_000_000
+#: Rows of a batch sent to a Python worker.
+BATCH_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +57,13 @@ def dropped(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bounded(df: DataFrame, rows: int = BATCH_ROWS) -> None:
+    """Hand rows to Python workers in batches of so many, so that what a worker holds
+    is bounded by the longest texts, not by thousands of them. A session setting, read
+    when a query runs."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """True if df has at most so many rows (counted up to the limit only)."""
     return df.limit(rows + 1).count() <= rows

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselon.llm import text as T
-from tesselon.llm.common import small_enough, table, written
+from tesselon.llm.common import bounded, small_enough, table, written
 
 WIDTH, PERCENT, FEW = 5, 80, 16
 #: Item shingles sent to workers at most: 8 bytes each, times one for every partition.
@@ -146,6 +146,7 @@ class _Index:
 def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, item_id, n_item, n_shared, containment of every document that holds
     percent or more of an item's shingles."""
+    bounded(docs)
     signed = written(items_by_width(items), "items")
     total = signed.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
     clean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselon.llm.common import table
+from tesselon.llm.common import bounded, table
 from tesselon.llm.text import parts
 
 # Function words of four languages, for stop-word density.
@@ -230,6 +230,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
     """The kept columns with text and n_chars."""
+    bounded(pages)
     schema = pages.select(*keep).schema.add("text", "string").add("n_chars", "long")
 
     def run(batches):

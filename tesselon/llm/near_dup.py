@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselon.llm import text as T
-from tesselon.llm.common import small_enough, table, written
+from tesselon.llm.common import bounded, small_enough, table, written
 from tesselon.llm.components import components
 
 BINS, BANDS = 128, 32
@@ -164,6 +164,7 @@ def _stray_links(batches, percent: int):
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text): texts
     are linked if 100 * |intersection| >= percent * |union| of their shingle sets."""
+    bounded(docs)
     sig = written(sketch(docs, width), "sketch")
     whole = sig.where("doc_id IS NOT NULL AND n_shingles > 0")
     reps = written(whole.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), "reps")
@@ -203,7 +204,9 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     into = lambda df, c: df.groupBy("cluster", F.pmod(F.xxhash64("m.rep"), F.col(c)).alias("k")).agg(F.collect_list("m").alias("ms"))
     blocks = into(dealt, "blocks").select("cluster", F.col("ms").alias("block"))
     strays = into(dealt.where("stray"), "stray_blocks").select("cluster", F.col("ms").alias("strays"))
+    bounded(docs, 4)  # a row holds two blocks
     more = written(strays.join(blocks, "cluster").select("strays", "block").mapInArrow(lambda x: _stray_links(x, percent), "a long, b long"), "more")
+    bounded(docs)
     if more.limit(1).count():
         found = components(links.unionAll(more))
     label = reps.select("f1", "f2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselon.llm import text as T
-from tesselon.llm.common import crc_mod, local_path, new_folder, table
+from tesselon.llm.common import bounded, crc_mod, local_path, new_folder, table
 
 FLUSH = 4_000_000
 HEAVY = 512
@@ -207,6 +207,7 @@ def store_model(docs: DataFrame, folder: str) -> dict:
     figures: bits, n (tokens), types, bigrams, counts of counts at both levels,
     numbers of words by predecessors, and the start mark's and heavy words' follower
     counts."""
+    bounded(docs)
     bits = max(3, int(docs.rdd.getNumPartitions() - 1).bit_length())
     heavy = heavy_words(docs)
     shards = 1 << bits
@@ -377,6 +378,7 @@ class Model:
 
 def score_texts(docs: DataFrame, figures: dict, keep: list[str]) -> DataFrame:
     """The kept columns with n_tokens, n_known, train_tokens, base_score, score."""
+    bounded(docs)
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
     names = [*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 

@@ -32,6 +32,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from tesselon.llm import text as T
-from tesselon.llm.common import table
+from tesselon.llm.common import bounded, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIT = 1024
@@ -100,9 +101,8 @@ class Vocabulary:
 
     def _reset(self):
         self.code: dict[int, int] = {}
-        self.unit_at, self.unit_len, self.unit_score = [], [], []
-        self.pool: list[int] = []
         self.arrays = None
+        self.unit_at, self.unit_len, self.unit_score, self.pool = array("q"), array("q"), array("q"), array("i")
 
     def edges(self, text: str, at: int, end: int):
         """(end, id or None for an unknown character, score) of each piece at a place."""
@@ -165,19 +165,19 @@ class Vocabulary:
             u = self.code.get(key)
             if u is None:
                 a, z = int(starts[first[k]]), int(ends[first[k]])
+                self.arrays = None  # arrays grow only while no view of them is held
                 ids, score = self.best(text[a:z])
                 u = self.code[key] = len(self.unit_at)
                 self.unit_at.append(len(self.pool))
                 self.unit_len.append(len(ids))
                 self.unit_score.append(score)
-                self.pool += ids
-                self.arrays = None
+                self.pool.extend(ids)
             number[k] = u
         return number[codes]
 
     def unit_arrays(self):
         if self.arrays is None:
-            self.arrays = tuple(np.array(x, np.int64) for x in (self.unit_at, self.unit_len, self.unit_score)) + (np.array(self.pool, np.int32),)
+            self.arrays = tuple(np.frombuffer(x, np.int64) for x in (self.unit_at, self.unit_len, self.unit_score)) + (np.frombuffer(self.pool, np.int32),)
         return self.arrays
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -349,6 +349,7 @@ def prefix_scan(m: np.ndarray) -> np.ndarray:
 def encode(docs: DataFrame, keep: list[str], vocabulary: Vocabulary, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """The kept columns with n_tokens, token_ids and round_trip (decoding gives
     the text back)."""
+    bounded(docs)
     base = docs.select(*keep, F.col("text").alias("__text"))
     small = base.where(F.coalesce(F.length("__text") <= giant, F.lit(True)))
     large = base.where(F.length("__text") > giant)
@@ -437,6 +438,7 @@ def encode_giants(large: DataFrame, vocabulary: Vocabulary, chunk: int = CHUNK)
 def decode(encoded: DataFrame, keep: list[str], vocabulary: Vocabulary, column: str = "token_ids") -> DataFrame:
     """The kept columns with text; null ids give null, bytes that are no UTF-8 give
     U+FFFD, ids outside the vocabulary nothing."""
+    bounded(encoded)
     schema = encoded.select(*keep).schema.add("text", "string")
 
     def run(batches):

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselon.llm.common import table
+from tesselon.llm.common import bounded, table
 from tesselon.llm.text import buffers, parts
 
 KINDS = ("assign", "access", "hex")
@@ -280,6 +280,7 @@ def joined(spans) -> str:
 def scan_documents(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The kept columns with base_spans and added_spans, arrays of
     struct<kind, start, end> in code points."""
+    bounded(docs)
     spans = "array<struct<kind:string,start:long,end:long>>"
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     empty = docs.select(*keep).schema
@@ -302,6 +303,7 @@ def scan_documents(docs: DataFrame, keep: list[str]) -> DataFrame:
 def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """docs with every found span replaced by mask (overlapping spans by one);
     all columns stay as they are but for text. Null texts stay null."""
+    bounded(docs)
     schema, names = docs.schema, docs.columns
 
     def run(batches):

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tesselon.llm.common import table, written
+from tesselon.llm.common import bounded, table, written
 
 SLAB_ROWS = 4096
 QUERY_ROWS = 512
@@ -178,6 +178,7 @@ def fit_rotation(vectors: DataFrame, n: int, d: int) -> np.ndarray | None:
 def top_k(rows: DataFrame, is_query: Column, k: int, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the k highest inner products of every row
     that is_query (a column over vec_id) marks, against every other row."""
+    bounded(rows, 16)  # a row of the search holds a query block and a slab
     vectors = written(integer_vectors(rows, scale, id_col, vec_col).withColumn("again", F.row_number().over(Window.partitionBy("vec_id").orderBy("v"))).where("again = 1").drop("again"), "vectors")
     spark = rows.sparkSession
     n, d, nq = vectors.agg(F.count("*"), F.coalesce(F.max("d"), F.lit(0)), F.coalesce(F.sum(is_query.cast("long")), F.lit(0))).first()
