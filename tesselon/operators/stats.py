@@ -324,3 +324,52 @@ def z_p(z: Column) -> Column:
 def fisher_p(r: str, n: Column) -> Column:
     """Two-sided p of atanh(r) sqrt(n - 3)."""
     return normal_two_sided(fisher_z(r) * F.sqrt(n - 3))
+
+
+def correlation_summary(df: DataFrame, key: str, x: str, y: str, draws: int, seed: int) -> DataFrame:
+    """n, r, p, low, high, p_permutation of one table: Pearson r with its bootstrap
+    interval and two-sided permutation p, both drawn by one numpy generator (ST5, ST6).
+    The index tables have draws * n rows."""
+    spark = df.sparkSession
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("idx", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)) - 1).cast("long"))
+    n = rows.count()
+    r = np.random.default_rng(seed)
+    boot = r.integers(0, n, size=(draws, n))
+    perm = np.stack([r.permutation(n) for _ in range(draws)])
+
+    def long(a: np.ndarray) -> DataFrame:
+        d, pos = np.indices(a.shape)
+        return spark.createDataFrame(pd.DataFrame({"draw": d.ravel(), "pos": pos.ravel(), "idx": a.ravel()}))
+
+    observed = with_p(pearson(rows, x, y, []))
+    ci = interval(bootstrap_r(rows, long(boot), x, y), "r", []).select("low", "high")
+    p = empirical_p(permutation_r(rows, long(perm), x, y), observed.select(F.col("r").alias("obs")), "r", []).select(F.col("p_two_sided").alias("p_permutation"))
+    return observed.crossJoin(ci).crossJoin(p)  # one row each
+
+
+def exact_mann_whitney_p(u: float, na: int, nb: int) -> float:
+    """Two-sided exact p of U without ties, from the counts of rank arrangements."""
+    ways = np.zeros(na * nb + 1)
+    ways[0] = 1
+    for i in range(1, na + 1):  # Gaussian binomial coefficients
+        top = np.zeros_like(ways)
+        top[:] = ways
+        shift = nb + i
+        if shift < len(ways):
+            top[shift:] -= ways[:-shift]
+        for k in range(i, len(top)):
+            top[k] += top[k - i]
+        ways = top
+    total = ways.sum()
+    high = max(u, na * nb - u)
+    return float(min(1.0, 2 * ways[int(np.ceil(high)) :].sum() / total))
+
+
+def exact_wilcoxon_p(w: float, n: int) -> float:
+    """Two-sided exact p of a signed rank sum without ties or zeros."""
+    ways = np.zeros(n * (n + 1) // 2 + 1)
+    ways[0] = 1
+    for i in range(1, n + 1):
+        ways[i:] = ways[i:] + ways[:-i].copy()
+    high = max(w, n * (n + 1) / 2 - w)
+    return float(min(1.0, 2 * ways[int(np.ceil(high)) :].sum() / ways.sum()))

@@ -28,3 +28,89 @@ def layer_energy_wells(spark, sf):
     t = M.layer_traces(spark, [0.0, 1.0], 2, 3000)
     u = M.potential(t, ["epsilon", "layer"], "value")
     return S.well_width(u, ["epsilon", "layer"], "x", "u", 1.0)
+
+
+@query("correlation_summary")
+def correlation_summary(spark, sf):
+    """ST4 ST5 ST6 T16: r with bootstrap interval and permutation p, numpy draws."""
+    from tesselon.operators.stats import correlation_summary as summary
+    from tesselon.plans.base import nation_table
+
+    return summary(nation_table(spark, sf), "k", "x", "y", 500, 20260730)
+
+
+@query("calibration_search")
+def calibration_search(spark, sf):
+    """K9 K1 K8 J14 ST2: random search of an affine map that aligns regional strength."""
+    from tesselon.operators import graph as G
+    from tesselon.operators import spatial as P
+    from tesselon.operators.structure import calibrate
+    from tesselon.plans.base import points
+
+    p = points(spark, sf).where("id % 4 = 0").withColumn("region", F.col("block"))
+    sizes = p.groupBy("region").agg(F.count("*").alias("n"))
+    target = p.groupBy("region").agg(F.avg("x").alias("value"))
+
+    def strength(m):
+        moved = G.transform_points(p, [[m[0], 0.0, 0.0, m[1]], [0.0, m[0], 0.0, m[1]], [0.0, 0.0, m[0], m[1]]])
+        near = P.radius_join(moved, p, "id", "id", 0.02)
+        at = p.select(F.col("id").alias("b_id"), "region")
+        block = p.select(F.col("id").alias("a_id"), "block")
+        n = near.join(at, "b_id").join(block, "a_id").groupBy("block", "region").agg(F.count("*").alias("n_source")).withColumn("n_target", F.col("n_source"))
+        return G.calibrated_strength(n, sizes)
+
+    return calibrate(spark, strength, target, [1.0, 0.0], [0.3, 0.05], 3, 2)
+
+
+@query("subsample_reproducibility")
+def subsample_reproducibility(spark, sf):
+    """K13 K14 K15 ST27: region strengths from covering block subsets against all."""
+    from tesselon.operators.structure import covering_draws, reproducibility
+    from tesselon.plans.base import cell_edges
+
+    e = cell_edges(spark, sf).select((F.col("block") % 40).alias("block"), F.col("src").alias("region"))
+    members = {r["block"]: set(r["r"]) for r in e.groupBy("block").agg(F.collect_set("region").alias("r")).collect()}  # forty blocks
+    rows = [(f, d, b) for f in (0.5, 0.8) for d, b in covering_draws(members, f, 10, 20260727)]
+    picks = spark.createDataFrame(rows, "fraction double, draw int, block long")
+    full = e.groupBy("region").agg(F.count("*").cast("double").alias("value"))
+    parts = e.join(F.broadcast(picks), "block").groupBy("fraction", "draw", "region").agg(F.count("*").cast("double").alias("value"))  # a few hundred picks
+    return reproducibility(parts, full, ["fraction"])
+
+
+@query("named_network")
+def named_network(spark, sf):
+    """Structural table of a network of named cells."""
+    from tesselon.operators.structure import named_network as table_
+    from tesselon.plans.base import cell_edges
+
+    name = lambda c: F.concat(F.lit("N"), F.lpad(F.col(c).cast("string"), 3, "0"))
+    e = cell_edges(spark, sf).groupBy("src", "dst").agg(F.count("*").cast("string").alias("weight"))
+    edges = e.select(name("src").alias("source"), name("dst").alias("target"), F.lit("chemical").alias("type"), "weight")
+    classes = spark.range(25).select(name("id").alias("node"))
+    return table_(edges, classes, ["chemical"])
+
+
+@query("mapped_network")
+def mapped_network(spark, sf):
+    """Regions of cells by localised counts, then pooled measures."""
+    from tesselon.operators.structure import cell_map
+    from tesselon.operators.structure import mapped_network as table_
+    from tesselon.sources.tables import table
+
+    li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    e = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("l_suppkey") % 60).alias("src"), (F.col("o_custkey") % 60).alias("dst"), F.col("o_orderpriority").alias("p"), F.col("l_linenumber").alias("n"))
+    side = F.when(F.col("cell") % 2 == 0, "_L").otherwise("_R")
+    counts = lambda c: e.groupBy(F.col(c).alias("cell"), "p").agg(F.count("*").alias("n")).select("cell", F.concat("p", side).alias("region"), "n")
+    cells = cell_map(counts("src"), counts("dst"), 0.15)
+    return table_(e.select("src", "dst", F.col("n").alias("w")), cells, 2)
+
+
+@query("cv_residual_shuffled")
+def cv_residual_shuffled(spark, sf):
+    """ST23: out-of-fold predictions with folds shuffled by numpy."""
+    from tesselon.operators.stats import cv_residuals
+    from tesselon.operators.structure import shuffled_folds
+    from tesselon.plans.base import nation_table
+
+    folds = spark.createDataFrame([(i, f) for i, f in enumerate(shuffled_folds(25))], "k long, fold int")
+    return cv_residuals(nation_table(spark, sf).join(folds, "k"), "k", "x", "y", "fold")

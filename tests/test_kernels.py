@@ -220,3 +220,29 @@ def test_pandas_keyed_random_effects(spark):
     w = 1 / z["var"]
     q = (w * (z["z"] - (w * z["z"]).sum() / w.sum()) ** 2).sum()
     assert got["q"] == pytest.approx(q) and 0 < got["p"] < 1 and 0 < got["q_p"] < 1
+
+
+def test_exact_rank_tests_by_enumeration():
+    from itertools import combinations, product
+
+    na, nb = 4, 5
+    us = [sum(c) + na - na * (na + 1) / 2 for c in combinations(range(na + nb), na)]
+    for u in (0, 3, 10, 14):
+        high = max(u, na * nb - u)
+        assert ST.exact_mann_whitney_p(u, na, nb) == pytest.approx(min(1, 2 * np.mean([x >= high for x in us])))
+    ws = [sum(i + 1 for i, s in enumerate(signs) if s) for signs in product([0, 1], repeat=6)]
+    for w in (0, 5, 10):
+        assert ST.exact_wilcoxon_p(w, 6) == pytest.approx(min(1, 2 * np.mean([x >= max(w, 21 - w) for x in ws])))
+
+
+def test_structure_controls():
+    from tesselon.operators import structure as Z
+
+    folds = Z.shuffled_folds(42)
+    assert sorted(np.bincount(folds)) == [8, 8, 8, 9, 9] and folds == Z.shuffled_folds(42)
+    d = Z.covering_draws({1: {1}, 2: {2}, 3: {1, 2}}, 0.34, 5, 0)
+    assert d == [(i, 3) for i in range(5)]
+    with pytest.raises(R.CheckFailed):
+        Z.covering_draws({1: {1}, 2: {2}}, 0.5, 1, 0, tries=5)
+    s = Z.search_settings([1.0, 2.0], [0.1, 0.2], 4, 3)
+    assert len(s) == 5 and s[0] == [1.0, 2.0] and all(abs(x[1] - 2) <= 0.2 for x in s)
