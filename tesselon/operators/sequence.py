@@ -68,27 +68,52 @@ def windows_of_frames(long: DataFrame, width: int, step: int, n_frames: int, fra
 
 def zscore(df: DataFrame, value: str, by: list[str], ddof: int = 0, on_constant: str = "null", name: str | None = None) -> DataFrame:
     """value as a z score within by (W1, W2, W15). on_constant: zero, null, raise or
-    center (the difference from the mean) where the deviation is 0 (T6)."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    mean = F.avg(value).over(w)
-    sd = (F.stddev_pop(value) if ddof == 0 else F.stddev_samp(value)).over(w)
-    z = divide(F.col(value) - mean, sd)
-    flat = sd.isNull() | (sd == 0)
+    center (the difference from the mean) where the deviation is 0 (T6). Moments are
+    aggregated and joined back, so a large group isn't gathered in one task; rows with a
+    null key have no score."""
+    sd = F.stddev_pop(value) if ddof == 0 else F.stddev_samp(value)
+    moments = (df.groupBy(*by) if by else df).agg(F.avg(value).alias("__mean"), sd.alias("__sd"))
+    both = df.join(moments, by, "left") if by else df.crossJoin(F.broadcast(moments))  # without keys: one row
+    z = divide(F.col(value) - F.col("__mean"), "__sd")
+    flat = F.col("__sd").isNull() | (F.col("__sd") == 0)
     other = {
         "zero": F.when(F.col(value).isNotNull(), F.lit(0.0)),
         "null": F.lit(None).cast("double"),
-        "center": F.col(value) - mean,
+        "center": F.col(value) - F.col("__mean"),
         "raise": F.raise_error(F.lit(f"{value} is constant")).cast("double"),
     }[on_constant]
-    return df.withColumn(name or f"{value}_z", F.when(flat, other).otherwise(z))
+    return both.withColumn(name or f"{value}_z", F.when(flat, other).otherwise(z)).drop("__mean", "__sd")
+
+
+def running_total(df: DataFrame, order: str, n: str, name: str) -> DataFrame:
+    """Sum of n over rows up to and including each, by order (a unique column), without
+    gathering them: rows are range-partitioned, each partition sums its own, and the
+    totals of the partitions before (one number each) are added."""
+    from tesselon.operators.relational import checkpointed
+
+    parts = checkpointed(df.repartitionByRange(order).withColumn("__p", F.spark_partition_id()))
+    before, offsets = 0, []
+    for r in parts.groupBy("__p").agg(F.sum(n).alias("t")).orderBy("__p").collect():  # a row for each partition
+        offsets.append((r["__p"], before))
+        before += r["t"]
+    if not offsets:
+        return parts.drop("__p").withColumn(name, F.col(n))
+    base = df.sparkSession.createDataFrame(offsets, "__p int, __before long")
+    w = Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return parts.withColumn("__own", F.sum(n).over(w)).join(F.broadcast(base), "__p").withColumn(name, F.col("__own") + F.col("__before")).drop("__p", "__own", "__before")
 
 
 def avg_rank(df: DataFrame, value: str, by: list[str], name: str = "rank") -> DataFrame:
-    """Ranks from 1 within by, ties averaged; null values have none."""
-    order = Window.partitionBy(*by).orderBy(value) if by else Window.partitionBy(F.lit(0)).orderBy(value)
-    ties = Window.partitionBy(*by, value)
+    """Ranks from 1 within by, ties averaged; null values have none (W3, T8). Rows are
+    counted by value first; ranks are those of the distinct values, joined back."""
     present = df.where(F.col(value).isNotNull())
-    return present.withColumn(name, F.rank().over(order) + (F.count("*").over(ties) - 1) / 2)
+    counts = present.groupBy(*by, value).agg(F.count("*").alias("__c"))
+    if by:
+        upto = counts.withColumn("__u", F.sum("__c").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        upto = running_total(counts, value, "__c", "__u")
+    ranks = upto.select(*by, value, (F.col("__u") - (F.col("__c") - 1) / 2).alias(name))
+    return present.join(ranks, [*by, value])
 
 
 def lead_triples(long: DataFrame, keys: list[str], state: str, lag: int = 1, frame: str = "frame") -> DataFrame:
