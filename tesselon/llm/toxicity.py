@@ -26,6 +26,7 @@ without labelled rows, or with one label only, every score is the share of label
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -34,9 +35,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselon.llm import text as T
-from tesselon.llm.common import crc_mod, table
+from tesselon.llm.common import bounded, crc_mod, table
 
-SAMPLE, SAMPLE_CHARS = 4000, 16_000_000
+SAMPLE, SAMPLE_CHARS = 3000, 8_000_000
 WINDOW, STRIDE = 32, 16
 DIM, HIDDEN = 8, 8
 ROWS = 1 << 15
@@ -44,17 +45,39 @@ CACHE_WORDS = 300_000
 #: Log odds of a feature seen in n texts count n / (n + SHRINK); in training a word's
 #: own embedding is left out with chance DROP, so that its spelling must do.
 SHRINK, DROP, DECAY = 12, 0.5, 0.002
+#: Steps of training at least (in at most 60 passes over few windows).
+STEPS = 300
 _OUTER = " \t\n\r\x0b\x0c.,;:!?*#%&$|\"'`()[]{}<>~^_+=/\\-«»“”„‘’…"
 
 
-def word_features(token: bytes) -> tuple[int, list[int]]:
-    """(row of the word, rows of its character n-grams) of a raw token."""
+def bare_word(token: bytes) -> str:
+    """A raw token in lower case without outer punctuation."""
     word = token.decode("utf-8", "replace").lower()
-    word = word.strip(_OUTER) or word
-    marked = f"^{word}$"
-    grams = {marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)}
-    row = zlib.crc32(word.encode()) % ROWS
-    return row, sorted(zlib.crc32(g.encode(), 1) % ROWS for g in grams) or [row]
+    return word.strip(_OUTER) or word
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of each word, rows of its character 3- to 5-grams with marked ends, how
+    many of those each word has), hashed for all words at once."""
+    rows = np.fromiter((zlib.crc32(w.encode()) % ROWS for w in words), np.int32, len(words))
+    points = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+    end = np.cumsum(size)
+    count = sum(np.maximum(size - n + 1, 0) for n in (3, 4, 5))
+    start = np.cumsum(count) - count
+    out = np.empty(int(count.sum()), np.int32)
+    owner = np.repeat(np.arange(len(words)), size)
+    local = np.arange(len(points)) - np.repeat(end - size, size)
+    h, before = points.copy(), np.zeros(len(words), np.int64)
+    for n in range(2, 6):
+        h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + points[n - 1 :]
+        if n < 3:
+            continue
+        inside = np.flatnonzero(local[: len(h)] + n <= size[owner[: len(h)]])
+        who = owner[inside]
+        out[start[who] + before[who] + local[inside]] = (T.mix64(h[inside]) % np.uint64(ROWS)).astype(np.int32)
+        before += np.maximum(size - n + 1, 0)
+    return rows, out, count
 
 
 class Lexicon:
@@ -63,7 +86,7 @@ class Lexicon:
 
     def __init__(self):
         self.number: dict[int, int] = {}
-        self.rows, self.grams, self.at = [0], [], [0, 0]
+        self.rows, self.grams, self.at = array("i", [0]), array("i"), array("q", [0, 0])
 
     def __len__(self):
         return len(self.rows)
@@ -75,23 +98,22 @@ class Lexicon:
         codes, kinds = pd.factorize(h)
         where = np.zeros(len(kinds), np.int64)
         where[codes[::-1]] = np.arange(len(codes))[::-1]
-        out = np.empty(len(kinds), np.int64)
-        for k, key in enumerate(kinds.tolist()):
-            n = self.number.get(key)
-            if n is None:
-                i = where[k]
-                row, grams = word_features(raw[a[i] : z[i]].tobytes())
-                n = self.number[key] = len(self.rows)
-                self.rows.append(row)
-                self.grams += grams
-                self.at.append(len(self.grams))
-            out[k] = n
+        out = np.fromiter((self.number.get(k, -1) for k in kinds.tolist()), np.int64, len(kinds))
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            data, at = raw.tobytes(), where[new]
+            rows, grams, count = features([bare_word(data[i:j]) for i, j in zip(a[at].tolist(), z[at].tolist(), strict=True)])
+            out[new] = np.arange(len(self.rows), len(self.rows) + len(new))
+            self.number.update(zip(kinds[new].tolist(), out[new].tolist(), strict=True))
+            self.at.frombytes((self.at[-1] + np.cumsum(count)).astype(np.int64).tobytes())
+            self.rows.frombytes(rows.tobytes())
+            self.grams.frombytes(grams.tobytes())
         return (out[codes] if len(codes) else np.zeros(0, np.int64)), first
 
     def arrays(self, start: int = 0):
         """(word rows, n-gram rows, where each word's n-grams start) from a word on."""
         base = self.at[start]
-        return np.array(self.rows[start:], np.int64), np.array(self.grams[base:], np.int64), np.array(self.at[start:], np.int64) - base
+        return np.array(self.rows[start:], np.int32), np.array(self.grams[base:], np.int32), np.array(self.at[start:], np.int64) - base
 
 
 def windows(numbers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +126,8 @@ def windows(numbers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     at = (first[:-1][owner] + local)[:, None] + np.arange(WINDOW)
     inside = at < first[1:][owner][:, None]
     padded = np.append(numbers, 0)
-    return np.where(inside, padded[np.where(inside, at, 0)], 0), owner
+    at[~inside] = len(numbers)
+    return padded[at].astype(np.int32), owner
 
 
 def _sigmoid(x):
@@ -201,8 +224,29 @@ def _log_odds(hit1: np.ndarray, hit0: np.ndarray, n1: int, n0: int) -> np.ndarra
     return odds * (hit1 + hit0) / (hit1 + hit0 + SHRINK)
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = 5, batch: int = 256, seed: int = 11) -> Network:
-    """A network fitted on whole labelled texts."""
+def _logistic_fit(x: np.ndarray, labels: np.ndarray, share: float) -> tuple[float, float]:
+    """(scale, shift) of a ridge logistic fit of labels on x, label 1 weighted to have
+    the given share. Newton steps of bounded length on standardised x: the ridge keeps
+    the optimum finite where x separates the labels."""
+    mean, sd = float(x.mean()), float(x.std()) or 1.0
+    z = np.stack([(x - mean) / sd, np.ones(len(x))])
+    y = labels.astype(np.float64)
+    w = np.where(y > 0, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9)) / len(x)
+    theta, ridge = np.array([1.0, 0.0]), np.array([1e-5, 1e-7])
+    for _ in range(200):
+        q = _sigmoid(theta @ z)
+        step = np.linalg.solve((z * (w * q * (1 - q))) @ z.T + np.diag(ridge), z @ (w * (q - y)) + ridge * theta)
+        size = np.linalg.norm(step)
+        theta = theta - step * min(1.0, 0.5 / max(size, 1e-12))
+        if size < 1e-9:
+            break
+    scale = max(theta[0], 1e-3) / sd
+    return float(scale), float(theta[1] - scale * mean)
+
+
+def train(texts: list[str], labels: np.ndarray, epochs: int = 5, batch: int = 256, seed: int = 11, prior: float | None = None) -> Network:
+    """A network fitted on whole labelled texts; prior is the share of label 1 among all
+    labelled rows, where the texts are a sample with another share."""
     net = Network(seed)
     share = float(np.mean(labels)) if len(labels) else 0.0
     if share in (0.0, 1.0):
@@ -220,15 +264,22 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 5, batch: int = 25
     t, w = pair // words, pair % words
     n1, n0 = int(labels.sum()), int(len(labels) - labels.sum())
 
-    def odds(row_of: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        one = np.unique(owner * ROWS + row_of)
-        hit = labels[one // ROWS] > 0
-        return _log_odds(np.bincount(one[hit] % ROWS, minlength=ROWS), np.bincount(one[~hit] % ROWS, minlength=ROWS), n1, n0)
+    word_hits, gram_hits = np.zeros((2, ROWS)), np.zeros((2, ROWS))
 
-    by_word = odds(rows[w], t)
-    size = np.diff(at)[w]
-    inner = np.repeat(at[:-1][w] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-    by_gram = odds(grams[inner], np.repeat(t, size))
+    def count(row_of: np.ndarray, owner: np.ndarray, hits: np.ndarray) -> None:
+        one = np.unique(owner * ROWS + row_of)
+        for k in (0, 1):
+            hits[k] += np.bincount(one[labels[one // ROWS] == k] % ROWS, minlength=ROWS)
+
+    for a in range(0, len(texts), 200):  # some texts at a time, for memory
+        here = slice(*np.searchsorted(t, [a, a + 200]))
+        tt, ww = t[here], w[here]
+        count(rows[ww], tt, word_hits)
+        size = np.diff(at)[ww]
+        inner = np.repeat(at[:-1][ww] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        count(grams[inner], np.repeat(tt, size), gram_hits)
+    by_word, by_gram = (_log_odds(h[1], h[0], n1, n0) for h in (word_hits, gram_hits))
+    del text, pair, t, w
     net.p["word"][:, 0] = 0.5 * by_word
     net.p["gram"][:, 1] = by_gram
     strength = np.maximum(by_word[rows], 0)
@@ -238,7 +289,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 5, batch: int = 25
 
     # training windows
     win, owner = windows(numbers, first)
-    power = np.sort(strength[win], axis=1)[:, -6:].sum(axis=1)
+    power = np.concatenate([np.sort(strength[win[a : a + 8192]], axis=1)[:, -6:].sum(axis=1) for a in range(0, len(win), 8192)])
     order = np.lexsort((-power, owner))
     place = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
     strong = order[place < 2]
@@ -249,6 +300,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 5, batch: int = 25
 
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
+    epochs = max(epochs, min(60, -(-STEPS * batch // len(chosen))))
     for epoch in range(epochs):
         rate = 0.01 * (1 - 0.8 * epoch / epochs)
         mix = r.permutation(len(chosen))
@@ -276,31 +328,60 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 5, batch: int = 25
                 if k in ("word", "gram"):
                     net.p[k] *= 1 - DECAY
 
-    # calibration on the largest logits of whole texts, weighted back to the sample
-    best = _largest(net, net.inputs(rows, grams, at), win, owner, len(texts))
-    x, y = np.stack([best, np.ones_like(best)]), labels.astype(np.float64)
-    theta = np.array([1.0, 0.0])
-    for _ in range(50):
-        q = _sigmoid(theta @ x)
-        hess = (x * (q * (1 - q) + 1e-6)) @ x.T + 1e-3 * np.eye(2)
-        theta -= np.linalg.solve(hess, x @ (q - y) + 1e-3 * theta)
-        theta = np.clip(theta, -20, 20)
-    net.scale, net.shift = float(max(theta[0], 1e-3)), float(theta[1])
+    # calibration on the largest logits of whole texts, weighted to the labels' shares
+    scorer = Scorer(net)
+    best = scorer.largest(scorer.tables(net.inputs(rows, grams, at)), win, owner, len(texts)).astype(np.float64)
+    net.scale, net.shift = _logistic_fit(best, labels, share if prior is None else prior)
     return net
 
 
-def _largest(net: Network, inputs: np.ndarray, win: np.ndarray, owner: np.ndarray, n: int, batch: int = 4096) -> np.ndarray:
-    """The largest window logit of each text."""
-    gf, gb = (inputs @ net.p[f"W{d}"] + net.p[f"B{d}"] for d in "fb")
-    return _largest_of(net, gf, gb, win, owner, n, batch)
-
+class Scorer:
+    """Window logits without gradients. Arrays are feature-major, the logistic function
+    is a halved tanh (its halves are folded into the weights), and only the two
+    projections of each state that attention needs are kept."""
+
+    def __init__(self, net: Network):
+        self.net = net
+        half = np.repeat(np.float32([0.5, 0.5, 1.0]), HIDDEN)
+        p = net.p
+        self.half = half
+        self.u = {d: np.ascontiguousarray((p[f"U{d}"] * half).T) for d in "fb"}
+        self.out = {d: np.stack([p["u"][k : k + HIDDEN], p["v"][k : k + HIDDEN]]) for d, k in (("f", 0), ("b", HIDDEN))}
+
+    def tables(self, x: np.ndarray) -> dict[str, np.ndarray]:
+        """Input products of words by their input vectors."""
+        return {d: (x @ self.net.p[f"W{d}"] + self.net.p[f"B{d}"]) * self.half for d in "fb"}
+
+    def logits(self, tables: dict[str, np.ndarray], win: np.ndarray) -> np.ndarray:
+        rows, steps = win.shape
+        at = np.ascontiguousarray(win.T)
+        marks = np.zeros((steps, 2, rows), np.float32)
+        g, x = np.empty((rows, 3 * HIDDEN), np.float32), np.empty((3 * HIDDEN, rows), np.float32)
+        for d in "fb":
+            h = np.zeros((HIDDEN, rows), np.float32)
+            for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+                np.copyto(x, np.take(tables[d], at[t], axis=0, out=g, mode="clip").T)
+                hu = self.u[d] @ h
+                zr = np.tanh(x[: 2 * HIDDEN] + hu[: 2 * HIDDEN])
+                zr *= 0.5
+                zr += 0.5
+                n = hu[2 * HIDDEN :]
+                n *= zr[HIDDEN:]
+                n += x[2 * HIDDEN :]
+                np.tanh(n, out=n)
+                h -= n
+                h *= zr[:HIDDEN]
+                h += n
+                marks[t] += self.out[d] @ h
+        e = np.where(at > 0, marks[:, 0], np.float32(-1e4))
+        e = np.exp(e - e.max(axis=0))
+        return (e * marks[:, 1]).sum(axis=0) / e.sum(axis=0) + self.net.p["c"][0]
 
-def _largest_of(net, gf, gb, win, owner, n, batch=4096):
-    out = np.full(n, -np.inf)
-    for a in range(0, len(win), batch):
-        at = win[a : a + batch].T
-        np.maximum.at(out, owner[a : a + batch], net.logits(gf[at], gb[at], at > 0))
-    return out
+    def largest(self, tables, win: np.ndarray, owner: np.ndarray, n: int, batch: int = 2048) -> np.ndarray:
+        """The largest window logit of each text; windows stand in order of texts, and
+        every text has one."""
+        out = np.concatenate([self.logits(tables, win[a : a + batch]) for a in range(0, len(win), batch)])
+        return np.maximum.reduceat(out, np.searchsorted(owner, np.arange(n))) if n else out
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Network:
@@ -319,32 +400,30 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
     fit = sizes[sizes["n"].cumsum() <= chars]["doc_id"].tolist()  # whole texts up to the bound
     got = texts.join(F.broadcast(docs.sparkSession.createDataFrame([(int(x),) for x in fit] or [(-1,)], "doc_id long")), "doc_id", "left_semi").select("doc_id", "toxic", "text").toPandas()
     got = got.sort_values(["doc_id", "text"])
-    net = train(got["text"].tolist(), got["toxic"].to_numpy())
-    n = rows.groupBy("toxic").count().toPandas().set_index("toxic")["count"]
-    if net.prior is None:  # the sample may hold another share of toxic texts than the labels
-        mine = got["toxic"].mean()
-        net.shift += float(np.log(n[1] / n[0]) - np.log(mine / (1 - mine)))
-    return net
+    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    return train(got["text"].tolist(), got["toxic"].to_numpy(), prior=n.get(1, 0) / sum(n.values()))
 
 
 def score(docs: DataFrame, net: Network, keep: list[str]) -> DataFrame:
     """The kept columns with score and predicted."""
+    bounded(docs)
     schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")
 
     def run(batches):
-        lex, gf, gb = Lexicon(), np.zeros((0, 3 * HIDDEN), np.float32), np.zeros((0, 3 * HIDDEN), np.float32)
+        scorer, lex, known = Scorer(net), Lexicon(), None
         for b in T.parts(batches, "__text", 1 << 20):
             if net.prior is not None:
                 q = np.full(len(b), net.prior)
             else:
                 if len(lex) > CACHE_WORDS:
-                    lex, gf, gb = Lexicon(), gf[:0], gb[:0]
+                    lex, known = Lexicon(), None
                 numbers, first = lex.numbers(b.column("__text"))
-                if len(lex) > len(gf):
-                    x = net.inputs(*lex.arrays(len(gf)))
-                    gf, gb = (np.concatenate([g, x @ net.p[f"W{d}"] + net.p[f"B{d}"]]) for g, d in ((gf, "f"), (gb, "b")))
+                done = len(known["f"]) if known else 0
+                if len(lex) > done:
+                    more = scorer.tables(net.inputs(*lex.arrays(done)))
+                    known = {d: np.concatenate([known[d], more[d]]) for d in "fb"} if known else more
                 win, owner = windows(numbers, first)
-                q = _sigmoid(net.scale * _largest_of(net, gf, gb, win, owner, len(b)) + net.shift)
+                q = _sigmoid(net.scale * scorer.largest(known, win, owner, len(b)).astype(np.float64) + net.shift)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(q, pa.float64()), pa.array((q >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)

@@ -224,8 +224,15 @@ def test_top_k_of_nothing(spark):
     assert topk_search.top_k(df, F.col("vec_id") % 20 == 0, 3).collect() == []
 
 
-def test_word_features_strip_outer_marks():
-    assert toxicity.word_features(b"Idiot,***") == toxicity.word_features("idiot".encode())
-    assert toxicity.word_features(b"***")[1]
-    assert zlib.crc32(b"idiot") % toxicity.ROWS == toxicity.word_features(b"IDIOT!")[0]
-    assert len(toxicity.Lexicon().numbers(pa.array([None, ""]))[0]) == 0
+def test_word_features():
+    assert toxicity.bare_word(b"Idiot,***") == "idiot" and toxicity.bare_word(b"***") == "***"
+    words = ["a", "idiot", "é漢é"]
+    rows, grams, count = toxicity.features(words)
+    assert count.tolist() == [1, 5 + 4 + 3, 3 + 2 + 1] and len(grams) == count.sum()
+    for k, w in enumerate(words):
+        one = toxicity.features([w])
+        assert one[0][0] == rows[k] == zlib.crc32(w.encode()) % toxicity.ROWS
+        assert one[1].tolist() == grams[count[:k].sum() : count[: k + 1].sum()].tolist()
+    lex = toxicity.Lexicon()
+    n, at = lex.numbers(pa.array([None, "", "Idiot! idiot a"]))
+    assert n.tolist() == [1, 2, 3] and at.tolist() == [0, 0, 0, 3] and lex.rows[1] == lex.rows[2]
