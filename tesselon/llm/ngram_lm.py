@@ -135,9 +135,11 @@ def heavy_words(docs: DataFrame) -> np.ndarray:
             hot = count * HEAVY >= len(w)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(kinds[hot].astype(np.int64), -1)), pa.array(np.append(count[hot], len(w)))], names=["w", "n"])
 
-    got = docs.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    got = docs.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).persist()
     total = got.where("w = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return np.sort(np.array([r["w"] for r in got.where(f"w >= 0 AND n * {HEAVY} >= {total}").collect()], np.uint64))
+    heavy = np.sort(np.array([r["w"] for r in got.where(f"w >= 0 AND n * {HEAVY} >= {total}").collect()], np.uint64))
+    got.unpersist()
+    return heavy
 
 
 def count_bigrams(docs: DataFrame, bits: int, heavy: np.ndarray) -> DataFrame:
