@@ -67,7 +67,7 @@ def _bin_leasts(sets: np.ndarray, row: np.ndarray, bits: np.ndarray) -> np.ndarr
 
 
 def _tagged(hashes: np.ndarray, tag) -> np.ndarray:
-    return T.mix64(hashes + np.uint64(0x9E3779B97F4A7C15) * (np.asarray(tag).astype(np.uint64) + np.uint64(1)))
+    return T.mix64(hashes + np.uint64(0x9E3779B97F4A7C15) * (np.atleast_1d(tag).astype(np.uint64) + np.uint64(1)))
 
 
 def items_by_width(items: DataFrame) -> DataFrame:
