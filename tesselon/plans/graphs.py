@@ -200,20 +200,20 @@ def radius_join(spark, sf):
     return P.radius_join(p, p, "id", "id", _R2).where("a_id < b_id").select("a_id", "b_id", rnd("d2", 9).alias("d2"))
 
 
-@query("nearest_join", f"""WITH {POINTS_SQL}, c AS (SELECT a.id AS a_id, b.id AS b_id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM pts a JOIN pts b ON a.id % 2 = 0 AND b.id % 2 = 1)
+@query("nearest_join", f"""WITH {POINTS_SQL}, c AS (SELECT a.id AS a_id, b.id AS b_id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM pts a JOIN pts b ON a.x >= 0 AND b.x < 0)
 SELECT a_id, b_id, round(d2, 9) + 0.0 AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY d2, b_id) AS n FROM c WHERE d2 < 0.02) WHERE n = 1""")
 def nearest_join(spark, sf):
-    """The nearest odd point of each even one within a radius."""
+    """The nearest point of the other half space within a radius."""
     p = points(spark, sf)
-    return P.nearest_join(p.where("id % 2 = 0"), p.where("id % 2 = 1"), "id", "id", 0.02).select("a_id", "b_id", rnd("d2", 9).alias("d2"))
+    return P.nearest_join(p.where("x >= 0"), p.where("x < 0"), "id", "id", 0.02).select("a_id", "b_id", rnd("d2", 9).alias("d2"))
 
 
-@query("nearest_vertex", f"""WITH {POINTS_SQL}, c AS (SELECT a.block, a.id AS point, b.id AS vertex, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + 4 * (a.z - b.z) * (a.z - b.z) AS d2 FROM pts a JOIN pts b ON a.block = b.block AND a.id % 5 = 0 AND b.id % 5 <> 0)
+@query("nearest_vertex", f"""WITH {POINTS_SQL}, c AS (SELECT a.block, a.id AS point, b.id AS vertex, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + 4 * (a.z - b.z) * (a.z - b.z) AS d2 FROM pts a JOIN pts b ON a.block = b.block AND a.y < 0 AND b.y >= 0)
 SELECT block, point, vertex, round(d2, 9) + 0.0 AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY point ORDER BY d2, vertex) AS n FROM c) WHERE n = 1""")
 def nearest_vertex(spark, sf):
     """The nearest vertex of the same block, z doubled."""
     p = points(spark, sf)
-    r = P.nearest_vertex(p.where("id % 5 = 0").withColumnRenamed("id", "point"), p.where("id % 5 <> 0").withColumnRenamed("id", "vertex"), ["block"])
+    r = P.nearest_vertex(p.where("y < 0").withColumnRenamed("id", "point"), p.where("y >= 0").withColumnRenamed("id", "vertex"), ["block"])
     return r.select("block", "point", "vertex", rnd("d2", 9).alias("d2"))
 
 

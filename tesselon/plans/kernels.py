@@ -47,7 +47,7 @@ def calibration_search(spark, sf):
     from tesselon.operators.structure import calibrate
     from tesselon.plans.base import points
 
-    p = points(spark, sf).where("id % 4 = 0").withColumn("region", F.col("block"))
+    p = points(spark, sf).withColumn("region", F.col("block"))
     sizes = p.groupBy("region").agg(F.count("*").alias("n"))
     target = p.groupBy("region").agg(F.avg("x").alias("value"))
 

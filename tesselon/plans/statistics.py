@@ -153,11 +153,11 @@ def division_statistics(spark, sf):
     return ST.division_statistics(o, "o_totalprice", "o_orderstatus", "o_orderpriority")
 
 
-@query("wilcoxon_w", """WITH d AS (SELECT l_returnflag AS f, round(l_discount * 100) - round(l_tax * 100) AS d FROM lineitem WHERE l_linenumber = 1), r AS (SELECT f, d, rank() OVER (PARTITION BY f ORDER BY abs(d)) + (count(*) OVER (PARTITION BY f, abs(d)) - 1) / 2.0::DOUBLE AS rk FROM d WHERE d <> 0)
+@query("wilcoxon_w", """WITH d AS (SELECT l_returnflag AS f, round(l_discount * 100) - round(l_tax * 100) AS d FROM lineitem), r AS (SELECT f, d, rank() OVER (PARTITION BY f ORDER BY abs(d)) + (count(*) OVER (PARTITION BY f, abs(d)) - 1) / 2.0::DOUBLE AS rk FROM d WHERE d <> 0)
 SELECT f, count(*)::BIGINT AS n, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN rk ELSE 0 END) AS w_minus FROM r GROUP BY ALL""")
 def wilcoxon_w(spark, sf):
     """ST18: signed rank sums of pairs."""
-    v = table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_returnflag").alias("f"), F.round(F.col("l_discount") * 100).alias("a"), F.round(F.col("l_tax") * 100).alias("b"))
+    v = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("f"), F.round(F.col("l_discount") * 100).alias("a"), F.round(F.col("l_tax") * 100).alias("b"))
     return ST.wilcoxon(v, "a", "b", ["f"])
 
 
@@ -194,17 +194,13 @@ def ols_slope(spark, sf):
     return ST.line(_lines(spark, sf), "q", "e", ["f", "s"]).select("f", "s", rnd("slope").alias("slope"), rnd("intercept", 4).alias("intercept"))
 
 
-@query("bootstrap_diff", f"""WITH {_DRAWS.format(salt=1, n=50, draws=150)}, v AS (SELECT c_custkey AS k, row_number() OVER (ORDER BY c_custkey) - 1 AS idx, c_acctbal AS x FROM customer), a AS (SELECT idx, x FROM v WHERE idx < 50), b AS (SELECT idx - 50 AS idx, x FROM v WHERE idx >= 50 AND idx < 100),
-m AS (SELECT d.draw, avg(a.x) - avg(b.x) AS d FROM d JOIN a USING (idx) JOIN b USING (idx) GROUP BY ALL)
+@query("bootstrap_diff", f"""WITH {NATIONS_SQL}, {_DRAWS.format(salt=1, n=25, draws=150)}, m AS (SELECT d.draw, avg(a.x) - avg(b.z) AS d FROM d JOIN nat a ON a.k = idx JOIN nat b ON b.k = idx GROUP BY ALL)
 SELECT round(avg(d), 6) + 0.0 AS mean, round(quantile_cont(d, 0.025), 6) + 0.0 AS low, round(quantile_cont(d, 0.975), 6) + 0.0 AS high, round(least(1, 2 * least(avg((d <= 0)::INT), avg((d >= 0)::INT))), 6) + 0.0 AS p FROM m""")
 def bootstrap_diff(spark, sf):
-    """ST20: bootstrap difference of two groups' means."""
-    c = table(spark, sf, "customer").orderBy("c_custkey").limit(100).select("c_custkey", F.col("c_acctbal").alias("x"))
-    from pyspark.sql import Window
-
-    v = c.withColumn("idx", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("c_custkey")) - 1).cast("long"))
-    d = ST.hash_draws(spark, 50, 150, 1)
-    r = ST.bootstrap_difference(v.where("idx < 50"), v.where("idx >= 50").withColumn("idx", F.col("idx") - 50), d, d, "x")
+    """ST20: bootstrap difference of two measures' means over the nations."""
+    n = nation_table(spark, sf)
+    d = ST.hash_draws(spark, 25, 150, 1)
+    r = ST.bootstrap_difference(n.select(F.col("k").alias("idx"), "x"), n.select(F.col("k").alias("idx"), F.col("z").alias("x")), d, d, "x")
     return r.select(*[rnd(c).alias(c) for c in ("mean", "low", "high", "p")])
 
 

@@ -137,27 +137,28 @@ def pivot_measures(spark, sf):
     return p.select("k", rnd("BUILDING").alias("building"), rnd("MACHINERY").alias("machinery"))
 
 
-@query("inner_join_multi", "SELECT l_orderkey, l_linenumber, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_linenumber <= 2")
+@query("inner_join_multi", "SELECT l_orderkey, l_linenumber, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_quantity <= 10")
 def inner_join_multi(spark, sf):
     """Inner join of differently named keys with a second condition."""
     li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
-    return li.where("l_linenumber <= 2").join(o, li["l_orderkey"] == o["o_orderkey"]).select("l_orderkey", "l_linenumber", "o_orderpriority")
+    return li.where("l_quantity <= 10").join(o, li["l_orderkey"] == o["o_orderkey"]).select("l_orderkey", "l_linenumber", "o_orderpriority")
 
 
-@query("left_join_checked", "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey < 3")
+@query("left_join_checked", "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")
 def left_join_checked(spark, sf):
     """Left join whose right keys are checked to be unique."""
-    n = table(spark, sf, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    s = table(spark, sf, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("c_nationkey"))
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name").join(s, "c_nationkey", "left_semi")
     return R.join_checked(table(spark, sf, "customer"), n, ["c_nationkey"]).select("c_custkey", "n_name")
 
 
-_HALVES = """a AS (SELECT c_nationkey::BIGINT AS k, count(*)::BIGINT AS n_customers FROM customer WHERE c_nationkey < 20 GROUP BY ALL),
-z AS (SELECT s_nationkey::BIGINT AS k, count(*)::BIGINT AS n_suppliers FROM supplier WHERE s_nationkey >= 3 GROUP BY ALL)"""
+_HALVES = """a AS (SELECT c_nationkey::BIGINT AS k, count(*)::BIGINT AS n_customers FROM customer WHERE c_acctbal < -700 GROUP BY ALL),
+z AS (SELECT s_nationkey::BIGINT AS k, count(*)::BIGINT AS n_suppliers FROM supplier WHERE s_acctbal > 7000 GROUP BY ALL)"""
 
 
 def _halves(spark, sf):
-    c = table(spark, sf, "customer").where("c_nationkey < 20").groupBy(F.col("c_nationkey").cast("long").alias("k")).agg(F.count("*").alias("n_customers"))
-    s = table(spark, sf, "supplier").where("s_nationkey >= 3").groupBy(F.col("s_nationkey").cast("long").alias("k")).agg(F.count("*").alias("n_suppliers"))
+    c = table(spark, sf, "customer").where("c_acctbal < -700").groupBy(F.col("c_nationkey").cast("long").alias("k")).agg(F.count("*").alias("n_customers"))
+    s = table(spark, sf, "supplier").where("s_acctbal > 7000").groupBy(F.col("s_nationkey").cast("long").alias("k")).agg(F.count("*").alias("n_suppliers"))
     return c, s
 
 
@@ -255,13 +256,13 @@ def dominant_region(spark, sf):
     return R.best_row(c, ["k"], "n", ["r"]).where("confidence >= 0.3").select("k", "r", "n", rnd("confidence").alias("confidence"))
 
 
-@query("upsert_latest", """WITH o AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0), n AS (SELECT c_custkey AS k, -c_acctbal AS v FROM customer WHERE c_custkey % 3 = 0)
+@query("upsert_latest", """WITH o AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_acctbal >= 0), n AS (SELECT c_custkey AS k, -c_acctbal AS v FROM customer WHERE c_mktsegment = 'BUILDING')
 SELECT k, v FROM n UNION ALL SELECT k, v FROM o WHERE k NOT IN (SELECT k FROM n)""")
 def upsert_latest(spark, sf):
     """New rows in place of old ones of the same key."""
     c = table(spark, sf, "customer")
-    old = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
-    new = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), (-F.col("c_acctbal")).alias("v"))
+    old = c.where("c_acctbal >= 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    new = c.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("k"), (-F.col("c_acctbal")).alias("v"))
     return R.upsert(old, new, ["k"])
 
 

@@ -71,10 +71,10 @@ def subject_region_fc(spark, sf):
 f AS (SELECT stimulus, day, row_number() OVER (PARTITION BY stimulus ORDER BY day) - 1 AS frame FROM (SELECT DISTINCT stimulus, day FROM b WHERE extract('dow' FROM day) <> 0)),
 un AS (SELECT DISTINCT stimulus, unit FROM b),
 t AS (SELECT f.stimulus, un.unit, f.frame, coalesce(sum(value), 0) AS value FROM f JOIN un ON un.stimulus = f.stimulus LEFT JOIN b ON b.stimulus = f.stimulus AND b.day = f.day AND b.unit = un.unit GROUP BY ALL),
-k AS (SELECT unnest(range(0, 4)) AS win),
+k AS (SELECT stimulus, unnest(range(0, (count(*) - 10) // 4 + 1)) AS win FROM f GROUP BY stimulus),
 ok AS (SELECT stimulus, unit FROM t GROUP BY ALL HAVING stddev_pop(value) > 1e-12),
 pw AS (SELECT x.stimulus, k.win, x.unit AS u, y.unit AS v, CASE WHEN stddev_pop(x.value) > 1e-13 AND stddev_pop(y.value) > 1e-13 THEN covar_pop(x.value, y.value) / (stddev_pop(x.value) * stddev_pop(y.value)) END AS r
-  FROM t x JOIN t y ON x.stimulus = y.stimulus AND x.frame = y.frame AND x.unit <> y.unit JOIN k ON x.frame >= k.win * 4 AND x.frame < k.win * 4 + 10
+  FROM t x JOIN t y ON x.stimulus = y.stimulus AND x.frame = y.frame AND x.unit <> y.unit JOIN k ON k.stimulus = x.stimulus AND x.frame >= k.win * 4 AND x.frame < k.win * 4 + 10
   JOIN ok p ON p.stimulus = x.stimulus AND p.unit = x.unit JOIN ok q ON q.stimulus = y.stimulus AND q.unit = y.unit GROUP BY ALL HAVING count(*) = 10),
 s AS (SELECT stimulus, u AS unit, avg(sd) AS fcv, avg(m) AS fcs FROM (SELECT stimulus, u, v, stddev_pop(r) AS sd, avg(r) AS m FROM pw GROUP BY ALL) GROUP BY ALL)
 SELECT stimulus, unit, round((fcv - avg(fcv) OVER w) / stddev_pop(fcv) OVER w, 6) + 0.0 AS fcv_z, round((fcs - avg(fcs) OVER w) / stddev_pop(fcs) OVER w, 6) + 0.0 AS fcs_z FROM s WINDOW w AS (PARTITION BY stimulus)""")
@@ -88,7 +88,7 @@ def stimulus_fcv(spark, sf):
     total = days.groupBy("recording").agg(F.count("*").cast("int").alias("n"))
     sums = e.groupBy("recording", "unit", "day").agg(F.sum("value").alias("value")).join(days, ["recording", "day"]).join(total, "recording")
     a = S.dense_series(sums, ["recording", "unit", "n"], "frame", "value", F.col("n")).where(S.unit_vector(F.col("values")).isNotNull())
-    p = C.window_correlation(a.select("recording", "unit", "values"), 10, 4).where("win < 4")
+    p = C.window_correlation(a.select("recording", "unit", "values"), 10, 4)
     by_pair = C.both_ways(p).groupBy("recording", "u", "v").agg(F.stddev_pop("r").alias("sd"), F.avg("r").alias("m"))
     s = by_pair.groupBy(F.col("recording").alias("stimulus"), F.col("u").alias("unit")).agg(F.avg("sd").alias("fcv"), F.avg("m").alias("fcs"))
     z = S.zscore(S.zscore(s, "fcv", ["stimulus"]), "fcs", ["stimulus"])
@@ -139,7 +139,7 @@ def neighbor_drive(spark, sf):
 def surrogate_null(spark, sf):
     """Q7 Q8 W6 ST6 ST7: circular-shift null of the mean absolute net transfer, with
     cross-fitted exceedance of the pairs' 95th percentiles."""
-    u = units(spark, sf, "count").where("unit < 8")
+    u = units(spark, sf, "count")
     shapes = u.groupBy("recording").agg(F.max("unit").alias("u"), F.max(F.size("values")).alias("n")).orderBy("recording").collect()  # one row a recording
     offsets = spark.createDataFrame(C.surrogate_offsets([(r["recording"], r["u"] + 1, r["n"]) for r in shapes], 8, 5, 1307), "recording string, draw int, unit long, offset int")
     observed_units = u.withColumns({"draw": F.lit(-1), "offset": F.lit(0)})
