@@ -78,6 +78,48 @@ def transfer_entropy(states: DataFrame, recording: str = "recording", unit: str
     return both.select(recording, "source", "target", (F.col("hyy") - F.col("hy") + (F.col("s3") - F.col("s2")) / F.col("total")).alias("te"))
 
 
+def te_matrix(values: np.ndarray, lag: int = 1, least: int = 10) -> np.ndarray:
+    """te[source, target] in bits of all pairs of rows of values, quartile states (Q1, Q2):
+    all joint counts come from one product of indicator matrices. NaN for constant rows,
+    on the diagonal, and for too few frames."""
+    n, frames = values.shape
+    m = frames - lag
+    out = np.full((n, n), np.nan)
+    if m <= least:
+        return out
+    ok = np.flatnonzero(values.min(axis=1) < values.max(axis=1))
+    states = np.stack([np.searchsorted(np.unique(np.quantile(v, (0.25, 0.5, 0.75))), v, side="right") for v in values[ok]]) if len(ok) else np.zeros((0, frames), int)
+    hot = (states[:, :, None] == np.arange(4)).astype(np.float64)
+    now, after = hot[:, :m], hot[:, lag:]
+    both = (after[:, :, :, None] * now[:, :, None, :]).reshape(len(ok), m, 16)
+    counts = np.tensordot(both, now, axes=(1, 1)).transpose(0, 2, 1, 3).reshape(len(ok), len(ok), 4, 4, 4)  # target, source, y', y, x
+
+    def h(c: np.ndarray, axes: tuple) -> np.ndarray:
+        return -np.sum(np.where(c > 0, c / m * np.log2(np.where(c > 0, c, 1) / m), 0.0), axis=axes)
+
+    target = h(both.sum(axis=1), (1,)) - h(now.sum(axis=1), (1,))
+    te = target[:, None] - h(counts, (2, 3, 4)) + h(counts.sum(axis=2), (2, 3))
+    np.fill_diagonal(te, np.nan)
+    out[np.ix_(ok, ok)] = te.T
+    return out
+
+
+def transfer_entropy_arrays(units: DataFrame, by: list[str], unit: str = "unit") -> DataFrame:
+    """by, source, target, te of units with their values as arrays, one task for each
+    group: for many draws of recordings that fit a task (Q7)."""
+    import pandas as pd
+
+    schema = ", ".join([*[f"`{c}` {units.schema[c].dataType.simpleString()}" for c in by], "source long, target long, te double"])
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        te = te_matrix(np.stack(g["values"].to_numpy()).astype(float))
+        i, j = np.nonzero(~np.isnan(te))
+        names = g[unit].to_numpy()
+        return pd.DataFrame({**{c: [g[c].iloc[0]] * len(i) for c in by}, "source": names[i], "target": names[j], "te": te[i, j]})
+
+    return units.groupBy(*by).applyInPandas(run, schema)
+
+
 def net_transfer(te: DataFrame, recording: str = "recording") -> DataFrame:
     """recording, source, target, net: te(i, j) - te(j, i)."""
     back = te.select(recording, F.col("source").alias("target"), F.col("target").alias("source"), F.col("te").alias("te_back"))

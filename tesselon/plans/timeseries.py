@@ -144,8 +144,8 @@ def surrogate_null(spark, sf):
     offsets = spark.createDataFrame(C.surrogate_offsets([(r["recording"], r["u"] + 1, r["n"]) for r in shapes], 8, 5, 1307), "recording string, draw int, unit long, offset int")
     observed_units = u.withColumns({"draw": F.lit(-1), "offset": F.lit(0)})
     shifted = S.rolled(u.join(offsets, ["recording", "unit"]).unionByName(observed_units), F.col("offset"))
-    long = S.rows(shifted.withColumn("recording", F.concat_ws("|", "recording", "draw")), ["recording", "unit"])
-    net = C.net_transfer(C.transfer_entropy(C.quantile_bins(long, ["recording", "unit"])))
+    te = C.transfer_entropy_arrays(shifted.select("recording", "draw", "unit", "values"), ["recording", "draw"])
+    net = C.net_transfer(te.withColumn("recording", F.concat_ws("|", "recording", "draw")).drop("draw"))
     parts = F.split("recording", r"\|")
     net = net.where("source < target").select(parts[0].alias("recording"), parts[1].cast("int").alias("draw"), "source", "target", F.abs("net").alias("a"))
     null, obs = net.where("draw >= 0"), net.where("draw < 0")

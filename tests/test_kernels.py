@@ -67,6 +67,17 @@ def test_transfer_entropy_of_a_copied_series(spark):
     assert te[0, 1] > 1.5 > te[1, 0]
 
 
+def test_transfer_entropy_forms_agree(spark):
+    r = np.random.default_rng(2)
+    x = r.integers(0, 9, (5, 60)).astype(float)
+    x[3] = 1.0  # constant: takes no part
+    units = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)], "recording string, unit long, values array<double>")
+    key = lambda rows: {(t["source"], t["target"]): round(t["te"], 10) for t in rows}
+    a = key(C.transfer_entropy_arrays(units, ["recording"]).collect())
+    b = key(C.transfer_entropy(C.quantile_bins(S.rows(units, ["recording", "unit"]), ["recording", "unit"])).collect())
+    assert a == b and len(a) == 12
+
+
 def test_rank1_is_the_leading_singular_pair(spark):
     a = np.array([[0, 2, 1, 0], [0, 0, 3, 1], [1, 0, 0, 2], [0, 1, 1, 0]], float)
     u, _, v = np.linalg.svd(a)
