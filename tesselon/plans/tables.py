@@ -343,7 +343,7 @@ def average_ranks(spark, sf):
 
 @query("first_per_group", """SELECT g, k, x FROM (SELECT g, k, round(x, 6) + 0.0 AS x, row_number() OVER (PARTITION BY g ORDER BY x DESC, k) AS n FROM (WITH """ + NATIONS_SQL + """ SELECT * FROM nat)) WHERE n = 1""")
 def first_per_group(spark, sf):
-    """O1 O2 O3: the top row of each group under a stable order."""
+    """The top row of each group under a stable order."""
     return R.best_row(nation_table(spark, sf), ["g"], "x", ["k"]).select("g", "k", rnd("x").alias("x"))
 
 

@@ -73,3 +73,29 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("activity").collect())) == sorted(map(tuple, windowed_activity(rows).collect()))
+
+
+def test_matlab_files(spark, tmp_path):
+    import struct
+    import zlib
+
+    from tesselon.sources import matlab
+
+    def element(kind, body):
+        return struct.pack("<II", kind, len(body)) + body + b"\0" * (-len(body) % 8)
+
+    def matrix(name, a, kind=6, body=None):
+        a = np.asarray(a, float) if body is None else a
+        head = element(6, struct.pack("<II", kind, 0)) + element(5, struct.pack("<ii", *a.shape)) + element(1, name.encode())
+        return element(14, head + (element(9, a.tobytes(order="F")) if body is None else body))
+
+    x, y = np.arange(6.0).reshape(2, 3), np.array([[7.5]])
+    cell = matrix("c", np.empty((1, 2)), 1, matrix("", x) + matrix("", y))
+    text = matrix("t", np.empty((1, 2)), 4, element(4, np.array([104, 105], "<u2").tobytes()))
+    record = matrix("s", np.empty((1, 1)), 2, struct.pack("<HHi", 5, 4, 8) + element(1, b"f\0\0\0\0\0\0\0") + matrix("", y))
+    packed = zlib.compress(matrix("z", y))
+    data = b"MATLAB".ljust(124) + struct.pack("<H", 0x0100) + b"IM" + matrix("x", x) + cell + text + record + struct.pack("<II", 15, len(packed)) + packed
+    got = matlab.load(data)
+    assert (got["x"] == x).all() and (got["c"][0, 0] == x).all() and got["t"] == "hi" and got["s"]["f"][0, 0] == 7.5 and got["z"][0, 0] == 7.5
+    (tmp_path / "a.mat").write_bytes(data)
+    assert matlab.read_matlab(spark, str(tmp_path / "a.mat"), "c").groupBy("cell").count().orderBy("cell").collect() == [(0, 6), (1, 1)]
