@@ -8,7 +8,8 @@ are not. On other pages the first pass classifies each block by its link density
 length and density of stop words: good, bad, near (long enough, middling density) or
 short (too short, or too few stop words, to tell). The second pass gives near and short blocks the label of their nearest
 decided neighbours; between a good and a bad one, near blocks are good and short ones
-take the nearer label (bad if equally near). Headings next to content follow it.
+take the nearer label (bad if equally near). Headings next to content follow it. On a
+page without any good block the near ones are content, or else the short ones.
 
 Texts are whole: character references decoded, white space of any kind inside a
 block one space, blocks in page order joined by one space.
@@ -55,9 +56,9 @@ _VOID = frozenset("hr br img input meta link base col embed source track wbr are
 _BAD_TAGS = frozenset("nav footer aside form head menu dialog button select fieldset search".split())
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _BAD_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr login menu modal "
+    "ad ads advert adverts advertisement advertising alert alerts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies discussion disqus footer gdpr login masthead menu modal "
     "nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion related recommended replies reply respond share sharebar sharing "
-    "sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
+    "side sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|object|svg|canvas|title|textarea|audio|video|map)\b(?:[^>]*/>|.*?(?:</\1\s*>|\Z))"
@@ -217,9 +218,11 @@ def classify(items: list[Block]) -> list[Block]:
             b.label = _first_pass(b)
     if not marked:
         _second_pass(items)
-        if not any(b.label == "good" for b in items):  # nothing certain: the near ones, by themselves
-            for b in items:
-                if not b.bad and _first_pass(b) == "near":
+        if not any(b.label == "good" for b in items):  # nothing certain: near blocks by themselves, else short ones
+            first = [None if b.bad else _first_pass(b) for b in items]
+            least = "near" if "near" in first else "short"
+            for b, label in zip(items, first, strict=True):
+                if label == least:
                     b.label = "good"
     return items
 
