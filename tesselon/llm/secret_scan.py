@@ -44,10 +44,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
-URL = re.compile(r"[^\s%<>\"]*(?:%[0-9A-Fa-f]{2}[^\s%<>\"]*)+")
-UNICODE = re.compile(r"(?:[^\s\\]*(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}))+[^\s\\]*")
+# A stretch runs to the next delimiter on either side; it is a layer if it holds an escape.
+URL_RUN, URL_ONE = re.compile(r"[^\s<>\"]+"), re.compile(r"%[0-9A-Fa-f]{2}")
+RUN = re.compile(r"\S+")
 UNICODE_ONE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}")
-REFERENCE = re.compile(r"[^\s&]*(?:&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]{2,31});[^\s&]*)+")
 REFERENCE_ONE = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]{2,31});")
 BASE64_MIN = 22
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % BASE64_MIN)
@@ -180,23 +180,27 @@ def _base64_layers(at: int, part: str):
                 yield from _base64_layers(at + m.start(), m[0])
 
 
+def _runs_with(one: re.Pattern, run: re.Pattern, text: str):
+    """The runs of a text that hold an escape, each once, in time linear in the text."""
+    if one.search(text):
+        for m in run.finditer(text):
+            if one.search(m[0]):
+                yield m
+
+
 def layers(text: str):
     """(start, end, decoded text, starts, ends) of each decodable stretch; starts
     and ends are relative to start, or None where only the stretch is known."""
-    if "%" in text:
-        for m in URL.finditer(text):
-            data, s, e = _percent(m[0])
-            plain = _whole(data)
-            if plain is not None:
-                yield m.start(), m.end(), plain, None, None
-            elif (got := _chars(data, s, e)) is not None:
-                yield m.start(), m.end(), *got
-    if "\\" in text:
-        for m in UNICODE.finditer(text):
-            yield m.start(), m.end(), *_escapes(m[0], UNICODE_ONE)
-    if "&" in text:
-        for m in REFERENCE.finditer(text):
-            yield m.start(), m.end(), *_escapes(m[0], REFERENCE_ONE)
+    for m in _runs_with(URL_ONE, URL_RUN, text):
+        data, s, e = _percent(m[0])
+        plain = _whole(data)
+        if plain is not None:
+            yield m.start(), m.end(), plain, None, None
+        elif (got := _chars(data, s, e)) is not None:
+            yield m.start(), m.end(), *got
+    for one in (UNICODE_ONE, REFERENCE_ONE):
+        for m in _runs_with(one, RUN, text):
+            yield m.start(), m.end(), *_escapes(m[0], one)
     for m in BASE64.finditer(text):
         yield from _base64_layers(m.start(), m[0])
 
