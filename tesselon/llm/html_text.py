@@ -1,15 +1,22 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. Structure decides first: blocks in
-menus, headers, footers, sidebars, forms, notices, adverts and reader comments (by
-tag, role, or words of class and id) are boilerplate; where a page marks its article
-(``article``, ``main`` or their roles), blocks in it are content and those outside
-are not. On other pages the first pass classifies each block by its link density,
-length and density of stop words: good, bad, near (long enough, middling density) or
-short (too short, or too few stop words, to tell). The second pass gives near and short blocks the label of their nearest
-decided neighbours; between a good and a bad one, near blocks are good and short ones
-take the nearer label (bad if equally near). Headings next to content follow it. On a
-page without any good block the near ones are content, or else the short ones.
+A page is cut into blocks at block-level tags. Blocks in menus, headers, footers,
+sidebars, forms, notices, adverts and reader comments (by tag, role, or whole names of
+class and id) are boilerplate. The first pass classifies each other block by its link
+density, length and density of stop words: good, bad, near (long enough, middling
+density) or short (too short, or too few stop words, to tell). The second pass gives
+near and short blocks the label of their nearest decided neighbours; between a good
+and a bad one, near blocks are good and short ones take the nearer label (bad if
+equally near). Headings next to content follow it. On a page without any good block
+the near ones are content, or else the short ones.
+
+An ``article`` or ``main`` (or role) weights the labels between the passes by its share
+of the page's prose. One with a third or more of the most that any has vouches for its
+near blocks, sentences, lists and tables; its link lists and copyright lines stay bad,
+and runs of labels between its prose and its edge or a bad block are bad. Outside of
+it, where there is less prose, long text counts as short and the rest as bad. One with
+less prose vouches for nothing: a card with a link keeps what is good by itself only,
+others (a lead) are judged like any text.
 
 Texts are whole: character references decoded, white space of any kind inside a
 block one space, blocks in page order joined by one space.
@@ -60,13 +67,19 @@ _BAD_WORDS = frozenset(
     "nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion related recommended replies reply respond share sharebar sharing "
     "side sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
+# Names of several words count if these are all that they have besides the words above.
+_PLAIN_WORDS = frozenset("area bar block bottom box button buttons form global icons item items label line link links list message page post posts section site slot text top unit".split())
+_HEADERS = frozenset("header site-header global-header main-header".split())
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|object|svg|canvas|title|textarea|audio|video|map)\b(?:[^>]*/>|.*?(?:</\1\s*>|\Z))"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?:[!?][^>]*|/?[a-zA-Z][^>]*)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|object|svg|canvas|title|textarea|audio|video|map)(?=[\s/>])(?:[^>]*/>|.*?(?:</\1\s*>|\Z))"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?:[!?][^>]*|/?[a-zA-Z][^>]*)(?:>|\Z)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORD = re.compile(r"[^\W\d_]+")
+_SENTENCE = re.compile(r"[.!?。！？؟।]\W*$|[^\w\s:;>)\]›»→▸+×-]$")  # ends in a mark, but not one of labels
+LABEL, SHARE = 40, 3
+_LISTED = frozenset("li dt dd td th pre blockquote figcaption caption".split())
 
 
 @dataclass
@@ -74,11 +87,18 @@ class Block:
     text: str
     link_chars: int
     bad: bool
-    article: bool
+    article: int  # number of the innermost article that holds it, 0 for none
     heading: bool
+    tag: str = ""
     label: str = ""
 
 
+def _boilerplate(name: str) -> bool:
+    """A whole name of class or id: of such words only, so not content-with-sidebar."""
+    words = {w for w in re.split(r"[^a-z0-9]+", name) if w and not w.isdigit()}
+    return bool(words & _BAD_WORDS) and words <= _BAD_WORDS | _PLAIN_WORDS
+
+
 def _element(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
     """(is boilerplate, is the article) for an element by itself."""
     bad = tag in _BAD_TAGS or (tag == "header" and not inside_article)
@@ -89,8 +109,8 @@ def _element(tag: str, attributes: str, inside_article: bool) -> tuple[bool, boo
         value = (x or y or z).lower()
         name = name.lower()
         if name in ("class", "id"):
-            words = set(re.split(r"[^a-z0-9]+", value))
-            bad |= bool(words & _BAD_WORDS) or ("header" in words and not inside_article)
+            names = value.split()
+            bad |= any(map(_boilerplate, names)) or (not inside_article and not _HEADERS.isdisjoint(names))
         elif name == "role":
             bad |= value in _BAD_ROLES
             article |= value in ("main", "article")
@@ -98,7 +118,7 @@ def _element(tag: str, attributes: str, inside_article: bool) -> tuple[bool, boo
             article |= value == "articlebody"
         elif name == "style":
             bad |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
-        elif name == "hidden" or value == "true":
+        elif name == "hidden" or name == "aria-hidden" and value == "true":
             bad = True
     return bad and tag not in ("body", "html"), article
 
@@ -106,9 +126,9 @@ def _element(tag: str, attributes: str, inside_article: bool) -> tuple[bool, boo
 def blocks(page: str) -> list[Block]:
     """The blocks of a page that have text, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, int]] = []
     pieces: list[str] = []
-    links, depth, at = 0, 0, 0
+    links, depth, at, articles, anchor = 0, 0, 0, 0, 0
 
     def flush():
         nonlocal links
@@ -116,9 +136,9 @@ def blocks(page: str) -> list[Block]:
             raw = "".join(pieces)
             text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
             if text:
-                top = stack[-1] if stack else ("", False, False)
+                top = stack[-1] if stack else ("", False, 0)
                 heading = any(t[0][0] == "h" and t[0][1:].isdigit() for t in stack[-2:])
-                out.append(Block(text, links, top[1], top[2], heading))
+                out.append(Block(text, links, top[1], top[2], heading, top[0]))
             pieces.clear()
         links = 0
 
@@ -135,25 +155,29 @@ def blocks(page: str) -> list[Block]:
         tag = tag.lower()
         closing = m[2] == "/"
         if tag == "a":
-            depth = max(0, depth + (-1 if closing else 1))
+            depth, anchor = int(not closing and "href" in m[4].lower()), len(stack)
         elif tag == "br":
             pieces.append(" ")
         elif tag in _BLOCKS:
             flush()
-            depth = 0
             if closing:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
                         del stack[i:]
                         break
+                if len(stack) < anchor:  # a link ends with the block that it began in
+                    depth = 0
             elif tag not in _VOID and not m[4].rstrip().endswith("/"):
                 if stack and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
                     stack.pop()
+                if len(stack) < anchor:
+                    depth = 0
                 if tag == "body":
                     stack = [s for s in stack if s[0] == "html"]
-                up = stack[-1] if stack else ("", False, False)
-                bad, article = _element(tag, m[4], up[2])
-                stack.append((tag, up[1] or bad, (up[2] or article) and not (up[1] or bad)))
+                up = stack[-1] if stack else ("", False, 0)
+                bad, article = _element(tag, m[4], bool(up[2]))
+                articles += article
+                stack.append((tag, up[1] or bad, 0 if up[1] or bad else articles if article else up[2]))
     pieces.append(page[at:])
     if depth:
         links += len(page[at:].strip())
@@ -206,24 +230,72 @@ def _second_pass(items: list[Block]) -> None:
         items[i].label = label
 
 
+def _weighted(items: list[Block]) -> None:
+    """Labels of the first pass, weighted by the articles that hold the blocks."""
+    prose: dict[int, int] = {}
+    cards = set()
+    for b in items:
+        if not b.label:
+            b.label = _first_pass(b)
+            prose.setdefault(b.article, 0)
+            if b.label != "bad":
+                prose[b.article] += len(b.text) * (len(b.text) >= SHORT)
+        if b.link_chars > LINK_MAX * len(b.text):
+            cards.add(b.article)
+    most = max(prose.values(), default=0)
+    trusted = {k for k, v in prose.items() if v * SHARE >= most}
+    for b in items:
+        n, k = len(b.text), b.article
+        if b.bad:
+            continue
+        if k in trusted and k:
+            if b.label == "bad" and (b.link_chars <= LINK_MAX * n and ("©" not in b.text or n > LONG)):
+                b.label = "short"
+            if most and (b.label == "near" or b.label == "short" and (n > LABEL or b.tag in _LISTED or _SENTENCE.search(b.text))):
+                b.label = "good"
+        elif k:
+            if k in cards and b.label != "good":
+                b.label = "bad"
+        elif 0 not in trusted or not most and len(trusted) > 1:
+            b.label = "short" if b.label == "good" or b.label == "near" and n > LONG else "bad"
+    if most:
+        _edges(items, trusted - {0})
+
+
+def _edges(items: list[Block], trusted: set[int]) -> None:
+    """Runs of labels in an article that touch its edge or a bad block are bad. What
+    structure took out of an article is no edge."""
+    for k in trusted:
+        own = [b for b in items if b.article == k and not b.bad]
+        right = "bad"
+        for b in reversed(own):  # a heading follows what comes after it
+            if b.label in ("good", "bad"):
+                right = b.label
+            elif b.heading:
+                b.label = right
+        i = 0
+        while i < len(own):
+            j = i
+            while j < len(own) and own[j].label not in ("good", "bad"):
+                j += 1
+            inside = 0 < i and j < len(own) and own[i - 1].label == own[j].label == "good"
+            for b in own[i:j]:
+                b.label = "good" if inside else "bad"
+            i = max(j, i + 1)
+
+
 def classify(items: list[Block]) -> list[Block]:
     """The blocks with label good or bad."""
-    marked = any(b.article for b in items)
     for b in items:
-        if b.bad:
-            b.label = "bad"
-        elif marked:
-            b.label = "good" if b.article else "bad"
-        else:
-            b.label = _first_pass(b)
-    if not marked:
-        _second_pass(items)
-        if not any(b.label == "good" for b in items):  # nothing certain: near blocks by themselves, else short ones
-            first = [None if b.bad else _first_pass(b) for b in items]
-            least = "near" if "near" in first else "short"
-            for b, label in zip(items, first, strict=True):
-                if label == least:
-                    b.label = "good"
+        b.label = "bad" if b.bad else ""
+    _weighted(items)
+    first = [None if b.bad else b.label for b in items]
+    _second_pass(items)
+    if not any(b.label == "good" for b in items):  # nothing certain: near blocks by themselves, else short ones
+        least = "near" if "near" in first else "short"
+        for b, label in zip(items, first, strict=True):
+            if label == least:
+                b.label = "good"
     return items
 
 

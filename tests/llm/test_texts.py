@@ -85,6 +85,31 @@ def test_block_rules_without_structure():
     assert html_text.main_text(page) == f"Title here {clean} Short one. {clean}"
 
 
+PROSE = "This is the text of a story that was told to us by the people who have lived in the old town for many years. " * 3
+
+
+def test_density_decides_on_pages_with_articles():
+    clean = PROSE.strip()
+    card = "<article><h3><a href=1>Other story</a></h3><p>A teaser about what the mayor said in the town.</p></article>"
+    wrapped = "<article><a href=1><h3>Other story</h3><p>A teaser about what the mayor said in the town.</p></a></article>"
+    for c in (card, wrapped):
+        assert html_text.main_text(f"<body><div>{PROSE}</div><div>{PROSE}</div>{c * 3}</body>") == f"{clean} {clean}"
+        assert html_text.main_text(f"<main><h1>Title</h1><div>{PROSE}</div>{c}</main>") == f"Title {clean}"
+    lead = "The people of the old town have told us what they have seen in it for many years."
+    assert html_text.main_text(f"<article><p>{lead}</p></article><div>{PROSE}</div><div>{PROSE}</div><div>{PROSE}</div>") == f"{lead} {clean} {clean} {clean}"
+    junk = "<p>Share this</p><p>Print</p><ul><li><a href=1>Another story of the town</a></li><li><a href=2>And one more</a></li></ul><p>© 2020 Paper</p>"
+    assert html_text.main_text(f"<article><h1>Title</h1><p>By A. Writer</p><p>{PROSE}</p><p>Short one.</p><ul><li>Milk</li><li>Eggs</li></ul><p>See <a href=3>this</a> for more of it.</p>{junk}</article><p>tail</p>") == f"Title By A. Writer {clean} Short one. Milk Eggs See this for more of it."
+    assert html_text.main_text(f"<article><p>{PROSE}</p><aside>Buy</aside><p>The end.</p></article>") == f"{clean} The end."
+
+
+def test_names_are_matched_whole():
+    clean = PROSE.strip()
+    for wrapper in ('div class="content-sidebar-wrap"', 'div class="layout has-sidebar"', 'div data-id="comments"', 'div title="hidden gem"', 'a name="x"', "title-bar", "map-view", "video-player", "nav-page"):
+        assert html_text.main_text(f"<{wrapper}><div>{PROSE}</div></{wrapper.split()[0]}>") == clean, wrapper
+    for name in ("sidebar", "cookie-notice", "site-footer", "post-comments"):
+        assert html_text.main_text(f'<div>{PROSE}</div><div class="x {name}">{PROSE}</div>') == clean
+
+
 def test_generated_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
     got = {r["page_id"]: r["text"] for r in html_text.op4_html_text(spark, SF).collect()}
