@@ -1,10 +1,11 @@
 """Secret scanning through encoded layers.
 
 A text is the first layer of a worklist. Each layer is scanned with the three
-kinds of pattern; then every stretch of it that decodes - percent (URL) escapes,
-Unicode escapes and character references, base64, and compressed data inside
-base64 or percent escapes - becomes a further layer, until no new layer
-appears. A layer whose content was seen on the way to it, or at the same place, is
+kinds of pattern; then every line of it that holds percent (URL) escapes, Unicode
+escapes or character references, decoded in place with the text around them, and
+every stretch that decodes from base64 becomes a further layer, and so does compressed
+data inside base64 or percent escapes, until no new layer appears. No pattern spans
+lines. A layer whose content was seen on the way to it, or at the same place, is
 not entered again, so cycles end. Each decoded character remembers the stretch of the
 original text that it came from, so a finding in any layer maps to a span there.
 
@@ -44,9 +45,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
-# A stretch runs to the next delimiter on either side; it is a layer if it holds an escape.
-URL_RUN, URL_ONE = re.compile(r"[^\s<>\"]+"), re.compile(r"%[0-9A-Fa-f]{2}")
-RUN = re.compile(r"\S+")
+LINE = re.compile(r"[^\n]+")
+URL_RUN, URL_ONE, URL_MANY = re.compile(r"[^\s<>\"]+"), re.compile(r"%[0-9A-Fa-f]{2}"), re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ONE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}")
 REFERENCE_ONE = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]{2,31});")
 BASE64_MIN = 22
@@ -107,40 +107,69 @@ def _chars(data: bytes, starts: list[int], ends: list[int]):
     return text, s, e
 
 
+def _read(data: bytes) -> tuple[str, np.ndarray, np.ndarray]:
+    """(text, where each character starts and ends) of bytes; those that are not
+    UTF-8 are Latin-1."""
+    text = data.decode("utf-8", "surrogateescape")
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    odd = (points >= 0xDC80) & (points <= 0xDCFF)
+    width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+    if odd.any():
+        width[odd] = 1
+        text = np.where(odd, points - 0xDC00, points).astype(np.uint32).tobytes().decode("utf-32-le")
+    ends = np.cumsum(width)
+    return text, ends - width, ends
+
+
+def _placed(part: str, new: list[tuple[int, int, str]]) -> tuple[str, np.ndarray, np.ndarray]:
+    """part with stretches (start, end, text) replaced, and the span in part of each
+    character."""
+    out, low, high, count, same, at = [], [], [], [], [], 0
+    for a, z, got in [*new, (len(part), len(part), "")]:
+        out += [part[at:a], got]
+        low += [at, a]
+        high += [a, z]
+        count += [a - at, len(got)]
+        same += [1, 0]
+        at = z
+    kind = np.int32 if len(part) < 1 << 28 else np.int64
+    n, same = np.array(count), np.repeat(np.array(same, kind), count)
+    s = np.arange(n.sum(), dtype=kind)
+    s -= np.repeat((np.cumsum(n) - n).astype(kind), n)
+    s *= same
+    s += np.repeat(np.array(low, kind), n)
+    return "".join(out), s, np.where(same == 1, s + 1, np.repeat(np.array(high, kind), n))
+
+
 def _percent(part: str):
-    data, s, e, i = bytearray(), [], [], 0
-    while i < len(part):
-        if part[i] == "%" and re.match(r"%[0-9A-Fa-f]{2}", part[i : i + 3]):
-            piece, step = bytes([int(part[i + 1 : i + 3], 16)]), 3
-        else:
-            piece, step = part[i].encode(), 1
-        data += piece
-        s += [i] * len(piece)
-        e += [i + step] * len(piece)
-        i += step
-    return bytes(data), s, e
+    new = []
+    for m in URL_MANY.finditer(part):
+        text, s, e = _read(bytes.fromhex(m[0].replace("%", "")))
+        new += zip((m.start() + 3 * s).tolist(), (m.start() + 3 * e).tolist(), text, strict=True)
+    return _placed(part, new)
+
+
+def _percent_bytes(part: str) -> bytes:
+    out, at = bytearray(), 0
+    for m in URL_MANY.finditer(part):
+        out += part[at : m.start()].encode() + bytes.fromhex(m[0].replace("%", ""))
+        at = m.end()
+    return bytes(out + part[at:].encode())
 
 
 def _escapes(part: str, one: re.Pattern):
-    text, s, e, at = [], [], [], 0
-    for m in [*one.finditer(part), None]:
-        for i in range(at, m.start() if m else len(part)):
-            text.append(part[i])
-            s.append(i)
-            e.append(i + 1)
-        if m is None:
-            break
+    new = []
+    for m in one.finditer(part):
         raw = m[0]
         if raw[0] == "&":
             got = html.unescape(raw)
         else:
             code = int(raw[2:].strip("{}"), 16)
             got = chr(code) if code <= 0x10FFFF else raw
-        for ch in got:
-            text.append(ch)
-            s.append(m.start())
-            e.append(m.end())
-        at = m.end()
+        new.append((m.start(), m.end(), got))
+    text, s, e = _placed(part, new)
+    if not re.search("[\ud800-\udfff]", text):
+        return text, s, e
     out, k = [], 0
     while k < len(text):  # surrogate halves written as two escapes
         if "\ud800" <= text[k] <= "\udbff" and k + 1 < len(text) and "\udc00" <= text[k + 1] <= "\udfff":
@@ -149,7 +178,7 @@ def _escapes(part: str, one: re.Pattern):
         else:
             out.append((text[k] if not "\ud800" <= text[k] <= "\udfff" else "�", s[k], e[k]))
             k += 1
-    return "".join(x[0] for x in out), [x[1] for x in out], [x[2] for x in out]
+    return "".join(x[0] for x in out), np.array([x[1] for x in out]), np.array([x[2] for x in out])
 
 
 def _base64(part: str):
@@ -172,7 +201,7 @@ def _base64_layers(at: int, part: str):
         n = len(part.rstrip("="))
         got = _chars(data, [i * 8 // 6 for i in range(len(data))], [min(n, (i * 8 + 7) // 6 + 1) for i in range(len(data))])
         if got:
-            yield at, at + len(part), *got
+            yield at, at + len(part), got[0], np.array(got[1]), np.array(got[2])
             return
     if re.search(r"[/_-]", part):
         for m in re.finditer(r"[A-Za-z0-9+]{%d,}={0,2}" % BASE64_MIN, part):
@@ -192,14 +221,12 @@ def layers(text: str):
     """(start, end, decoded text, starts, ends) of each decodable stretch; starts
     and ends are relative to start, or None where only the stretch is known."""
     for m in _runs_with(URL_ONE, URL_RUN, text):
-        data, s, e = _percent(m[0])
-        plain = _whole(data)
-        if plain is not None:
+        if (plain := _whole(_percent_bytes(m[0]))) is not None:
             yield m.start(), m.end(), plain, None, None
-        elif (got := _chars(data, s, e)) is not None:
-            yield m.start(), m.end(), *got
+    for m in _runs_with(URL_ONE, LINE, text):
+        yield m.start(), m.end(), *_percent(m[0])
     for one in (UNICODE_ONE, REFERENCE_ONE):
-        for m in _runs_with(one, RUN, text):
+        for m in _runs_with(one, LINE, text):
             yield m.start(), m.end(), *_escapes(m[0], one)
     for m in BASE64.finditer(text):
         yield from _base64_layers(m.start(), m[0])
@@ -217,7 +244,7 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
         layer, starts, ends, low, high, seen = work.pop()
         if seen and layer is not text:
             for kind, a, z in matches(layer):
-                span = (kind, starts[a], ends[z - 1]) if starts else (kind, low, high)
+                span = (kind, int(starts[a]), int(ends[z - 1])) if starts is not None else (kind, low, high)
                 if span not in known:
                     added.add(span)
         for a, z, plain, s, e in layers(layer):
@@ -225,12 +252,12 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
                 continue
             if layer is text:
                 origin, end = a, z
-                up = ([a + i for i in s], [a + i for i in e]) if s is not None else (None, None)
+                up = (a + s, a + e) if s is not None else (None, None)
             elif starts is None:
                 origin, end, up = low, high, (None, None)
             else:
-                origin, end = starts[a], ends[z - 1]
-                up = ([starts[a + i] for i in s], [ends[a + i - 1] for i in e]) if s is not None else (None, None)
+                origin, end = int(starts[a]), int(ends[z - 1])
+                up = (starts[a + s], ends[a + e - 1]) if s is not None else (None, None)
             if (origin, end, plain) in entered:
                 continue
             entered.add((origin, end, plain))

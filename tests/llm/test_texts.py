@@ -137,6 +137,19 @@ def test_layers_are_decoded_and_mapped(hidden):
     assert 8 <= a and z <= 9 + len(hidden) and z - a >= len(hidden) - 6
 
 
+@pytest.mark.parametrize(
+    "hidden",
+    ["&quot;password&quot;: &quot;abcdefghijklmnop&quot;", "\\u0022token\\u0022: \\u0022abcdefghijklmnop\\u0022", "token: abcdef%2Bghijklmnop", "pass&#119;ord = abcdefghijkl", 'password%3D"abcdefghijklmnop"', "p%61ss&#119;ord\\u003a abcdefghijkl"],
+)
+def test_partly_encoded_secrets(spark, hidden):
+    text = f"é a %41 line\n{hidden} 漢 after"
+    kind, a, z = next(x for x in secret_scan.scan(text)[1] if x[0] == "assign")
+    value = re.search(r"abc\S*[lp]", hidden)
+    assert 12 <= a < 12 + value.start() and z == 13 + value.end()
+    got = secret_scan.redacted(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
+    assert "abcdef" not in got and got.startswith("é a %41 line\n") and " 漢 after" in got
+
+
 def base_spans(t):
     out = [("assign", m.start(), m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 12]
     out += [("access", m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if m.end() - m.start() >= 18]
