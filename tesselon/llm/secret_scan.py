@@ -14,9 +14,13 @@ Kinds, leftmost and non-overlapping in each layer: assign (a secret's name, ``:`
 more). Spans are of the whole match, in code points, the end exclusive.
 
 Whether a text may hold anything at all is decided for a whole batch on its bytes;
-only such texts reach the patterns. Texts are read whole and no layer is cut;
-MAX_UNPACKED bounds what one compressed stretch may unfold to, against archive
-bombs: beyond it the stretch stays undecoded.
+only such texts reach the patterns. Texts are read whole and no layer is dropped:
+bytes that are not UTF-8 are read as Latin-1, each by itself. Compressed data unfolds
+as a stream through all its members and as far as it is intact, wherever its header
+stands. Each PIECE bytes of it are a layer, which begins OVERLAP bytes or more before
+the end of the one before: at a space, or else in step with the run of base64 there.
+Only compressed data inside a run of base64 that is itself longer than that isn't
+unfolded beyond its first piece.
 
 Defined results: a null text is empty and has no spans; equal spans of one kind
 found in several layers count once among the added ones; repeated rows repeat;
@@ -51,7 +55,8 @@ UNICODE_ONE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa
 REFERENCE_ONE = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]{2,31});")
 BASE64_MIN = 22
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % BASE64_MIN)
-MAX_UNPACKED = 64 << 20
+PIECE, OVERLAP = 16 << 20, 1 << 20
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 
 
 def matches(text: str) -> list[tuple[str, int, int]]:
@@ -63,48 +68,67 @@ def matches(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _unpacked(data: bytes) -> bytes | None:
-    """What gzip, zlib or raw bytes with their magic unfold to."""
-    if data[:2] == b"\x1f\x8b":
-        d = zlib.decompressobj(31)
-    elif len(data) > 2 and data[0] & 0x0F == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-        d = zlib.decompressobj(15)
-    else:
-        return None
+def _stream(data: memoryview, bits: int, at: list[int]):
+    """What one compressed member unfolds to, in chunks as far as it is intact; at[0]
+    becomes the place after it, if it ends."""
+    d, i = zlib.decompressobj(bits), 0
     try:
-        out = d.decompress(data, MAX_UNPACKED + 1)
+        while not d.eof and (i < len(data) or d.unconsumed_tail):
+            if d.unconsumed_tail:
+                got = d.decompress(d.unconsumed_tail, 1 << 20)
+            else:
+                got = d.decompress(data[i : i + 4096], 1 << 20)
+                i += 4096
+            if got:
+                yield got
+        while not d.eof:  # nothing more to feed, but output may be held back
+            got = d.decompress(b"", 1 << 20)
+            if not got:
+                break
+            yield got
     except zlib.error:
-        return None
-    return out if len(out) <= MAX_UNPACKED and d.eof else None
-
-
-def _readable(data: bytes) -> str | None:
+        return
+    if d.eof:
+        at[0] = min(i, len(data)) - len(d.unused_data)
+
+
+def _unpacked(data: bytes):
+    """Texts that the compressed members in some bytes unfold to."""
+    view, start = memoryview(data), 0
+    while start < len(data):
+        if start == 0 and len(data) > 2 and data[0] & 0x0F == 8 and (data[0] << 8 | data[1]) % 31 == 0:
+            low = 0
+        elif m := PACKED.search(data, start):
+            low = m.start()
+        else:
+            return
+        held = bytearray()
+        while True:  # members that follow each other are one stream
+            at = [0]
+            for got in _stream(view[low:], 31 if data[low] == 0x1F else 15, at):
+                held += got
+                if len(held) >= PIECE:
+                    yield _text(bytes(held))
+                    cut = len(held) - OVERLAP
+                    space = max(held.rfind(c, 1, cut) for c in (b" ", b"\n", b"\t", b"\r"))
+                    if space <= len(held) // 2:
+                        other = np.flatnonzero(~_SIXTY[np.frombuffer(bytes(held[:cut]), np.uint8)])
+                        space = cut - (cut - (int(other[-1]) + 1 if len(other) else 0)) % 4
+                    del held[:space]
+            low += at[0] or 1
+            if not at[0] or not PACKED.match(data, low):
+                break
+        start = low
+        if held:
+            yield _text(bytes(held))
+
+
+def _text(data: bytes) -> str:
+    """As _read, without the places."""
     try:
-        text = data.decode("utf-8")
+        return data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    odd = sum(1 for c in text if c < " " and c not in "\t\n\r\x0b\x0c")
-    return text if text and odd * 20 <= len(text) else None
-
-
-def _whole(data: bytes):
-    """(text, None) of compressed bytes; the map is the caller's stretch."""
-    plain = _unpacked(data)
-    return _readable(plain) if plain is not None else None
-
-
-def _chars(data: bytes, starts: list[int], ends: list[int]):
-    """Text and character spans of bytes with their own spans, or None."""
-    text = _readable(data)
-    if text is None:
-        return None
-    s, e, at = [], [], 0
-    for ch in text:
-        k = len(ch.encode())
-        s.append(starts[at])
-        e.append(ends[at + k - 1])
-        at += k
-    return text, s, e
+        return re.sub("[\udc80-\udcff]", lambda m: chr(ord(m[0]) - 0xDC00), data.decode("utf-8", "surrogateescape"))
 
 
 def _read(data: bytes) -> tuple[str, np.ndarray, np.ndarray]:
@@ -194,14 +218,12 @@ def _base64(part: str):
 def _base64_layers(at: int, part: str):
     data = _base64(part)
     if data is not None:
-        plain = _whole(data)
-        if plain is not None:
+        for plain in _unpacked(data):
             yield at, at + len(part), plain, None, None
-            return
         n = len(part.rstrip("="))
-        got = _chars(data, [i * 8 // 6 for i in range(len(data))], [min(n, (i * 8 + 7) // 6 + 1) for i in range(len(data))])
-        if got:
-            yield at, at + len(part), got[0], np.array(got[1]), np.array(got[2])
+        text, s, e = _read(data)
+        yield at, at + len(part), text, s * 8 // 6, np.minimum(n, (e * 8 - 1) // 6 + 1)
+        if len(text.encode()) == len(data) and text.isprintable():
             return
     if re.search(r"[/_-]", part):
         for m in re.finditer(r"[A-Za-z0-9+]{%d,}={0,2}" % BASE64_MIN, part):
@@ -221,7 +243,7 @@ def layers(text: str):
     """(start, end, decoded text, starts, ends) of each decodable stretch; starts
     and ends are relative to start, or None where only the stretch is known."""
     for m in _runs_with(URL_ONE, URL_RUN, text):
-        if (plain := _whole(_percent_bytes(m[0]))) is not None:
+        for plain in _unpacked(_percent_bytes(m[0])):
             yield m.start(), m.end(), plain, None, None
     for m in _runs_with(URL_ONE, LINE, text):
         yield m.start(), m.end(), *_percent(m[0])

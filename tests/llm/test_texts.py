@@ -150,6 +150,26 @@ def test_partly_encoded_secrets(spark, hidden):
     assert "abcdef" not in got and got.startswith("é a %41 line\n") and " 漢 after" in got
 
 
+def packed(*members, junk=b""):
+    return base64.b64encode(junk + b"".join(map(gzip.compress, members))).decode()
+
+
+@pytest.mark.parametrize(
+    "hidden",
+    ["http://h/?q=caf%E9&api_key%3Dabcdefghijklmnop", base64.b64encode(b"\xff\x00\x01\x02 " + SECRET.encode()).decode(), base64.b64encode(zlib.compress(b"\xfe\x01\x02" + SECRET.encode())).decode(), packed(b"first member", SECRET.encode()), packed(SECRET.encode(), junk=b"\xff"), packed(b"a " * 40_000_000 + SECRET.encode())],
+    ids=["latin", "binary", "zlib", "members", "beside", "large"],
+)
+def test_unclean_layers_are_scanned(hidden):
+    assert any(x[0] == "assign" and 2 <= x[1] < x[2] <= 2 + len(hidden) for x in secret_scan.scan(f"x {hidden} y")[1])
+
+
+def test_compressed_pieces_overlap(monkeypatch):
+    monkeypatch.setattr(secret_scan, "PIECE", 1 << 20)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 1 << 10)
+    for n in range((1 << 20) - 40, (1 << 20) + 40, 7):
+        assert secret_scan.scan(packed(b"-" * n + b" " + SECRET.encode() + b"." * (1 << 21)))[1], n
+
+
 def base_spans(t):
     out = [("assign", m.start(), m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 12]
     out += [("access", m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if m.end() - m.start() >= 18]
