@@ -9,7 +9,10 @@ text's score is the calibrated largest logit over all its windows.
 
 Training is numpy on the driver, on a bounded sample of the labelled training rows:
 at most SAMPLE texts of each label, SAMPLE_CHARS characters in all, chosen by a hash
-of the id. Only texts carry labels, so training windows are chosen by log odds of
+of the id. Each label has half of the characters and what the other leaves; a text that
+does not fit into the rest is passed over, later ones are not. Of a text longer than
+1 / SHARES of all characters, STRETCHES stretches of whole words spread evenly over it
+count and are learned from, that long in all. Only texts carry labels, so training windows are chosen by log odds of
 words and n-grams in the sample: from toxic texts the strongest windows, from others
 the strongest and random ones. The log odds also start the first components of the
 embeddings; all parameters are then trained by Adam. A logistic fit of the largest
@@ -38,6 +41,7 @@ from tesselon.llm import text as T
 from tesselon.llm.common import bounded, crc_mod, table
 
 SAMPLE, SAMPLE_CHARS = 3000, 8_000_000
+SHARES, STRETCHES = 64, 16
 WINDOW, STRIDE = 32, 16
 DIM, HIDDEN = 8, 8
 ROWS = 1 << 15
@@ -384,6 +388,20 @@ class Scorer:
         return np.maximum.reduceat(out, np.searchsorted(owner, np.arange(n))) if n else out
 
 
+def fitting(sizes: pd.DataFrame, chars: int) -> list[int]:
+    """The ids of sizes (doc_id, toxic, n), in order, that so many characters hold."""
+    fit: list[int] = []
+    labels = sizes.groupby("toxic")["n"].sum().sort_values(kind="stable")  # what the smaller leaves, the other has
+    for k, label in enumerate(labels.index):
+        left = chars // (len(labels) - k)
+        for i, n in sizes.loc[sizes["toxic"] == label, ["doc_id", "n"]].itertuples(index=False):
+            if n <= left:
+                fit.append(i)
+                left -= n
+                chars -= n
+    return fit
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Network:
     """A network from docs (doc_id, text) and labels (doc_id, toxic)."""
     rows = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -395,10 +413,16 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
         net.prior = 0.0
         return net
     ids = docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int")
-    texts = docs.where(F.length("text") > 0).join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text", F.length("text").alias("n"))
-    sizes = texts.select("doc_id", "n").toPandas().sort_values("doc_id", key=lambda s: s.map(lambda x: zlib.crc32(str(x).encode())), kind="stable")
-    fit = sizes[sizes["n"].cumsum() <= chars]["doc_id"].tolist()  # whole texts up to the bound
-    got = texts.join(F.broadcast(docs.sparkSession.createDataFrame([(int(x),) for x in fit] or [(-1,)], "doc_id long")), "doc_id", "left_semi").select("doc_id", "toxic", "text").toPandas()
+    most = max(1, chars // SHARES // STRETCHES)
+    long = F.length("text") > most * STRETCHES
+    start = lambda i: (i * (F.length("text") - most) / (STRETCHES - 1)).cast("int") + 1
+    stretch = lambda i: F.regexp_replace(F.substring(F.col("text"), start(i), F.lit(most)), r"^\S+\s|\s\S+$", " ")
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), stretch), " ")
+    texts = docs.where(F.length("text") > 0).join(F.broadcast(ids), "doc_id")
+    size = F.sum(F.least(F.length("text"), F.lit(most * STRETCHES)).cast("long"))
+    sizes = texts.groupBy("doc_id", "toxic").agg(size.alias("n")).toPandas().sort_values("doc_id", key=lambda s: s.map(lambda x: zlib.crc32(str(x).encode())), kind="stable")
+    fit = fitting(sizes, chars)
+    got = texts.join(F.broadcast(docs.sparkSession.createDataFrame([(int(x),) for x in fit] or [(-1,)], "doc_id long")), "doc_id", "left_semi").select("doc_id", "toxic", F.when(long, spread).otherwise(F.col("text")).alias("text")).toPandas()
     got = got.sort_values(["doc_id", "text"])
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     return train(got["text"].tolist(), got["toxic"].to_numpy(), prior=n.get(1, 0) / sum(n.values()))

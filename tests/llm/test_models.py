@@ -141,6 +141,28 @@ def test_toxicity_is_learned_from_words_and_spelling(spark):
     assert {x["score"] for x in toxicity.score(d, none, ["doc_id"]).collect()} == {0.0}
 
 
+def test_one_long_text_does_not_end_the_toxicity_sample(spark, monkeypatch):
+    first = min(range(3000), key=lambda i: zlib.crc32(str(i).encode()))
+    plain = lambda i: f"the words of text {i} are calm and mild "
+    rows = [(i, plain(i) + ("zorgban" if i % 2 else "calm")) for i in range(200) if i != first] + [(first, "long calm words " * 600_000)]
+    assert len(rows[-1][1]) > toxicity.SAMPLE_CHARS
+    seen = {}
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, prior: seen.update(texts=texts, y=list(y)))
+    toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"))
+    assert len(seen["y"]) == len(rows) and sum(map(len, seen["texts"])) <= toxicity.SAMPLE_CHARS
+    part = next(t for t in seen["texts"] if t.startswith("long") or "zorgban" not in t and "mild" not in t)
+    assert set(part.split()) == {"long", "calm", "words"} and 100_000 < len(part) <= toxicity.SAMPLE_CHARS // toxicity.SHARES
+
+
+def test_toxicity_sample_is_filled_by_label():
+    import pandas as pd
+
+    sizes = pd.DataFrame([(1, 0, 60), (2, 0, 10), (3, 1, 70), (4, 0, 50), (5, 1, 20), (6, 0, 5)], columns=["doc_id", "toxic", "n"])
+    assert set(toxicity.fitting(sizes, 100)) == {5, 1, 2, 6}
+    assert set(toxicity.fitting(sizes, 1000)) == {1, 2, 3, 4, 5, 6}
+    assert toxicity.fitting(sizes.iloc[:0], 100) == []
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return pieces.Vocabulary.load()
