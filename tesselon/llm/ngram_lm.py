@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model over a whole corpus.
+"""Interpolated modified Kneser-Ney model of order 2 or 3 over a whole corpus.
 
 Tokens are 48-bit hashes of lowered words; each text starts at a start mark and ends
 with an end token. Counting runs in Spark in three shuffle-bounded steps:
@@ -13,9 +13,14 @@ with an end token. Counting runs in Spark in three shuffle-bounded steps:
    second word, counts and numbers of distinct predecessors, which the next step
    sums and stores as sorted arrays.
 
+At order 3 a step comes before: trigrams are counted and sent as bigrams are, by the
+48-bit hash of their first two words, whose heavy ones are spread likewise; a shard
+stores their arrays and sends each bigram's number of distinct predecessors on to step
+3, where it is the bigram's count (after the start mark, the plain count is).
+
 There are about as many shards as input splits, so what one task holds doesn't grow
-with the corpus, and the model does: every distinct bigram of the training texts is
-in it. The arrays lie in the shared folder; scoring workers map them into memory and
+with the corpus, and the model does: every distinct bigram (and trigram) of the training
+texts is in it. The arrays lie in the shared folder; scoring workers map them into memory and
 search them for a batch of texts at a time, in sorted order. Where the shared folder
 is a store that can't be mapped, a worker copies the arrays it uses to an unnamed
 temporary file first.
@@ -45,6 +50,7 @@ from pyspark.sql import functions as F
 from tesselon.llm import text as T
 from tesselon.llm.common import bounded, crc_mod, local_path, new_folder, table
 
+ORDER = 3
 FLUSH = 4_000_000
 HEAVY = 512
 _DROP = np.uint64(16)
@@ -109,6 +115,19 @@ def _bigram_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return T.mix64(v * _MULT + w)
 
 
+def _line(w: np.ndarray, at: np.ndarray, marks: int) -> np.ndarray:
+    """Tokens with so many start marks before each text."""
+    n = len(at) - 1
+    line = np.full(len(w) + marks * n, _START, np.uint64)
+    line[np.arange(len(w)) + marks * (np.repeat(np.arange(n), np.diff(at)) + 1)] = w
+    return line
+
+
+def _context(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """A 48-bit number for two words."""
+    return _bigram_key(u, v) >> _DROP
+
+
 def _shard(x: np.ndarray, bits: int, width: int = 48) -> np.ndarray:
     return (x >> np.uint64(width - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
 
@@ -123,13 +142,16 @@ def _unpack6(b: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.uint64, copy=False)
 
 
-def heavy_words(docs: DataFrame) -> np.ndarray:
-    """Sorted tokens that are 1/HEAVY of the tokens of a task's batch somewhere, and
+def heavy_words(docs: DataFrame, order: int = 2) -> np.ndarray:
+    """Sorted tokens (at order 3, numbers of two words before a token) that are 1/HEAVY of the tokens of a task's batch somewhere, and
     of all tokens; at most HEAVY."""
 
     def run(batches):
         for b in T.parts(batches, "text", 1 << 23):
-            w, _ = _words(b.column("text"))
+            w, at = _words(b.column("text"))
+            if order == 3:
+                line = _line(w, at, 2)
+                w = _context(line[:-2], line[1:-1])[line[2:] != _START]
             codes, kinds = pd.factorize(w)
             count = np.bincount(codes, minlength=len(kinds))
             hot = count * HEAVY >= len(w)
@@ -142,6 +164,56 @@ def heavy_words(docs: DataFrame) -> np.ndarray:
     return heavy
 
 
+def _packed(shard, bits: int, first: list[np.ndarray], w: np.ndarray, counts: list[np.ndarray]):
+    """Rows (shard, first words, runs, second words, counts) for pairs sorted by first."""
+    order = np.argsort(shard.astype(np.uint32), kind="stable")
+    first, w, counts, shard = [x[order] for x in first], w[order], [x[order] for x in counts], shard[order]
+    edge = np.searchsorted(shard, np.arange((1 << bits) + 1))
+    for s in np.flatnonzero(np.diff(edge)):
+        a, z = edge[s], edge[s + 1]
+        part = first[0][a:z]
+        new = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        yield int(s), *(_pack6(x[a:z][new]) for x in first), np.diff(np.append(new, z - a)).astype("<u4").tobytes(), _pack6(w[a:z]), *(x[a:z].astype("<u4").tobytes() for x in counts)
+
+
+def _dealt(v: np.ndarray, w: np.ndarray, bits: int, heavy: np.ndarray) -> np.ndarray:
+    shard = _shard(v, bits)
+    if bits and len(heavy):
+        spread = np.isin(v, heavy)
+        shard[spread] = _shard(_bigram_key(v[spread], w[spread]), bits, 64)
+    return shard
+
+
+def count_trigrams(docs: DataFrame, bits: int, heavy: np.ndarray) -> DataFrame:
+    """As count_bigrams, by the numbers c of their first two words, with the second."""
+    names = ["shard", "c", "v", "run", "w", "n"]
+
+    def flush(held):
+        line = np.concatenate(held)
+        inside = line[2:] != _START
+        c, v, w = _context(line[:-2], line[1:-1])[inside], line[1:-1][inside], line[2:][inside]
+        order = np.lexsort((w, c))
+        c, v, w = c[order], v[order], w[order]
+        new = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])]))
+        n = np.diff(np.append(new, len(c)))
+        c, v, w = c[new], v[new], w[new]
+        rows = list(zip(*_packed(_dealt(c, w, bits, heavy), bits, [c, v], w, [n]), strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=names)
+
+    def run(batches):
+        held, size = [], 0
+        for b in T.parts(batches, "text"):
+            held.append(_line(*_words(b.column("text")), 2))
+            size += len(held[-1])
+            if size >= FLUSH // 2:
+                yield flush(held)
+                held, size = [], 0
+        if held:
+            yield flush(held)
+
+    return docs.select("text").mapInArrow(run, "shard int, c binary, v binary, run binary, w binary, n binary")
+
+
 def count_bigrams(docs: DataFrame, bits: int, heavy: np.ndarray) -> DataFrame:
     """Packed bigram counts by shard: runs of first words, second words, counts."""
 
@@ -204,19 +276,56 @@ def _count_of_counts(n: np.ndarray) -> list[int]:
     return [int(np.count_nonzero(n == k)) for k in range(1, 5)]
 
 
-def store_model(docs: DataFrame, folder: str) -> dict:
-    """Count docs (text) and store the model's arrays under folder. Returns its
+def store_model(docs: DataFrame, folder: str, order: int = 2) -> dict:
+    """Count docs (text) and store the arrays of a model of that order under folder. Returns its
     figures: bits, n (tokens), types, bigrams, counts of counts at both levels,
     numbers of words by predecessors, and the start mark's and heavy words' follower
     counts."""
+    if order not in (2, 3):
+        raise ValueError(f"order {order}: 2 or 3")
     bounded(docs)
+    size = order  # order is also the name of sorted places below
     bits = max(3, int(docs.rdd.getNumPartitions() - 1).bit_length())
     heavy = heavy_words(docs)
     shards = 1 << bits
     heavy_set = np.union1d(heavy, np.array([_START]))
+    heavy3 = heavy_words(docs, 3) if size == 3 else heavy[:0]
+
+    def sum_trigrams(g: pd.DataFrame) -> pd.DataFrame:
+        s = int(g["shard"].iloc[0])
+        runs = [np.frombuffer(r, "<u4") for r in g["run"]]
+        c, v = (np.concatenate([np.repeat(_unpack6(a), r) for a, r in zip(g[k], runs, strict=True)]) for k in ("c", "v"))
+        w = np.concatenate([_unpack6(x) for x in g["w"]])
+        n = np.concatenate([np.frombuffer(x, "<u4") for x in g["n"]]).astype(np.int64)
+        key = _bigram_key(c, w)
+        order = np.argsort(key)
+        new = order[np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))]
+        n = np.add.reduceat(n[order], np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0])))
+        key, c, v, w = key[new], c[new], v[new], w[new]
+        many = np.flatnonzero(n >= 255)
+        _save(folder, f"trigram-{s}", {"key": key, "n": np.minimum(n, 255).astype(np.uint8), "many": key[many], "many_n": n[many]})
+        cc, cs = pd.factorize(c)
+        by = np.stack([np.bincount(cc, weights=x, minlength=len(cs)) for x in (n, n == 1, n == 2, n >= 3)]).astype(np.int64)
+        hot = np.isin(cs, heavy3)
+        order = np.argsort(cs)
+        order = order[~hot[order]]
+        _save(folder, f"pair-{s}", {"v": cs[order], **{k: x[order].astype(np.uint32) for k, x in zip(("t", "n1", "n2", "n3"), by, strict=True)}})
+        figures = [len(key), *_count_of_counts(n)]
+        for i in np.flatnonzero(hot):
+            figures += [int(cs[i]), *(int(x) for x in by[:, i])]
+        order = np.lexsort((w, v))
+        v, w, n = v[order], w[order], n[order]
+        new = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
+        raw, cont = np.add.reduceat(n, new), np.diff(np.append(new, len(v)))
+        v, w = v[new], w[new]
+        rows = [(*x, None) for x in _packed(_dealt(v, w, bits, heavy), bits, [v], w, [cont, raw])]
+        rows.append((-1 - s - (1 << 20), b"", b"", b"", b"", b"", figures))
+        return pd.DataFrame(rows, columns=["shard", "v", "run", "w", "n", "raw", "figures"])
 
     def sum_bigrams(g: pd.DataFrame) -> pd.DataFrame:
         s = int(g["shard"].iloc[0])
+        if s < 0:
+            return g[["shard", "w", "run", "n", "figures"]].rename(columns={"run": "cont"})
         v = np.concatenate([np.repeat(_unpack6(a), np.frombuffer(r, "<u4")) for a, r in zip(g["v"], g["run"], strict=True)])
         w = np.concatenate([_unpack6(x) for x in g["w"]])
         n = np.concatenate([np.frombuffer(x, "<u4") for x in g["n"]]).astype(np.int64)
@@ -225,6 +334,10 @@ def store_model(docs: DataFrame, folder: str) -> dict:
         key, v, w, n = key[order], v[order], w[order], n[order]
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         key, v, w, n = key[new], v[new], w[new], np.add.reduceat(n, new)
+        raw = n
+        if size == 3:
+            raw = np.add.reduceat(np.concatenate([np.frombuffer(x, "<u4") for x in g["raw"]]).astype(np.int64)[order], new)
+            n = np.where(v == _START, raw, n)
         many = np.flatnonzero(n >= 255)
         _save(folder, f"bigram-{s}", {"key": key, "n": np.minimum(n, 255).astype(np.uint8), "many": key[many], "many_n": n[many]})
         cv, vs = pd.factorize(v)
@@ -233,9 +346,9 @@ def store_model(docs: DataFrame, folder: str) -> dict:
         hot = np.isin(vs, heavy_set)
         order = np.argsort(vs)
         order = order[~hot[order]]
-        _save(folder, f"context-{s}", {"v": vs[order], **{f"n{k + 1}": by[k][order].astype(np.uint32) for k in range(3)}})
+        _save(folder, f"context-{s}", {"v": vs[order], **({"t": total[order]} if size == 3 else {}), **{f"n{k + 1}": by[k][order].astype(np.uint32) for k in range(3)}})
         cw, ws = pd.factorize(w)
-        cont, count = np.bincount(cw, minlength=len(ws)), np.bincount(cw, weights=n, minlength=len(ws)).astype(np.int64)
+        cont, count = np.bincount(cw, minlength=len(ws)), np.bincount(cw, weights=raw, minlength=len(ws)).astype(np.int64)
         order = np.argsort(ws)
         ws, cont, count = ws[order], cont[order], count[order]
         edge = np.searchsorted(_shard(ws, bits), np.arange(shards + 1))
@@ -249,7 +362,7 @@ def store_model(docs: DataFrame, folder: str) -> dict:
     def sum_words(g: pd.DataFrame) -> pd.DataFrame:
         s = int(g["shard"].iloc[0])
         if s < 0:
-            return pd.DataFrame({"kind": ["bigrams"] * len(g), "figures": g["figures"]})
+            return pd.DataFrame({"kind": ["bigrams" if s >= -(1 << 20) else "trigrams"] * len(g), "figures": g["figures"]})
         w = np.concatenate([_unpack6(x) for x in g["w"]])
         cont = np.concatenate([np.frombuffer(x, "<u4") for x in g["cont"]]).astype(np.int64)
         n = np.concatenate([np.frombuffer(x, "<u8") for x in g["n"]]).astype(np.int64)
@@ -261,17 +374,29 @@ def store_model(docs: DataFrame, folder: str) -> dict:
         by = [int(np.count_nonzero(cont == k)) for k in (1, 2)] + [int(np.count_nonzero(cont >= 3))]
         return pd.DataFrame({"kind": ["words"], "figures": [[len(w), int(n.sum()), *_count_of_counts(cont), *by]]})
 
-    step = count_bigrams(docs, bits, heavy).repartition(shards, "shard").groupBy("shard").applyInPandas(sum_bigrams, "shard int, w binary, cont binary, n binary, figures array<long>")
+    step = count_bigrams(docs, bits, heavy) if size == 2 else count_trigrams(docs, bits, heavy3).repartition(shards, "shard").groupBy("shard").applyInPandas(sum_trigrams, "shard int, v binary, run binary, w binary, n binary, raw binary, figures array<long>")
+    step = step.repartition(shards, "shard").groupBy("shard").applyInPandas(sum_bigrams, "shard int, w binary, cont binary, n binary, figures array<long>")
     done = step.repartition(shards, "shard").groupBy("shard").applyInPandas(sum_words, "kind string, figures array<long>").collect()
     words = np.array([r["figures"] for r in done if r["kind"] == "words"], np.int64).reshape(-1, 9).sum(axis=0)
     pairs = [r["figures"] for r in done if r["kind"] == "bigrams"]
-    hot: dict[int, np.ndarray] = {}
-    for f in pairs:
-        for i in range(5, len(f), 5):
-            hot[f[i]] = hot.get(f[i], np.zeros(4, np.int64)) + np.array(f[i + 1 : i + 5])
-    bigrams = np.array([f[:5] for f in pairs], np.int64).reshape(-1, 5).sum(axis=0)
-    names = sorted(hot)
+
+    def summed(rows):
+        hot: dict[int, np.ndarray] = {}
+        for f in rows:
+            for i in range(5, len(f), 5):
+                hot[f[i]] = hot.get(f[i], np.zeros(4, np.int64)) + np.array(f[i + 1 : i + 5])
+        names = sorted(hot)
+        return np.array([f[:5] for f in rows], np.int64).reshape(-1, 5).sum(axis=0), np.array(names, np.uint64), np.array([hot[k] for k in names], np.int64).reshape(-1, 4)
+
+    bigrams, names, hot = summed(pairs)
+    trigrams, names3, hot3 = summed([r["figures"] for r in done if r["kind"] == "trigrams"])
     return {
+        "order": size,
+        "trigrams": int(trigrams[0]),
+        "trigram_counts": trigrams[1:].tolist(),
+        "heavy3": heavy3,
+        "hot3": names3,
+        "hot3_figures": hot3,
         "folder": folder,
         "bits": bits,
         "types": int(words[0]),
@@ -281,8 +406,8 @@ def store_model(docs: DataFrame, folder: str) -> dict:
         "bigrams": int(bigrams[0]),
         "bigram_counts": bigrams[1:].tolist(),
         "heavy": heavy,
-        "hot": np.array(names, np.uint64),
-        "hot_figures": np.array([hot[k] for k in names], np.int64).reshape(-1, 4),
+        "hot": names,
+        "hot_figures": hot,
     }
 
 
@@ -303,6 +428,7 @@ class Model:
         self.f = figures
         self.cache: dict = {}
         self.d1, self.d2 = discounts(figures["word_counts"]), discounts(figures["bigram_counts"])
+        self.d3 = discounts(figures["trigram_counts"])
         self.total = max(1, figures["bigrams"])
         self.uniform = float(self.d1[1:] @ np.array(figures["words_by"])) / self.total / (figures["types"] + 1) if figures["bigrams"] else 1.0
 
@@ -334,28 +460,35 @@ class Model:
     def contexts(self, v: np.ndarray):
         """(total, n1, n2, n3) of what follows each token."""
         rows = self._find("context", "v", v, _shard(v, self.f["bits"]), [("n1", np.uint32), ("n2", np.uint32), ("n3", np.uint32)])
-        total = self.words(v)[0]
-        out = np.stack([total, *rows])
-        hot = self.f["hot"]
+        if self.f["order"] == 3:
+            total = self._find("context", "v", v, _shard(v, self.f["bits"]), [("t", np.int64)])[0]
+        else:
+            total = self.words(v)[0]
+        return self._with_hot(v, np.stack([total, *rows]), "hot")
+
+    def pairs(self, c: np.ndarray):
+        """As contexts(), of what follows two words."""
+        rows = self._find("pair", "v", c, _shard(c, self.f["bits"]), [(k, np.uint32) for k in ("t", "n1", "n2", "n3")])
+        return self._with_hot(c, np.stack(rows), "hot3")
+
+    def _with_hot(self, v: np.ndarray, out: np.ndarray, name: str) -> np.ndarray:
+        hot = self.f[name]
         if len(hot):
             p = np.minimum(np.searchsorted(hot, v), len(hot) - 1)
             hit = hot[p] == v
-            out[:, hit] = self.f["hot_figures"][p[hit]].T
+            out[:, hit] = self.f[f"{name}_figures"][p[hit]].T
         return out
 
-    def bigrams(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    def grams(self, what: str, v: np.ndarray, w: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+        """Counts of bigrams, or of trigrams by the numbers of their first two words."""
         key = _bigram_key(v, w)
-        bits = self.f["bits"]
-        shard = _shard(v, bits)
-        if len(self.f["heavy"]) and bits:
-            spread = np.isin(v, self.f["heavy"])
-            shard[spread] = _shard(key[spread], bits, 64)
-        n = self._find("bigram", "key", key, shard, [("n", np.uint8)])[0]
+        shard = _dealt(v, w, self.f["bits"], heavy)
+        n = self._find(what, "key", key, shard, [("n", np.uint8)])[0]
         big = np.flatnonzero(n == 255)
         for s in np.unique(shard[big]):
             at = big[shard[big] == s]
-            many = self._get(f"bigram-{s}", "many", np.uint64)
-            n[at] = self._get(f"bigram-{s}", "many_n", np.int64)[np.searchsorted(many, key[at])]
+            many = self._get(f"{what}-{s}", "many", np.uint64)
+            n[at] = self._get(f"{what}-{s}", "many_n", np.int64)[np.searchsorted(many, key[at])]
         return n
 
     def score(self, w: np.ndarray, at: np.ndarray):
@@ -371,11 +504,21 @@ class Model:
         before[at[:-1]] = len(kinds)
         pair, back = np.unique(before * len(kinds) + codes, return_inverse=True)
         v, k = pair // len(kinds), pair % len(kinds)
-        seen = self.bigrams(np.append(kinds, _START)[v], kinds[k])
+        seen = self.grams("bigram", np.append(kinds, _START)[v], kinds[k], self.f["heavy"])
         all_ = np.maximum(total[v], 1)
         rest = np.where(total[v] > 0, (self.d2[1] * n1[v] + self.d2[2] * n2[v] + self.d2[3] * n3[v]) / all_, 1.0)
         p = np.maximum(seen - self.d2[np.minimum(seen, 3)], 0) / all_ + rest * low[k]
-        return (n > 0)[codes], base[codes], np.log10(p)[back]
+        p = p[back]
+        if self.f["order"] == 3:
+            line = _line(w, at, 2)
+            c = _context(line[:-2], line[1:-1])[line[2:] != _START]
+            seen = self.grams("trigram", c, w, self.f["heavy3"])
+            which, kinds = pd.factorize(c)
+            total, n1, n2, n3 = self.pairs(kinds)
+            all_ = np.maximum(total, 1)
+            rest = np.where(total > 0, (self.d3[1] * n1 + self.d3[2] * n2 + self.d3[3] * n3) / all_, 1.0)
+            p = np.maximum(seen - self.d3[np.minimum(seen, 3)], 0) / all_[which] + rest[which] * p
+        return (n > 0)[codes], base[codes], np.log10(p)
 
 
 def score_texts(docs: DataFrame, figures: dict, keep: list[str]) -> DataFrame:
@@ -398,5 +541,5 @@ def score_texts(docs: DataFrame, figures: dict, keep: list[str]) -> DataFrame:
 
 def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(crc_mod("doc_id", 10) == 0, F.lit(False)).alias("held_out"))
-    figures = store_model(docs.where("NOT held_out"), new_folder(spark, "ngrams"))
+    figures = store_model(docs.where("NOT held_out"), new_folder(spark, "ngrams"), ORDER)
     return score_texts(docs, figures, ["doc_id", "held_out"])

@@ -141,6 +141,43 @@ def test_toxicity_is_learned_from_words_and_spelling(spark):
     assert {x["score"] for x in toxicity.score(d, none, ["doc_id"]).collect()} == {0.0}
 
 
+def test_order_three_equals_brute_force(spark, tmp_path):
+    r = random.Random(3)
+    v = [f"w{i}" for i in range(12)]
+    docs = [" ".join(r.choice(v[: r.randint(2, 12)]) for _ in range(r.randint(0, 60))) for _ in range(60)] + ["the " * 3000, "", None, "Unseen WORDS only"]
+    rows = [(i, t, i % 7 == 0) for i, t in enumerate(docs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(5)
+    fig = ngram_lm.store_model(df.where("NOT held_out"), str(tmp_path / "m"), 3)
+    got = {x["doc_id"]: x["score"] for x in ngram_lm.score_texts(df, fig, ["doc_id"]).collect()}
+    tok = {i: ["<s>", "<s>", *(t or "").encode().lower().split(), None] for i, t, _ in rows}
+    tri = Counter(g for i, _, h in rows if not h for g in zip(tok[i], tok[i][1:], tok[i][2:], strict=False))
+    bi = Counter()
+    for (_, b, c), k in tri.items():
+        bi[b, c] += k if b == "<s>" else 1
+    cont = Counter(c for _, c in bi)
+    cc = lambda x: [sum(1 for k in x.values() if k == j) for j in (1, 2, 3, 4)]
+    d1, d2, d3 = (ngram_lm.discounts(cc(x)) for x in (cont, bi, tri))
+    uni = sum(d1[min(k, 3)] for k in cont.values()) / len(bi) / (len(cont) + 1)
+    followers = defaultdict(dict)
+    for table in (bi, tri):
+        for g, k in table.items():
+            followers[g[:-1]][g[-1]] = k
+
+    def p(h, w):
+        if not h:
+            return max(cont[w] - d1[min(cont[w], 3)], 0) / len(bi) + uni
+        f, d = followers.get(h, {}), d2 if len(h) == 1 else d3
+        if not f:
+            return p(h[1:], w)
+        total, k = sum(f.values()), f.get(w, 0)
+        return max(k - d[min(k, 3)], 0) / total + sum(d[min(x, 3)] for x in f.values()) / total * p(h[1:], w)
+
+    for i, t in tok.items():
+        assert got[i] == pytest.approx(sum(math.log10(p((a, b), c)) for a, b, c in zip(t, t[1:], t[2:], strict=False)), rel=1e-9), i
+    for h in (("<s>", "<s>"), (b"w0", b"w1"), (b"the", b"the")):
+        assert sum(p(h, w) for w in [*cont, "unknown"]) == pytest.approx(1)
+
+
 def test_one_long_text_does_not_end_the_toxicity_sample(spark, monkeypatch):
     first = min(range(3000), key=lambda i: zlib.crc32(str(i).encode()))
     plain = lambda i: f"the words of text {i} are calm and mild "
