@@ -223,9 +223,11 @@ def _searched_by_join(docs: DataFrame, signed: DataFrame, percent: int) -> DataF
     right = signed.mapInArrow(lambda x: keys(x, True), "item_id long, width int, key long")
     pairs = left.join(right, ["width", "key"]).select("doc_id", "item_id", "width").distinct()
     shared = F.size(F.array_intersect("d", "i")).cast("long")
+    d = whole.select(F.col("doc_id").alias("__d"), F.col("width").alias("__dw"), F.col("shingles").alias("d"))
+    i = signed.select(F.col("item_id").alias("__i"), F.col("width").alias("__iw"), F.col("shingles").alias("i"))
     return (
-        pairs.join(whole.select("doc_id", "width", F.col("shingles").alias("d")), ["doc_id", "width"])
-        .join(signed.select("item_id", "width", F.col("shingles").alias("i")), ["item_id", "width"])
+        pairs.join(d, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("width") == F.col("__dw")))  # null ids are ids
+        .join(i, F.col("item_id").eqNullSafe(F.col("__i")) & (F.col("width") == F.col("__iw")))
         .select("doc_id", "item_id", F.size("i").cast("long").alias("n_item"), shared.alias("n_shared"))
         .where(100 * F.col("n_shared") >= percent * F.col("n_item"))
         .withColumn("containment", F.col("n_shared") / F.col("n_item"))

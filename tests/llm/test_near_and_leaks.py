@@ -133,6 +133,17 @@ def test_leaks_equal_brute_force(spark, monkeypatch, sent):
     assert clean == set(range(len(docs))) - {x[0] for x in want}
 
 
+@pytest.mark.parametrize("sent", [decontaminate.MAX_SENT, 0])
+def test_null_ids_leak_alike(spark, monkeypatch, sent):
+    monkeypatch.setattr(decontaminate, "MAX_SENT", sent)
+    one, two, three = (" ".join(f"{k}{i}" for i in range(9)) for k in "abc")
+    docs = spark.createDataFrame([(1, f"x {one} y"), (None, f"{two} z"), (None, f"{one} {two}"), (2, three), (None, "clean words only"), (3, "q")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, two), (None, one), (None, "r s t u v w x y z")], "item_id long, text string")
+    got = sorted(((x["doc_id"], x["item_id"], x["n_shared"]) for x in decontaminate.leaks(docs, items).collect()), key=repr)
+    assert got == sorted([(1, None, 5), (None, 7, 5), (None, None, 5), (None, 7, 5)], key=repr)
+    assert {x["doc_id"] for x in decontaminate.decontaminated(docs, items).collect()} == {None, 2, 3}
+
+
 def test_token_hashes_follow_the_rule():
     import pyarrow as pa
 
