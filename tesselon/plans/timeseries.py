@@ -13,6 +13,10 @@ from tesselon.plans.catalogue import query
 from tesselon.sources.tables import table
 
 
+#: Circular shifts of surrogate_null, and the least of them in frames.
+DRAWS, LEAST = 200, 20
+
+
 def _pairs(spark, sf):
     return C.window_correlation(units(spark, sf), WIDTH, STEP)
 
@@ -141,7 +145,7 @@ def surrogate_null(spark, sf):
     cross-fitted exceedance of the pairs' 95th percentiles."""
     u = units(spark, sf, "count")
     shapes = u.groupBy("recording").agg(F.max("unit").alias("u"), F.max(F.size("values")).alias("n")).orderBy("recording").collect()  # one row a recording
-    offsets = spark.createDataFrame(C.surrogate_offsets([(r["recording"], r["u"] + 1, r["n"]) for r in shapes], 8, 5, 1307), "recording string, draw int, unit long, offset int")
+    offsets = spark.createDataFrame(C.surrogate_offsets([(r["recording"], r["u"] + 1, r["n"]) for r in shapes], DRAWS, LEAST, 1307), "recording string, draw int, unit long, offset int")
     observed_units = u.withColumns({"draw": F.lit(-1), "offset": F.lit(0)})
     shifted = S.rolled(u.join(offsets, ["recording", "unit"]).unionByName(observed_units), F.col("offset"))
     te = C.transfer_entropy_arrays(shifted.select("recording", "draw", "unit", "values"), ["recording", "draw"])

@@ -42,3 +42,10 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, SF).count() >= 0
+
+
+def test_surrogate_null_has_the_draws_of_the_reference(spark):
+    rows = QUERIES["surrogate_null"](spark, SF).collect()
+    p = [v for r in rows for k, v in r.asDict().items() if k.startswith("p")]
+    assert p and all(abs(v * 201 - round(v * 201)) < 1e-9 for v in p)
+    assert any(abs(v * 9 - round(v * 9)) > 1e-6 for v in p)
