@@ -169,16 +169,21 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
 
 def distinct_by_row(rows: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct hashes of each row one after another, where each row
-    starts). Needs fewer than 2**32 rows."""
-    order = np.lexsort((hashes, rows)) if len(rows) else np.zeros(0, np.int64)
-    r, h = rows[order], hashes[order]
-    new = np.ones(len(r), bool)
-    new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
-    r, h = r[new], h[new]
+    starts)."""
+    if (rows[1:] < rows[:-1]).any():
+        order = np.argsort(rows, kind="stable")
+        rows, hashes = rows[order], hashes[order]
+    h = hashes.copy()
+    starts = np.searchsorted(rows, np.arange(n + 1))
+    for a, z in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        h[a:z].sort()
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (h[1:] != h[:-1])
+    r, h = rows[new], h[new]
     return h, np.searchsorted(r, np.arange(n + 1))
 
 
-def slices(offsets: np.ndarray, limit: int = 1 << 22):
+def slices(offsets: np.ndarray, limit: int = 1 << 20):
     """Row ranges [a, b) of about ``limit`` bytes; a longer row stands alone."""
     a, n = 0, len(offsets) - 1
     while a < n:
@@ -187,7 +192,7 @@ def slices(offsets: np.ndarray, limit: int = 1 << 22):
         a = min(b, n)
 
 
-def parts(batches, column: str, limit: int = 1 << 22):
+def parts(batches, column: str, limit: int = 1 << 20):
     """Record batches cut to about ``limit`` bytes of text; a longer row stands
     alone. Empty batches are left out."""
     for batch in batches:
