@@ -7,22 +7,28 @@ BINS / BANDS values give the buckets. At similarity s, two texts share no bucket
 with chance (1 - s**4)**32, which is 5e-8 at 0.8.
 
 Texts with equal sets are one class from the start: only the smallest id of each
-class goes on. Every bucket sends one edge from each member to its smallest member
-(a star), so a bucket of m texts gives m - 1 candidate pairs. Pairs are confirmed
-on the full sets. Confirmed links are joined to components by rounds of
-star contraction on written tables. Texts joined by candidate pairs form clusters.
-Where a cluster holds several components, a link could hide between two members that
-are both unlike their buckets' smallest one. There, all members outside the cluster's
-largest component are compared, block by block, with every member of the cluster
-that they share a bucket with and whose component differs. Blocks have a bounded
-number of shingles and no pair becomes a row unless it is a link, so a link is lost
-only if two texts share no bucket.
+class goes on. Every bucket links its members in stars: first those that one task
+sees, to the smallest of them, then these smallest ones to the smallest of all. So a
+bucket of m texts gives m - 1 candidate pairs, and a task sends one entry for a
+bucket, however large it is. Pairs are confirmed on the full sets, at most UNIT of a
+star beside one copy of its hub. Confirmed links are joined to components by rounds of
+star contraction on written tables.
+
+Candidates that aren't links join components to clusters. Where a cluster holds
+several components, a link could hide between two members that are both unlike their
+hubs. There, all members outside the cluster's largest component are searched for links
+to all members of the cluster, in blocks of a bounded number of shingles on both sides:
+sets of the required similarity share one of their first few hashes, so an index of
+those gives the pairs, an index of all hashes the shared ones of each, and components
+that are joined already are not compared again. No pair becomes a row unless it is a link, so a link is lost only if its
+texts share no bucket and lie in different clusters.
 
 Defined results: null and empty texts have an empty set, link with nothing and stay;
 a text with fewer words than the shingle width has its whole sequence as one
-shingle; repeated rows of one doc_id repeat in the result (if their texts
-differ, links of either count for that doc_id); a null doc_id takes no
-part and gets its own row with a null component; other columns are ignored.
+shingle; repeated rows of one doc_id repeat in the result, and if their texts
+differ, links of either count for that doc_id; a null doc_id takes no
+part and gets its own row with a null component; an empty table gives no rows; other
+columns are ignored. The components don't depend on order, so there are no ties.
 """
 
 from __future__ import annotations
@@ -35,7 +41,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselon.llm import text as T
-from tesselon.llm.common import bounded, small_enough, table, written
+from tesselon.llm.arrays import ranges
+from tesselon.llm.common import bounded, scratch, side, table, written
 from tesselon.llm.components import components
 
 BINS, BANDS = 128, 32
@@ -89,9 +96,9 @@ def _sets(column, width: int) -> tuple[np.ndarray, np.ndarray]:
     return T.distinct_by_row(rows, out, len(column))
 
 
-def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit fingerprint of the set, and the band keys
-    (null for an empty set)."""
+def sketch(texts: DataFrame, width: int) -> DataFrame:
+    """doc_id, n_shingles, a 128-bit fingerprint of the set, and the band keys as
+    bytes (null for an empty set)."""
 
     def run(batches):
         for b in T.parts(batches, "text"):
@@ -99,133 +106,303 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
             n = np.diff(starts)
             some = np.flatnonzero(n)
             f1, f2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+            bands: list[bytes | None] = [None] * len(n)
             if len(some):
                 f1[some] = np.add.reduceat(T.mix64(sets ^ np.uint64(0x5851F42D4C957F2D)), starts[:-1][some])
                 f2[some] = np.bitwise_xor.reduceat(T.mix64(sets + np.uint64(0x14057B7EF767814F)), starts[:-1][some])
-            keys = band_keys(signatures(sets, starts)[some]).reshape(-1).view(np.int64)
-            sizes = np.where(n > 0, BANDS, 0)
-            bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(keys))
+                for i, keys in zip(some.tolist(), band_keys(signatures(sets, starts)[some]).astype("<u8"), strict=True):
+                    bands[i] = keys.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), bands], names=["doc_id", "n_shingles", "f1", "f2", "bands"]
+                [b.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(bands, pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "bands"]
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
-
-
-def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id and its whole set of shingle hashes."""
+    return texts.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands binary")
+
+
+#: Band entries that a task holds at once, entries of a shard, and entries in one row.
+HELD, SHARD, ROW = 1 << 21, 1 << 19, 4096
+
+
+def _hubs(key: np.ndarray, rep: np.ndarray):
+    """(entries sorted by key with the smallest rep of each, (hub, member) pairs)."""
+    order = np.lexsort((rep, key))
+    key, rep = key[order], rep[order]
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    hub = rep[first][np.cumsum(first) - 1] if len(key) else rep
+    pairs = np.stack([hub, rep], axis=1)[hub != rep]
+    return key[first], rep[first], np.unique(pairs, axis=0) if len(pairs) else pairs
+
+
+def star_pairs(reps: DataFrame) -> DataFrame:
+    """Distinct pairs a < b that the buckets of reps (rep, bands) give."""
+    shards = max(1, -(-reps.count() * BANDS // SHARD))
+    schema = "shard int, key binary, rep binary, a long, b long"
+    names = ["shard", "key", "rep", "a", "b"]
+
+    def pairs_batch(pairs, n_shards):
+        n = len(pairs)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(n, dtype=np.int32) % n_shards), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=names
+        )
+
+    def local(batches):
+        keys, ids, size = [], [], 0
+
+        def flush():
+            key, rep, pairs = _hubs(np.concatenate(keys), np.concatenate(ids))
+            yield pairs_batch(pairs, shards)
+            where = (key % np.uint64(shards)).astype(np.int32)
+            order = np.argsort(where, kind="stable")
+            edge = np.searchsorted(where[order], np.arange(shards + 1))
+            for s in np.flatnonzero(np.diff(edge)).tolist():
+                cuts = list(range(edge[s], edge[s + 1], ROW))
+                parts = [order[a : min(a + ROW, edge[s + 1])] for a in cuts]
+                n = len(parts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([s] * n, pa.int32()), pa.array([key[x].tobytes() for x in parts], pa.binary()), pa.array([rep[x].tobytes() for x in parts], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names
+                )
+
+        for b in batches:
+            keys.append(np.frombuffer(b"".join(b.column("bands").to_pylist()), "<u8"))
+            ids.append(np.repeat(b.column("rep").to_numpy(), BANDS))
+            size += len(keys[-1])
+            if size >= HELD:
+                yield from flush()
+                keys, ids, size = [], [], 0
+        if size:
+            yield from flush()
+
+    def whole(batches):
+        now, keys, ids = None, [], []
+
+        def flush():
+            if keys:
+                yield _pair_rows(_hubs(np.frombuffer(b"".join(keys), "<u8"), np.frombuffer(b"".join(ids), "<i8"))[2])
+
+        for b in batches:
+            done = np.flatnonzero(b.column("a").is_valid().to_numpy(zero_copy_only=False))
+            if len(done):
+                yield b.select(["a", "b"]).take(pa.array(done))
+            for s, key, rep in zip(b.column("shard").to_pylist(), b.column("key").to_pylist(), b.column("rep").to_pylist(), strict=True):
+                if key is None:
+                    continue
+                if s != now:
+                    yield from flush()
+                    now, keys, ids = s, [], []
+                keys.append(key)
+                ids.append(rep)
+        yield from flush()
+
+    sent = reps.select("rep", "bands").mapInArrow(local, schema)
+    return sent.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(whole, "a long, b long").distinct()
+
+
+def _pair_rows(pairs) -> pa.RecordBatch:
+    pairs = np.asarray(pairs, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are as similar as that."""
+    few, many = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(few) or 100 * len(few) < percent * len(many):
+        return False
+    inter = int(np.count_nonzero(many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few))
+    return 100 * inter >= percent * (len(x) + len(y) - inter)
+
+
+#: Pairs of one star that are confirmed together.
+UNIT = 256
+
+
+def verified(texts: DataFrame, stars: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b, linked and the sizes of both sets, for every pair."""
+    heavy = stars.groupBy("a").agg(F.count("*").alias("size")).where(F.col("size") > UNIT)
+    group = F.coalesce(F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / UNIT)), F.lit(0))
+    dealt = stars.join(side(heavy), "a", "left").select("a", "b", group.alias("g"))
+    asked = dealt.select(F.col("a").alias("node"), "a", "g", F.lit(0).alias("member")).distinct().unionAll(dealt.select(F.col("b").alias("node"), "a", "g", F.lit(1).alias("member")))
 
     def run(batches):
-        for b in T.parts(batches, "text"):
-            sets, starts = _sets(b.column("text"), width)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(sets.view(np.int64)))], names=["doc_id", "shingles"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, shingles array<long>")
-
-
-#: Shingles in one block of a cluster's members, about.
-BLOCK_SHINGLES = 100_000
+        unit, hubs = None, []
+        for batch in T.parts(batches, "text"):
+            sets, starts = _sets(batch.column("text"), width)
+            a, g, member, node = (batch.column(c).to_pylist() for c in ("a", "g", "member", "doc_id"))
+            out = []
+            for i in range(len(a)):
+                own = sets[starts[i] : starts[i + 1]]
+                if not member[i]:
+                    if (a[i], g[i]) != unit:
+                        unit, hubs = (a[i], g[i]), []
+                    hubs.append(own.copy())
+                else:
+                    out.append((a[i], node[i], any(_linked(own, h, percent) for h in hubs), max(map(len, hubs), default=0), len(own)))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], names=["a", "b", "linked", "na", "nb"])
+
+    rows = texts.join(side(asked), texts["doc_id"] == asked["node"]).select("doc_id", "text", "a", "g", "member")
+    return rows.repartition("a", "g").sortWithinPartitions("a", "g", "member").mapInArrow(run, "a long, b long, linked boolean, na long, nb long")
+
+
+#: Shingles in one block of a cluster's members, about; blocks of so many rows are cut
+#: further, as far as a cluster has fewer than so many of them.
+BLOCK_SHINGLES, BLOCK_ROWS, BLOCKS = 1_000_000, 200, 24
+
+
+class _Strays:
+    """The members of a block that are searched for links, with an index of the hashes of
+    their sets, and one of the first hashes of each."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.sets: list[np.ndarray] = []
+        self.part: list[int] = []
+        self.heads = None
+
+    def first(self, s: np.ndarray) -> np.ndarray:
+        """A set shares one of these with every set that is as similar as required."""
+        return s[: len(s) + 1 - -(-self.percent * len(s) // 100)]
+
+    def add(self, part: int, s: np.ndarray) -> None:
+        if len(s):
+            self.sets.append(s.copy())
+            self.part.append(part)
+
+    @staticmethod
+    def _index(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        key = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(key, kind="stable")
+        return key[order], owner[order]
+
+    def build(self) -> None:
+        self.heads, self.whole = self._index([self.first(s) for s in self.sets]), self._index(self.sets)
+        self.size = np.array([len(s) for s in self.sets], np.int64)
+        self.joined = np.array(self.part, np.int64)  # the component that each one's component has become
+
+    @staticmethod
+    def _owners(index: tuple[np.ndarray, np.ndarray], s: np.ndarray) -> np.ndarray:
+        """Whose hashes those of a set are, once for each that is shared."""
+        key, owner = index
+        low, high = np.searchsorted(key, s), np.searchsorted(key, s, side="right")
+        hit = np.flatnonzero(high > low)
+        return owner[ranges(low[hit], high[hit] - low[hit])]
+
+    def links(self, part: int, s: np.ndarray, up: dict[int, int]):
+        """The components that a member's set links its component with."""
+        if self.heads is None:
+            self.build()
+        if not len(s) or not len(self.sets):
+            return
+        who = self._owners(self.heads, self.first(s))
+        if not len(who):
+            return
+        while part in up:
+            part = up[part]
+        who = np.unique(who)
+        small, large = np.minimum(self.size[who], len(s)), np.maximum(self.size[who], len(s))
+        who = who[(100 * small >= self.percent * large) & (self.joined[who] != part)]
+        if not len(who):
+            return
+        inter = np.bincount(self._owners(self.whole, s), minlength=len(self.sets))[who]
+        for k in who[100 * inter >= self.percent * (self.size[who] + len(s) - inter)].tolist():
+            other = int(self.joined[k])
+            if other != part:
+                yield part, other
+                up[other] = part
+                self.joined[self.joined == other] = part
+
+
+def hidden_links(texts: DataFrame, placed: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: components that a link joins, of placed (node, n, component, cluster)."""
+    sizes = placed.groupBy("cluster", "component").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    main = F.max_by(F.struct("component", "size", "n"), F.struct("size", "component"))
+    info = sizes.groupBy("cluster").agg(main.alias("main"), F.sum("size").alias("size"), F.sum("n").alias("n"))
+    blocks = lambda rows, n: F.ceil(F.greatest(F.least(rows / BLOCK_ROWS, F.lit(float(BLOCKS))), n / BLOCK_SHINGLES, F.lit(0.5))).cast("int")
+    left = [F.col(c) - F.col(f"main.{c}") for c in ("size", "n")]
+    info = info.select("cluster", F.col("main.component").alias("main"), blocks(F.col("size"), F.col("n")).alias("blocks"), blocks(*left).alias("stray_blocks"))
+    own = lambda c, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(c)).cast("int")
+    dealt = placed.join(side(info), "cluster").select("node", "component", "cluster", (F.col("component") != F.col("main")).alias("stray"), "blocks", "stray_blocks", own("stray_blocks", 1).alias("own_s"), own("blocks", 2).alias("own_m"))
+    unit = lambda s, m, member: F.struct(s.alias("s"), m.alias("m"), F.lit(member).alias("member"))
+    every = lambda c, f: F.transform(F.sequence(F.lit(0), F.col(c) - 1), f)
+    strays = F.when(F.col("stray"), every("blocks", lambda m: unit(F.col("own_s"), m, 0))).otherwise(F.expr("cast(array() as array<struct<s:int,m:int,member:int>>)"))
+    members = every("stray_blocks", lambda s: unit(s, F.col("own_m"), 1))
+    rows = texts.join(side(dealt), texts["doc_id"] == dealt["node"]).select("text", "component", "cluster", F.explode(F.concat(strays, members)).alias("u")).select("text", "component", "cluster", "u.s", "u.m", "u.member")
 
-
-def _stray_links(batches, percent: int):
-    """Links between the members of two blocks; each is a list of structs rep,
-    component, bands, shingles."""
-
-    def members(cell):
-        out = []
-        for m in cell:
-            x = m.as_py()
-            out.append((x["rep"], x["component"], np.array(x["bands"], np.int64), np.sort(np.array(x["shingles"], np.int64))))
-        return out
-
-    for b in batches:
-        found: list[tuple[int, int]] = []
-        for left, right in zip(b.column("strays"), b.column("block"), strict=True):
-            xs, ys = members(left), members(right)
-            keys = np.stack([y[2] for y in ys])
-            sizes = np.array([len(y[3]) for y in ys])
-            parts = np.array([y[1] for y in ys])
-            for rep, part, bands, own in xs:
-                near = (keys == bands).any(axis=1) & (parts != part)
-                near &= 100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own))
-                joined = set()
-                for k in np.flatnonzero(near):
-                    if parts[k] in joined:
-                        continue
-                    other = ys[k][3]
-                    at = np.minimum(np.searchsorted(own, other), len(own) - 1)
-                    inter = int(np.count_nonzero(own[at] == other))
-                    if 100 * inter >= percent * (len(own) + len(other) - inter):
-                        found.append((rep, ys[k][0]))
-                        joined.add(parts[k])
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+    def run(batches):
+        unit, held, up = None, None, {}
+        for batch in T.parts(batches, "text"):
+            sets, starts = _sets(batch.column("text"), width)
+            out = []
+            for i, (*key, member, part) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("cluster", "s", "m", "member", "component")), strict=True)):
+                if key != unit:
+                    unit, held, up = key, _Strays(percent), {}
+                own = sets[starts[i] : starts[i + 1]]
+                if member:
+                    out += held.links(part, own, up)
+                else:
+                    held.add(part, own)
+            yield _pair_rows(out)
+
+    keys = ["cluster", "s", "m"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "member").mapInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text): texts
     are linked if 100 * |intersection| >= percent * |union| of their shingle sets."""
     bounded(docs)
-    sig = written(sketch(docs, width), "sketch")
-    whole = sig.where("doc_id IS NOT NULL AND n_shingles > 0")
-    reps = written(whole.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), "reps")
-    members = reps.select("rep", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    stars = written(members.join(buckets, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-
-    # the full sets of all texts that occur in a pair
-    nodes = written(stars.select(F.col("a").alias("doc_id")).unionAll(stars.select(F.col("b").alias("doc_id"))).distinct(), "nodes")
-    side = F.broadcast(nodes) if small_enough(nodes) else nodes
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id", "left_semi")
-    sets = written(full_sets(some, width), "sets")
-    left, right = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    links = written(
-        stars.join(left, "a")
-        .join(right, "b")
-        .select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("inter"), (F.size("sa") + F.size("sb")).alias("both"))
-        .where(100 * F.col("inter") >= percent * (F.col("both") - F.col("inter")))
-        .select("a", "b"),
-        "links",
-    )
-    found = written(components(links), "components")
-
-    # clusters of candidates that still hold several components
-    cluster = components(stars).withColumnRenamed("component", "cluster")
-    placed = written(cluster.join(found, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("component")), "clusters")
-    counts = placed.groupBy("cluster", "component").agg(F.count("*").alias("size"))
-    mixed = counts.groupBy("cluster").agg(F.count("*").alias("parts"), F.sum("size").alias("size"), F.max_by("component", F.struct("size", "component")).alias("main")).where("parts > 1 AND size > 2")
-    apart = placed.join(mixed.select("cluster", "main"), "cluster")
-    loaded = (
-        apart.join(reps.select(F.col("rep").alias("node"), "bands", "n"), "node")
-        .join(sets.withColumnRenamed("doc_id", "node"), "node")
-        .select("cluster", "n", (F.col("component") != F.col("main")).alias("stray"), F.struct(F.col("node").alias("rep"), "component", "bands", "shingles").alias("m"))
-    )
-    sizes = loaded.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.ceil(F.sum(F.when(F.col("stray"), F.col("n")).otherwise(0)) / BLOCK_SHINGLES).cast("int").alias("stray_blocks"))
-    dealt = written(loaded.join(sizes, "cluster"), "dealt")
-    into = lambda df, c: df.groupBy("cluster", F.pmod(F.xxhash64("m.rep"), F.col(c)).alias("k")).agg(F.collect_list("m").alias("ms"))
-    blocks = into(dealt, "blocks").select("cluster", F.col("ms").alias("block"))
-    strays = into(dealt.where("stray"), "stray_blocks").select("cluster", F.col("ms").alias("strays"))
-    bounded(docs, 4)  # a row holds two blocks
-    more = written(strays.join(blocks, "cluster").select("strays", "block").mapInArrow(lambda x: _stray_links(x, percent), "a long, b long"), "more")
-    bounded(docs)
-    if more.limit(1).count():
-        found = components(links.unionAll(more))
-    label = reps.select("f1", "f2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
-    return sig.join(label, ["f1", "f2"], "left").select(
-        "doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with scratch(docs.sparkSession) as keep:
+        sig = written(sketch(texts, width), "sketch")
+        whole = sig.where("doc_id IS NOT NULL AND n_shingles > 0")
+        reps = keep(whole.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "reps")
+        stars = keep(star_pairs(reps), "stars")
+        checked = keep(verified(texts, stars, width, percent), "checked")
+        links = checked.where("linked").select("a", "b")
+        again = keep(whole.groupBy("doc_id").agg(F.min(F.struct("f1", "f2")).alias("x"), F.max(F.struct("f1", "f2")).alias("y")).where("x <> y").select("doc_id"), "again")
+        if again.limit(1).count():  # ids of several texts join the classes of these
+            several = whole.join(side(again), "doc_id").join(reps, ["f1", "f2"]).select("doc_id", "rep")
+            links = links.unionAll(several.join(several.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b")))
+        found = keep(components(links), "components")
+
+        # components that candidates join although these are no links
+        lost = checked.where("NOT linked")
+        up = lambda x: side(found.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")))
+        apart = lost.join(up("a"), "a", "left").join(up("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b").distinct()
+        cluster = keep(components(apart), "clusters").select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+        nodes = checked.select(F.col("a").alias("node"), F.col("na").alias("n")).unionAll(checked.select(F.col("b").alias("node"), F.col("nb").alias("n"))).groupBy("node").agg(F.max("n").alias("n"))
+        nodes = nodes.join(found, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
+        placed = keep(nodes.join(side(cluster), "component").select("node", "n", "component", "cluster"), "placed")
+        hidden = keep(hidden_links(texts, placed, width, percent), "hidden")
+        more = keep(components(hidden), "more")
+
+        joined = more.select(F.col("node").alias("__part"), F.col("component").alias("__whole"))
+        label = reps.select("f1", "f2", "rep", "copies").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        label = label.join(side(joined), F.col("component") == F.col("__part"), "left").select("f1", "f2", "rep", "copies", F.coalesce("__whole", "component").alias("component_id"))
+        label = written(label.where("copies > 1 OR component_id <> rep").select("f1", "f2", "component_id"), "labels")
+    of = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return sig.select("doc_id", "n_shingles", "f1", "f2").join(side(label), ["f1", "f2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, of).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs but one for each component, the one of the smallest doc_id.
-    Rows with a null doc_id stay; of rows that repeat a doc_id one stays."""
-    found = written(classes(docs, width, percent), "classes")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
-    gone, again = (F.broadcast(x) if small_enough(x) else x for x in (gone, again))
+    Rows with a null doc_id stay; of rows that repeat a doc_id one stays, the one whose
+    values (but for maps) have the smallest hash."""
+    found = classes(docs, width, percent)
+    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    again = written(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")), "again")
     key = docs["doc_id"].cast("long")
-    kept = docs.join(gone, key == gone["__gone"], "left_anti")
-    once = kept.join(again, key == again["__again"], "left_anti")
-    return once.unionByName(kept.join(again, key == again["__again"], "left_semi").dropDuplicates(["doc_id"]))
+    kept = docs.join(side(gone), key == gone["__gone"], "left_anti")
+    if not again.limit(1).count():
+        return kept
+    once = kept.join(side(again), key == again["__again"], "left_anti")
+    many = kept.join(side(again), key == again["__again"], "left_semi")
+    plain = [F.col(f.name) for f in docs.schema if f.dataType.typeName() != "map"]
+    marked = many.withColumn("__hash", F.xxhash64(*plain))
+    least = marked.groupBy(F.col("doc_id").alias("__id")).agg(F.min("__hash").alias("__least"))
+    one = marked.join(least, (F.col("doc_id") == F.col("__id")) & (F.col("__hash") == F.col("__least"))).dropDuplicates(["doc_id"])
+    return once.unionByName(one.select(*docs.columns))
 
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
