@@ -12,31 +12,38 @@ and longer ones less. Items with fewer than FEW shingles have as many bins as th
 are hashes: each of their shingles is compared with all of the document's.
 Candidates are verified on the full shingle sets: |item & document| / |item|.
 
-If the items have at most MAX_SENT shingles (counted), their signatures go to the
-workers, which search and verify each document where it is read, without a shuffle.
-A larger benchmark is searched by joins on (partition, hash) and verified by joins on
-the candidates.
+Bins nest: a shingle that is its bin's least at p bits is so at more bits. So the
+signatures of an item at all partitions are its shingles, each with the fewest bits at
+which it is its bin's least. Tasks store them as sorted arrays in the shared folder, in
+shards of about SHARD entries; the tasks that read documents map these into memory,
+search them and verify there. No document is shuffled, whatever the size of the
+benchmark, and there is one way for all sizes.
 
 Defined results: shingles are of WIDTH words; an item with fewer words is one
 shingle of all its words, searched as such in all documents; items and documents
-without words (null, empty) match nothing; repeated items or documents repeat; null
-ids are kept apart as they are; empty tables give no rows; other columns are ignored.
+without words (null, empty) match nothing; repeated items or documents repeat; rows with
+a null id are rows like others, found and removed one by one; empty tables give no
+rows; other columns are ignored. Nothing depends on order, so there are no ties.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesselon.llm import arrays
 from tesselon.llm import text as T
-from tesselon.llm.common import bounded, small_enough, table, written
+from tesselon.llm.common import bounded, new_folder, scratch, table
 
 WIDTH, PERCENT, FEW = 5, 80, 16
-#: Item shingles sent to workers at most: 8 bytes each, times one for every partition.
-MAX_SENT = 200_000
-_ALL = 63  # the partition tag of items that are compared without bins
+#: Entries of one shard of the index, about; bits of a worker's filter of hashes at most.
+SHARD, FILTER_BITS = 1 << 21, 24
+_ALL, _NO_ID = 200, 1  # marks of entries that are compared without bins, and of null item ids
 
 
 def _sets(column, width: int):
@@ -66,179 +73,166 @@ def _bin_leasts(sets: np.ndarray, row: np.ndarray, bits: np.ndarray) -> np.ndarr
     return np.flatnonzero(first)
 
 
-def _tagged(hashes: np.ndarray, tag) -> np.ndarray:
-    return T.mix64(hashes + np.uint64(0x9E3779B97F4A7C15) * (np.atleast_1d(tag).astype(np.uint64) + np.uint64(1)))
+def _bits(x: np.ndarray) -> np.ndarray:
+    """The bit length of each number."""
+    high, low = (x >> np.uint64(32)).astype(np.float64), (x & np.uint64(0xFFFFFFFF)).astype(np.float64)
+    return np.where(high > 0, 32 + np.frexp(high)[1], np.frexp(low)[1])
+
+
+def _fewest_bits(s: np.ndarray) -> np.ndarray:
+    """For each hash of a sorted set, the fewest bits at which it is its bin's least."""
+    out = np.zeros(len(s), np.int64)
+    out[1:] = 65 - _bits(s[1:] ^ s[:-1])
+    return out
+
 
+_ENTRY = "width int, hash long, least int, owner long, n int, item_id long, mark int"
 
-def items_by_width(items: DataFrame) -> DataFrame:
-    """item_id, width (of its shingles), shingles (array, ascending as unsigned)."""
+
+def item_entries(items: DataFrame) -> DataFrame:
+    """A row for each shingle of each item: its width in words, its hash, the fewest bits
+    at which it is its bin's least, its item's row number, size and id."""
 
     def run(batches):
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 40
         for b in T.parts(batches, "text"):
             raw, offsets = T.buffers(b.column("text"))
             hashes, first = T.tokens(raw, offsets)
-            words = np.diff(first)
+            words, ids, known = np.diff(first), b.column("item_id").fill_null(0).to_numpy(), b.column("item_id").is_valid().to_numpy(zero_copy_only=False)
             for w in np.unique(np.minimum(words[words > 0], WIDTH)):
                 sets, starts = _sets_of(hashes, first, int(w))
                 pick = np.flatnonzero((words == w) if w < WIDTH else (words >= w))
-                got = [sets[starts[i] : starts[i + 1]].view(np.int64) for i in pick]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("item_id").take(pa.array(pick)), pa.array(np.full(len(pick), w, np.int32)), pa.array(got, pa.list_(pa.int64()))], names=["item_id", "width", "shingles"]
-                )
-
-    return items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "item_id long, width int, shingles array<long>")
-
-
-class _Index:
-    """Signatures of items of one width, at all partitions up to 2**40 shingles."""
-
-    PARTITIONS = 41
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        keys, owner = [], []
-        for i, s in enumerate(sets):
-            if len(s) < FEW:
-                keys.append(_tagged(s, _ALL))
-                owner.append(np.full(len(s), i))
+                got = [sets[starts[i] : starts[i + 1]] for i in pick]
+                n = np.array([len(s) for s in got], np.int32)
+                least = np.concatenate([_fewest_bits(s) if len(s) >= FEW else np.full(len(s), _ALL) for s in got])
+                cols = [np.full(n.sum(), w, np.int32), np.concatenate(got).view(np.int64), least.astype(np.int32), np.repeat(row + pick, n), np.repeat(n, n), np.repeat(ids[pick], n), np.repeat(np.where(known[pick], 0, _NO_ID).astype(np.int32), n)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["width", "hash", "least", "owner", "n", "item_id", "mark"])
+            row += len(b)
+
+    return items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _ENTRY)
+
+
+class Stored(NamedTuple):
+    """The folder of an index, the bits that number its shards, and its entries by
+    width."""
+
+    folder: str
+    bits: int
+    widths: dict[int, int]
+
+
+def store_items(items: DataFrame) -> Stored:
+    """Index the items (item_id, text); every shard of every width has a file."""
+    spark = items.sparkSession
+    folder = new_folder(spark, "items")
+    with scratch(spark) as keep:
+        entries = keep(item_entries(items), "entries")
+        widths = {r["width"]: r["count"] for r in entries.groupBy("width").count().collect()}  # 1 to WIDTH
+        bits = max(0, (max(widths.values(), default=0) // SHARD).bit_length())
+        number = F.shiftrightunsigned("hash", 64 - bits).cast("int") if bits else F.lit(0)
+        every = spark.range(1 << bits).select(F.explode(F.array(*[F.lit(w) for w in widths] or [F.lit(0)])).alias("width"), F.col("id").cast("int").alias("shard"))
+        dealt = entries.withColumn("shard", number).unionByName(every.withColumns({"hash": F.lit(0).cast("long"), "least": F.lit(-1), "owner": F.lit(0).cast("long"), "n": F.lit(0), "item_id": F.lit(0).cast("long"), "mark": F.lit(0)}))
+
+        def store(g: pd.DataFrame) -> pd.DataFrame:
+            w, s = int(g["width"].iloc[0]), int(g["shard"].iloc[0])
+            g = g[g["least"] >= 0]
+            h = g["hash"].to_numpy().view(np.uint64)
+            order = np.argsort(h, kind="stable")
+            kinds = {"least": np.uint8, "owner": np.int64, "n": np.int32, "item_id": np.int64, "mark": np.uint8}
+            arrays.save(folder, f"{w}-{s}", {"hash": h[order], **{k: g[k].to_numpy()[order].astype(t) for k, t in kinds.items()}})
+            return pd.DataFrame({"n": [len(g)]})
+
+        dealt.groupBy("width", "shard").applyInPandas(store, "n long").agg(F.sum("n")).first()
+    return Stored(folder, bits, widths)
+
+
+class Index:
+    """The stored entries, mapped, and a filter of their hashes for each width."""
+
+    def __init__(self, stored: Stored):
+        self.stored, self.files = stored, arrays.Files(stored.folder)
+        self.seen: dict[int, np.ndarray] = {}
+        for w, n in stored.widths.items():
+            seen = np.zeros(1 << min(FILTER_BITS, max(16, (4 * n).bit_length())), bool)
+            for s in range(1 << stored.bits):
+                seen[self.files[f"{w}-{s}"]["hash"] & np.uint64(len(seen) - 1)] = True
+            self.seen[w] = seen
+
+    def find(self, w: int, h: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """(places in h, the entries there): every entry of every hash."""
+        seen, names = self.seen[w], ("least", "owner", "n", "item_id", "mark")
+        maybe = np.flatnonzero(seen[h & np.uint64(len(seen) - 1)])
+        shard = (h[maybe] >> np.uint64(64 - self.stored.bits)).astype(np.int64) if self.stored.bits else np.zeros(len(maybe), np.int64)
+        which, found = [np.zeros(0, np.int64)], {k: [np.zeros(0, np.int64)] for k in names}
+        for s, at in arrays.by_shard(shard):
+            held, asked = self.files[f"{w}-{s}"], h[maybe[at]]
+            low, high = np.searchsorted(held["hash"], asked), np.searchsorted(held["hash"], asked, side="right")
+            hit = np.flatnonzero(high > low)
+            place = arrays.ranges(low[hit], high[hit] - low[hit])
+            which.append(np.repeat(maybe[at[hit]], high[hit] - low[hit]))
+            for k in names:
+                found[k].append(held[k][place].astype(np.int64))
+        return np.concatenate(which), {k: np.concatenate(v) for k, v in found.items()}
+
+    def leaks(self, column, percent: int):
+        """(row, item_id, mark, n_item, n_shared) arrays of the texts of a column, once
+        for each width."""
+        raw, offsets = T.buffers(column)
+        hashes, first = T.tokens(raw, offsets)
+        for w in sorted(self.stored.widths):
+            sets, starts = _sets_of(hashes, first, w)
+            which, entry = self.find(w, sets)
+            if not len(which):
                 continue
-            for p in range(self.PARTITIONS):
-                at = _bin_leasts(s, np.zeros(len(s), np.int64), np.array([p]))
-                keys.append(_tagged(s[at], p))
-                owner.append(np.full(len(at), i))
-        key, own = np.concatenate(keys), np.concatenate(owner)
-        order = np.argsort(key, kind="stable")
-        self.keys, start, self.count = np.unique(key[order], return_index=True, return_counts=True)
-        self.start, self.owner = start, own[order]
-        self.few = any(len(s) < FEW for s in sets)
-        self.many = any(len(s) >= FEW for s in sets)
-        bits = max(16, int(4 * len(self.keys)).bit_length())
-        self.mask = np.uint64((1 << bits) - 1)
-        self.seen = np.zeros(1 << bits, bool)
-        self.seen[self.keys & self.mask] = True
-
-    def _hits(self, keys: np.ndarray, row: np.ndarray):
-        maybe = np.flatnonzero(self.seen[keys & self.mask])
-        keys, row = keys[maybe], row[maybe]
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        ok = self.keys[at] == keys
-        at, row = at[ok], row[ok]
-        size = self.count[at]
-        where = np.repeat(self.start[at] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(size) else np.zeros(0, np.int64)
-        return np.repeat(row, size), self.owner[where]
-
-    def candidates(self, sets: np.ndarray, starts: np.ndarray):
-        """(row, item) pairs that share a signature entry, each once."""
-        n = np.diff(starts)
-        row = np.repeat(np.arange(len(n)), n)
-        found = []
-        if self.many:
-            p = _partition(n)
-            at = _bin_leasts(sets, row, p)
-            found.append(self._hits(_tagged(sets[at], p[row[at]]), row[at]))
-        if self.few:
-            found.append(self._hits(_tagged(sets, _ALL), row))
-        r, i = (np.concatenate(x) for x in zip(*found, strict=True))
-        both = np.unique(r * len(self.sets) + i)
-        return both // len(self.sets), both % len(self.sets)
+            sizes = np.diff(starts)
+            row, p = np.repeat(np.arange(len(sizes)), sizes), _partition(sizes)
+            signed = np.zeros(len(sets), bool)
+            signed[_bin_leasts(sets, row, p)] = True
+            r = row[which]
+            agree = (entry["least"] == _ALL) | signed[which] & (entry["least"] <= p[r])
+            order = np.lexsort((entry["owner"], r))
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(r[order]) != 0) | (np.diff(entry["owner"][order]) != 0)]))
+            shared, candidate = np.diff(np.append(new, len(order))), np.logical_or.reduceat(agree[order], new)
+            one = order[new]
+            ok = candidate & (100 * shared >= percent * entry["n"][one])
+            yield r[one][ok], entry["item_id"][one][ok], entry["mark"][one][ok], entry["n"][one][ok], shared[ok]
 
 
 def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, item_id, n_item, n_shared, containment of every document that holds
     percent or more of an item's shingles."""
     bounded(docs)
-    signed = written(items_by_width(items), "items")
-    total = signed.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
-    clean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _searched_here(clean, signed, percent) if total <= MAX_SENT else _searched_by_join(clean, signed, percent)
-
-
-_OUT = "doc_id long, item_id long, n_item long, n_shared long, containment double"
-
-
-def _searched_here(docs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    by_width: dict[int, tuple[list, list]] = {}
-    for r in signed.collect():  # at most MAX_SENT shingles
-        ids, sets = by_width.setdefault(r["width"], ([], []))
-        ids.append(r["item_id"])
-        sets.append(np.sort(np.array(r["shingles"], np.int64).view(np.uint64)))
-    index: dict[int, _Index] = {}
+    stored = store_items(items)
 
     def run(batches):
-        for w, (_, sets) in by_width.items():
-            index.setdefault(w, _Index(sets))
-        for b in T.parts(batches, "text", 1 << 21):
-            raw, offsets = T.buffers(b.column("text"))
-            hashes, first = T.tokens(raw, offsets)
-            for w, (ids, item_sets) in by_width.items():
-                sets, starts = _sets_of(hashes, first, w)
-                rows, which = index[w].candidates(sets, starts)
-                shared = np.zeros(len(rows), np.int64)
-                for k, (r, i) in enumerate(zip(rows, which, strict=True)):
-                    own, item = sets[starts[r] : starts[r + 1]], item_sets[i]
-                    at = np.minimum(np.searchsorted(own, item), len(own) - 1)
-                    shared[k] = np.count_nonzero(own[at] == item)
-                size = np.array([len(s) for s in item_sets], np.int64)[which]
-                ok = 100 * shared >= percent * size
-                rows, which, shared, size = rows[ok], which[ok], shared[ok], size[ok]
+        index = Index(stored)
+        for b in T.parts(batches, "text"):
+            for row, item, mark, n, shared in index.leaks(b.column("text"), percent):
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(pa.array(rows)), pa.array([ids[i] for i in which], pa.int64()), pa.array(size), pa.array(shared), pa.array(shared / size)],
-                    names=["doc_id", "item_id", "n_item", "n_shared", "containment"],
+                    [b.column("doc_id").take(pa.array(row)), pa.array(item, pa.int64(), mask=mark == _NO_ID), pa.array(n), pa.array(shared), pa.array(shared / np.maximum(n, 1))], names=["doc_id", "item_id", "n_item", "n_shared", "containment"]
                 )
 
-    return docs.mapInArrow(run, _OUT) if by_width else docs.sparkSession.createDataFrame([], _OUT)
+    clean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return clean.mapInArrow(run, "doc_id long, item_id long, n_item long, n_shared long, containment double")
 
 
-def _searched_by_join(docs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    widths = [r["width"] for r in signed.select("width").distinct().collect()]  # 1 to WIDTH
+def decontaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs whose text holds no item, decided for each row where it is
+    read."""
+    bounded(docs)
+    stored = store_items(items)
 
-    def doc_sets(batches):
+    def run(batches):
+        index = Index(stored)
         for b in T.parts(batches, "text"):
-            raw, offsets = T.buffers(b.column("text"))
-            hashes, first = T.tokens(raw, offsets)
-            for w in widths:
-                sets, starts = _sets_of(hashes, first, w)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(np.full(len(b), w, np.int32)), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(sets.view(np.int64)))], names=["doc_id", "width", "shingles"]
-                )
-
-    def keys(batches, item: bool):
-        name = "item_id" if item else "doc_id"
-        for b in batches:
-            for r in range(b.num_rows):
-                s = np.sort(np.array(b.column("shingles")[r].as_py(), np.int64).view(np.uint64))
-                one = np.zeros(len(s), np.int64)
-                if item and len(s) < FEW:
-                    got = _tagged(s, _ALL)
-                elif item:
-                    got = np.concatenate([_tagged(s[_bin_leasts(s, one, np.array([p]))], p) for p in range(_Index.PARTITIONS)])
-                else:
-                    p = int(_partition(np.array([len(s)]))[0])
-                    got = np.concatenate([_tagged(s[_bin_leasts(s, one, np.array([p]))], p), _tagged(s, _ALL)]) if len(s) else s
-                n = len(got)
-                yield pa.RecordBatch.from_arrays([pa.array([b.column(name)[r].as_py()] * n, pa.int64()), pa.array(np.full(n, b.column("width")[r].as_py(), np.int32)), pa.array(got.view(np.int64))], names=[name, "width", "key"])
-
-    whole = docs.mapInArrow(doc_sets, "doc_id long, width int, shingles array<long>")
-    left = whole.mapInArrow(lambda x: keys(x, False), "doc_id long, width int, key long")
-    right = signed.mapInArrow(lambda x: keys(x, True), "item_id long, width int, key long")
-    pairs = left.join(right, ["width", "key"]).select("doc_id", "item_id", "width").distinct()
-    shared = F.size(F.array_intersect("d", "i")).cast("long")
-    d = whole.select(F.col("doc_id").alias("__d"), F.col("width").alias("__dw"), F.col("shingles").alias("d"))
-    i = signed.select(F.col("item_id").alias("__i"), F.col("width").alias("__iw"), F.col("shingles").alias("i"))
-    return (
-        pairs.join(d, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("width") == F.col("__dw")))  # null ids are ids
-        .join(i, F.col("item_id").eqNullSafe(F.col("__i")) & (F.col("width") == F.col("__iw")))
-        .select("doc_id", "item_id", F.size("i").cast("long").alias("n_item"), shared.alias("n_shared"))
-        .where(100 * F.col("n_shared") >= percent * F.col("n_item"))
-        .withColumn("containment", F.col("n_shared") / F.col("n_item"))
-    )
+            keep = np.ones(len(b), bool)
+            for row, *_ in index.leaks(b.column("text"), percent):
+                keep[row] = False
+            yield b.filter(pa.array(keep))
 
-
-def decontaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that hold no item."""
-    bad = written(leaks(docs, items, percent).select("doc_id").distinct(), "leaks")
-    side = F.broadcast(bad) if small_enough(bad) else bad
-    return docs.join(side, docs["doc_id"].cast("long") == side["doc_id"], "left_anti")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,9 +97,9 @@ def test_components(spark):
     assert {got[x] for x in (1, 2, 3)} == {1} and {got[x] for x in (7, 8, 9)} == {7} and {got[100 + i] for i in range(41)} == {100} and 20 not in got
 
 
-@pytest.mark.parametrize("sent", [decontaminate.MAX_SENT, 0])
-def test_leaks_equal_brute_force(spark, monkeypatch, sent):
-    monkeypatch.setattr(decontaminate, "MAX_SENT", sent)
+@pytest.mark.parametrize("shard", [decontaminate.SHARD, 20])
+def test_leaks_equal_brute_force(spark, monkeypatch, shard):
+    monkeypatch.setattr(decontaminate, "SHARD", shard)
     r = random.Random(5)
     v = [f"w{i}" for i in range(400)]
     text = lambda n: [r.choice(v) for _ in range(n)]
@@ -133,15 +133,58 @@ def test_leaks_equal_brute_force(spark, monkeypatch, sent):
     assert clean == set(range(len(docs))) - {x[0] for x in want}
 
 
-@pytest.mark.parametrize("sent", [decontaminate.MAX_SENT, 0])
-def test_null_ids_leak_alike(spark, monkeypatch, sent):
-    monkeypatch.setattr(decontaminate, "MAX_SENT", sent)
+@pytest.mark.parametrize("shard", [decontaminate.SHARD, 3])
+def test_null_ids_leak_alike(spark, monkeypatch, shard):
+    monkeypatch.setattr(decontaminate, "SHARD", shard)
     one, two, three = (" ".join(f"{k}{i}" for i in range(9)) for k in "abc")
     docs = spark.createDataFrame([(1, f"x {one} y"), (None, f"{two} z"), (None, f"{one} {two}"), (2, three), (None, "clean words only"), (3, "q")], "doc_id long, text string")
     items = spark.createDataFrame([(7, two), (None, one), (None, "r s t u v w x y z")], "item_id long, text string")
     got = sorted(((x["doc_id"], x["item_id"], x["n_shared"]) for x in decontaminate.leaks(docs, items).collect()), key=repr)
     assert got == sorted([(1, None, 5), (None, 7, 5), (None, None, 5), (None, 7, 5)], key=repr)
-    assert {x["doc_id"] for x in decontaminate.decontaminated(docs, items).collect()} == {None, 2, 3}
+    kept = decontaminate.decontaminated(docs, items).collect()
+    assert sorted((x["doc_id"], x["text"]) for x in kept if x["doc_id"]) == [(2, three), (3, "q")] and [x["text"] for x in kept if x["doc_id"] is None] == ["clean words only"]
+
+
+def test_fewest_bits_are_those_of_the_bins():
+    s = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 400).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+    s = np.unique(np.concatenate([s, s[:5] + np.uint64(2), np.array([0, 1, (1 << 64) - 1, (1 << 53) - 1, 1 << 53], np.uint64)]))
+    need = decontaminate._fewest_bits(s)
+    for p in range(41):
+        assert set(np.flatnonzero(need <= p)) == set(decontaminate._bin_leasts(s, np.zeros(len(s), np.int64), np.array([p])))
+
+
+def test_ids_with_several_texts_join_their_classes(spark):
+    one, two = (" ".join(f"{k}{i}" for i in range(30)) for k in "ab")
+    docs = [(9, one), (9, two), (4, one + " more"), (7, two), (8, "else where entirely so"), (3, None), (3, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in near_dup.classes(df).collect()}
+    assert got == {(9, 4), (4, 4), (7, 4), (8, 8), (3, 3)}
+    kept = [(r["doc_id"], r["text"]) for r in near_dup.deduplicated(df).collect()]
+    assert sorted(x for x, _ in kept) == [3, 4, 8]
+    assert sorted(near_dup.deduplicated(df.orderBy(F.desc("text"))).collect()) == sorted(near_dup.deduplicated(df).collect())
+
+
+def test_links_hidden_from_the_hubs(spark, monkeypatch):
+    """Every document of a cluster is compared, also in many blocks and units."""
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 2000)
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(near_dup, "BLOCKS", 3)
+    monkeypatch.setattr(near_dup, "UNIT", 3)
+    monkeypatch.setattr(near_dup, "SHARD", 500)
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(100)]
+    docs = []
+    for g in range(25):
+        own = list(base)
+        for k in r.sample(range(100), 12):
+            own[k] = f"g{g}x{k}"
+        for c in range(3):
+            t = list(own)
+            t[r.randrange(100)] = f"c{c}"
+            docs.append((len(docs), " ".join(t)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_dup.classes(df, 2, 80).collect()}
+    assert got == brute_classes(docs, 2, 80)
 
 
 def test_token_hashes_follow_the_rule():
