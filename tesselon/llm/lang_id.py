@@ -9,33 +9,37 @@ what languages share does not count.
 
 Bundling is linear, so the product of a text's vector and a prototype is the sum
 over the text's trigrams of (trigram vector . prototype). Those SYMBOLS**3 products
-for each language are computed once and sent to the workers: SYMBOLS**3 * 4 bytes =
-1 MiB a language, at most MAX_LANGS of them, whatever the corpus is. A text's own
-length divides all its cosines alike; it cancels in the choice and in the score,
-the largest cosine's share of the positive ones.
+of each language are computed once, 1 MiB a language, stored in the shared folder by the
+tasks that compute them, and mapped into memory by the workers that score. Every
+language that occurs is learned, however many there are; the driver holds their names.
+A text's own length divides all its cosines alike; it cancels in the choice and in the
+score, the largest cosine's share of the positive ones.
 
 Defined results: null text or a text without a letter is ``und`` with score 0, and
-so is every text when nothing could be learned; ties go to the smaller language;
-repeated rows repeat; other columns are ignored. Texts are read whole.
+so is every text when nothing could be learned; rows with a null label or text teach
+nothing; ties go to the smaller language; rows with a null id learn and are not held
+out; repeated rows repeat, and count repeatedly; an empty table gives no rows; other
+columns are ignored. Texts are read whole.
 """
 
 from __future__ import annotations
 
 import functools
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselon.llm.common import bounded, crc_mod, table
+from tesselon.llm import arrays
+from tesselon.llm.common import bounded, crc_mod, free_name, new_folder, scratch, table
 from tesselon.llm.text import parts
 
 SYMBOLS = 64
 TRIGRAMS = SYMBOLS**3
 DIMENSIONS = 2048
-#: Languages learned, the most frequent ones; bounds the table sent to workers.
-MAX_LANGS = 128
 UNKNOWN = "und"
 
 
@@ -127,57 +131,90 @@ def count_trigrams(labelled: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, tri int, n long").groupBy("lang", "tri").agg(F.sum("n").alias("n"))
 
 
-def learn(labelled: DataFrame, seed: int = 7) -> tuple[list[str], np.ndarray]:
-    """(languages in order, products[language, trigram]). Collected: at most
-    SYMBOLS**3 counts for each of MAX_LANGS languages."""
-    counts = count_trigrams(labelled).persist()
-    named = [r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()]
-    langs = sorted(named)
-    profile = {x: np.zeros(TRIGRAMS, np.int64) for x in langs}
-    got = counts.where(F.col("lang").isin(langs)).toPandas() if langs else None
-    counts.unpersist()
-    if not langs:
-        return [], np.zeros((0, TRIGRAMS), np.float32)
-    for lang, g in got.groupby("lang"):
-        profile[lang][g["tri"].to_numpy()] = g["n"].to_numpy()
-    protos = np.stack([prototype(profile[x], seed) for x in langs])
-    protos /= np.maximum(np.linalg.norm(protos, axis=1, keepdims=True), 1e-12)
-    if len(langs) > 1:
-        protos -= protos.mean(axis=0)
-        protos /= np.maximum(np.linalg.norm(protos, axis=1, keepdims=True), 1e-12)
-    return langs, np.stack([products(p, seed) for p in protos]).astype(np.float32)
-
-
-def predict(docs: DataFrame, langs: list[str], weights: np.ndarray, keep: list[str], into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The kept columns of docs with the language and its score, named by into."""
+class Profiles(NamedTuple):
+    """Learned languages, in order, and the folder of their products."""
+
+    folder: str
+    langs: list[str]
+
+
+def learn(labelled: DataFrame, seed: int = 7) -> Profiles:
+    """Profiles of every language of labelled (text, lang). A task bundles the trigrams of
+    one language that begin with one letter; the driver gets names and one summed vector a
+    task."""
+    spark = labelled.sparkSession
+    folder = new_folder(spark, "languages")
+
+    def scaled(v: np.ndarray) -> np.ndarray:
+        return v / max(float(np.linalg.norm(v)), 1e-12)
+
+    def bundle(g: pd.DataFrame) -> pd.DataFrame:  # the trigrams of one first letter
+        counts = np.zeros(TRIGRAMS, np.int64)
+        counts[g["tri"].to_numpy()] = g["n"].to_numpy()
+        return pd.DataFrame({"lang": [g["lang"].iloc[0]], "vector": [prototype(counts, seed).tobytes()]})
+
+    def whole(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"lang": [g["lang"].iloc[0]], "vector": [scaled(sum(map(np.frombuffer, g["vector"]))).tobytes()]})
+
+    def total(batches):
+        held = np.zeros(DIMENSIONS)
+        for b in batches:
+            for v in b.column("vector").to_pylist():
+                held += np.frombuffer(v)
+        yield pa.RecordBatch.from_pydict({"vector": pa.array([held.tobytes()], pa.binary())})
+
+    with scratch(spark) as keep:
+        letters = count_trigrams(labelled).groupBy("lang", F.shiftright("tri", 2 * (SYMBOLS.bit_length() - 1))).applyInPandas(bundle, "lang string, vector binary")
+        protos = keep(letters.groupBy("lang").applyInPandas(whole, "lang string, vector binary"), "prototypes")
+        langs = sorted(r["lang"] for r in protos.select("lang").collect())
+        if not langs:
+            return Profiles(folder, [])
+        mean = sum(np.frombuffer(r["vector"]) for r in protos.select("vector").mapInArrow(total, "vector binary").collect()) / len(langs)
+
+        def store(batches):
+            place = {x: i for i, x in enumerate(langs)}
+            for b in batches:
+                done = []
+                for lang, v in zip(b.column("lang").to_pylist(), b.column("vector").to_pylist(), strict=True):
+                    proto = np.frombuffer(v)
+                    arrays.save(folder, str(place[lang]), {"products": products(scaled(proto - mean) if len(langs) > 1 else proto, seed).astype(np.float32)})
+                    done.append(lang)
+                yield pa.RecordBatch.from_pydict({"lang": pa.array(done, pa.string())})
+
+        protos.mapInArrow(store, "lang string").agg(F.count("*")).first()
+    return Profiles(folder, langs)
+
+
+def predict(docs: DataFrame, profiles: Profiles, keep: list[str], into: tuple[str, str] = ("lang_pred", "score"), text: str = "text") -> DataFrame:
+    """The kept columns of docs with the language of a text column and its score, named
+    by into."""
     bounded(docs)
-    schema = docs.select(*keep).schema
-    schema = schema.add(into[0], "string").add(into[1], "double")
-    names = pa.array([*langs, UNKNOWN], pa.string())
+    schema = docs.select(*keep).schema.add(into[0], "string").add(into[1], "double")
+    langs = profiles.langs
+    own = free_name("text", [*keep, *into])
 
     def run(batches):
-        for b in parts(batches, "__text"):
-            texts = b.column("__text").fill_null("").to_pylist()
+        files, names = arrays.Files(profiles.folder), pa.array([*langs, UNKNOWN], pa.string())
+        for b in parts(batches, own):
+            texts = b.column(own).fill_null("").to_pylist()
             owner, tri = trigrams(texts)
             n, k = len(texts), len(langs)
             best, score = np.full(n, k), np.zeros(n)
             if k:
-                dots = np.stack([np.bincount(owner, weights=w[tri], minlength=n) for w in weights])
+                dots = np.stack([np.bincount(owner, weights=files[str(i)]["products"][tri], minlength=n) for i in range(k)])
                 some = np.bincount(owner, minlength=n) > 0
                 share = np.maximum(dots, 0)
                 top = share.max(axis=0)
                 total = share.sum(axis=0)
                 best = np.where(some, dots.argmax(axis=0), k)
                 score = np.where(some & (total > 0), top / np.where(total > 0, total, 1), 0.0)
-            cols = [b.column(c) for c in keep] + [names.take(pa.array(best)), pa.array(score, pa.float64())]
+            cols = [b.column(i) for i in range(len(keep))] + [names.take(pa.array(best)), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, *into])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias(own)).mapInArrow(run, schema)
 
 
 def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    part = crc_mod("doc_id", 4)
-    langs, weights = learn(docs.where(F.coalesce(part != 2, F.lit(True))))
-    marked = docs.select("doc_id", (part == 2).alias("held_out"), "text")
-    return predict(marked, langs, weights, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")
+    marked = docs.withColumn("held_out", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)))
+    return predict(marked, learn(marked.where("NOT held_out")), ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")
