@@ -3,11 +3,12 @@
 A text is the first layer of a worklist. Each layer is scanned with the three
 kinds of pattern; then every line of it that holds percent (URL) escapes, Unicode
 escapes or character references, decoded in place with the text around them, and
-every stretch that decodes from base64 becomes a further layer, and so does compressed
-data inside base64 or percent escapes, until no new layer appears. No pattern spans
-lines. A layer whose content was seen on the way to it, or at the same place, is
-not entered again, so cycles end. Each decoded character remembers the stretch of the
-original text that it came from, so a finding in any layer maps to a span there.
+every stretch that decodes from base64, also one wrapped over lines, becomes a further
+layer, and so does data inside base64 or percent escapes that is compressed (gzip, zlib,
+raw deflate, bzip2, xz), until no new layer appears. No pattern spans lines. A layer whose
+content was seen on the way to it, or at the same place, is not entered again, so cycles
+end. A layer knows which stretches of the layer before it its stretches came from, so a
+finding in any layer maps, layer by layer, to a span of the original text.
 
 Kinds, leftmost and non-overlapping in each layer: assign (a secret's name, ``:`` or
 ``=``, a value of 12 characters or more), access (a key of 18 or more) and hex (16 or
@@ -17,31 +18,38 @@ Whether a text may hold anything at all is decided for a whole batch on its byte
 only such texts reach the patterns. Texts are read whole and no layer is dropped:
 bytes that are not UTF-8 are read as Latin-1, each by itself. Compressed data unfolds
 as a stream through all its members and as far as it is intact, wherever its header
-stands. Each PIECE bytes of it are a layer, which begins OVERLAP bytes or more before
-the end of the one before: at a space, or else in step with the run of base64 there.
-Only compressed data inside a run of base64 that is itself longer than that isn't
-unfolded beyond its first piece.
+stands (raw deflate has none and is tried on whole stretches). Each PIECE bytes of it are
+a layer, which begins OVERLAP bytes or more before the end of the one before: at a space,
+or else in step with the run of base64 there. Only compressed data inside a run of base64
+that is itself longer than that isn't unfolded beyond its first piece. A layer takes a few
+bytes for each of its characters; one escape takes 32 bytes more.
 
 Defined results: a null text is empty and has no spans; equal spans of one kind
-found in several layers count once among the added ones; repeated rows repeat;
-other columns are ignored.
+found in several layers count once among the added ones; findings that start together
+are ordered by kind, then end; repeated rows repeat; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bz2
 import hashlib
 import html
+import io
+import lzma
 import re
 import zlib
+from array import array
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselon.llm.common import bounded, table
+from tesselon.llm.common import bounded, free_name, table
 from tesselon.llm.text import buffers, parts
 
 KINDS = ("assign", "access", "hex")
@@ -55,8 +63,9 @@ UNICODE_ONE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa
 REFERENCE_ONE = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]{2,31});")
 BASE64_MIN = 22
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % BASE64_MIN)
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)+={0,2}" % BASE64_MIN)
 PIECE, OVERLAP = 16 << 20, 1 << 20
-PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00")
 
 
 def matches(text: str) -> list[tuple[str, int, int]]:
@@ -68,33 +77,48 @@ def matches(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _stream(data: memoryview, bits: int, at: list[int]):
+def _stream(data: memoryview, at: list[int], raw: bool = False):
     """What one compressed member unfolds to, in chunks as far as it is intact; at[0]
     becomes the place after it, if it ends."""
-    d, i = zlib.decompressobj(bits), 0
+    i, made = 0, 0
     try:
-        while not d.eof and (i < len(data) or d.unconsumed_tail):
-            if d.unconsumed_tail:
-                got = d.decompress(d.unconsumed_tail, 1 << 20)
-            else:
-                got = d.decompress(data[i : i + 4096], 1 << 20)
-                i += 4096
-            if got:
-                yield got
-        while not d.eof:  # nothing more to feed, but output may be held back
-            got = d.decompress(b"", 1 << 20)
-            if not got:
-                break
-            yield got
-    except zlib.error:
+        if data[:1] in (b"B", b"\xfd"):
+            d = bz2.BZ2Decompressor() if data[:1] == b"B" else lzma.LZMADecompressor()
+            while not d.eof and (i < len(data) or not d.needs_input):
+                chunk = data[i : i + 4096] if d.needs_input else b""
+                i += len(chunk)
+                if got := d.decompress(chunk, 1 << 20):
+                    yield got
+        else:
+            d = zlib.decompressobj(-15 if raw else 31 if data[0] == 0x1F else 15)
+            while not d.eof and (i < len(data) or d.unconsumed_tail):
+                chunk = d.unconsumed_tail or data[i : i + 4096]
+                i += 0 if d.unconsumed_tail else len(chunk)
+                if got := d.decompress(chunk, 1 << 20):
+                    yield got
+            while not d.eof:  # nothing more to feed, but output may be held back
+                made = d.decompress(b"", 1 << 20)
+                if not made:
+                    break
+                yield made
+    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
         return
     if d.eof:
         at[0] = min(i, len(data)) - len(d.unused_data)
 
 
+def _deflated(data: bytes) -> bool:
+    """Whether bytes without a header are raw deflate, as a whole."""
+    at = [0]
+    return sum(map(len, _stream(memoryview(data), at, True))) > 0 and at[0] == len(data)
+
+
 def _unpacked(data: bytes):
     """Texts that the compressed members in some bytes unfold to."""
     view, start = memoryview(data), 0
+    if data and not PACKED.search(data) and _deflated(data):
+        yield from _pieces(view, [0], True)
+        return
     while start < len(data):
         if start == 0 and len(data) > 2 and data[0] & 0x0F == 8 and (data[0] << 8 | data[1]) % 31 == 0:
             low = 0
@@ -102,25 +126,33 @@ def _unpacked(data: bytes):
             low = m.start()
         else:
             return
-        held = bytearray()
-        while True:  # members that follow each other are one stream
-            at = [0]
-            for got in _stream(view[low:], 31 if data[low] == 0x1F else 15, at):
-                held += got
-                if len(held) >= PIECE:
-                    yield _text(bytes(held))
-                    cut = len(held) - OVERLAP
-                    space = max(held.rfind(c, 1, cut) for c in (b" ", b"\n", b"\t", b"\r"))
-                    if space <= len(held) // 2:
-                        other = np.flatnonzero(~_SIXTY[np.frombuffer(bytes(held[:cut]), np.uint8)])
-                        space = cut - (cut - (int(other[-1]) + 1 if len(other) else 0)) % 4
-                    del held[:space]
-            low += at[0] or 1
-            if not at[0] or not PACKED.match(data, low):
-                break
-        start = low
-        if held:
-            yield _text(bytes(held))
+        after = [low]
+        yield from _pieces(view, after, False)
+        start = after[0]
+
+
+def _pieces(view: memoryview, after: list[int], raw: bool):
+    """Texts of the members that follow each other from after[0] on, which are one
+    stream; after[0] becomes the place behind them."""
+    held, low = bytearray(), after[0]
+    while True:
+        at = [0]
+        for got in _stream(view[low:], at, raw):
+            held += got
+            if len(held) >= PIECE:
+                yield _text(bytes(held))
+                cut = len(held) - OVERLAP
+                space = max(held.rfind(c, 1, cut) for c in (b" ", b"\n", b"\t", b"\r"))
+                if space <= len(held) // 2:
+                    other = np.flatnonzero(~_SIXTY[np.frombuffer(bytes(held[:cut]), np.uint8)])
+                    space = cut - (cut - (int(other[-1]) + 1 if len(other) else 0)) % 4
+                del held[:space]
+        low += at[0] or 1
+        if raw or not at[0] or not PACKED.match(view, low):
+            break
+    after[0] = low
+    if held:
+        yield _text(bytes(held))
 
 
 def _text(data: bytes) -> str:
@@ -131,46 +163,86 @@ def _text(data: bytes) -> str:
         return re.sub("[\udc80-\udcff]", lambda m: chr(ord(m[0]) - 0xDC00), data.decode("utf-8", "surrogateescape"))
 
 
-def _read(data: bytes) -> tuple[str, np.ndarray, np.ndarray]:
-    """(text, where each character starts and ends) of bytes; those that are not
-    UTF-8 are Latin-1."""
+def _read(data: bytes) -> tuple[str, np.ndarray | None]:
+    """(text, the place after each character if there are others than ASCII) of bytes;
+    those that are not UTF-8 are Latin-1."""
+    if data.isascii():
+        return data.decode("ascii"), None
     text = data.decode("utf-8", "surrogateescape")
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     odd = (points >= 0xDC80) & (points <= 0xDCFF)
-    width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+    width = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
     if odd.any():
         width[odd] = 1
         text = np.where(odd, points - 0xDC00, points).astype(np.uint32).tobytes().decode("utf-32-le")
-    ends = np.cumsum(width)
-    return text, ends - width, ends
-
-
-def _placed(part: str, new: list[tuple[int, int, str]]) -> tuple[str, np.ndarray, np.ndarray]:
-    """part with stretches (start, end, text) replaced, and the span in part of each
-    character."""
-    out, low, high, count, same, at = [], [], [], [], [], 0
-    for a, z, got in [*new, (len(part), len(part), "")]:
-        out += [part[at:a], got]
-        low += [at, a]
-        high += [a, z]
-        count += [a - at, len(got)]
-        same += [1, 0]
-        at = z
-    kind = np.int32 if len(part) < 1 << 28 else np.int64
-    n, same = np.array(count), np.repeat(np.array(same, kind), count)
-    s = np.arange(n.sum(), dtype=kind)
-    s -= np.repeat((np.cumsum(n) - n).astype(kind), n)
-    s *= same
-    s += np.repeat(np.array(low, kind), n)
-    return "".join(out), s, np.where(same == 1, s + 1, np.repeat(np.array(high, kind), n))
-
-
-def _percent(part: str):
-    new = []
+    return text, np.cumsum(width, dtype=np.int32 if len(data) < 1 << 31 else np.int64)
+
+
+class Places:
+    """Which stretches of a source the stretches of a decoded text came from: step source
+    characters for each character, or all of the stretch for any of it where step is 0."""
+
+    def __init__(self):
+        self.low, self.start, self.end, self.step = array("q"), array("q"), array("q"), array("b")
+
+    def add(self, low: int, start: int, end: int, step: int) -> None:
+        self.low.append(low)
+        self.start.append(start)
+        self.end.append(end)
+        self.step.append(step)
+
+    def span(self, a: int, z: int) -> tuple[int, int]:
+        i, j = bisect_right(self.low, a) - 1, bisect_right(self.low, z - 1) - 1
+        return self.start[i] + self.step[i] * (a - self.low[i]), self.start[j] + self.step[j] * (z - self.low[j]) if self.step[j] else self.end[j]
+
+
+class Base64Places:
+    """The same for a text that was base64; index holds the places of its characters in
+    a wrapped source."""
+
+    def __init__(self, ends: np.ndarray | None, size: int, index: np.ndarray | None):
+        self.ends, self.size, self.index = ends, size, index
+
+    def span(self, a: int, z: int) -> tuple[int, int]:
+        if self.ends is not None:
+            a, z = int(self.ends[a - 1]) if a else 0, int(self.ends[z - 1])
+        a, z = a * 8 // 6, min(self.size, (z * 8 - 1) // 6 + 1)
+        return (a, z) if self.index is None else (int(self.index[a]), int(self.index[z - 1]) + 1)
+
+
+class _Decoding:
+    """A text that is decoded in place, from left to right."""
+
+    def __init__(self, source: str):
+        self.source, self.out, self.places, self.n, self.at = source, io.StringIO(newline=""), Places(), 0, 0
+
+    def put(self, text: str, start: int, end: int, step: int) -> None:
+        """Text for a stretch of the source; what stands before it is copied."""
+        if start > self.at:
+            self.places.add(self.n, self.at, start, 1)
+            self.n += self.out.write(self.source[self.at : start])
+        if text:
+            self.places.add(self.n, start, end, step)
+            self.n += self.out.write(text)
+        self.at = end
+
+    def done(self) -> tuple[str, Places]:
+        self.put("", len(self.source), len(self.source), 0)
+        return self.out.getvalue(), self.places
+
+
+def _percent(part: str) -> tuple[str, Places]:
+    d = _Decoding(part)
     for m in URL_MANY.finditer(part):
-        text, s, e = _read(bytes.fromhex(m[0].replace("%", "")))
-        new += zip((m.start() + 3 * s).tolist(), (m.start() + 3 * e).tolist(), text, strict=True)
-    return _placed(part, new)
+        text, ends = _read(bytes.fromhex(m[0].replace("%", "")))
+        if ends is None:
+            d.put(text, m.start(), m.end(), 3)
+            continue
+        low = 0
+        for ch, high in zip(text, ends.tolist(), strict=True):
+            d.put(ch, m.start() + 3 * low, m.start() + 3 * high, 0)
+            low = high
+    return d.done()
 
 
 def _percent_bytes(part: str) -> bytes:
@@ -181,28 +253,31 @@ def _percent_bytes(part: str) -> bytes:
     return bytes(out + part[at:].encode())
 
 
-def _escapes(part: str, one: re.Pattern):
-    new = []
+def _escapes(part: str, one: re.Pattern) -> tuple[str, Places]:
+    d = _Decoding(part)
+    high = None  # the first half of a character that is written as two escapes
     for m in one.finditer(part):
-        raw = m[0]
+        raw, start = m[0], m.start()
         if raw[0] == "&":
             got = html.unescape(raw)
         else:
             code = int(raw[2:].strip("{}"), 16)
             got = chr(code) if code <= 0x10FFFF else raw
-        new.append((m.start(), m.end(), got))
-    text, s, e = _placed(part, new)
-    if not re.search("[\ud800-\udfff]", text):
-        return text, s, e
-    out, k = [], 0
-    while k < len(text):  # surrogate halves written as two escapes
-        if "\ud800" <= text[k] <= "\udbff" and k + 1 < len(text) and "\udc00" <= text[k + 1] <= "\udfff":
-            out.append((chr(0x10000 + ((ord(text[k]) & 0x3FF) << 10) + (ord(text[k + 1]) & 0x3FF)), s[k], e[k + 1]))
-            k += 2
-        else:
-            out.append((text[k] if not "\ud800" <= text[k] <= "\udfff" else "�", s[k], e[k]))
-            k += 1
-    return "".join(x[0] for x in out), np.array([x[1] for x in out]), np.array([x[2] for x in out])
+            if high is not None:
+                if 0xDC00 <= code <= 0xDFFF and high[2] == start:
+                    got, start = chr(0x10000 + ((high[0] & 0x3FF) << 10) + (code & 0x3FF)), high[1]
+                else:
+                    d.put("\ufffd", high[1], high[2], 0)
+                high = None
+            if len(got) == 1 and 0xD800 <= ord(got) <= 0xDBFF:
+                high = (code, start, m.end())
+                continue
+            if len(got) == 1 and 0xDC00 <= ord(got) <= 0xDFFF:
+                got = "\ufffd"
+        d.put(got, start, m.end(), 0)
+    if high is not None:
+        d.put("\ufffd", high[1], high[2], 0)
+    return d.done()
 
 
 def _base64(part: str):
@@ -215,22 +290,32 @@ def _base64(part: str):
         return None
 
 
-def _base64_layers(at: int, part: str):
-    data = _base64(part)
+def _base64_layers(at: int, part: str, index: np.ndarray | None = None, size: int | None = None):
+    """Layers of a run of base64 that stands at a place; index and size are those of the
+    wrapped stretch that it was taken from."""
+    data, end = _base64(part), at + (size or len(part))
     if data is not None:
         for plain in _unpacked(data):
-            yield at, at + len(part), plain, None, None
-        n = len(part.rstrip("="))
-        text, s, e = _read(data)
-        yield at, at + len(part), text, s * 8 // 6, np.minimum(n, (e * 8 - 1) // 6 + 1)
+            yield at, end, plain, None
+        text, ends = _read(data)
+        yield at, end, text, Base64Places(ends, len(part.rstrip("=")), index)
         if len(text.encode()) == len(data) and text.isprintable():
             return
-    if re.search(r"[/_-]", part):
+    if index is None and re.search(r"[/_-]", part):
         for m in re.finditer(r"[A-Za-z0-9+]{%d,}={0,2}" % BASE64_MIN, part):
             if m[0] != part:
                 yield from _base64_layers(at + m.start(), m[0])
 
 
+def _wrapped_layers(at: int, part: str):
+    lines = part.split("\n")
+    size = [len(x.strip()) for x in lines]
+    if any(n != size[0] for n in size[:-1]) or size[-1] > size[0] + 2:
+        return
+    solid = ~np.isin(np.frombuffer(part.encode("ascii"), np.uint8), list(b" \t\r\n"))
+    yield from _base64_layers(at, "".join(part.split()), np.flatnonzero(solid).astype(np.int32), len(part))
+
+
 def _runs_with(one: re.Pattern, run: re.Pattern, text: str):
     """The runs of a text that hold an escape, each once, in time linear in the text."""
     if one.search(text):
@@ -240,11 +325,11 @@ def _runs_with(one: re.Pattern, run: re.Pattern, text: str):
 
 
 def layers(text: str):
-    """(start, end, decoded text, starts, ends) of each decodable stretch; starts
-    and ends are relative to start, or None where only the stretch is known."""
+    """(start, end, decoded text, places) of each decodable stretch; places are
+    relative to start, or None where only the stretch is known."""
     for m in _runs_with(URL_ONE, URL_RUN, text):
         for plain in _unpacked(_percent_bytes(m[0])):
-            yield m.start(), m.end(), plain, None, None
+            yield m.start(), m.end(), plain, None
     for m in _runs_with(URL_ONE, LINE, text):
         yield m.start(), m.end(), *_percent(m[0])
     for one in (UNICODE_ONE, REFERENCE_ONE):
@@ -252,6 +337,27 @@ def layers(text: str):
             yield m.start(), m.end(), *_escapes(m[0], one)
     for m in BASE64.finditer(text):
         yield from _base64_layers(m.start(), m[0])
+    for m in WRAPPED.finditer(text):
+        yield from _wrapped_layers(m.start(), m[0])
+
+
+class _Layer:
+    """A text and the stretch of the layer above that it was decoded from."""
+
+    def __init__(self, text: str, above: _Layer | None = None, low: int = 0, high: int = 0, places=None):
+        self.text, self.above, self.low, self.high, self.places = text, above, low, high, places
+
+    def origin(self, a: int, z: int) -> tuple[int, int]:
+        """The span of the original text that [a, z) came from."""
+        layer = self
+        while layer.above is not None:
+            if layer.places is None:
+                a, z = layer.low, layer.high
+            else:
+                a, z = layer.places.span(a, z)
+                a, z = a + layer.low, z + layer.low
+            layer = layer.above
+        return a, z
 
 
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -260,30 +366,22 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
     order = lambda x: (x[1], rank[x[0]], x[2])
     base = sorted(matches(text), key=order)
     known, added = set(base), set()
-    work = [(text, None, None, 0, 0, frozenset([text]))]
+    work = [(_Layer(text), frozenset([text]))]
     entered: set[tuple[int, int, str]] = set()
     while work:
-        layer, starts, ends, low, high, seen = work.pop()
-        if seen and layer is not text:
-            for kind, a, z in matches(layer):
-                span = (kind, int(starts[a]), int(ends[z - 1])) if starts is not None else (kind, low, high)
+        layer, seen = work.pop()
+        if layer.above is not None:
+            for kind, a, z in matches(layer.text):
+                span = (kind, *layer.origin(a, z))
                 if span not in known:
                     added.add(span)
-        for a, z, plain, s, e in layers(layer):
-            if plain in seen or plain == layer[a:z]:
-                continue
-            if layer is text:
-                origin, end = a, z
-                up = (a + s, a + e) if s is not None else (None, None)
-            elif starts is None:
-                origin, end, up = low, high, (None, None)
-            else:
-                origin, end = int(starts[a]), int(ends[z - 1])
-                up = (starts[a + s], ends[a + e - 1]) if s is not None else (None, None)
-            if (origin, end, plain) in entered:
+        for a, z, plain, places in layers(layer.text):
+            if not plain or plain in seen or plain == layer.text[a:z]:
                 continue
-            entered.add((origin, end, plain))
-            work.append((plain, *up, origin, end, seen | {plain}))
+            place = (*layer.origin(a, z), plain)
+            if place not in entered:
+                entered.add(place)
+                work.append((_Layer(plain, layer, a, z, places), seen | {plain}))
     return base, sorted(added, key=order)
 
 
@@ -336,21 +434,21 @@ def scan_documents(docs: DataFrame, keep: list[str]) -> DataFrame:
     bounded(docs)
     spans = "array<struct<kind:string,start:long,end:long>>"
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    empty = docs.select(*keep).schema
+    empty, own = docs.select(*keep).schema, free_name("text", [*keep, "base_spans", "added_spans"])
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in empty] + [f"base_spans {spans}", f"added_spans {spans}"])
 
     def run(batches):
-        for b in parts(batches, "__text"):
-            col = b.column("__text")
+        for b in parts(batches, own):
+            col = b.column(own)
             base: list = [[] for _ in range(len(col))]
             more: list = [[] for _ in range(len(col))]
             for i in suspects(col):
                 x, y = scan(col[int(i)].as_py() or "")
                 base[i] = [{"kind": k, "start": a, "end": z} for k, a, z in x]
                 more[i] = [{"kind": k, "start": a, "end": z} for k, a, z in y]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(base, kind), pa.array(more, kind)], names=[*keep, "base_spans", "added_spans"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(base, kind), pa.array(more, kind)], names=[*keep, "base_spans", "added_spans"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias(own)).mapInArrow(run, schema)
 
 
 def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:

@@ -1,9 +1,12 @@
 """Extraction, chat formatting, secrets, the pipeline and the registered SQL."""
 
 import base64
+import bz2
 import glob
 import gzip
 import hashlib
+import html
+import lzma
 import os
 import random
 import re
@@ -102,6 +105,12 @@ def test_density_decides_on_pages_with_articles():
     assert html_text.main_text(f"<article><p>{PROSE}</p><aside>Buy</aside><p>The end.</p></article>") == f"{clean} The end."
 
 
+def test_scripts_end_at_their_end_tag_and_long_notices_stay():
+    clean = PROSE.strip()
+    assert html_text.main_text(f"<script src=x />var a = 'the of and to in';</script><div>{PROSE}</div><svg/><div>{PROSE}</div>") == f"{clean} {clean}"
+    assert html_text.main_text(f"<div>{PROSE}</div><div>© {PROSE}</div><div>© 2020 The Paper</div>") == f"{clean} © {clean}"
+
+
 def test_names_are_matched_whole():
     clean = PROSE.strip()
     for wrapper in ('div class="content-sidebar-wrap"', 'div class="layout has-sidebar"', 'div data-id="comments"', 'div title="hidden gem"', 'a name="x"', "title-bar", "map-view", "video-player", "nav-page"):
@@ -113,8 +122,6 @@ def test_names_are_matched_whole():
 def test_generated_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
     got = {r["page_id"]: r["text"] for r in html_text.op4_html_text(spark, SF).collect()}
-    import html
-
     for p in pages:
         m = re.search(r"<article>(.*?)(</article>|\Z)", p["html"], re.S)
         inner = re.sub(r"<[^>]*>", "", re.sub(r"</?(p|h1|br)[^>]*>", " ", m[1])) if m else ""
@@ -163,6 +170,132 @@ def test_unclean_layers_are_scanned(hidden):
     assert any(x[0] == "assign" and 2 <= x[1] < x[2] <= 2 + len(hidden) for x in secret_scan.scan(f"x {hidden} y")[1])
 
 
+@pytest.mark.parametrize("wide", [20, 64, 76])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  "])
+def test_wrapped_base64(wide, end):
+    body = base64.b64encode(f"some words first, then password = {'q9' * 12} and some more of them after that".encode()).decode()
+    hidden = end.join(body[i : i + wide] for i in range(0, len(body), wide))
+    found = [x for x in secret_scan.scan(f"é\n{hidden}\nafter")[1] if x[0] == "assign"]
+    if wide < secret_scan.BASE64_MIN:
+        return
+    a, z = found[-1][1:]
+    part = "".join(f"é\n{hidden}\nafter"[a:z].split())
+    assert body.index(part) // 4 <= len("some words first, then password") // 3 and b"q9q9q9q9" in base64.b64decode(part[-body.index(part) % 4 :][: len(part) // 4 * 4 - 4])
+
+
+@pytest.mark.parametrize("pack", [zlib.compress, gzip.compress, bz2.compress, lzma.compress, lambda x: zlib.compress(x, wbits=-15)], ids=["zlib", "gzip", "bz2", "xz", "deflate"])
+def test_kinds_of_compression(pack):
+    for inside in (SECRET.encode(), pack(SECRET.encode() * 3)):
+        hidden = base64.b64encode(pack(inside) + (b"" if inside[:1] == b"t" else b"")).decode()
+        if inside[:1] == b"t":
+            assert any(x == ("assign", 2, 2 + len(hidden)) for x in secret_scan.scan(f"x {hidden} y")[1])
+    assert any(x[0] == "assign" for x in secret_scan.scan("".join(f"%{c:02X}" for c in pack(SECRET.encode())))[1])
+
+
+def plain_layers(cells):
+    """Layers of a list of (character, start, end) by the rules, cell by cell."""
+    text = "".join(c for c, _, _ in cells)
+
+    def of_bytes(data, where):  # where(first byte, last byte) -> span
+        out, at = [], 0
+        while at < len(data):
+            for n in (1, 2, 3, 4):
+                try:
+                    ch = data[at : at + n].decode()
+                    break
+                except UnicodeDecodeError:
+                    continue
+            else:
+                ch, n = chr(data[at]), 1
+            out.append((ch, *where(at, at + n)))
+            at += n
+        return out
+
+    def packed(data, span):
+        for wbits in (47, -15):
+            try:
+                d = zlib.decompressobj(wbits)
+                got = d.decompress(data)
+                if d.eof and got and (wbits > 0 or not d.unused_data and not re.search(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]", data)):
+                    return [(c, *span) for c, _, _ in of_bytes(got, lambda a, z: span)]
+            except zlib.error:
+                pass
+        return None
+
+    for m in re.finditer(r"[^\n]+", text):
+        for one in (r"%[0-9A-Fa-f]{2}", r"\\u[0-9A-Fa-f]{4}", r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]{2,31});"):
+            if not re.search(one, m[0]):
+                continue
+            out, at = [], m.start()
+            for x in re.finditer(f"(?:{one})+" if one[0] == "%" else one, text[: m.end()][m.start() :]):
+                a, z = m.start() + x.start(), m.start() + x.end()
+                out += cells[at:a]
+                if one[0] == "%":
+                    out += of_bytes(bytes.fromhex(x[0].replace("%", "")), lambda b, e, a=a: (cells[a + 3 * b][1], cells[a + 3 * e - 1][2]))
+                else:
+                    got = html.unescape(x[0]) if x[0][0] == "&" else chr(int(x[0][2:], 16))
+                    out += [(c, cells[a][1], cells[z - 1][2]) for c in got]
+                at = z
+            yield out + cells[at : m.end()], text[m.start() : m.end()]
+    for m in re.finditer(r"[^\s<>\"]+", text):
+        if re.search(r"%[0-9A-Fa-f]{2}", m[0]):
+            got = packed(urllib.parse.unquote_to_bytes(m[0]), (cells[m.start()][1], cells[m.end() - 1][2]))
+            if got:
+                yield got, m[0]
+    for m in re.finditer(r"[A-Za-z0-9+/]{22,}={0,2}", text):
+        body = m[0].rstrip("=")
+        if len(body) % 4 != 1:
+            data = base64.b64decode(body + "=" * (-len(body) % 4))
+            got = packed(data, (cells[m.start()][1], cells[m.end() - 1][2]))
+            if got:
+                yield got, m[0]
+            yield of_bytes(data, lambda b, e, m=m, n=len(body): (cells[m.start() + b * 8 // 6][1], cells[m.start() + min(n, -(-e * 8 // 6)) - 1][2])), m[0]
+
+
+def plain_scan(text):
+    base, added, done = set(base_spans(text)), set(), set()
+
+    def go(cells, seen):
+        for out, source in plain_layers(cells):
+            inner = "".join(c for c, _, _ in out)
+            if not inner or inner in seen or inner == source or tuple(out) in done:
+                continue
+            done.add(tuple(out))
+            added.update((k, out[a][1], out[z - 1][2]) for k, a, z in base_spans(inner))
+            go(out, seen | {inner})
+
+    go([(c, i, i + 1) for i, c in enumerate(text)], {text})
+    return sorted(added - base)
+
+
+def test_added_spans_equal_brute_force():
+    r = random.Random(11)
+    some = lambda f: lambda t: "".join(f(c) if r.random() < 0.4 else c for c in t)
+    ways = [urllib.parse.quote, some(lambda c: "".join(f"%{b:02x}" for b in c.encode())), some(lambda c: f"\\u{ord(c):04x}" if ord(c) < 65536 else c), some(lambda c: f"&#{ord(c)};"), lambda t: base64.b64encode(t.encode()).decode(), lambda t: base64.b64encode(gzip.compress(t.encode())).decode(), lambda t: base64.b64encode(zlib.compress(t.encode())).decode(), lambda t: urllib.parse.quote(zlib.compress(t.encode())), html.escape]
+    things = [SECRET, "AKIA" + "Q7" * 9, "0123456789abcdef" * 2, "api_key: 'é" + "k" * 14 + "'", "passwd=" + "Z" * 13 + "é secret : " + "y" * 12]
+    hits = 0
+    for _ in range(120):
+        t = r.choice(things)
+        for _ in range(r.randint(1, 3)):
+            t = f"{r.choice(['', 'é ', 'a=b '])}{r.choice(ways)(t)}"
+        t = f"{r.choice(['', 'one é two ', 'line\n'])}{t}{r.choice(['', ' tail', '\né next'])}"
+        got, want = secret_scan.scan(t)[1], plain_scan(t)
+        hits += bool(want)
+        assert sorted(got) == want, t
+    assert hits > 60
+
+
+def test_long_texts_stay_small():
+    import tracemalloc
+
+    line = "word " * 400_000 + "&amp; password%3D" + "q1" * 10 + " " + "\\u0041" * 200_000 + " " + "%41" * 300_000
+    tracemalloc.start()
+    _, added = secret_scan.scan(line)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert any(x[0] == "assign" and x[1] == 2_000_006 for x in added) and peak < 30 * len(line)
+
+
 def test_compressed_pieces_overlap(monkeypatch):
     monkeypatch.setattr(secret_scan, "PIECE", 1 << 20)
     monkeypatch.setattr(secret_scan, "OVERLAP", 1 << 10)
@@ -248,6 +381,35 @@ def test_pipeline_equals_brute_force(spark):
         assert back[d] == out + t[at:]
 
 
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, tables of nulls, and columns with the names that stages use inside."""
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    names = ["__text", "_text", "lang_found", "lang_score", "key", "n_tokens", "component_id", "node"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    row = lambda i, t, lang="en": (i, t, lang, "s", 1, *names)
+    tables = {
+        "empty": ([], []),
+        "nulls": ([row(None, None, None), row(None, "", None), row(None, f"one {item} two"), row(None, f"{SECRET} stays here for now"), row(7, None)], [(None, item), (None, None), (1, "")]),
+        "none": ([row(1, "plain words of this text", None), row(None, "und noch ein paar worte", None)], []),
+    }
+    for name, (docs, items) in tables.items():
+        d = str(tmp_path / name)
+        spark.createDataFrame(docs, schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        frame = spark.read.parquet(f"{d}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            frame = stage(spark, frame, d)
+            assert frame.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
+            assert all(tuple(r)[5:] == tuple(names) for r in frame.collect())
+        out = corpus_pipeline.run(spark, d).collect()
+        assert len(out) == {"empty": 0, "nulls": 1, "none": 2}[name]
+        for query in ("op1_decontaminate", "op6_secret_scan", "op9_near_dup", "op10_lang_id", "op8_pieces", "op3_ngram_lm"):
+            got = registry.queries()[query](spark, d)
+            assert got.count() == (len(docs) if query != "op1_decontaminate" else sum(bool(t and item in t) for _, t, *_ in docs) * bool(items))
+
+
 def test_modules_have_documented_edge_cases():
-    for m in (chat_format, decontaminate, html_text, near_dup, pieces, secret_scan):
+    from tesselon.llm import lang_id, ngram_lm, topk_search, toxicity
+
+    for m in (chat_format, decontaminate, html_text, near_dup, pieces, secret_scan, corpus_pipeline, lang_id, ngram_lm, topk_search, toxicity):
         assert "Defined results" in m.__doc__
