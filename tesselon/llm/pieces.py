@@ -42,7 +42,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from tesselon.llm import text as T
-from tesselon.llm.common import bounded, table
+from tesselon.llm.arrays import ranges
+from tesselon.llm.common import bounded, free_name, scratch, table, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIT = 1024
@@ -196,7 +197,7 @@ class Vocabulary:
         u = self.units(text, points, starts, ends)
         at, n, _, pool = self.unit_arrays()
         before = np.concatenate([[0], np.cumsum(n[u])])
-        ids = pool[_ranges(at[u], n[u])]
+        ids = pool[ranges(at[u], n[u])]
         return ids, before[np.searchsorted(starts, begins)]
 
     @functools.cached_property
@@ -207,7 +208,7 @@ class Vocabulary:
     def decode_bytes(self, ids: np.ndarray, starts: np.ndarray) -> tuple[bytes, np.ndarray]:
         """(bytes of all texts, offsets) of encoded texts, the space in front gone."""
         at, n, pool = self.bytes_table
-        raw = pool[_ranges(at[ids], n[ids])]
+        raw = pool[ranges(at[ids], n[ids])]
         offsets = np.concatenate([[0], np.cumsum(n[ids])])[starts]
         some = np.flatnonzero(np.diff(offsets) > 0)
         keep = np.ones(len(raw), bool)
@@ -301,7 +302,7 @@ class Vocabulary:
         if len(cut) > 1:
             u = self.units(text, points, cut[:-1], cut[1:])
             at, size, _, pool = self.unit_arrays()
-            shared = shared + pool[_ranges(at[u], size[u])].tolist()
+            shared = shared + pool[ranges(at[u], size[u])].tolist()
         last = int(cut[-1])
         tail, pointers = self._tail(text, last, n)
         return shared, [(j, k_in, self._walk(text, pointers, last, n + j)) for j in range(s) if n + j in tail and n + j <= len(text)]
@@ -325,12 +326,6 @@ def _stretch_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return T.mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def _ranges(at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """at[0], at[0]+1, ... (n[0] of them), at[1], ..."""
-    before = np.cumsum(n) - n
-    return np.repeat(at - before, n) + np.arange(int(n.sum()))
-
-
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The (max, +) product of stacks of matrices (or of row vectors and matrices)."""
     out = (a[..., :, :, None] + b[..., None, :, :]).max(axis=-2)
@@ -350,15 +345,16 @@ def encode(docs: DataFrame, keep: list[str], vocabulary: Vocabulary, giant: int
     """The kept columns with n_tokens, token_ids and round_trip (decoding gives
     the text back)."""
     bounded(docs)
-    base = docs.select(*keep, F.col("text").alias("__text"))
-    small = base.where(F.coalesce(F.length("__text") <= giant, F.lit(True)))
-    large = base.where(F.length("__text") > giant)
+    added = ["n_tokens", "token_ids", "round_trip"]
+    own = free_name("text", [*keep, *added, "key"])
+    base = docs.select(*keep, F.col("text").alias(own))
+    small = base.where(F.coalesce(F.length(own) <= giant, F.lit(True)))
+    large = base.where(F.length(own) > giant)
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("token_ids", ArrayType(IntegerType())).add("round_trip", "boolean")
-    names = [*keep, "n_tokens", "token_ids", "round_trip"]
 
     def run(batches):
-        for b in T.parts(batches, "__text", 1 << 21):
-            col = b.column("__text").fill_null("")
+        for b in T.parts(batches, own):
+            col = b.column(own).fill_null("")
             ids, starts = vocabulary.encode(col.to_pylist())
             raw, offsets = T.buffers(col)
             back, where = vocabulary.decode_bytes(ids, starts)
@@ -367,23 +363,40 @@ def encode(docs: DataFrame, keep: list[str], vocabulary: Vocabulary, giant: int
                 whole = raw.tobytes()
                 same = np.array([back[where[i] : where[i + 1]] == whole[offsets[i] : offsets[i + 1]] for i in range(len(col))])
             lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(np.diff(starts)), lists, pa.array(same)], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.diff(starts)), lists, pa.array(same)], names=[*keep, *added])
 
     short = small.mapInArrow(run, schema)
-    long = large.withColumn("key", F.sha2(F.col("__text").cast("binary"), 256)).join(
-        encode_giants(large, vocabulary, chunk).select("key", "n_tokens", "token_ids", "round_trip"), "key"
-    )
-    return short.unionAll(long.select(*names))
+    giants = encode_giants(large.select(F.col(own).alias("text")), vocabulary, chunk)
+    if not giants.limit(1).count():
+        return short
+    key = free_name("key", [*keep, *added])
+    long = large.withColumn(key, F.sha2(F.col(own).cast("binary"), 256)).drop(own).join(giants.withColumnRenamed("key", key), key)
+    return short.unionAll(long.select(*[F.col(f"`{c}`") for c in [*keep, *added]]))
 
 
 def encode_giants(large: DataFrame, vocabulary: Vocabulary, chunk: int = CHUNK) -> DataFrame:
-    """key (SHA-256 of __text), n_tokens, token_ids, round_trip of distinct texts."""
+    """key (SHA-256 of the text), n_tokens, token_ids, round_trip of distinct texts. Each
+    text is cut in one pass; what is shuffled are chunks."""
+    with scratch(large.sparkSession) as keep:
+        return written(_encoded_chunks(keep(_chunks(large, vocabulary.max, chunk), "chunks"), vocabulary), "giants")
+
+
+def _chunks(large: DataFrame, s: int, chunk: int) -> DataFrame:
+    """key, c, part (with the s - 1 characters after it), n of the chunks of each text."""
+
+    def cut(batches):
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                key, text = hashlib.sha256(text.encode()).hexdigest(), " " + text
+                rows = [(key, c, text[a : a + chunk + s - 1], min(chunk, len(text) - a)) for c, a in enumerate(range(0, len(text), chunk))]
+                for i in range(0, len(rows), 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 16], strict=True), (pa.string(), pa.int32(), pa.string(), pa.int32()), strict=True)], names=["key", "c", "part", "n"])
+
+    return large.mapInArrow(cut, "key string, c int, part string, n int").dropDuplicates(["key", "c"])
+
+
+def _encoded_chunks(chunks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     s = vocabulary.max
-    spaced = large.select(F.sha2(F.col("__text").cast("binary"), 256).alias("key"), F.concat(F.lit(" "), "__text").alias("t")).groupBy("key").agg(F.first("t").alias("t"))
-    cuts = spaced.select("key", "t", F.explode(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / chunk).cast("int"))).alias("c"))
-    chunks = cuts.select(
-        "key", "c", F.substr("t", F.col("c") * chunk + 1, F.lit(chunk + s - 1)).alias("part"), F.least(F.lit(chunk), F.length("t") - F.col("c") * chunk).cast("int").alias("n")
-    ).repartition("key", "c")
 
     def matrices(batches):
         for b in batches:
@@ -439,11 +452,11 @@ def decode(encoded: DataFrame, keep: list[str], vocabulary: Vocabulary, column:
     """The kept columns with text; null ids give null, bytes that are no UTF-8 give
     U+FFFD, ids outside the vocabulary nothing."""
     bounded(encoded)
-    schema = encoded.select(*keep).schema.add("text", "string")
+    schema, own = encoded.select(*keep).schema.add("text", "string"), free_name("ids", [*keep, "text"])
 
     def run(batches):
         for b in batches:
-            col = b.column("__ids")
+            col = b.column(own)
             texts = []
             for x in col:
                 if not x.is_valid:
@@ -453,9 +466,9 @@ def decode(encoded: DataFrame, keep: list[str], vocabulary: Vocabulary, column:
                 ids = ids[(ids >= 0) & (ids < vocabulary.size)]
                 raw, _ = vocabulary.decode_bytes(ids, np.array([0, len(ids)]))
                 texts.append(raw.decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    return encoded.select(*keep, F.col(column).alias("__ids")).mapInArrow(run, schema)
+    return encoded.select(*keep, F.col(column).alias(own)).mapInArrow(run, schema)
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
