@@ -22,8 +22,11 @@ Scoring keeps, for each worker, the input products of words it has met, computes
 batch of windows step by step, and is linear in the text.
 
 Defined results: null and empty texts are one empty window, so they get a score too;
-without labelled rows, or with one label only, every score is the share of label 1
-(0 if there are none); repeated rows repeat; other columns are never read.
+without labelled texts, or with one label only, every score is the share of label 1
+(0 if there are none); a document with both labels counts as 1, labels without a text, a
+label or an id teach nothing; rows that repeat an id with several texts teach with all of
+them; ids that are null are scored; repeated rows repeat; an empty table gives no rows;
+other columns are never read. A score of exactly 0.5 predicts 1.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselon.llm import text as T
-from tesselon.llm.common import bounded, crc_mod, table
+from tesselon.llm.common import bounded, crc_mod, free_name, table
 
 SAMPLE, SAMPLE_CHARS = 3000, 8_000_000
 SHARES, STRETCHES = 64, 16
@@ -248,9 +251,10 @@ def _logistic_fit(x: np.ndarray, labels: np.ndarray, share: float) -> tuple[floa
     return float(scale), float(theta[1] - scale * mean)
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = 5, batch: int = 256, seed: int = 11, prior: float | None = None) -> Network:
+def train(texts: list[str], labels: np.ndarray, epochs: int = 5, batch: int = 256, seed: int = 11, prior: float | None = None, seeded: bool = True) -> Network:
     """A network fitted on whole labelled texts; prior is the share of label 1 among all
-    labelled rows, where the texts are a sample with another share."""
+    labelled rows, where the texts are a sample with another share. Without seeded,
+    embeddings start at random and two random windows of each text are learned from."""
     net = Network(seed)
     share = float(np.mean(labels)) if len(labels) else 0.0
     if share in (0.0, 1.0):
@@ -284,8 +288,9 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 5, batch: int = 25
         count(grams[inner], np.repeat(tt, size), gram_hits)
     by_word, by_gram = (_log_odds(h[1], h[0], n1, n0) for h in (word_hits, gram_hits))
     del text, pair, t, w
-    net.p["word"][:, 0] = 0.5 * by_word
-    net.p["gram"][:, 1] = by_gram
+    if seeded:
+        net.p["word"][:, 0] = 0.5 * by_word
+        net.p["gram"][:, 1] = by_gram
     strength = np.maximum(by_word[rows], 0)
     some = np.flatnonzero(np.diff(at))
     strength[some] += np.maximum(np.add.reduceat(by_gram[grams], at[:-1][some]) / np.diff(at)[some], 0)
@@ -294,7 +299,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 5, batch: int = 25
     # training windows
     win, owner = windows(numbers, first)
     power = np.concatenate([np.sort(strength[win[a : a + 8192]], axis=1)[:, -6:].sum(axis=1) for a in range(0, len(win), 8192)])
-    order = np.lexsort((-power, owner))
+    order = np.lexsort((-power if seeded else r.random(len(owner)), owner))
     place = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
     strong = order[place < 2]
     extra = np.flatnonzero((labels[owner] == 0) & (r.random(len(owner)) < 2 * len(texts) / len(owner)))
@@ -405,6 +410,7 @@ def fitting(sizes: pd.DataFrame, chars: int) -> list[int]:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Network:
     """A network from docs (doc_id, text) and labels (doc_id, toxic)."""
     rows = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    rows = rows.join(docs.where(F.length("text") > 0).select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = []
     for value in (0, 1):
         chosen += [(r["doc_id"], value) for r in rows.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
@@ -431,26 +437,27 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
 def score(docs: DataFrame, net: Network, keep: list[str]) -> DataFrame:
     """The kept columns with score and predicted."""
     bounded(docs)
+    own = free_name("text", [*keep, "score", "predicted"])
     schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")
 
     def run(batches):
         scorer, lex, known = Scorer(net), Lexicon(), None
-        for b in T.parts(batches, "__text", 1 << 20):
+        for b in T.parts(batches, own):
             if net.prior is not None:
                 q = np.full(len(b), net.prior)
             else:
                 if len(lex) > CACHE_WORDS:
                     lex, known = Lexicon(), None
-                numbers, first = lex.numbers(b.column("__text"))
+                numbers, first = lex.numbers(b.column(own))
                 done = len(known["f"]) if known else 0
                 if len(lex) > done:
                     more = scorer.tables(net.inputs(*lex.arrays(done)))
                     known = {d: np.concatenate([known[d], more[d]]) for d in "fb"} if known else more
                 win, owner = windows(numbers, first)
                 q = _sigmoid(net.scale * scorer.largest(known, win, owner, len(b)).astype(np.float64) + net.shift)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(q, pa.float64()), pa.array((q >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(q, pa.float64()), pa.array((q >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias(own)).mapInArrow(run, schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

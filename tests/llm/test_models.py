@@ -79,12 +79,52 @@ def test_language_accuracy_and_edges(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     got = df.join(d, "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
     assert got > 0.95
-    langs, w = lang_id.learn(d.limit(0).withColumn("text", F.lit("x")))
+    none = lang_id.learn(d.limit(0).withColumn("text", F.lit("x")))
     odd = spark.createDataFrame([(1, None, "a"), (2, "123 !", "b"), (3, "abc", "c")], "doc_id long, text string, lang_pred string")
-    rows = lang_id.predict(odd, langs, w, ["doc_id"]).collect()
+    rows = lang_id.predict(odd, none, ["doc_id"]).collect()
     assert {r["lang_pred"] for r in rows} == {"und"} and {r["score"] for r in rows} == {0.0}
 
 
+def test_languages_equal_bundled_vectors(spark):
+    """Predictions against cosines of vectors that are bound and bundled one by one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.substring("text", 1, 400).alias("text"), "lang").collect()
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs] + [(None, "der hund und die katze", None), (None, None, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = lang_id.predict(df.withColumn("text2", F.col("text")), lang_id.learn(df), ["doc_id", "text"]).collect()
+    base = lang_id._letters(7)[2].astype(np.float64)
+    n = lang_id.SYMBOLS
+
+    def vector(texts):
+        _, tri = lang_id.trigrams(texts)
+        kinds, counts = np.unique(tri, return_counts=True)
+        return sum((c * np.roll(base[t // n // n], 2) * np.roll(base[t // n % n], 1) * base[t % n] for t, c in zip(kinds, counts, strict=True)), np.zeros(lang_id.DIMENSIONS))
+
+    langs = sorted({x for _, t, x in rows if x and t})
+    proto = np.stack([vector([t for _, t, y in rows if y == x and t]) for x in langs])
+    proto /= np.linalg.norm(proto, axis=1, keepdims=True)
+    proto -= proto.mean(axis=0)
+    proto /= np.linalg.norm(proto, axis=1, keepdims=True)
+    assert len(got) == len(rows)
+    for r in got:
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        dots = proto @ vector([r["text"]])
+        assert r["lang_pred"] == langs[int(np.argmax(dots))]
+        assert r["score"] == pytest.approx(max(dots.max(), 0) / np.maximum(dots, 0).sum(), abs=1e-4)
+
+
+def test_every_language_is_learned(spark):
+    r = random.Random(0)
+    words = {f"l{k:03}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(4)] for k in range(140)}
+    rows = [(i, " ".join(w), lang) for i, (lang, w) in enumerate(words.items())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    got = {x["doc_id"]: x["lang_pred"] for x in lang_id.predict(df, lang_id.learn(df), ["doc_id"]).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+    same = spark.createDataFrame([(1, "same words", "b"), (2, "same words", "a")], "doc_id long, text string, lang string")
+    assert {x["lang_pred"] for x in lang_id.predict(same, lang_id.learn(same), ["doc_id"]).collect()} == {"a"}  # a tie
+
+
 def test_recurrent_gradients():
     net = toxicity.Network(1)
     r = np.random.default_rng(0)
@@ -261,21 +301,41 @@ def test_matrices_combine_associatively(vocabulary):
 @pytest.mark.parametrize("size", [1, 6, 500])
 def test_top_k_equals_brute_force(spark, monkeypatch, size):
     monkeypatch.setattr(topk_search, "SLAB_ROWS", size * 7)
-    monkeypatch.setattr(topk_search, "QUERY_ROWS", size)
+    monkeypatch.setattr(topk_search, "GROUP_ROWS", size)
+    monkeypatch.setattr(topk_search, "CHUNK_BYTES", size * 100)
+    monkeypatch.setattr(topk_search, "LEAD_BYTES", size * 800)
     r = np.random.default_rng(size)
     v = (r.standard_normal((90, 9)) * r.exponential(size=(90, 1))).astype(np.float32)
     v[60:] = v[3]  # ties
     rows = [(i, x.tolist(), "x") for i, x in enumerate(v)]
     rows += [(200, None, "x"), (201, [1.0, None], "x"), (202, [float("inf")], "x"), (None, [1.0], "x"), (203, [], "x"), (220, [2.0], "x"), (5, v[5].tolist(), "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
-    got = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in topk_search.top_k(df, F.col("vec_id") % 20 == 0, 7).collect()}
-    ints = {i: [int(np.floor(64 * float(c))) for c in x] for i, x, _ in rows if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)}
-    want = {}
-    for q in ints:
-        if q % 20 == 0:
-            best = sorted(((-sum(a * b for a, b in zip(ints[q], y, strict=False)), i) for i, y in ints.items() if i != q))[:7]
-            want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(best)}
-    assert got == want
+    got = sorted(tuple(x) for x in topk_search.top_k(df, F.col("vec_id") % 20 == 0, 7).collect())
+    assert got == brute_top([(i, x) for i, x, _ in rows if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)], 7)
+
+
+def brute_top(rows, k):
+    """By the rule, with Python's integers; rows of one id are candidates each."""
+    from fractions import Fraction
+
+    ints = [(i, [int(Fraction(c) * 64 // 1) for c in x]) for i, x in rows]
+    want = []
+    for q in {i for i, _ in ints if i % 20 == 0}:
+        pairs = [(-sum(a * b for a, b in zip(x, y, strict=False)), i) for j, x in ints if j == q for i, y in ints if i != q]
+        want += [(q, n + 1, i, min(max(-s, -(2**63)), 2**63 - 1)) for n, (s, i) in enumerate(sorted(pairs)[:k])]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("huge", [[], [2.0**60], [1e308, -1e308, 3e300], [2.0**31, -(2.0**33)]])
+def test_top_k_of_repeated_ids_and_huge_components(spark, monkeypatch, huge):
+    monkeypatch.setattr(topk_search, "SLAB_ROWS", 9)
+    monkeypatch.setattr(topk_search, "CHUNK_BYTES", 100)
+    r = np.random.default_rng(4)
+    rows = [(int(i), [float(c) for c in r.standard_normal(3) * 5]) for i in r.integers(0, 45, 60)] + [(20, [1.5]), (40, [2.0, 1.0, 0.25]), (40, [2.0, 1.0, 0.25]), (1, [2.0]), (1, [3.0])]
+    rows += [(100 + i, [x, 1.0, 0.3]) for i, x in enumerate(huge)] + [(60, [x]) for x in huge[:1]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(x) for x in topk_search.top_k(df, F.col("vec_id") % 20 == 0, 6).collect())
+    assert got == brute_top(rows, 6)
 
 
 def test_top_k_of_nothing(spark):
