@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselon.llm.common import bounded, table
+from tesselon.llm.common import bounded, free_name, table
 from tesselon.llm.text import parts
 
 # Function words of four languages, for stop-word density.
@@ -71,7 +71,8 @@ _BAD_WORDS = frozenset(
 _PLAIN_WORDS = frozenset("area bar block bottom box button buttons form global icons item items label line link links list message page post posts section site slot text top unit".split())
 _HEADERS = frozenset("header site-header global-header main-header".split())
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|object|svg|canvas|title|textarea|audio|video|map)(?=[\s/>])(?:[^>]*/>|.*?(?:</\1\s*>|\Z))"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|object|canvas|title|textarea|audio|video|map)(?=[\s/>]).*?(?:</\1\s*>|\Z)"
+    r"|<(svg)(?=[\s/>])(?:[^>]*/>|.*?(?:</svg\s*>|\Z))"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?:[!?][^>]*|/?[a-zA-Z][^>]*)(?:>|\Z)",
     re.S | re.I,
 )
@@ -149,13 +150,13 @@ def blocks(page: str) -> list[Block]:
             if depth:
                 links += len(piece.strip())
         at = m.end()
-        tag = m[3]
+        tag = m[4]
         if tag is None:
             continue
         tag = tag.lower()
-        closing = m[2] == "/"
+        closing = m[3] == "/"
         if tag == "a":
-            depth, anchor = int(not closing and "href" in m[4].lower()), len(stack)
+            depth, anchor = int(not closing and "href" in m[5].lower()), len(stack)
         elif tag == "br":
             pieces.append(" ")
         elif tag in _BLOCKS:
@@ -167,7 +168,7 @@ def blocks(page: str) -> list[Block]:
                         break
                 if len(stack) < anchor:  # a link ends with the block that it began in
                     depth = 0
-            elif tag not in _VOID and not m[4].rstrip().endswith("/"):
+            elif tag not in _VOID and not m[5].rstrip().endswith("/"):
                 if stack and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
                     stack.pop()
                 if len(stack) < anchor:
@@ -175,7 +176,7 @@ def blocks(page: str) -> list[Block]:
                 if tag == "body":
                     stack = [s for s in stack if s[0] == "html"]
                 up = stack[-1] if stack else ("", False, 0)
-                bad, article = _element(tag, m[4], bool(up[2]))
+                bad, article = _element(tag, m[5], bool(up[2]))
                 articles += article
                 stack.append((tag, up[1] or bad, 0 if up[1] or bad else articles if article else up[2]))
     pieces.append(page[at:])
@@ -188,7 +189,7 @@ def blocks(page: str) -> list[Block]:
 def _first_pass(b: Block) -> str:
     n = len(b.text)
     density = b.link_chars / n
-    if density > LINK_MAX or "©" in b.text:
+    if density > LINK_MAX or n <= LONG and "©" in b.text:
         return "bad"
     if n < SHORT:
         return "bad" if b.link_chars else "short"
@@ -249,7 +250,7 @@ def _weighted(items: list[Block]) -> None:
         if b.bad:
             continue
         if k in trusted and k:
-            if b.label == "bad" and (b.link_chars <= LINK_MAX * n and ("©" not in b.text or n > LONG)):
+            if b.label == "bad" and b.link_chars <= LINK_MAX * n and ("©" not in b.text or n > LONG):
                 b.label = "short"
             if most and (b.label == "near" or b.label == "short" and (n > LABEL or b.tag in _LISTED or _SENTENCE.search(b.text))):
                 b.label = "good"
@@ -306,14 +307,15 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
     """The kept columns with text and n_chars."""
     bounded(pages)
+    own = free_name("html", [*keep, "text", "n_chars"])
     schema = pages.select(*keep).schema.add("text", "string").add("n_chars", "long")
 
     def run(batches):
-        for b in parts(batches, "__html", 1 << 24):
-            texts = [main_text(x) for x in b.column("__html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
+        for b in parts(batches, own):
+            texts = [main_text(x) for x in b.column(own).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
-    return pages.select(*keep, F.col("html").alias("__html")).mapInArrow(run, schema)
+    return pages.select(*keep, F.col("html").alias(own)).mapInArrow(run, schema)
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
