@@ -3,6 +3,7 @@ a query is called, except for their SQL."""
 
 from __future__ import annotations
 
+import functools
 import importlib
 from collections.abc import Callable
 
@@ -23,9 +24,13 @@ _QUERIES = {
 }
 
 
+def _run(module: str, name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return getattr(importlib.import_module(f"tesselon.llm.{module}"), name)(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(importlib.import_module(f"tesselon.llm.{m}"), name) for name, (m, _) in _QUERIES.items()}
+    return {name: functools.partial(_run, module, name) for name, (module, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: importlib.import_module(f"tesselon.llm.{m}").ORACLE for name, (m, sql) in _QUERIES.items() if sql}
+    return {name: importlib.import_module(f"tesselon.llm.{module}").ORACLE for name, (module, sql) in _QUERIES.items() if sql}
