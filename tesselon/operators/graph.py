@@ -201,6 +201,17 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return by.crossJoin(F.broadcast(total)).agg(F.sum(F.col("inside") / F.col("m2") - F.pow(F.col("degree") / F.col("m2"), 2)).alias("q"))  # total is one row
 
 
+def modularity_within(edges: DataFrame, region: str) -> DataFrame:
+    """region, n_communities, q of the communities detected inside each region's own
+    graph (H8). edges: region, src, dst, w, both ends in the region."""
+    labels = communities(edges, [region])
+    e = edges.join(labels.select(region, F.col("node").alias("src"), F.col("community").alias("a")), [region, "src"]).join(labels.select(region, F.col("node").alias("dst"), F.col("community").alias("b")), [region, "dst"])
+    ends = e.select(region, "a", "b", "w").unionAll(e.select(region, F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    part = ends.groupBy(region, "a").agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)).alias("inside"), F.sum("w").alias("degree"))
+    sums = part.groupBy(region).agg(F.count("*").alias("n_communities"), F.sum("degree").alias("m2"), F.sum("inside").alias("inside"), F.sum(F.col("degree") * F.col("degree")).alias("squares"))
+    return sums.select(region, "n_communities", (divide("inside", "m2") - divide("squares", F.col("m2") * F.col("m2"))).alias("q"))
+
+
 def communities(edges: DataFrame, by: list[str]) -> DataFrame:
     """by, node, community by greedy local moves and aggregation on the symmetrised
     graph, one task for each small graph (H7, H8)."""
@@ -256,22 +267,34 @@ def support(pairs: DataFrame, block: str, src: str, dst: str) -> DataFrame:
     return pairs.select(block, src, dst).distinct().groupBy(src, dst).agg(F.count("*").alias("n_blocks"))
 
 
-def maximum_entropy_null(edges: DataFrame, by: list[str], iterations: int = 100, seed: int = 20260722) -> DataFrame:
-    """by, src, dst, w: random weights on the allowed edges, scaled to the given row and
-    column sums, with the largest relative margin error (K12)."""
+def maximum_entropy_null(edges: DataFrame, nodes: DataFrame, by: list[str], iterations: int = 100, seed: int = 20260722, pair_totals: bool = False) -> DataFrame:
+    """by, src, dst, w, margin_error: random weights over all pairs of nodes of different
+    regions, scaled to the nodes' row and column sums, with the largest margin error
+    relative to a sum (or 1) (K12). With pair_totals only region pairs that have edges take
+    part, and their totals are kept too. Nodes without outgoing (incoming) weight have
+    none. edges: by, src, dst, w; nodes: node, region, a table that fits a task."""
+    regions = {r["node"]: r["region"] for r in nodes.select("node", "region").collect()}
     schema = ", ".join([*[f"`{c}` {edges.schema[c].dataType.simpleString()}" for c in by], "src long, dst long, w double, margin_error double"])
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         names, a = _matrix(g, "src", "dst", "w")
+        _, region = np.unique([regions[x] for x in names.tolist()], return_inverse=True)
         key = int(pd.util.hash_pandas_object(g[by].iloc[:1], index=False).iloc[0]) if by else 0
-        x = np.random.default_rng([seed, key]).exponential(size=a.shape) * (a > 0)
+        pair = region[:, None] * (region.max() + 1) + region
+        totals = np.bincount(pair.ravel(), weights=a.ravel())
+        allowed = region[:, None] != region
+        if pair_totals:
+            allowed &= totals[pair] > 0
         row, column = a.sum(axis=1), a.sum(axis=0)
+        x = np.random.default_rng([seed, key]).exponential(size=a.shape) * allowed * (row > 0)[:, None] * (column > 0)
         fit = lambda goal, now: np.divide(goal, now, out=np.zeros_like(goal), where=now > 0)
         for _ in range(iterations):
             x *= fit(row, x.sum(axis=1))[:, None]
             x *= fit(column, x.sum(axis=0))[None, :]
-        error = max(np.max(np.abs(x.sum(axis=1) - row) / np.maximum(row, 1e-12)), np.max(np.abs(x.sum(axis=0) - column) / np.maximum(column, 1e-12)))
-        i, j = np.nonzero(a)
+            if pair_totals:
+                x *= fit(totals, np.bincount(pair.ravel(), weights=x.ravel(), minlength=len(totals)))[pair]
+        error = max(np.max(np.abs(now - goal) / np.maximum(goal, 1)) for now, goal in ((x.sum(axis=1), row), (x.sum(axis=0), column)))
+        i, j = np.nonzero(x)
         return pd.DataFrame({**{c: [g[c].iloc[0]] * len(i) for c in by}, "src": names[i], "dst": names[j], "w": x[i, j], "margin_error": error})
 
     return edges.groupBy(*by).applyInPandas(run, schema)
@@ -279,7 +302,7 @@ def maximum_entropy_null(edges: DataFrame, by: list[str], iterations: int = 100,
 
 def shortest_paths(segments: DataFrame, sources: DataFrame, by: list[str]) -> DataFrame:
     """by, node, distance from the block's source over undirected weighted segments (a,
-    b, w); unreachable nodes are null (K3). sources: by, node."""
+    b, w); that of unreachable nodes is infinite (K3). sources: by, node."""
     schema = ", ".join([*[f"`{c}` {segments.schema[c].dataType.simpleString()}" for c in by], "node long, distance double"])
 
     def run(g: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
@@ -299,7 +322,7 @@ def shortest_paths(segments: DataFrame, sources: DataFrame, by: list[str]) -> Da
                     heapq.heappush(heap, (d + w, y))
         nodes = sorted(set(near) | set(best))
         first = g if len(g) else s
-        return pd.DataFrame({**{c: [first[c].iloc[0]] * len(nodes) for c in by}, "node": nodes, "distance": [best.get(x) for x in nodes]})
+        return pd.DataFrame({**{c: [first[c].iloc[0]] * len(nodes) for c in by}, "node": nodes, "distance": [best.get(x, np.inf) for x in nodes]})
 
     return segments.groupBy(*by).cogroup(sources.groupBy(*by)).applyInPandas(run, schema)
 

@@ -7,6 +7,8 @@ form: a window is a slice, and no frame is repeated as a row for each window.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -40,12 +42,18 @@ def mean_of(a: Column) -> Column:
     return divide(total(a), F.size(a))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once, also where body uses it inside a lambda
+    (there it would be computed again for each element)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def unit_vector(a: Column) -> Column:
     """The array centred and scaled to length 1; null where it is constant or has a
-    missing value. The product of two such arrays is their Pearson r."""
-    centred = F.transform(a, lambda x: x - mean_of(a))
-    length = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(length > 1e-12, F.transform(centred, lambda x: x / length))
+    missing value. The product of two such arrays is their Pearson r. Linear in the
+    array: mean, centred array and length are each computed once."""
+    scaled = lambda c: let(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x)), lambda length: F.when(length > 1e-12, F.transform(c, lambda x: x / length)))
+    return let(mean_of(a), lambda m: let(F.transform(a, lambda x: x - m), scaled))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -215,7 +223,7 @@ def padded_edges(df: DataFrame, by: list[str], value: str, bins: int, quantiles:
 def best_window(arrays: DataFrame, keys: list[str], group: list[str], width: int, step: int, smooth: int) -> DataFrame:
     """The window of each group whose smoothed series have the largest sum of
     deviations, the first of equals (W18)."""
-    sd = F.sqrt(mean_of(F.transform("window", lambda x: F.pow(x - mean_of(F.col("window")), 2))))
+    sd = let(mean_of(F.col("window")), lambda m: F.sqrt(mean_of(F.transform("window", lambda x: F.pow(x - m, 2)))))
     score = sliding(arrays.withColumn("values", boxcar("values", smooth)), keys, width, step).withColumn("sd", sd).groupBy(*group, "win").agg(F.sum("sd").alias("score"))
     w = Window.partitionBy(*group).orderBy(F.desc("score"), "win")
     return score.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")

@@ -57,15 +57,16 @@ def jacobian(p: Layers, epsilon: float) -> np.ndarray:
     return weight - np.diag(p.decay + np.asarray(p.offsets)[layer])
 
 
-def simulate(p: Layers, epsilon: float, seeds: list[int], n_steps: int) -> tuple[np.ndarray, np.ndarray]:
+def simulate(p: Layers, epsilon: float, seeds: list[int], n_steps: int, by_layer: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(stimulus, signals[run, step, node]) by Euler-Maruyama with a slow sine drive of
-    random phase for each layer (M2, M7)."""
+    random phase for each layer (M2, M7); by_layer: the layers' means instead of nodes."""
     j, layer = jacobian(p, epsilon), p.layer
     generators = [np.random.default_rng(s) for s in seeds]
     phase = np.stack([g.uniform(0, 2 * np.pi, len(p.sizes)) for g in generators])
     time = np.arange(n_steps) * p.dt
     stimulus = np.sin(2 * np.pi * p.input_frequency * time)
-    out = np.empty((len(seeds), n_steps, len(layer)))
+    out = np.empty((len(seeds), n_steps, len(p.sizes) if by_layer else len(layer)))
+    mean = np.eye(len(p.sizes))[layer] / np.array(p.sizes)
     x = np.zeros((len(seeds), len(layer)))
     first = layer == 0
     block = 1000
@@ -74,7 +75,7 @@ def simulate(p: Layers, epsilon: float, seeds: list[int], n_steps: int) -> tuple
         for k in range(z.shape[1]):
             slow = p.slow_drive * np.sin(2 * np.pi * p.slow_frequency * time[a + k] + phase)
             x = x + p.dt * (x @ j.T + slow[:, layer] + first * p.input_amplitude * stimulus[a + k]) + p.noise * np.sqrt(p.dt) * z[:, k]
-            out[:, a + k] = x
+            out[:, a + k] = x @ mean if by_layer else x
     return stimulus, out
 
 
@@ -148,6 +149,47 @@ def layer_traces(spark: SparkSession, epsilons: list[float], runs: int, n_steps:
     return grid.groupBy("epsilon").applyInPandas(run, "epsilon double, run int, layer int, frame long, value double")
 
 
+def layer_states(spark: SparkSession, epsilons: list[float], runs: int, n_steps: int, burn_in: float = 0.15, window_s: float = 3.0, step_s: float = 1.5, seed: int = 20260530, p: Layers = Layers()) -> DataFrame:
+    """epsilon, run, layer, win, state: the mean correlation of each layer with the others
+    in every window of a long simulation after the burn-in (M7, M8). A task integrates one
+    epsilon and keeps layer means only."""
+    rows = [(float(e), r, seed + round(e * 1000) * 1000 + r) for e in epsilons for r in range(runs)]
+    grid = spark.createDataFrame(rows, "epsilon double, run int, seed long").repartition(len(epsilons), "epsilon")
+    skip, width, step = int(n_steps * burn_in), max(8, round(window_s / p.dt)), max(1, round(step_s / p.dt))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        e, out = float(g["epsilon"].iloc[0]), []
+        means = simulate(p, e, g["seed"].tolist(), n_steps, True)[1]
+        for k, r in enumerate(g["run"]):
+            c = layer_windows(means[k, skip:], width, step)
+            for layer in range(len(p.sizes)):
+                state = np.nanmean(np.delete(c[:, layer], layer, axis=1), axis=1)
+                out.append(pd.DataFrame({"epsilon": e, "run": int(r), "layer": layer + 1, "win": np.arange(len(state)), "state": state}))
+        return pd.concat(out)
+
+    return grid.groupBy("epsilon").applyInPandas(run, "epsilon double, run int, layer int, win int, state double")
+
+
+def potential_curves(values: DataFrame, by: list[str], run: str, value: str, bins: int = 100, grid: int = 180, floor: float = 1e-9) -> DataFrame:
+    """by, run, point, x, u: each run's potential over edges that the runs of a group
+    share, on an even grid by linear interpolation between bin centres, null outside, and
+    shifted to 0 at its minimum (M9, M12, W12)."""
+    from tesselon.operators.sequence import gaussian, padded_edges
+
+    e = padded_edges(values, by, value, bins)
+    inside = values.join(F.broadcast(e), by).where((F.col(value) >= F.col("low")) & (F.col(value) <= F.col("high")) & (F.col("width") > 0))  # one row a group
+    n = inside.groupBy(*by, run, "low", "high", "width", F.least(F.floor((F.col(value) - F.col("low")) / F.col("width")), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    a = n.groupBy(*by, run, "low", "high", "width").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"), F.sum("n").alias("total"))
+    keys = [*by, run, "low", "high", "width"]
+    density = a.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)) / (F.col("total") * F.col("width"))).alias("d"))
+    u = density.select(*keys, F.transform(gaussian("d"), lambda d: -F.log(F.greatest(d, F.lit(floor)))).alias("u"))
+    place = lambda i: i * (F.col("high") - F.col("low")) / (F.lit(grid - 1) * F.col("width")) - 0.5
+    at = lambda t: F.get("u", F.floor(t).cast("int")) + (t - F.floor(t)) * (F.get("u", F.least(F.floor(t) + 1, F.lit(bins - 1)).cast("int")) - F.get("u", F.floor(t).cast("int")))
+    curve = u.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(grid - 1)), lambda i: F.when((place(i) >= 0) & (place(i) <= bins - 1), at(place(i)))).alias("u"))
+    low = curve.withColumn("__least", F.array_min("u")).select(*keys, "__least", F.posexplode("u").alias("point", "u"))
+    return low.select(*by, run, "point", (F.col("low") + F.col("point") * (F.col("high") - F.col("low")) / (grid - 1)).alias("x"), (F.col("u") - F.col("__least")).alias("u"))
+
+
 def potential(values: DataFrame, by: list[str], value: str, bins: int = 60, floor: float = 1e-9) -> DataFrame:
     """by, bin, x, u: minus log of the smoothed density over padded percentile edges,
     shifted to 0 at its minimum (M9, A19, W8, W20)."""

@@ -117,9 +117,8 @@ def empirical_p(null: DataFrame, observed: DataFrame, value: str, by: list[str])
     """(1 + count beyond the observed) / (N + 1): two-sided, upper, and two-sided about
     the null's mean (ST6, ST7). observed: by, obs. Values are compared at 12 decimals, so
     a draw that equals the observation counts whatever the order of its sums."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    n = null.join(observed, by) if by else null.crossJoin(F.broadcast(observed))  # observed is one row
-    n = n.withColumn("__m", F.avg(value).over(w))
+    mean = (null.groupBy(*by) if by else null).agg(F.avg(value).alias("__m"))
+    n = null.join(observed.join(mean, by), by) if by else null.crossJoin(F.broadcast(observed.crossJoin(mean)))  # one row
     beyond = lambda a, b: (1 + F.count_if(F.round(a, 12) >= F.round(b, 12))) / (F.count(value) + 1)
     return n.groupBy(*by, "obs").agg(
         beyond(F.abs(value), F.abs("obs")).alias("p_two_sided"), beyond(F.col(value), F.col("obs")).alias("p_upper"), beyond(F.abs(F.col(value) - F.col("__m")), F.abs(F.col("obs") - F.col("__m"))).alias("p_centred")
@@ -164,8 +163,8 @@ def with_kruskal_p(df: DataFrame) -> DataFrame:
 
 
 def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
-    """a < b, na, nb, u (of a), z with tie and continuity correction, for all pairs of
-    groups (ST16)."""
+    """a < b, na, nb, u (of a), z with tie and continuity correction, ties (sum of t^3 -
+    t), for all pairs of groups (ST16)."""
     v = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
     names = v.select("g").distinct()
     pairs = names.select(F.col("g").alias("a")).join(names.select(F.col("g").alias("b")), F.col("a") < F.col("b"))
@@ -179,15 +178,20 @@ def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
     sd = F.sqrt(na * nb / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
     u = F.col("ra") - na * (na + 1) / 2
     gap = u - na * nb / 2
-    return g.join(t, ["a", "b"]).select("a", "b", "na", "nb", u.alias("u"), divide(F.signum(gap) * F.greatest(F.abs(gap) - 0.5, F.lit(0.0)), sd).alias("z"))
+    return g.join(t, ["a", "b"]).select("a", "b", "na", "nb", u.alias("u"), divide(F.signum(gap) * F.greatest(F.abs(gap) - 0.5, F.lit(0.0)), sd).alias("z"), F.col("ties").cast("double").alias("ties"))
 
 
 def wilcoxon(df: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:
-    """by, n, w_plus, w_minus of paired differences, zeros dropped (ST18)."""
-    d = df.withColumn("__d", F.col(x) - F.col(y)).where("__d <> 0").withColumn("__a", F.abs("__d"))
+    """by, n, w_plus, w_minus of paired differences, zeros dropped, with ties (sum of t^3 -
+    t) and the number of zeros (ST18). Groups without other differences have no row."""
+    d = df.withColumn("__d", F.col(x) - F.col(y))
+    zeros = d.groupBy(*by).agg(F.count_if(F.col("__d") == 0).alias("zeros"))
+    d = d.where("__d <> 0").withColumn("__a", F.abs("__d"))
     r = avg_rank(d, "__a", list(by), "__r")
     part = lambda c: F.sum(F.when(c, F.col("__r")).otherwise(0.0))
-    return r.groupBy(*by).agg(F.count("*").alias("n"), part(F.col("__d") > 0).alias("w_plus"), part(F.col("__d") < 0).alias("w_minus"))
+    w = r.groupBy(*by).agg(F.count("*").alias("n"), part(F.col("__d") > 0).alias("w_plus"), part(F.col("__d") < 0).alias("w_minus"))
+    t = r.groupBy(*by, "__a").agg(F.count("*").cast("double").alias("t")).groupBy(*by).agg(F.sum(F.pow("t", 3) - F.col("t")).alias("ties"))
+    return w.join(t, list(by)).join(zeros, list(by)) if by else w.crossJoin(F.broadcast(t)).crossJoin(F.broadcast(zeros))  # one row each
 
 
 def one_sample_t(df: DataFrame, value: str, by: list[str], mean: float = 0.0) -> DataFrame:
@@ -284,8 +288,7 @@ def division_statistics(df: DataFrame, value: str, recording: str, group: str) -
     from tesselon.operators.sequence import zscore
 
     z = zscore(df, value, [recording], 0, "zero", "__z")
-    u = mann_whitney(z, "__z", group).withColumn("p", normal_two_sided("z"))
-    return holm(u, "p", [], ["a", "b"])
+    return holm(with_mann_whitney_p(mann_whitney(z, "__z", group)), "p", [], ["a", "b"])
 
 
 def subsample_draws(subjects: list, regions: list, draws: int, share: float, seed: int) -> list[tuple]:
@@ -327,24 +330,51 @@ def fisher_p(r: str, n: Column) -> Column:
 
 
 def correlation_summary(df: DataFrame, key: str, x: str, y: str, draws: int, seed: int) -> DataFrame:
-    """n, r, p, low, high, p_permutation of one table: Pearson r with its bootstrap
-    interval and two-sided permutation p, both drawn by one numpy generator (ST5, ST6).
-    The index tables have draws * n rows."""
-    spark = df.sparkSession
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("idx", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)) - 1).cast("long"))
-    n = rows.count()
-    r = np.random.default_rng(seed)
-    boot = r.integers(0, n, size=(draws, n))
-    perm = np.stack([r.permutation(n) for _ in range(draws)])
-
-    def long(a: np.ndarray) -> DataFrame:
-        d, pos = np.indices(a.shape)
-        return spark.createDataFrame(pd.DataFrame({"draw": d.ravel(), "pos": pos.ravel(), "idx": a.ravel()}))
+    """n, r, p, low, high, p_permutation of one small table (of regions): Pearson r with
+    its bootstrap interval and two-sided permutation p, both drawn by one numpy generator
+    (ST5, ST6). The table meets in one task; draws are made a thousand at a time."""
+    from tesselon.functions.special import r_two_sided
 
-    observed = with_p(pearson(rows, x, y, []))
-    ci = interval(bootstrap_r(rows, long(boot), x, y), "r", []).select("low", "high")
-    p = empirical_p(permutation_r(rows, long(perm), x, y), observed.select(F.col("r").alias("obs")), "r", []).select(F.col("p_two_sided").alias("p_permutation"))
-    return observed.crossJoin(ci).crossJoin(p)  # one row each
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.dropna().sort_values("k")
+        a, b, n = g["x"].to_numpy(float), g["y"].to_numpy(float), len(g)
+        generator = np.random.default_rng(seed)
+
+        def corr_rows(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+            p, q = p - p.mean(axis=1, keepdims=True), q - q.mean(axis=1, keepdims=True)
+            size = np.sqrt((p * p).sum(axis=1) * (q * q).sum(axis=1))
+            return np.divide((p * q).sum(axis=1), size, out=np.full(len(p), np.nan), where=size > 1e-12)
+
+        r = float(corr_rows(a[None], b[None])[0]) if n > 3 else np.nan
+        sizes = [min(1000, draws - i) for i in range(0, draws, 1000)]
+        index = [generator.integers(0, n, size=(m, n)) for m in sizes] if n else []
+        boot = np.concatenate([corr_rows(a[i], b[i]) for i in index]) if n else np.zeros(0)
+        null = np.concatenate([corr_rows(np.broadcast_to(a, (m, n)), b[np.stack([generator.permutation(n) for _ in range(m)])]) for m in sizes]) if n else np.zeros(0)
+        low, high = np.quantile(boot[~np.isnan(boot)], (0.025, 0.975)) if (~np.isnan(boot)).any() else (np.nan, np.nan)
+        p = (1 + np.count_nonzero(np.round(np.abs(null), 12) >= round(abs(r), 12))) / (draws + 1)
+        return pd.DataFrame({"n": [n], "r": [r], "p": r_two_sided([r], [n]), "low": [low], "high": [high], "p_permutation": [p]})
+
+    table = df.select(F.lit(0).alias("one"), F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    return table.groupBy("one").applyInPandas(lambda g: run(g.drop(columns="one")), "n long, r double, p double, low double, high double, p_permutation double")
+
+
+def with_mann_whitney_p(df: DataFrame) -> DataFrame:
+    """mann_whitney's rows with their two-sided p: exact where there are no ties and one
+    group has 8 values at most, else normal (ST16)."""
+    exact = F.pandas_udf(lambda u, na, nb: pd.Series([exact_mann_whitney_p(*v) for v in zip(u, na, nb, strict=True)], dtype=float), "double")
+    small = (F.col("ties") == 0) & (F.least("na", "nb") <= 8)
+    few = F.when(small, F.col("na")).otherwise(F.lit(0)), F.when(small, F.col("nb")).otherwise(F.lit(0))
+    return df.withColumn("p", F.when(small, exact("u", *few)).otherwise(normal_two_sided("z")))
+
+
+def with_wilcoxon_p(df: DataFrame) -> DataFrame:
+    """wilcoxon's rows with their two-sided p: exact for 50 pairs at most without ties or
+    zero differences, else normal with tie correction (ST18)."""
+    exact = F.pandas_udf(lambda w, n: pd.Series([exact_wilcoxon_p(*v) for v in zip(w, n, strict=True)], dtype=float), "double")
+    small = (F.col("n") <= 50) & (F.col("ties") == 0) & (F.col("zeros") == 0)
+    n = F.col("n").cast("double")
+    z = divide(F.col("w_plus") - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48))
+    return df.withColumn("p", F.when(small, exact(F.when(small, F.col("w_plus")).otherwise(0.0), F.when(small, F.col("n")).otherwise(F.lit(0)))).otherwise(normal_two_sided(z)))
 
 
 def exact_mann_whitney_p(u: float, na: int, nb: int) -> float:

@@ -184,10 +184,43 @@ def block_overwrite(spark, sf):
     return G.block_overwrite(m.select("block", "cell", ((F.col("cell") + F.col("block")) % 2 == 0).alias("is_source"), ((F.col("cell") + F.col("block")) % 3 == 0).alias("is_target")))
 
 
+def _null(spark, sf, pair_totals):
+    """250 realisations (the reference's number), summed up by region pair and draw."""
+    nodes = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("node"), F.col("n_regionkey").cast("long").alias("region"))
+    g = nation_graph(spark, sf).select("src", "dst", "w").crossJoin(F.broadcast(spark.range(250).select(F.col("id").alias("draw"))))  # 250 draws
+    return G.maximum_entropy_null(g, nodes, ["draw"], 100, pair_totals=pair_totals)
+
+
 @query("maxent_null")
 def maxent_null(spark, sf):
-    """Random weights with the graph's strengths."""
-    return G.maximum_entropy_null(nation_graph(spark, sf).withColumn("draw", F.explode(F.array(F.lit(0), F.lit(1)))), ["draw"], 100)
+    """Random weights over all pairs of different regions with the graph's strengths."""
+    return _null(spark, sf, False)
+
+
+@query("maxent_null_pairs")
+def maxent_null_pairs(spark, sf):
+    """The same with the totals of region pairs."""
+    return _null(spark, sf, True)
+
+
+@query("community_summary")
+def community_summary(spark, sf):
+    """H7: number and modularity of the detected communities, weights of both directions added."""
+    g = nation_graph(spark, sf)
+    labels = G.communities(g.withColumn("g", F.lit(0)), ["g"]).select("node", "community")
+    return G.modularity(g, labels).crossJoin(labels.agg(F.countDistinct("community").alias("n_communities"))).select("n_communities", rnd("q").alias("q"))  # one row each
+
+
+@query("region_modularity")
+def region_modularity(spark, sf):
+    """H8: modularity of the detected communities within each destination region's graph of
+    customers' and suppliers' nations."""
+    from tesselon.plans.base import cell_edges
+
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("node"), F.col("n_regionkey").cast("long").alias("region"))
+    e = cell_edges(spark, sf).where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
+    ends = e.join(n.withColumnsRenamed({"node": "src", "region": "region"}), "src").join(n.withColumnsRenamed({"node": "dst", "region": "other"}), "dst")
+    return G.modularity_within(ends.where("region = other").select("region", "src", "dst", "w"), "region").select("region", "n_communities", rnd("q").alias("q"))
 
 
 _R2 = 0.004

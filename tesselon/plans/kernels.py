@@ -9,34 +9,56 @@ from tesselon.operators import simulator as M
 from tesselon.plans.catalogue import query
 
 
+#: The published sweep: settings, runs and steps, and those of the potentials.
+EPSILONS, RUNS, STEPS = [i / 20 for i in range(21)], 30, 6000
+DENSE_EPSILONS, DENSE_RUNS, DENSE_STEPS = [0.0, 0.5, 1.0], 50, 60_000
+
+
 @query("layer_sweep")
 def layer_sweep(spark, sf):
-    """Layer correlation, variability and spectrum over a short sweep."""
-    return M.sweep(spark, [0.0, 0.5, 1.0], 3, 3000)
+    """Layer correlation, variability and spectrum over the sweep."""
+    return M.sweep(spark, EPSILONS, RUNS, STEPS)
 
 
 @query("layer_sweep_means")
 def layer_sweep_means(spark, sf):
-    """Mean and standard error over runs, by asymmetry and layer."""
-    m = M.mean_sem(M.sweep(spark, [0.0, 1.0], 3, 2400), ["epsilon", "layer"], "fcv")
+    """Mean over runs, by asymmetry and layer."""
+    m = M.mean_sem(M.sweep(spark, EPSILONS, RUNS, STEPS), ["epsilon", "layer"], "fcv")
     return m.groupBy("epsilon").pivot("layer", [1, 2, 3, 4]).agg(F.first("mean"))
 
 
+def _states(spark):
+    return M.layer_states(spark, DENSE_EPSILONS, DENSE_RUNS, DENSE_STEPS)
+
+
 @query("layer_energy_wells")
 def layer_energy_wells(spark, sf):
-    """Width of the potential well of each layer's mean signal."""
-    t = M.layer_traces(spark, [0.0, 1.0], 2, 3000)
-    u = M.potential(t, ["epsilon", "layer"], "value")
-    return S.well_width(u, ["epsilon", "layer"], "x", "u", 1.0)
+    """Width of the potential well of each layer's dynamic-correlation state."""
+    return S.well_width(M.potential(_states(spark), ["epsilon", "layer"], "state", 100), ["epsilon", "layer"], "x", "u", 1.0)
+
+
+@query("layer_potential_curves")
+def layer_potential_curves(spark, sf):
+    """Every run's potential on a grid of 180 points, first and last layer."""
+    return M.potential_curves(_states(spark).where("layer IN (1, 4)"), ["epsilon", "layer"], "run", "state")
+
+
+@query("layer_state_summary")
+def layer_state_summary(spark, sf):
+    """Mean, deviation, trimmed spread and variability of every run's states."""
+    t = _states(spark).where("layer IN (1, 4)")
+    keys = ["epsilon", "run", "layer"]
+    m = t.groupBy(*keys).agg(F.avg("state").alias("mean"), F.stddev_samp("state").alias("sd"), F.stddev_pop("state").alias("fcv"))
+    return m.join(S.trimmed_spread(t, keys, "state"), keys)
 
 
 @query("correlation_summary")
 def correlation_summary(spark, sf):
-    """ST4 ST5 ST6 T16: r with bootstrap interval and permutation p, numpy draws."""
+    """ST4 ST5 ST6 T16: r with bootstrap interval and permutation p, 10,000 numpy draws each."""
     from tesselon.operators.stats import correlation_summary as summary
     from tesselon.plans.base import nation_table
 
-    return summary(nation_table(spark, sf), "k", "x", "y", 500, 20260730)
+    return summary(nation_table(spark, sf), "k", "x", "y", 10_000, 20260730)
 
 
 @query("calibration_search")
@@ -70,10 +92,11 @@ def subsample_reproducibility(spark, sf):
 
     e = cell_edges(spark, sf).select((F.col("block") % 40).alias("block"), F.col("src").alias("region"))
     members = {r["block"]: set(r["r"]) for r in e.groupBy("block").agg(F.collect_set("region").alias("r")).collect()}  # forty blocks
-    rows = [(f, d, b) for f in (0.5, 0.8) for d, b in covering_draws(members, f, 10, 20260727)]
+    rows = [(f, d, b) for f in [k / 10 for k in range(1, 10)] for d, b in covering_draws(members, f, 200, 20260727)]  # as many as the reference's
     picks = spark.createDataFrame(rows, "fraction double, draw int, block long")
-    full = e.groupBy("region").agg(F.count("*").cast("double").alias("value"))
-    parts = e.join(F.broadcast(picks), "block").groupBy("fraction", "draw", "region").agg(F.count("*").cast("double").alias("value"))  # a few hundred picks
+    counts = e.groupBy("block", "region").agg(F.count("*").cast("double").alias("n"))
+    full = counts.groupBy("region").agg(F.sum("n").alias("value"))
+    parts = counts.join(picks, "block").groupBy("fraction", "draw", "region").agg(F.sum("n").alias("value"))
     return reproducibility(parts, full, ["fraction"])
 
 

@@ -67,25 +67,25 @@ def partial_corr_many(spark, sf):
 _DRAWS = """d AS (SELECT draw, pos, ((((pos * 1000003 + draw * 7919 + {salt}) * 48271) % 2147483647) * 69621) % 2147483647 % {n} AS idx FROM (SELECT unnest(range({draws})) AS draw) CROSS JOIN (SELECT unnest(range({n})) AS pos))"""
 
 
-@query("bootstrap_r", f"""WITH {NATIONS_SQL}, {_DRAWS.format(salt=0, n=25, draws=200)}, r AS (SELECT draw, corr(x, y) AS r FROM d JOIN nat ON k = idx GROUP BY ALL)
+@query("bootstrap_r", f"""WITH {NATIONS_SQL}, {_DRAWS.format(salt=0, n=25, draws=2000)}, r AS (SELECT draw, corr(x, y) AS r FROM d JOIN nat ON k = idx GROUP BY ALL)
 SELECT round(quantile_cont(r, 0.025), 6) + 0.0 AS low, round(quantile_cont(r, 0.975), 6) + 0.0 AS high, round(avg(r), 6) + 0.0 AS mean, round(stddev_samp(r), 6) + 0.0 AS sd, round(avg((r > 0)::INT), 6) + 0.0 AS share_positive FROM r""")
 def bootstrap_r(spark, sf):
-    """ST4 ST25 ST27 A5: bootstrap interval of r over 200 draws."""
+    """ST4 ST25 ST27 A5: bootstrap interval of r over 2,000 draws."""
     rows = nation_table(spark, sf).withColumn("idx", F.col("k"))
-    r = ST.bootstrap_r(rows, ST.hash_draws(spark, 25, 200), "x", "y")
+    r = ST.bootstrap_r(rows, ST.hash_draws(spark, 25, 2000), "x", "y")
     return ST.interval(r, "r", []).select(*[rnd(c).alias(c) for c in ("low", "high", "mean", "sd", "share_positive")])
 
 
-@query("permutation_p", f"""WITH {NATIONS_SQL}, {_DRAWS.format(salt=5, n=1000003, draws=1).replace('unnest(range(1000003))', 'unnest(range(25 * 200))')},
+@query("permutation_p", f"""WITH {NATIONS_SQL}, {_DRAWS.format(salt=5, n=1000003, draws=1).replace('unnest(range(1000003))', 'unnest(range(25 * 10000))')},
 p AS (SELECT pos // 25 AS draw, pos % 25 AS pos, row_number() OVER (PARTITION BY pos // 25 ORDER BY idx, pos) - 1 AS idx FROM d),
 r AS (SELECT p.draw, corr(a.x, b.y) AS r FROM p JOIN nat a ON a.k = p.pos JOIN nat b ON b.k = p.idx GROUP BY ALL), o AS (SELECT corr(x, y) AS obs FROM nat), m AS (SELECT avg(r) AS m FROM r)
 SELECT round(obs, 6) + 0.0 AS obs, round((1 + count(*) FILTER (round(abs(r), 12) >= round(abs(obs), 12))) / (count(*) + 1.0::DOUBLE), 6) + 0.0 AS p_two_sided, round((1 + count(*) FILTER (round(r, 12) >= round(obs, 12))) / (count(*) + 1.0::DOUBLE), 6) + 0.0 AS p_upper, round((1 + count(*) FILTER (round(abs(r - m), 12) >= round(abs(obs - m), 12))) / (count(*) + 1.0::DOUBLE), 6) + 0.0 AS p_centred FROM r, o, m GROUP BY obs, m""")
 def permutation_p(spark, sf):
-    """ST5 ST6 ST7: permutation p of r, three conventions."""
+    """ST5 ST6 ST7: permutation p of r over 10,000 draws, three conventions."""
     from pyspark.sql import Window
 
     n = nation_table(spark, sf)
-    at = spark.range(25 * 200).select(F.col("id").alias("p"))
+    at = spark.range(25 * 10_000).select(F.col("id").alias("p"))
     key = F.pmod(F.pmod(F.pmod((F.col("p") * 1000003 + 5) * 48271, F.lit(2147483647)) * 69621, F.lit(2147483647)), F.lit(1000003))
     order = Window.partitionBy("draw").orderBy("key", "p")
     d = at.select(F.floor(F.col("p") / 25).alias("draw"), (F.col("p") % 25).alias("pos"), key.alias("key"), "p").withColumn("idx", (F.row_number().over(order) - 1).cast("long")).select("draw", "pos", "idx")
@@ -95,18 +95,18 @@ def permutation_p(spark, sf):
 
 
 @query("permutation_within", f"""WITH {NATIONS_SQL}, z AS (SELECT k, g, x - avg(x) OVER (PARTITION BY g) AS x, y - avg(y) OVER (PARTITION BY g) AS y, row_number() OVER (PARTITION BY g ORDER BY k) AS i FROM nat),
-p AS (SELECT draw, g, k, row_number() OVER (PARTITION BY draw, g ORDER BY ((k * 1000003 + draw * 7919) * 48271) % 2147483647, k) AS i FROM z CROSS JOIN (SELECT unnest(range(100)) AS draw)),
+p AS (SELECT draw, g, k, row_number() OVER (PARTITION BY draw, g ORDER BY ((k * 1000003 + draw * 7919) * 48271) % 2147483647, k) AS i FROM z CROSS JOIN (SELECT unnest(range(20000)) AS draw)),
 r AS (SELECT p.draw, corr(a.x, b.y) AS r FROM p JOIN z a ON a.k = p.k JOIN z b ON b.g = p.g AND b.i = p.i GROUP BY ALL), o AS (SELECT corr(x, y) AS obs FROM z)
 SELECT round(obs, 6) + 0.0 AS obs, round((1 + count(*) FILTER (round(abs(r), 12) >= round(abs(obs), 12))) / (count(*) + 1.0::DOUBLE), 6) + 0.0 AS p FROM r, o GROUP BY obs""")
 def permutation_within(spark, sf):
-    """ST10 ST9: permutations within groups of group-adjusted values."""
+    """ST10 ST9: 20,000 permutations within groups of group-adjusted values."""
     from pyspark.sql import Window
 
     n = ST.group_residual(ST.group_residual(nation_table(spark, sf), "x", ["g"], "x"), "y", ["g"], "y")
     z = n.withColumn("i", F.row_number().over(Window.partitionBy("g").orderBy("k")))
     key = F.pmod((F.col("k") * 1000003 + F.col("draw") * 7919) * 48271, F.lit(2147483647))
-    draws = spark.range(100).select(F.col("id").alias("draw"))
-    p = z.crossJoin(F.broadcast(draws)).withColumn("i", F.row_number().over(Window.partitionBy("draw", "g").orderBy(key, "k"))).select("draw", "g", "x", "i")  # a hundred draws
+    draws = spark.range(20_000).select(F.col("id").alias("draw"))
+    p = z.crossJoin(F.broadcast(draws)).withColumn("i", F.row_number().over(Window.partitionBy("draw", "g").orderBy(key, "k"))).select("draw", "g", "x", "i")  # a table of draws against the nations
     r = p.join(z.select("g", "i", "y"), ["g", "i"]).groupBy("draw").agg(ST.corr("x", "y").alias("r"))
     e = ST.empirical_p(r, ST.pearson(n, "x", "y", []).select(F.col("r").alias("obs")), "r", [])
     return e.select(rnd("obs").alias("obs"), rnd("p_two_sided").alias("p"))
@@ -158,7 +158,20 @@ SELECT f, count(*)::BIGINT AS n, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS w_pl
 def wilcoxon_w(spark, sf):
     """ST18: signed rank sums of pairs."""
     v = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("f"), F.round(F.col("l_discount") * 100).alias("a"), F.round(F.col("l_tax") * 100).alias("b"))
-    return ST.wilcoxon(v, "a", "b", ["f"])
+    return ST.wilcoxon(v, "a", "b", ["f"]).select("f", "n", "w_plus", "w_minus")
+
+
+@query("wilcoxon_p")
+def wilcoxon_p(spark, sf):
+    """ST18: p of paired nation measures by region, exact for few pairs without ties."""
+    n = nation_table(spark, sf)
+    return ST.with_wilcoxon_p(ST.wilcoxon(n.withColumn("y", F.col("y") / 30), "x", "y", ["g"]))
+
+
+@query("mann_whitney_p")
+def mann_whitney_p(spark, sf):
+    """ST16: p of every pair of regions, exact for few values without ties."""
+    return ST.with_mann_whitney_p(ST.mann_whitney(nation_table(spark, sf), "x", "g"))
 
 
 @query("one_sample_t", "SELECT c_mktsegment AS g, count(c_acctbal)::BIGINT AS n, round(avg(c_acctbal), 6) + 0.0 AS mean, round((avg(c_acctbal) - 4500) / (stddev_samp(c_acctbal) / sqrt(count(c_acctbal))), 6) + 0.0 AS t FROM customer GROUP BY ALL")
@@ -194,12 +207,12 @@ def ols_slope(spark, sf):
     return ST.line(_lines(spark, sf), "q", "e", ["f", "s"]).select("f", "s", rnd("slope").alias("slope"), rnd("intercept", 4).alias("intercept"))
 
 
-@query("bootstrap_diff", f"""WITH {NATIONS_SQL}, {_DRAWS.format(salt=1, n=25, draws=150)}, m AS (SELECT d.draw, avg(a.x) - avg(b.z) AS d FROM d JOIN nat a ON a.k = idx JOIN nat b ON b.k = idx GROUP BY ALL)
+@query("bootstrap_diff", f"""WITH {NATIONS_SQL}, {_DRAWS.format(salt=1, n=25, draws=10000)}, m AS (SELECT d.draw, avg(a.x) - avg(b.z) AS d FROM d JOIN nat a ON a.k = idx JOIN nat b ON b.k = idx GROUP BY ALL)
 SELECT round(avg(d), 6) + 0.0 AS mean, round(quantile_cont(d, 0.025), 6) + 0.0 AS low, round(quantile_cont(d, 0.975), 6) + 0.0 AS high, round(least(1, 2 * least(avg((d <= 0)::INT), avg((d >= 0)::INT))), 6) + 0.0 AS p FROM m""")
 def bootstrap_diff(spark, sf):
     """ST20: bootstrap difference of two measures' means over the nations."""
     n = nation_table(spark, sf)
-    d = ST.hash_draws(spark, 25, 150, 1)
+    d = ST.hash_draws(spark, 25, 10_000, 1)
     r = ST.bootstrap_difference(n.select(F.col("k").alias("idx"), "x"), n.select(F.col("k").alias("idx"), F.col("z").alias("x")), d, d, "x")
     return r.select(*[rnd(c).alias(c) for c in ("mean", "low", "high", "p")])
 
@@ -226,7 +239,7 @@ def grid_validation(spark, sf):
 
 
 @query("two_way_subsample", """WITH v AS (SELECT o_orderpriority AS s, c_nationkey::BIGINT AS r, avg(o_totalprice) AS x, avg(c_acctbal) AS y FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
-n AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS i FROM (SELECT DISTINCT s FROM v)), d AS (SELECT unnest(range(20)) AS draw),
+n AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS i FROM (SELECT DISTINCT s FROM v)), d AS (SELECT unnest(range(5000)) AS draw),
 k AS (SELECT draw, v.* FROM v JOIN n USING (s) CROSS JOIN d WHERE n.i <> draw % 5 AND (r * 7 + draw * 3) % 25 >= 5), m AS (SELECT draw, r, avg(x) AS x, avg(y) AS y FROM k GROUP BY ALL)
 SELECT draw, count(*)::BIGINT AS n, round(corr(x, y), 6) + 0.0 AS r FROM m GROUP BY ALL""")
 def two_way_subsample(spark, sf):
@@ -234,7 +247,7 @@ def two_way_subsample(spark, sf):
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
     v = o.join(c, o["o_custkey"] == c["c_custkey"]).groupBy(F.col("o_orderpriority").alias("s"), F.col("c_nationkey").cast("long").alias("r")).agg(F.avg("o_totalprice").alias("x"), F.avg("c_acctbal").alias("y"))
     names = sorted(r["s"] for r in v.select("s").distinct().collect())  # five priorities
-    rows = [(d, "subject", names[d % 5]) for d in range(20)] + [(d, "region", str(r)) for d in range(20) for r in range(25) if (r * 7 + d * 3) % 25 < 5]
+    rows = [(d, "subject", names[d % 5]) for d in range(5000)] + [(d, "region", str(r)) for d in range(5000) for r in range(25) if (r * 7 + d * 3) % 25 < 5]
     draws = spark.createDataFrame(rows, "draw long, what string, dropped string")
     return ST.two_way_subsample(v, draws, "s", "r", "x", "y").select("draw", "n", rnd("r").alias("r"))
 

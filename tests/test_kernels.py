@@ -113,11 +113,12 @@ def test_two_means_split(spark):
 def test_graph_kernels(spark):
     seg = spark.createDataFrame([(0, 1, 2, 1.0), (0, 2, 3, 2.0), (0, 1, 3, 9.0), (0, 7, 8, 1.0)], "block int, a long, b long, w double")
     src = spark.createDataFrame([(0, 1)], "block int, node long")
-    assert {r["node"]: r["distance"] for r in G.shortest_paths(seg, src, ["block"]).collect()} == {1: 0, 2: 1, 3: 3, 7: None, 8: None}
+    assert {r["node"]: r["distance"] for r in G.shortest_paths(seg, src, ["block"]).collect()} == {1: 0, 2: 1, 3: 3, 7: math.inf, 8: math.inf}
     two = [(0, a, b, 1.0) for base in (0, 10) for a in range(base, base + 4) for b in range(base, base + 4) if a != b] + [(0, 0, 10, 0.1)]
     c = {r["node"]: r["community"] for r in G.communities(spark.createDataFrame(two, "g int, src long, dst long, w double"), ["g"]).collect()}
     assert len({c[i] for i in range(4)}) == 1 and len({c[i] for i in range(10, 14)}) == 1 and c[0] != c[10]
-    n = G.maximum_entropy_null(spark.createDataFrame([(0, i, j, float(i + j + 1)) for i in range(4) for j in range(4)], "g int, src long, dst long, w double"), ["g"], 200).toPandas()
+    nodes = spark.createDataFrame([(i, i) for i in range(4)], "node long, region int")
+    n = G.maximum_entropy_null(spark.createDataFrame([(0, i, j, float(i + j + 1)) for i in range(4) for j in range(4) if i != j], "g int, src long, dst long, w double"), nodes, ["g"], 400).toPandas()
     assert n["margin_error"].max() < 1e-6
     k = G.kmeans_units(spark.createDataFrame([(0, i, [float(i // 50), 0.0]) for i in range(100)], "g int, id long, v array<double>"), ["g"], "v", 40).toPandas()
     assert k["unit"].nunique() == 2 and k["inertia"].iloc[0] == pytest.approx(0)
