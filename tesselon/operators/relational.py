@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselon.functions.scalars import clean, col, divide
+from tesselon.sources.tables import shared_folder
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed into the shared checkpoint folder; its lineage ends there. Where
-    the session names no folder (one machine), a local one is set."""
+    """df, computed into the shared checkpoint folder; its lineage ends there."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tesselon-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

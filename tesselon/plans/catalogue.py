@@ -20,7 +20,7 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-_MODULES = ("timeseries", "tables", "graphs", "statistics", "kernels")
+_MODULES = ("timeseries", "tables", "graphs", "statistics", "kernels", "files")
 
 
 def _loaded() -> dict:

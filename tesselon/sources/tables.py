@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import json
 import pickle
+import tempfile
 from pathlib import Path
 
 import numpy as np
@@ -42,12 +43,46 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def read_feather(spark: SparkSession, path: str, parquet: str, columns: list[str] | None = None) -> DataFrame:
-    """An Arrow file by way of Parquet, converted once (S3)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; where that is
+    unset, a new local one on a single machine, and an error on a cluster."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="tesselon-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file in any store that Spark reaches."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
+    out.write(bytearray(data))
+    out.close()
+
+
+def read_feather(spark: SparkSession, path: str, parquet: str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Arrow files (Feather), each read by a task; the driver reads one for its schema.
+    With parquet, by way of a Parquet table (S3)."""
+    import pyarrow as pa
     import pyarrow.feather as feather
-    import pyarrow.parquet as pq
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    unpack = lambda content: feather.read_table(pa.BufferReader(bytes(content)), columns=columns)
 
-    pq.write_table(feather.read_table(path, columns=columns), parquet)
+    def run(batches):
+        for b in batches:
+            for content in b.column("content").to_pylist():
+                yield from unpack(content).to_batches()
+
+    df = files.mapInArrow(run, from_arrow_schema(unpack(files.first()["content"]).schema))
+    if parquet is None:
+        return df
+    df.write.mode("overwrite").parquet(parquet)
     return spark.read.parquet(parquet)
 
 
