@@ -3,8 +3,9 @@
 The vocabulary is that of a public SentencePiece model; no tokenizer is trained. A
 text is segmented as a unigram model does it, by the highest sum of piece scores;
 of equal ones that whose last pieces are the longest. The public file holds merge
-ranks, not probabilities, so scores follow Zipf's law in the rank:
--log(rank + 1), as integers of 1/UNIT, so that sums are exact in any order.
+ranks, not probabilities, so a piece's probability follows Zipf's law in its rank,
+1 / ((rank + 1) H) with H the sum of 1 / (rank + 1) over all pieces; scores are the
+logarithms as integers of 1/UNIT, so that sums are exact in any order.
 A character outside the vocabulary costs the least score less 10 and becomes its
 UTF-8 byte pieces. As in the model, a space is put in front and spaces are part of
 pieces; a literal U+2581 becomes byte pieces, so decoding returns every text exactly.
@@ -59,7 +60,8 @@ class Vocabulary:
     def __init__(self, pieces: list[str], ids: list[int], byte_ids: list[int], size: int):
         self.args = (pieces, ids, byte_ids, size)
         self.byte_ids, self.size = byte_ids, size
-        self.score = {p: (i, -round(UNIT * math.log(rank + 1))) for rank, (p, i) in enumerate(zip(pieces, ids, strict=True), 1)}
+        whole = math.log(sum(1 / (rank + 1) for rank in range(1, len(pieces) + 1)) or 1)
+        self.score = {p: (i, -round(UNIT * (math.log(rank + 1) + whole))) for rank, (p, i) in enumerate(zip(pieces, ids, strict=True), 1)}
         self.unknown = min(s for _, s in self.score.values()) - 10 * UNIT
         self.max = max(map(len, pieces))
         self.text = [b""] * size
