@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.llm.common import dropped, new_folder
+from tesselon.llm.common import BROADCAST_BYTES, dropped, new_folder
 
 
 def _forest(batches):
@@ -47,7 +47,10 @@ def components(edges: DataFrame) -> DataFrame:
     ones, are attached to the smallest node of its neighbourhood. Each round is
     written to the shared folder, so no lineage grows; minima are pre-aggregated
     before they are shuffled, and a hub's edges are rows of a join, never a collected
-    group. Ends when a round changes nothing, after about log(longest path) rounds.
+    group: the minima are broadcast if the counted edges bound them, else written, so
+    that the join can split a hub. Ends when a round changes nothing, after about
+    log(longest path) rounds. No edges give no rows; loops and repeated edges count for
+    nothing; edges have no null ends.
     """
     spark = edges.sparkSession
 
@@ -56,14 +59,24 @@ def components(edges: DataFrame) -> DataFrame:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path), path
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    written: list[str] = []
+
+    def beside(low: DataFrame, n: int) -> DataFrame:
+        """Minima of at most 2 n nodes as a join's side."""
+        if 2 * n * 48 <= BROADCAST_BYTES:
+            return F.broadcast(low)
+        df, path = saved(low)
+        written.append(path)
+        return df
+
+    def star(e: DataFrame, large: bool, n: int) -> DataFrame:
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         if large:
             low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-            return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            return both.where("b > a").join(beside(low, n), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = both.where("b < a")
         low = down.groupBy("a").agg(F.min("b").alias("m"))
-        return down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b")))
+        return down.join(beside(low, n), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b")))
 
     def mark(e: DataFrame):
         return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -72,10 +85,12 @@ def components(edges: DataFrame) -> DataFrame:
     now, path = saved(clean.mapInArrow(_forest, "a long, b long").distinct())
     before = mark(now)
     while before[0]:
-        step = star(star(now, True).where("a <> b").distinct(), False).where("a <> b").distinct()
+        step = star(star(now, True, before[0]).where("a <> b").distinct(), False, before[0]).where("a <> b").distinct()
         after_df, after_path = saved(step)
         after = mark(after_df)
-        dropped(spark, path)
+        for old in [path, *written]:
+            dropped(spark, old)
+        written.clear()
         now, path = after_df, after_path
         if after == before:
             break

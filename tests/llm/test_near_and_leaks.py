@@ -91,7 +91,11 @@ def test_signatures_agree_with_similarity():
     assert set(small[0]) == set(a[:2])  # every empty bin borrows
 
 
-def test_components(spark):
+@pytest.mark.parametrize("limit", [1 << 25, 0])
+def test_components(spark, monkeypatch, limit):
+    from tesselon.llm import components as module
+
+    monkeypatch.setattr(module, "BROADCAST_BYTES", limit)
     e = [(1, 2), (2, 3), (9, 8), (8, 7), (20, 20)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(e, "a long, b long")).collect()}
     assert {got[x] for x in (1, 2, 3)} == {1} and {got[x] for x in (7, 8, 9)} == {7} and {got[100 + i] for i in range(41)} == {100} and 20 not in got
