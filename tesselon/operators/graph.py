@@ -75,14 +75,16 @@ def rank1_by_group(edges: DataFrame, by: list[str], max_iter: int = 300, tol: fl
     return edges.groupBy(*by).applyInPandas(run, schema)
 
 
-def rank1_distributed(edges: DataFrame, iterations: int = 50, every: int = 4) -> DataFrame:
-    """node, c_out, c_in, dca of one graph of any size: a fixed number of rounds of
-    joins and sums (G1, G5). Vectors are scaled to length 1 and checkpointed every few
-    rounds, so neither values nor lineage grow."""
+def rank1_distributed(edges: DataFrame, max_iter: int = 300, tol: float = 1e-9, every: int = 4) -> DataFrame:
+    """node, c_out, c_in, dca of one graph of any size by joins and sums, until no value
+    moves by tol between two checks or max_iter rounds are done (G1, G5). Vectors are
+    scaled to length 1, compared and checkpointed every few rounds, so neither values nor
+    lineage grow; one row a check comes to the driver."""
     from tesselon.operators.relational import checkpointed
 
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
     e = checkpointed(edges.groupBy("src", "dst").agg(F.sum("w").alias("w")))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
 
     def half(vector: DataFrame, end: str, to: str) -> DataFrame:
         return e.join(vector.withColumnRenamed("node", end), end).groupBy(F.col(to).alias("node")).agg(F.sum(F.col("w") * F.col("c")).alias("c"))
@@ -92,16 +94,22 @@ def rank1_distributed(edges: DataFrame, iterations: int = 50, every: int = 4) ->
         size = v.agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("s"))
         return v.crossJoin(F.broadcast(size)).select("node", divide("c", "s").alias("c"))  # size is one row
 
+    def change(new: DataFrame, old: DataFrame) -> float:
+        both = new.join(old.withColumnRenamed("c", "__old"), "node", "full_outer")
+        return both.agg(F.max(F.abs(zero(F.col("c")) - zero(F.col("__old"))))).first()[0] or 0.0
+
     into = checkpointed(nodes.withColumn("c", F.lit(1.0)))
-    out = into
-    for i in range(iterations):
+    out = before = None
+    for i in range(1, max_iter + 1):
         out = half(into, "dst", "src")
-        if (i + 1) % every == 0 or i == iterations - 1:
-            out = unit(out)
-        into = half(out, "src", "dst")
-        if (i + 1) % every == 0 or i == iterations - 1:
-            into = unit(into)
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
+        if i % every and i < max_iter:
+            into = half(out, "src", "dst")
+            continue
+        out = unit(out)
+        into = unit(half(out, "src", "dst"))
+        if before and max(change(out, before[0]), change(into, before[1])) < tol:
+            break
+        before = out, into
     both = nodes.join(out.withColumnRenamed("c", "c_out"), "node", "left").join(into.withColumnRenamed("c", "c_in"), "node", "left")
     return both.select("node", zero(F.col("c_out")).alias("c_out"), zero(F.col("c_in")).alias("c_in"), (zero(F.col("c_out")) - zero(F.col("c_in"))).alias("dca"))
 
@@ -379,17 +387,17 @@ def transform_points(points: DataFrame, matrix: list[list[float]], swap: bool =
     return points.withColumns({c: x * m[0] + y * m[1] + z * m[2] + m[3] for c, m in zip("xyz", matrix, strict=True)})
 
 
-def calibrated_strength(ends: DataFrame, sizes: DataFrame) -> DataFrame:
-    """region, strength: mean over partner regions of log1p of symmetrised block counts
-    over the product of region sizes (K8, J13). ends: block, region, n_source, n_target;
-    sizes: region, n."""
-    s = ends.select("block", F.col("region").alias("r"), "n_source")
-    t = ends.select("block", F.col("region").alias("t"), "n_target")
-    counts = s.join(t, "block").groupBy("r", "t").agg(F.sum(F.col("n_source") * F.col("n_target")).cast("double").alias("c"))
-    back = counts.select(F.col("r").alias("t"), F.col("t").alias("r"), F.col("c").alias("back"))
-    both = counts.join(back, ["r", "t"], "full_outer").where("r <> t")
+def calibrated_strength(ends: DataFrame, sizes: DataFrame, by: list[str] = ()) -> DataFrame:
+    """by, region, strength: mean over partner regions of log1p of symmetrised block
+    counts over the product of region sizes (K8, J13). ends: by, block, region, n_source,
+    n_target; sizes: region, n."""
+    s = ends.select(*by, "block", F.col("region").alias("r"), "n_source")
+    t = ends.select(*by, "block", F.col("region").alias("t"), "n_target")
+    counts = s.join(t, [*by, "block"]).groupBy(*by, "r", "t").agg(F.sum(F.col("n_source") * F.col("n_target")).cast("double").alias("c"))
+    back = counts.select(*by, F.col("r").alias("t"), F.col("t").alias("r"), F.col("c").alias("back"))
+    both = counts.join(back, [*by, "r", "t"], "full_outer").where("r <> t")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     n = sizes.select(F.col("region").alias("r"), F.col("n").alias("nr")), sizes.select(F.col("region").alias("t"), F.col("n").alias("nt"))
-    scaled = both.join(n[0], "r").join(n[1], "t").select("r", F.log1p(divide(zero("c") + zero("back"), F.col("nr") * F.col("nt"))).alias("v"))
+    scaled = both.join(n[0], "r").join(n[1], "t").select(*by, "r", F.log1p(divide(zero("c") + zero("back"), F.col("nr") * F.col("nt"))).alias("v"))
     partners = sizes.agg((F.count("*") - 1).alias("m"))
-    return scaled.groupBy(F.col("r").alias("region")).agg(F.sum("v").alias("s")).crossJoin(F.broadcast(partners)).select("region", divide("s", "m").alias("strength"))  # partners is one row
+    return scaled.groupBy(*by, F.col("r").alias("region")).agg(F.sum("v").alias("s")).crossJoin(F.broadcast(partners)).select(*by, "region", divide("s", "m").alias("strength"))  # partners is one row

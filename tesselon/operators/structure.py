@@ -96,17 +96,15 @@ def search_settings(baseline: list[float], spread: list[float], coarse: int, see
     return [list(map(float, baseline))] + [[float(b + s * u) for b, s, u in zip(baseline, spread, r.uniform(-1, 1, len(baseline)), strict=True)] for _ in range(coarse)]
 
 
-def calibrate(spark: SparkSession, measure: Callable[[list[float]], DataFrame], target: DataFrame, baseline: list[float], spread: list[float], coarse: int = 24, refine: int = 16, shrink: float = 0.25, seed: int = 0) -> DataFrame:
+def calibrate(spark: SparkSession, measure: Callable[[DataFrame], DataFrame], target: DataFrame, baseline: list[float], spread: list[float], coarse: int = 24, refine: int = 16, shrink: float = 0.25, seed: int = 0) -> DataFrame:
     """setting, stage, parameters, rho of a two-stage random search that maximises the
-    Spearman correlation of measure(parameters) (region, strength) with target (region,
-    value): all settings of a stage are one query (K9)."""
+    Spearman correlation of measure(settings) (setting, region, strength) with target
+    (region, value); settings (setting, p array<double>) hold a whole stage, so that
+    each stage is one plan (K9). Equal correlations: the earlier setting is the best."""
 
     def scored(settings: list[list[float]], stage: str, first: int) -> list[tuple]:
-        parts = [measure(p).withColumn("setting", F.lit(first + i)) for i, p in enumerate(settings)]
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
-        got = {r["setting"]: r["r"] for r in ST.spearman(every.join(target, "region"), "strength", "value", ["setting"]).collect()}  # one row a setting
+        table = spark.createDataFrame([(first + i, p) for i, p in enumerate(settings)], "setting int, p array<double>")
+        got = {r["setting"]: r["r"] for r in ST.spearman(measure(table).join(target, "region"), "strength", "value", ["setting"]).collect()}  # one row a setting
         return [(first + i, stage, p, got.get(first + i)) for i, p in enumerate(settings)]
 
     rows = scored(search_settings(baseline, spread, coarse, seed), "coarse", 0)

@@ -73,15 +73,14 @@ def calibration_search(spark, sf):
     sizes = p.groupBy("region").agg(F.count("*").alias("n"))
     target = p.groupBy("region").agg(F.avg("x").alias("value"))
 
-    def strength(m):
-        moved = G.transform_points(p, [[m[0], 0.0, 0.0, m[1]], [0.0, m[0], 0.0, m[1]], [0.0, 0.0, m[0], m[1]]])
-        near = P.radius_join(moved, p, "id", "id", 0.02)
-        at = p.select(F.col("id").alias("b_id"), "region")
-        block = p.select(F.col("id").alias("a_id"), "block")
-        n = near.join(at, "b_id").join(block, "a_id").groupBy("block", "region").agg(F.count("*").alias("n_source")).withColumn("n_target", F.col("n_source"))
-        return G.calibrated_strength(n, sizes)
-
-    return calibrate(spark, strength, target, [1.0, 0.0], [0.3, 0.05], 3, 2)
+    def strength(settings):
+        scale, shift = F.col("p")[0], F.col("p")[1]
+        moved = G.transform_points(p.crossJoin(F.broadcast(settings)), [[scale, 0.0, 0.0, shift], [0.0, scale, 0.0, shift], [0.0, 0.0, scale, shift]])  # 25 settings at most
+        near = P.radius_join(moved.withColumn("of", F.struct("setting", "block")), p, "of", "region", 0.02)
+        n = near.groupBy("a_id.setting", "a_id.block", F.col("b_id").alias("region")).agg(F.count("*").alias("n_source"))
+        return G.calibrated_strength(n.withColumn("n_target", F.col("n_source")), sizes, ["setting"])
+
+    return calibrate(spark, strength, target, [1.0, 0.0], [0.3, 0.05])
 
 
 @query("subsample_reproducibility")

@@ -304,3 +304,29 @@ def test_reproducibility_of_subsets(spark):
         picks = pd.DataFrame(covering_draws(members, f, 200, 20260727), columns=["draw", "block"])
         r = [np.corrcoef(counts.loc[g["block"]].sum(), full)[0, 1] for _, g in picks.groupby("draw")]
         assert got[f]["n_draws"] == 200 and got[f]["mean"] == pytest.approx(np.mean(r)) and got[f]["low"] == pytest.approx(np.quantile(r, 0.025))
+
+
+def test_calibration_search_equals_plain_loops(spark):
+    pts = base.points(spark, SF).toPandas()
+    at, block = pts[["x", "y", "z"]].to_numpy(), pts["block"].to_numpy()
+    names = np.unique(block)
+    target = pts.groupby("block")["x"].mean()
+
+    def strength(scale, shift):
+        moved = at[:, [1, 0, 2]] * scale + shift
+        near = ((moved[:, None] - at[None]) ** 2).sum(axis=2) < 0.02
+        n = np.array([[near[np.ix_(block == b, block == r)].sum() for r in names] for b in names], float)
+        counts = n.T @ n
+        both = counts + counts.T
+        sizes = np.array([(block == r).sum() for r in names])
+        logs = np.log1p(both / np.outer(sizes, sizes))
+        return (logs.sum(axis=1) - np.diag(logs)) / (len(names) - 1)
+
+    rows = sorted(Q["calibration_search"](spark, SF).collect(), key=lambda r: r["setting"])
+    assert [r["stage"] for r in rows] == ["coarse"] * 25 + ["refine"] * 16
+    assert rows[0]["parameters"] == [1.0, 0.0]
+    for r in rows:
+        want = np.corrcoef(ranks(np.round(strength(*r["parameters"]), 12)), ranks(target.loc[names].to_numpy()))[0, 1]
+        assert r["rho"] == pytest.approx(want, abs=1e-9)
+    best = max(rows[:25], key=lambda r: (r["rho"], -r["setting"]))["parameters"]
+    assert all(abs(r["parameters"][0] - best[0]) <= 0.075 and abs(r["parameters"][1] - best[1]) <= 0.0125 for r in rows[25:])

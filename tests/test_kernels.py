@@ -90,6 +90,8 @@ def test_rank1_is_the_leading_singular_pair(spark):
     e = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(4) for j in range(4) if a[i, j]], "src long, dst long, w double")
     got = {r["node"]: r for r in G.rank1_distributed(e, 40).collect()}
     assert [got[i]["c_out"] for i in range(4)] == pytest.approx(out.tolist(), abs=1e-6)
+    assert [got[i]["c_in"] for i in range(4)] == pytest.approx(into.tolist(), abs=1e-6)
+    assert G.rank1_distributed(e.limit(0)).count() == 0
 
 
 @settings(max_examples=8, deadline=None)
