@@ -130,13 +130,27 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest_audit(spark: SparkSession, manifest: DataFrame, root: str, strict: bool = False) -> DataFrame:
-    """Each row of manifest (name, relative_path glob) with n_files and status OK or
-    MISSING; strict raises when one is missing (S10)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    base = F.regexp_replace(F.regexp_replace("relative_path", r"([.+(){}\[\]^$|])", r"\\$1"), r"\*", ".*")
-    pattern = F.concat(F.lit(".*/"), base, F.lit("$"))
-    found = manifest.join(files, F.regexp(F.col("path"), pattern), "left")
-    out = found.groupBy(*manifest.columns).agg(F.count("path").alias("n_files")).withColumn("status", F.when(F.col("n_files") > 0, "OK").otherwise("MISSING"))
+    """Each row of manifest (name, relative_path: a file, a folder, or a glob) with
+    n_files and status OK or MISSING; strict raises when one is missing (S10). ``*``, ``?``
+    and ``[ ]`` stay inside a name, ``**`` is any number of folders; a folder counts all
+    files below it. Files meet patterns by the folder before a pattern's first wildcard, an
+    equi-join, whatever the number of either."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    top = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.substring("path", len(top) + 2, 1 << 30).alias("__file"))
+    names = F.split("__file", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(names)), lambda i: F.array_join(F.slice(names, 1, i), "/"))
+    files = files.select("__file", F.explode(above).alias("__base"))
+    path = F.regexp_replace("relative_path", "^(\\./)+|/+$", "")
+    wild = path.rlike(r"[*?\[]")
+    base = F.when(wild, F.regexp_replace(F.regexp_extract(path, r"^[^*?\[]*/", 0), "/$", "")).otherwise(path)
+    pattern = F.regexp_replace(path, r"([.+(){}^$|\\])", r"\\$1")
+    for glob, means in ((r"\*\*/", "\1"), (r"\[!", "[^"), (r"\?", "[^/]"), (r"\*", "[^/]*"), ("\1", "(?:[^/]+/)*")):
+        pattern = F.regexp_replace(pattern, glob, means)
+    asked = manifest.withColumns({"__base": base, "__wild": wild, "__pattern": F.concat(F.lit("^"), pattern, F.lit("$"))})
+    matched = ~F.col("__wild") | F.regexp(F.col("__file"), F.col("__pattern"))
+    found = asked.join(files, "__base", "left").withColumn("__hit", F.when(matched, F.col("__file")))
+    out = found.groupBy(*manifest.columns).agg(F.count("__hit").alias("n_files")).withColumn("status", F.when(F.col("n_files") > 0, "OK").otherwise("MISSING"))
     if strict and (bad := out.where("status = 'MISSING'").limit(1).count()):
         raise FileNotFoundError(f"{bad} or more manifest entries have no file")
     return out

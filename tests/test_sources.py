@@ -54,6 +54,17 @@ def test_inventory_and_manifest(spark, tmp_path):
         T.manifest_audit(spark, m, str(tmp_path / "raw"), strict=True)
 
 
+def test_manifest_patterns_equal_globs(spark, tmp_path):
+    root = tmp_path / "raw (a)"
+    for name in ("a.txt", "b+c.txt", "x/a.txt", "x/ab.txt", "x/y/a.txt", "x/y/z$.dat", "x/y/q/a.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"1")
+    globs = ["*.txt", "b+c.txt", "x/*.txt", "x/?.txt", "x/*/*.txt", "**/a.txt", "x/**/*.txt", "x/y/z$.dat", "x/*b.txt", "no/*.txt", "x/y/z.dat", "./a.txt", "x/[ab].txt", "x/[!b].txt", "x/a[a-c].txt"]
+    want = {g: sum(p.is_file() for p in root.glob(g)) for g in globs} | {"x/y": 3, "x/": 5}
+    m = spark.createDataFrame([(g, g) for g in want], "name string, relative_path string")
+    assert {r["name"]: r["n_files"] for r in T.manifest_audit(spark, m, str(root)).collect()} == want
+
+
 def test_cache_is_reused_if_complete(spark, tmp_path):
     calls = []
 
