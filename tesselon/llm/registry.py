@@ -21,6 +21,7 @@ _QUERIES = {
     "op8_pieces": ("pieces", False),
     "op9_near_dup": ("near_dup", True),
     "op10_lang_id": ("lang_id", False),
+    "op11_importance_resample": ("importance", True),
 }
 
 
