@@ -22,6 +22,7 @@ _QUERIES = {
     "op9_near_dup": ("near_dup", True),
     "op10_lang_id": ("lang_id", False),
     "op11_importance_resample": ("importance", True),
+    "op12_quality": ("quality", False),
 }
 
 
