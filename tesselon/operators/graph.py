@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselon.functions.scalars import divide, divide_positive
+from tesselon.operators.communities import communities
+
+#: Edges of a graph, and pairs of nodes of a null model, that one task takes.
+TASK_ARCS, TASK_PAIRS = 2_000_000, 4_000_000
 
 
 def unit_adjacency(edges: DataFrame, cells: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -55,24 +60,85 @@ def rank1(a: np.ndarray, max_iter: int = 300, tol: float = 1e-9, on_zero: str =
     return out, into, step, float(change)
 
 
-def _matrix(g: pd.DataFrame, src: str, dst: str, w: str) -> tuple[np.ndarray, np.ndarray]:
-    names, code = np.unique(np.concatenate([g[src].to_numpy(), g[dst].to_numpy()]), return_inverse=True)
-    a = np.zeros((len(names), len(names)))
-    np.add.at(a, (code[: len(g)], code[len(g) :]), g[w].to_numpy(float))
-    return names, a
+class Arcs:
+    """A sparse matrix of weights, for products with vectors."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int):
+        self.src, self.dst, self.w, self.n = src, dst, w, n
+
+    def __len__(self):
+        return self.n
+
+    @property
+    def T(self):  # noqa: N802
+        return Arcs(self.dst, self.src, self.w, self.n)
 
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.src, self.w * v[self.dst], self.n)
+
+
+def rank1_by_group(edges: DataFrame, by: list[str], max_iter: int = 300, tol: float = 1e-9, on_zero: str = "nan", task_edges: int = TASK_ARCS) -> DataFrame:
+    """by, node, c_out, c_in, dca, iterations of many graphs (G1-G4, G6): graphs of at most
+    task_edges edges by one task each, on their edges; larger ones together by joins. Edges:
+    by, src, dst, w, weights of 0 or more."""
+    from tesselon.operators.relational import checkpointed
 
-def rank1_by_group(edges: DataFrame, by: list[str], max_iter: int = 300, tol: float = 1e-9, on_zero: str = "nan") -> DataFrame:
-    """by, node, c_out, c_in, dca of small graphs, one task each (G1-G4, G6). Edges:
-    src, dst, w with long node ids."""
-    schema = ", ".join([*[f"`{c}` {edges.schema[c].dataType.simpleString()}" for c in by], "node long, c_out double, c_in double, dca double, iterations int"])
+    kind = edges.schema["src"].dataType.simpleString()
+    schema = ", ".join([*[f"`{c}` {edges.schema[c].dataType.simpleString()}" for c in by], f"node {kind}, c_out double, c_in double, dca double, iterations int"])
+    large = checkpointed(edges.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > task_edges).drop("n"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        names, a = _matrix(g, "src", "dst", "w")
+        names, code = np.unique(np.concatenate([g["src"].to_numpy(), g["dst"].to_numpy()]), return_inverse=True)
+        a = Arcs(code[: len(g)], code[len(g) :], g["w"].to_numpy(float), len(names))
         out, into, step, _ = rank1(a, max_iter, tol, on_zero)
         return pd.DataFrame({**{c: [g[c].iloc[0]] * len(names) for c in by}, "node": names, "c_out": out, "c_in": into, "dca": out - into, "iterations": step})
 
-    return edges.groupBy(*by).applyInPandas(run, schema)
+    if large.isEmpty():
+        return edges.groupBy(*by).applyInPandas(run, schema)
+    small = edges.join(large, by, "left_anti").groupBy(*by).applyInPandas(run, schema)
+    return small.unionByName(rank1_by_joins(edges.join(large, by, "left_semi"), by, max_iter, tol, on_zero))
+
+
+def rank1_by_joins(edges: DataFrame, by: list[str], max_iter: int = 300, tol: float = 1e-9, on_zero: str = "nan", every: int = 5) -> DataFrame:
+    """As rank1_by_group, for graphs of any size: one set of joins and sums multiplies all of
+    them. Vectors are scaled, compared and checkpointed every few rounds; a graph none of
+    whose values moved by tol since the last time drops out, with its edges. Where a graph's
+    first product is zero (no weight at all), on_zero decides at once."""
+    from tesselon.operators.relational import checkpointed
+
+    e = checkpointed(edges.groupBy(*by, "src", "dst").agg(F.sum("w").alias("w")))
+    nodes = e.select(*by, F.col("src").alias("node")).unionAll(e.select(*by, F.col("dst").alias("node"))).distinct()
+    size = F.sqrt(F.sum(F.col("c") * F.col("c")))
+
+    def half(vector: DataFrame, end: str, to: str) -> DataFrame:
+        return e.join(vector.withColumnRenamed("node", end), [*by, end]).groupBy(*by, F.col(to).alias("node")).agg(F.sum(F.col("w") * F.col("c")).alias("c"))
+
+    start = nodes.join(nodes.groupBy(*by).agg((1 / F.sqrt(F.count("*"))).alias("c")), by)
+    state = checkpointed(start.select(*by, "node", F.col("c").alias("c_out"), F.col("c").alias("c_in")))
+    live = half(state.select(*by, "node", F.col("c_in").alias("c")), "dst", "src").groupBy(*by).agg(size.alias("s")).where("s > 1e-12").drop("s")
+    live = checkpointed(live)
+    fixed = {"nan": F.lit(None).cast("double"), "skip": F.lit(0.0), "stop": F.col("c_out")}[on_zero]
+    done = [state.join(live, by, "left_anti").select(*by, "node", fixed.alias("c_out"), fixed.alias("c_in"), F.lit(2 if on_zero == "skip" else 1).alias("iterations"))]
+    state, steps = state.join(live, by, "left_semi"), 0
+    while not state.isEmpty():
+        take = min(every, max_iter - steps)
+        into, out = state.select(*by, "node", F.col("c_in").alias("c")), None
+        for _ in range(take):
+            out = half(into, "dst", "src")
+            into = half(out, "src", "dst")
+        steps += take
+        new = state.select(*by, "node", F.col("c_out").alias("o"), F.col("c_in").alias("i"))
+        for name, vector in (("c_out", out), ("c_in", into)):
+            v = checkpointed(vector)
+            scaled = v.join(v.groupBy(*by).agg(size.alias("s")), by).select(*by, "node", (F.col("c") / F.col("s")).alias(name))
+            new = new.join(scaled, [*by, "node"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+        new = checkpointed(new)
+        still = new.groupBy(*by).agg(F.max(F.greatest(F.abs(F.col("c_out") - F.col("o")), F.abs(F.col("c_in") - F.col("i")))).alias("change"))
+        still = checkpointed(still.where((F.col("change") >= tol) & F.lit(steps < max_iter)).drop("change"))
+        done.append(new.join(still, by, "left_anti").select(*by, "node", "c_out", "c_in", F.lit(steps).alias("iterations")))
+        state = checkpointed(new.join(still, by, "left_semi").select(*by, "node", "c_out", "c_in"))
+        e = checkpointed(e.join(still, by, "left_semi"))
+    return reduce(DataFrame.unionAll, done).select(*by, "node", "c_out", "c_in", (F.col("c_out") - F.col("c_in")).alias("dca"), "iterations")
 
 
 def rank1_distributed(edges: DataFrame, max_iter: int = 300, tol: float = 1e-9, every: int = 4) -> DataFrame:
@@ -209,55 +275,19 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return by.crossJoin(F.broadcast(total)).agg(F.sum(F.col("inside") / F.col("m2") - F.pow(F.col("degree") / F.col("m2"), 2)).alias("q"))  # total is one row
 
 
-def modularity_within(edges: DataFrame, region: str) -> DataFrame:
+def modularity_within(edges: DataFrame, region: str, nodes: DataFrame | None = None) -> DataFrame:
     """region, n_communities, q of the communities detected inside each region's own
-    graph (H8). edges: region, src, dst, w, both ends in the region."""
-    labels = communities(edges, [region])
-    e = edges.join(labels.select(region, F.col("node").alias("src"), F.col("community").alias("a")), [region, "src"]).join(labels.select(region, F.col("node").alias("dst"), F.col("community").alias("b")), [region, "dst"])
+    graph (H8). edges: region, src, dst, w, both ends in the region. With nodes (region,
+    node) those without an edge count as communities; a region without edges has 0 and a
+    missing q."""
+    labels = communities(edges, [region], nodes)
+    e = edges.where("src <> dst AND w > 0").join(labels.select(region, F.col("node").alias("src"), F.col("community").alias("a")), [region, "src"])
+    e = e.join(labels.select(region, F.col("node").alias("dst"), F.col("community").alias("b")), [region, "dst"])
     ends = e.select(region, "a", "b", "w").unionAll(e.select(region, F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     part = ends.groupBy(region, "a").agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)).alias("inside"), F.sum("w").alias("degree"))
-    sums = part.groupBy(region).agg(F.count("*").alias("n_communities"), F.sum("degree").alias("m2"), F.sum("inside").alias("inside"), F.sum(F.col("degree") * F.col("degree")).alias("squares"))
-    return sums.select(region, "n_communities", (divide("inside", "m2") - divide("squares", F.col("m2") * F.col("m2"))).alias("q"))
-
-
-def communities(edges: DataFrame, by: list[str]) -> DataFrame:
-    """by, node, community by greedy local moves and aggregation on the symmetrised
-    graph, one task for each small graph (H7, H8)."""
-    schema = ", ".join([*[f"`{c}` {edges.schema[c].dataType.simpleString()}" for c in by], "node long, community long"])
-
-    def louvain(a: np.ndarray) -> np.ndarray:
-        label = np.arange(len(a))
-        while True:
-            k, m2 = a.sum(axis=1), a.sum()
-            part = np.arange(len(a))
-            if m2 <= 0:
-                return label
-            moved = True
-            while moved:
-                moved = False
-                for i in range(len(a)):
-                    gain = np.bincount(part, weights=a[i], minlength=len(a))
-                    gain[part[i]] -= a[i, i]
-                    mass = np.bincount(part, weights=k, minlength=len(a))
-                    mass[part[i]] -= k[i]
-                    score = gain - k[i] * mass / m2
-                    best = int(np.argmax(score))
-                    if score[best] > score[part[i]] + 1e-12:
-                        part[i] = best
-                        moved = True
-            names, part = np.unique(part, return_inverse=True)
-            label = part[label]
-            if len(names) == len(a):
-                return label
-            small = np.zeros((len(names), len(names)))
-            np.add.at(small, (part[:, None], part[None, :]), a)
-            a = small
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        names, a = _matrix(g, "src", "dst", "w")
-        return pd.DataFrame({**{c: [g[c].iloc[0]] * len(names) for c in by}, "node": names, "community": louvain(a + a.T)})
-
-    return edges.groupBy(*by).applyInPandas(run, schema)
+    sums = part.groupBy(region).agg(F.sum("degree").alias("m2"), F.sum("inside").alias("inside"), F.sum(F.col("degree") * F.col("degree")).alias("squares"))
+    found = labels.groupBy(region).agg(F.countDistinct(F.when(F.col("community") >= 0, F.col("community"))).alias("n_communities"))
+    return found.join(sums, region, "left").select(region, "n_communities", (divide("inside", "m2") - divide("squares", F.col("m2") * F.col("m2"))).alias("q"))
 
 
 def block_overwrite(members: DataFrame) -> DataFrame:
@@ -275,26 +305,35 @@ def support(pairs: DataFrame, block: str, src: str, dst: str) -> DataFrame:
     return pairs.select(block, src, dst).distinct().groupBy(src, dst).agg(F.count("*").alias("n_blocks"))
 
 
-def maximum_entropy_null(edges: DataFrame, nodes: DataFrame, by: list[str], iterations: int = 100, seed: int = 20260722, pair_totals: bool = False) -> DataFrame:
+def maximum_entropy_null(edges: DataFrame, nodes: DataFrame, by: list[str], iterations: int = 100, seed: int = 20260722, pair_totals: bool = False, task_pairs: int = TASK_PAIRS) -> DataFrame:
     """by, src, dst, w, margin_error: random weights over all pairs of nodes of different
     regions, scaled to the nodes' row and column sums, with the largest margin error
     relative to a sum (or 1) (K12). With pair_totals only region pairs that have edges take
     part, and their totals are kept too. Nodes without outgoing (incoming) weight have
-    none. edges: by, src, dst, w; nodes: node, region, a table that fits a task."""
-    regions = {r["node"]: r["region"] for r in nodes.select("node", "region").collect()}
+    none. edges: by, src, dst, w; nodes: node, region. Graphs with at most task_pairs pairs
+    of sources and targets are fitted by a task each, others by joins."""
+    from tesselon.operators.relational import checkpointed, with_endpoints
+
+    e = with_endpoints(edges.groupBy(*by, "src", "dst").agg(F.sum("w").cast("double").alias("w")), nodes.select("node", "region"), "node", "src", "dst")
+    sizes = e.groupBy(*by).agg((F.countDistinct("src") * F.countDistinct("dst")).alias("n"))
+    large = checkpointed(sizes.where(F.col("n") > task_pairs).drop("n"))
     schema = ", ".join([*[f"`{c}` {edges.schema[c].dataType.simpleString()}" for c in by], "src long, dst long, w double, margin_error double"])
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        names, a = _matrix(g, "src", "dst", "w")
-        _, region = np.unique([regions[x] for x in names.tolist()], return_inverse=True)
+        names, code = np.unique(np.concatenate([g["src"], g["dst"]]), return_inverse=True)
+        i, j, n = code[: len(g)], code[len(g) :], len(names)
+        kinds, kind = np.unique(np.concatenate([g["src_region"], g["dst_region"]]), return_inverse=True)
+        region = np.zeros(n, int)
+        region[code] = kind
+        w = g["w"].to_numpy(float)
         key = int(pd.util.hash_pandas_object(g[by].iloc[:1], index=False).iloc[0]) if by else 0
-        pair = region[:, None] * (region.max() + 1) + region
-        totals = np.bincount(pair.ravel(), weights=a.ravel())
+        pair = region[:, None] * len(kinds) + region
+        totals = np.bincount(pair[i, j], w, len(kinds) ** 2)
         allowed = region[:, None] != region
         if pair_totals:
             allowed &= totals[pair] > 0
-        row, column = a.sum(axis=1), a.sum(axis=0)
-        x = np.random.default_rng([seed, key]).exponential(size=a.shape) * allowed * (row > 0)[:, None] * (column > 0)
+        row, column = np.bincount(i, w, n), np.bincount(j, w, n)
+        x = np.random.default_rng([seed, key]).exponential(size=(n, n)) * allowed * (row > 0)[:, None] * (column > 0)
         fit = lambda goal, now: np.divide(goal, now, out=np.zeros_like(goal), where=now > 0)
         for _ in range(iterations):
             x *= fit(row, x.sum(axis=1))[:, None]
@@ -302,10 +341,62 @@ def maximum_entropy_null(edges: DataFrame, nodes: DataFrame, by: list[str], iter
             if pair_totals:
                 x *= fit(totals, np.bincount(pair.ravel(), weights=x.ravel(), minlength=len(totals)))[pair]
         error = max(np.max(np.abs(now - goal) / np.maximum(goal, 1)) for now, goal in ((x.sum(axis=1), row), (x.sum(axis=0), column)))
-        i, j = np.nonzero(x)
-        return pd.DataFrame({**{c: [g[c].iloc[0]] * len(i) for c in by}, "src": names[i], "dst": names[j], "w": x[i, j], "margin_error": error})
+        a, z = np.nonzero(x)
+        return pd.DataFrame({**{c: [g[c].iloc[0]] * len(a) for c in by}, "src": names[a], "dst": names[z], "w": x[a, z], "margin_error": error})
+
+    if large.isEmpty():
+        return e.groupBy(*by).applyInPandas(run, schema)
+    small = e.join(large, by, "left_anti").groupBy(*by).applyInPandas(run, schema)
+    return small.unionByName(null_by_joins(e.join(large, by, "left_semi"), by, iterations, seed, pair_totals))
+
 
-    return edges.groupBy(*by).applyInPandas(run, schema)
+def null_by_joins(e: DataFrame, by: list[str], iterations: int, seed: int, pair_totals: bool, blocks: int = 64) -> DataFrame:
+    """maximum_entropy_null for graphs of any size. e: by, src, dst, w, src_region,
+    dst_region, each pair once. Only the factors of rows, columns and region pairs are kept: a
+    pair's weight is its exponential variate, drawn from a hash of graph and pair whenever it
+    is needed, times its factors. Rows (columns) are dealt to blocks, and the other side's
+    factors copied to each, so a sum stays within its block."""
+    from tesselon.operators.relational import checkpointed
+
+    def side(node: str, region: str) -> DataFrame:
+        return checkpointed(e.groupBy(*by, F.col(node).alias("node"), F.col(region).alias("region")).agg(F.sum("w").alias("goal")).where("goal > 0").withColumn("factor", F.lit(1.0)))
+
+    rows, columns = side("src", "src_region"), side("dst", "dst_region")
+    pairs = e.groupBy(*by, F.col("src_region").alias("ra"), F.col("dst_region").alias("rb")).agg(F.sum("w").alias("total")).where("total > 0")
+    pairs = checkpointed(pairs.withColumn("p", F.lit(1.0)))
+    block = F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("block")
+    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *by, "a", "b"), 11) + 0.5) / float(1 << 53)
+
+    def weights(fixed: DataFrame, copied: DataFrame, names: tuple[str, str]) -> DataFrame:
+        """by, block, a, b, ra, rb, x of all pairs; names says which of a (rows) and b
+        (columns) fixed and copied are."""
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
+        at = lambda d, n, part: d.select(*by, F.col("node").alias(n), F.col("region").alias(f"r{n}"), F.col("factor").alias(f"f{n}"), part)
+        f, c = at(fixed, names[0], block), at(copied, names[1], each)
+        both = f.join(c, [*by, "block"]).where("ra <> rb")
+        if pair_totals:
+            both = both.join(pairs.drop("total"), [*by, "ra", "rb"])
+        return both.withColumn("x", -F.log(unit) * F.col("fa") * F.col("fb") * (F.col("p") if pair_totals else F.lit(1.0)))
+
+    def fitted(mine: DataFrame, other: DataFrame, names: tuple[str, str]) -> DataFrame:
+        sums = weights(mine, other, names).groupBy(*by, "block", names[0]).agg(F.sum("x").alias("now")).withColumnRenamed(names[0], "node")
+        both = mine.join(sums.drop("block"), [*by, "node"], "left")
+        return checkpointed(both.select(*by, "node", "region", "goal", F.when(F.col("now") > 0, F.col("factor") * F.col("goal") / F.col("now")).otherwise(0.0).alias("factor")))
+
+    for _ in range(iterations):
+        rows = fitted(rows, columns, ("a", "b"))
+        columns = fitted(columns, rows, ("b", "a"))
+        if pair_totals:
+            now = weights(rows, columns, ("a", "b")).groupBy(*by, "ra", "rb").agg(F.sum("x").alias("now"))
+            pairs = checkpointed(pairs.join(now, [*by, "ra", "rb"], "left").withColumn("p", F.when(F.col("now") > 0, F.col("p") * F.col("total") / F.col("now")).otherwise(0.0)).drop("now"))
+    x = weights(rows, columns, ("a", "b"))
+    far = None
+    for goals, n in ((rows, "a"), (columns, "b")):
+        sums = x.groupBy(*by, F.col(n).alias("node")).agg(F.sum("x").alias("now"))
+        error = goals.join(sums, [*by, "node"], "left").select(*by, (F.abs(F.coalesce("now", F.lit(0.0)) - F.col("goal")) / F.greatest("goal", F.lit(1.0))).alias("error"))
+        far = error if far is None else far.unionAll(error)
+    errors = checkpointed(far.groupBy(*by).agg(F.max("error").alias("margin_error")))
+    return x.where("x > 0").join(errors, by).select(*by, F.col("a").alias("src"), F.col("b").alias("dst"), F.col("x").alias("w"), "margin_error")
 
 
 def shortest_paths(segments: DataFrame, sources: DataFrame, by: list[str]) -> DataFrame:

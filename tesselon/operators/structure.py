@@ -23,16 +23,15 @@ def named_network(edges: DataFrame, classes: DataFrame, kinds: list[str] | None
     w = F.coalesce(F.expr("try_cast(weight as double)"), F.lit(1.0))
     e = kept.select(without_leading_zeros("source").alias("a"), without_leading_zeros("target").alias("b"), w.alias("w")).where("w > 0 AND a <> b")
     names = classes.select(without_leading_zeros("node").alias("node")).distinct()
-    ids = names.withColumn("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("node")).cast("long"))
-    both = e.join(ids.select(F.col("node").alias("a"), F.col("id").alias("src")), "a").join(ids.select(F.col("node").alias("b"), F.col("id").alias("dst")), "b")
-    adj = both.groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    known = lambda end: names.select(F.col("node").alias(end))
+    adj = e.join(known("a"), "a").join(known("b"), "b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w"))
     dca = G.rank1_by_group(adj.withColumn("g", F.lit(0)), ["g"], 1000, 1e-10, "skip").select("node", "dca")
     at = lambda c: dca.select(F.col("node").alias(c), F.col("dca").alias(f"dca_{c}"))
     x = adj.join(at("src"), "src").join(at("dst"), "dst")
     post = x.groupBy(F.col("src").alias("node")).agg(divide_positive(F.sum(F.col("w") * F.col("dca_dst")), F.sum("w")).alias("post_dca"), F.avg(((F.col("dca_src") > 0) & (F.col("dca_dst") > 0)).cast("double")).alias("oo"))
     pre = x.groupBy(F.col("dst").alias("node")).agg(divide_positive(F.sum(F.col("w") * F.col("dca_src")), F.sum("w")).alias("pre_dca"))
-    out = ids.withColumnRenamed("node", "name").withColumnRenamed("id", "node").join(post, "node", "left").join(pre, "node", "left").join(R.degrees(adj, "src", "dst", "w"), "node", "left")
-    return out.drop("node").withColumnRenamed("name", "node").na.fill(0, ["out_degree", "in_degree", "out_strength", "in_strength"])
+    out = names.join(post, "node", "left").join(pre, "node", "left").join(R.degrees(adj, "src", "dst", "w"), "node", "left")
+    return out.na.fill(0, ["out_degree", "in_degree", "out_strength", "in_strength"])
 
 
 def cell_map(counts_a: DataFrame, counts_b: DataFrame, least: float = 0.30) -> DataFrame:
