@@ -293,11 +293,17 @@ def modularity_within(edges: DataFrame, region: str, nodes: DataFrame | None = N
 def block_overwrite(members: DataFrame) -> DataFrame:
     """src, dst edges after blocks were written in order: each block clears all edges
     among its members and then sets source -> target, without loops (K6). members:
-    block (ordered), cell, is_source, is_target. A pair's last common block decides."""
-    a = members.select("block", F.col("cell").alias("src"), F.col("is_source").alias("s"))
-    b = members.select("block", F.col("cell").alias("dst"), F.col("is_target").alias("t"))
-    last = a.join(b, "block").where("src <> dst").groupBy("src", "dst").agg(F.max(F.struct("block", (F.col("s") & F.col("t")).alias("edge"))).alias("m"))
-    return last.where("m.edge").select("src", "dst")
+    block (ordered), cell, is_source, is_target. A pair's last common block decides: only
+    pairs that some block sets are formed, and the last block of both cells, the largest
+    that their two lists of blocks share, must not be later than the last that sets them."""
+    a = members.where("is_source").select("block", F.col("cell").alias("src"))
+    b = members.where("is_target").select("block", F.col("cell").alias("dst"))
+    edges = a.join(b, "block").where("src <> dst").groupBy("src", "dst").agg(F.max("block").alias("block"))
+    blocks = members.groupBy("cell").agg(F.collect_set("block").alias("blocks"))
+    later = lambda end: blocks.select(F.col("cell").alias(end), F.col("blocks").alias(f"{end}_blocks"))
+    both = edges.join(later("src"), "src").join(later("dst"), "dst")
+    after = lambda end: F.filter(f"{end}_blocks", lambda x: x > F.col("block"))
+    return both.where(~F.arrays_overlap(after("src"), after("dst"))).select("src", "dst")
 
 
 def support(pairs: DataFrame, block: str, src: str, dst: str) -> DataFrame:

@@ -53,6 +53,14 @@ def require_no_null(df: DataFrame, names: list[str]) -> DataFrame:
     return df
 
 
+def with_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df, whose rows raise an error where a key is null or NaN, when they are read: joins
+    would drop or match them otherwise than the analyses do (T9, T10). No job of its own."""
+    wrong = {f.name for f in df.schema if f.dataType.typeName() in ("double", "float")}
+    bad = lambda k: F.col(k).isNull() | F.isnan(k) if k in wrong else F.col(k).isNull()
+    return df.withColumns({k: F.when(bad(k), F.raise_error(F.lit(f"a key is missing: {k}")).cast(df.schema[k].dataType)).otherwise(F.col(k)) for k in keys})
+
+
 def cleaned(df: DataFrame, names: list[str]) -> DataFrame:
     return df.withColumns({c: clean(c) for c in names})
 
@@ -62,19 +70,19 @@ def join_checked(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     sides = {"one_to_one": (left, right), "many_to_one": (right,), "one_to_many": (left,)}[validate]
     for side in sides:
         require_unique(side, keys)
-    return left.join(right, keys, how)
+    return with_keys(left, keys).join(with_keys(right, keys), keys, how)
 
 
 def outer_with_source(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Full outer join with source: both, left_only or right_only."""
-    a, b = left.withColumn("__l", F.lit(1)), right.withColumn("__r", F.lit(1))
+    a, b = with_keys(left, keys).withColumn("__l", F.lit(1)), with_keys(right, keys).withColumn("__r", F.lit(1))
     source = F.when(F.col("__l").isNull(), "right_only").when(F.col("__r").isNull(), "left_only").otherwise("both")
     return a.join(b, keys, "full_outer").withColumn("source", source).drop("__l", "__r")
 
 
 def outer_zero_filled(left: DataFrame, right: DataFrame, keys: list[str], fill: float = 0) -> DataFrame:
     """Full outer join, missing measures filled."""
-    out = left.join(right, keys, "full_outer")
+    out = with_keys(left, keys).join(with_keys(right, keys), keys, "full_outer")
     return out.na.fill(fill, [c for c in out.columns if c not in keys])
 
 
@@ -101,6 +109,7 @@ def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """old with the rows of new in place of rows of the same keys."""
+    old, new = with_keys(old, keys), with_keys(new, keys)
     both = old.withColumn("__seq", F.lit(0)).unionByName(new.withColumn("__seq", F.lit(1)), allowMissingColumns=True)
     return keep_last(both, keys, [F.col("__seq")]).drop("__seq")
 

@@ -44,8 +44,26 @@ def nearest_join(left: DataFrame, right: DataFrame, id_left: str, id_right: str,
 
 def nearest_vertex(points: DataFrame, vertices: DataFrame, by: list[str], z_scale: float = 2.0) -> DataFrame:
     """The nearest vertex of the same block for each point, z scaled; ties to the
-    smaller vertex (J17)."""
-    a = points.select(*by, "point", *[F.col(c).alias(f"a_{c}") for c in XYZ])
-    b = vertices.select(*by, "vertex", *[F.col(c).alias(f"b_{c}") for c in XYZ])
-    s = a.join(b, by).withColumns({"a_z": F.col("a_z") * z_scale, "b_z": F.col("b_z") * z_scale}).withColumn("d2", distance2())
-    return s.groupBy(*by, "point").agg(F.min(F.struct("d2", "vertex")).alias("m")).select(*by, "point", "m.vertex", "m.d2")
+    smaller vertex (J17). Radii grow from the vertices' spacing: a point whose nearest vertex
+    lies within a radius is done, and only the others look further, so the pairs examined
+    grow with the points. Points without a place, or a vertex in their block, have no row."""
+    from tesselon.operators.relational import checkpointed
+
+    def placed(df: DataFrame, name: str) -> DataFrame:
+        xyz = df.select(*by, name, *[(F.col(c) * (z_scale if c == "z" else 1.0)).cast("double").alias(c) for c in XYZ])
+        return xyz.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in XYZ]))
+
+    v = checkpointed(placed(vertices, "vertex"))
+    left = checkpointed(placed(points, "point").join(v.select(*by).distinct(), by, "left_semi"))
+    ends = v.agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in XYZ]).first()
+    if not ends["n"]:
+        return left.select(*by, "point", F.lit(None).cast(v.schema["vertex"].dataType).alias("vertex"), F.lit(None).cast("double").alias("d2")).where("false")
+    sides = [ends[c] for c in XYZ if ends[c] > 0]
+    radius = (reduce(lambda a, b: a * b, sides) / ends["n"]) ** (1 / len(sides)) if sides else 1.0
+    done = []
+    while not left.isEmpty():
+        near = radius_join(left, v, "point", "vertex", radius * radius, False, by)
+        found = checkpointed(near.groupBy(*by, F.col("a_id").alias("point")).agg(F.min(F.struct("d2", F.col("b_id").alias("vertex"))).alias("m")))
+        done.append(found.select(*by, "point", "m.vertex", "m.d2"))
+        left, radius = checkpointed(left.join(found, [*by, "point"], "left_anti")), 2 * radius
+    return reduce(DataFrame.unionAll, done) if done else left.select(*by, "point", F.lit(None).cast(v.schema["vertex"].dataType).alias("vertex"), F.lit(None).cast("double").alias("d2"))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesselon.functions.scalars import corr, divide, fisher_z
+from tesselon.functions.scalars import clip, corr, divide, fisher_z
 from tesselon.functions.special import chi2_p, normal_two_sided, r_p, t_p
 from tesselon.operators.sequence import avg_rank
 
@@ -302,22 +302,72 @@ def subsample_draws(subjects: list, regions: list, draws: int, share: float, see
     return out
 
 
+_MOMENTS = ("n", "x", "y", "xx", "yy", "xy")
+
+
+def _moments(x: Column, y: Column, name: str) -> list[Column]:
+    """The summands of a correlation for one point; 0 where a side is missing."""
+    each = (F.lit(1.0), x, y, x * x, y * y, x * y)
+    return [F.when(x.isNotNull() & y.isNotNull(), c).otherwise(0.0).alias(f"{name}_{m}") for m, c in zip(_MOMENTS, each, strict=True)]
+
+
+def _correlated(sums: DataFrame, keys: list[str], least: int = 4) -> DataFrame:
+    """keys, n, r from summed moments; r is null under least points or where a side
+    doesn't vary."""
+    n, x, y, xx, yy, xy = (F.col(m) for m in _MOMENTS)
+    vx, vy = n * xx - x * x, n * yy - y * y
+    varies = (n > least - 0.5) & (vx > 1e-12 * n * xx) & (vy > 1e-12 * n * yy)
+    return sums.select(*keys, F.round(n).cast("long").alias("n"), F.when(varies, clip((n * xy - x * y) / F.sqrt(vx * vy), -1, 1)).alias("r"))
+
+
+def _region_moments(df: DataFrame, subject: str, region: str, x: str, y: str) -> tuple[DataFrame, DataFrame]:
+    """(region with the moments all_* of its means; subject, region with these and the
+    moments less_* of the region's means without the subject), about a common centre. Only
+    regions that a subject has rows in appear with it: the others don't change without it."""
+    sums = lambda d, *by: d.groupBy(*by).agg(*[f(c).alias(f"{k}{v}") for v, c in (("x", "x"), ("y", "y")) for k, f in (("s", F.sum), ("c", F.count))])
+    own = sums(df.select(F.col(subject).cast("string").alias("subject"), F.col(region).cast("string").alias("region"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), "subject", "region")
+    total = own.groupBy("region").agg(*[F.sum(c).alias(f"t_{c}") for c in ("sx", "cx", "sy", "cy")])
+    centre = total.agg(F.avg(divide("t_sx", "t_cx")).alias("mx"), F.avg(divide("t_sy", "t_cy")).alias("my"))
+    total = total.crossJoin(F.broadcast(centre))  # one row
+    mean = lambda v, less: divide(F.col(f"t_s{v}") - (F.coalesce(f"s{v}", F.lit(0.0)) if less else 0.0), F.col(f"t_c{v}") - (F.col(f"c{v}") if less else 0)) - F.col(f"m{v}")
+    whole = total.select("*", *_moments(mean("x", False), mean("y", False), "all"))
+    pair = own.join(whole, "region").select("subject", "region", *[f"all_{m}" for m in _MOMENTS], *_moments(mean("x", True), mean("y", True), "less"))
+    return whole.select("region", *[f"all_{m}" for m in _MOMENTS]), pair
+
+
+def _by_subject(whole: DataFrame, pair: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the summed moments of all regions, one row; those without each subject)."""
+    every = whole.agg(*[F.coalesce(F.sum(f"all_{m}"), F.lit(0.0)).alias(m) for m in _MOMENTS])
+    change = pair.groupBy("subject").agg(*[F.sum(F.col(f"less_{m}") - F.col(f"all_{m}")).alias(f"d_{m}") for m in _MOMENTS])
+    return every, change.crossJoin(F.broadcast(every)).select("subject", *[(F.col(m) + F.col(f"d_{m}")).alias(m) for m in _MOMENTS])  # every is one row
+
+
 def two_way_subsample(df: DataFrame, draws: DataFrame, subject: str, region: str, x: str, y: str) -> DataFrame:
     """draw, n, r of region means over the remaining subjects and regions (ST24). draws:
-    draw, what, dropped (text)."""
-    each = draws.select("draw").distinct()
-    gone_s = draws.where("what = 'subject'").select("draw", F.col("dropped").alias(subject))
-    gone_r = draws.where("what = 'region'").select("draw", F.col("dropped").alias(region))
-    text = df.withColumns({subject: F.col(subject).cast("string"), region: F.col(region).cast("string")})
-    left = text.crossJoin(F.broadcast(each)).join(gone_s, ["draw", subject], "left_anti").join(gone_r, ["draw", region], "left_anti")  # a table of draws against all rows
-    return pearson(left.groupBy("draw", region).agg(F.avg(x).alias("__x"), F.avg(y).alias("__y")), "__x", "__y", ["draw"])
+    draw, what, dropped (text); one subject at most in a draw. Sums are added and taken away:
+    those of all regions without the subject, less those of the dropped regions without it,
+    so a draw costs a row for each region that it drops, whatever the table's size."""
+    from tesselon.operators.relational import require_unique
+
+    whole, pair = _region_moments(df, subject, region, x, y)
+    every, without = _by_subject(whole, pair)
+    gone = require_unique(draws.where("what = 'subject'").select("draw", F.col("dropped").alias("subject")), ["draw"])
+    named = draws.select("draw").distinct().join(gone, "draw", "left")
+    start = named.join(without, "subject", "left").crossJoin(F.broadcast(every.select(*[F.col(m).alias(f"e_{m}") for m in _MOMENTS])))  # one row
+    start = start.select("draw", *[F.coalesce(m, f"e_{m}").alias(m) for m in _MOMENTS])
+    out = draws.where("what = 'region'").select("draw", F.col("dropped").alias("region")).distinct().join(named, "draw").join(whole, "region")
+    out = out.join(pair.select("subject", "region", F.lit(1).alias("there"), *[f"less_{m}" for m in _MOMENTS]), ["subject", "region"], "left")
+    less = out.groupBy("draw").agg(*[F.sum(F.when(F.col("there") == 1, F.col(f"less_{m}")).otherwise(F.col(f"all_{m}"))).alias(f"o_{m}") for m in _MOMENTS])
+    left = start.join(less, "draw", "left").select("draw", *[(F.col(m) - F.coalesce(f"o_{m}", F.lit(0.0))).alias(m) for m in _MOMENTS])
+    return _correlated(left.where("n > 0.5"), ["draw"])
 
 
 def leave_one_out(df: DataFrame, subject: str, region: str, x: str, y: str) -> DataFrame:
-    """omitted ('none' for nobody), n, r of region means (Q9)."""
-    names = df.select(F.col(subject).cast("string").alias("omitted")).distinct().unionAll(df.sparkSession.range(1).select(F.lit("none").alias("omitted")))
-    left = df.join(names, F.col(subject).cast("string") != F.col("omitted"))
-    return pearson(left.groupBy("omitted", region).agg(F.avg(x).alias("__x"), F.avg(y).alias("__y")), "__x", "__y", ["omitted"])
+    """omitted ('none' for nobody), n, r of region means (Q9), by taking each subject's own
+    rows away from the sums of all."""
+    every, without = _by_subject(*_region_moments(df, subject, region, x, y))
+    sums = without.withColumnRenamed("subject", "omitted").unionByName(every.select(F.lit("none").alias("omitted"), *_MOMENTS))
+    return _correlated(sums.where("n > 0.5"), ["omitted"])
 
 
 def z_p(z: Column) -> Column:

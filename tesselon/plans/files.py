@@ -87,3 +87,13 @@ def checked_cache(spark, sf):
     nations = T.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("name"))
     T.cached_if_complete(spark, path, lambda: nations, 25)
     return T.cached_if_complete(spark, path, lambda: nations.limit(0), 25)
+
+
+@query("upsert_sink", """WITH c AS (SELECT c_custkey AS k, c_mktsegment AS g, c_acctbal AS x FROM customer), n AS (SELECT k, g, -x AS x FROM c WHERE g IN ('BUILDING', 'MACHINERY') AND k % 3 = 0)
+SELECT * FROM n UNION ALL SELECT * FROM c WHERE k % 2 = 0 AND NOT EXISTS (SELECT 1 FROM n WHERE n.k = c.k AND n.g = c.g)""")
+def upsert_sink(spark, sf):
+    """A stored table, new rows put into two of its partitions, read again."""
+    path, c = _folder(spark, "upsert"), _customers(spark, sf)
+    T.upsert_table(spark, path, c.where("k % 2 = 0"), ["g", "k"], "g")
+    T.upsert_table(spark, path, c.where("g IN ('BUILDING', 'MACHINERY') AND k % 3 = 0").withColumn("x", -F.col("x")), ["g", "k"], "g")
+    return spark.read.schema("k long, x double, g string").parquet(path)

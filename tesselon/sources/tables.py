@@ -167,3 +167,26 @@ def cached_if_complete(spark: SparkSession, path: str, make, expected_rows: int)
             raise
     make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: list[str], partition: str) -> None:
+    """Put the rows of new in place of rows of the same keys in the Parquet table at path,
+    partitioned by a column that is one of the keys (S14). Only partitions that new has rows
+    in are read and replaced; the others' files aren't touched. What replaces them is
+    computed into the checkpoint folder first, and swapped in when all of it is written, so a
+    run that dies before leaves the old table. Rows that repeat a key within new are an
+    error."""
+    from tesselon.operators.relational import CheckFailed, checkpointed, require_unique, upsert, with_keys
+
+    if partition not in keys:
+        raise CheckFailed(f"{partition} isn't one of the keys {keys}")
+    new = checkpointed(require_unique(with_keys(new, keys), keys))
+    try:
+        old = spark.read.schema(new.schema).parquet(path)
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        old = spark.createDataFrame([], new.schema)
+    touched = new.select(partition).distinct()
+    rows = checkpointed(upsert(old.join(touched, partition, "left_semi"), new, keys).select(*new.columns))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
