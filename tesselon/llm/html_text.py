@@ -1,8 +1,8 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. Blocks in menus, headers, footers,
-sidebars, forms, notices, adverts and reader comments (by tag, role, or whole names of
-class and id) are boilerplate. The first pass classifies each other block by its link
+sidebars, forms, notices, adverts and reader comments (by tag, role, or the subject of a
+name of class or id) are boilerplate. The first pass classifies each other block by its link
 density, length and density of stop words: good, bad, near (long enough, middling
 density) or short (too short, or too few stop words, to tell). The second pass gives
 near and short blocks the label of their nearest decided neighbours; between a good
@@ -28,6 +28,7 @@ rows repeat; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 from dataclasses import dataclass
@@ -63,12 +64,22 @@ _VOID = frozenset("hr br img input meta link base col embed source track wbr are
 _BAD_TAGS = frozenset("nav footer aside form head menu dialog button select fieldset search".split())
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _BAD_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising alert alerts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies discussion disqus footer gdpr login masthead menu modal "
+    "ad ads adsense advert adverts advertisement advertising alert alerts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies discussion disqus footer gdpr login masthead menu modal "
     "nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion related recommended replies reply respond share sharebar sharing "
     "side sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
 # Names of several words count if these are all that they have besides the words above.
 _PLAIN_WORDS = frozenset("area bar block bottom box button buttons form global icons item items label line link links list message page post posts section site slot text top unit".split())
+# What a name says after its subject: the kind of box, its place, its part.
+_PART_WORDS = _PLAIN_WORDS | frozenset(
+    "articles body col column container content count element entry fixed footer group header heading holder inner left listing meta outer panel pane right root row rows stories story thread title view wrap wrapper zone".split()
+)
+# Subjects that page builders also use for their boxes of content: only whole names count.
+_BOX_WORDS = frozenset("alert alerts banner menu modal notice notices overlay reply side skip toolbar widget widgets".split())
+_BOXES = frozenset("area block box col column container item panel section slot widget zone".split())
+# A name of the main part too (content-sidebar-wrap) is one of boilerplate only for these.
+_MAIN, _IN_MAIN = frozenset(("main", "content")), frozenset("ad ads adsense advertisement comment comments nav navbar navigation".split())
+_NOT = frozenset("with without has no non and hide".split())
 _HEADERS = frozenset("header site-header global-header main-header".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|object|canvas|title|textarea|audio|video|map)(?=[\s/>]).*?(?:</\1\s*>|\Z)"
@@ -78,6 +89,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORD = re.compile(r"[^\W\d_]+")
+_NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _SENTENCE = re.compile(r"[.!?。！？؟।]\W*$|[^\w\s:;>)\]›»→▸+×-]$")  # ends in a mark, but not one of labels
 LABEL, SHARE = 40, 3
 _LISTED = frozenset("li dt dd td th pre blockquote figcaption caption".split())
@@ -94,13 +106,35 @@ class Block:
     label: str = ""
 
 
-def _boilerplate(name: str) -> bool:
-    """A whole name of class or id: of such words only, so not content-with-sidebar."""
-    words = {w for w in re.split(r"[^a-z0-9]+", name) if w and not w.isdigit()}
-    return bool(words & _BAD_WORDS) and words <= _BAD_WORDS | _PLAIN_WORDS
-
-
-def _element(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
+@functools.lru_cache(1 << 16)
+def _boilerplate(name: str, whole: bool = False) -> bool:
+    """Whether a name of class or id is one of boilerplate. Its words, cut at marks and
+    capitals, up to one such as with (content-with-sidebar), are read from the end: words for
+    boxes, places and parts are passed over, and the next one is the subject
+    (user-comments, sidebarLeft, comment-body, but not comment-policy-article). A modifier
+    (page--sidebar) only counts for a plain box. whole: all words must be of boilerplate or
+    boxes."""
+    base, _, modifier = name.partition("--")
+    words = [w.lower() for w in _NAME_WORD.findall(base)]
+    if modifier and words and all(w in _BOXES for w in words):
+        words += [w.lower() for w in _NAME_WORD.findall(modifier)]
+    known = set(words)
+    if known & _BAD_WORDS and known <= _BAD_WORDS | _PLAIN_WORDS:
+        return True
+    if whole:
+        return False
+    for i, w in enumerate(words):
+        if w in _NOT:
+            words = words[:i]
+            break
+    while words and words[-1] in _PART_WORDS and words[-1] not in _BAD_WORDS:
+        words.pop()
+    if not words or words[-1] not in _BAD_WORDS - _BOX_WORDS:
+        return False
+    return _MAIN.isdisjoint(words[:-1]) or words[-1] in _IN_MAIN
+
+
+def _element(tag: str, attributes: str, inside_article: bool, whole: bool) -> tuple[bool, bool]:
     """(is boilerplate, is the article) for an element by itself."""
     bad = tag in _BAD_TAGS or (tag == "header" and not inside_article)
     article = tag in ("article", "main")
@@ -110,8 +144,7 @@ def _element(tag: str, attributes: str, inside_article: bool) -> tuple[bool, boo
         value = (x or y or z).lower()
         name = name.lower()
         if name in ("class", "id"):
-            names = value.split()
-            bad |= any(map(_boilerplate, names)) or (not inside_article and not _HEADERS.isdisjoint(names))
+            bad |= any(_boilerplate(n, whole) for n in (x or y or z).split()) or (not inside_article and not _HEADERS.isdisjoint(value.split()))
         elif name == "role":
             bad |= value in _BAD_ROLES
             article |= value in ("main", "article")
@@ -124,8 +157,9 @@ def _element(tag: str, attributes: str, inside_article: bool) -> tuple[bool, boo
     return bad and tag not in ("body", "html"), article
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page that have text, in order."""
+def blocks(page: str, whole: bool = False) -> list[Block]:
+    """The blocks of a page that have text, in order. whole: only whole names of class and
+    id make boilerplate."""
     out: list[Block] = []
     stack: list[tuple[str, bool, int]] = []
     pieces: list[str] = []
@@ -176,7 +210,7 @@ def blocks(page: str) -> list[Block]:
                 if tag == "body":
                     stack = [s for s in stack if s[0] == "html"]
                 up = stack[-1] if stack else ("", False, 0)
-                bad, article = _element(tag, m[5], bool(up[2]))
+                bad, article = _element(tag, m[5], bool(up[2]), whole)
                 articles += article
                 stack.append((tag, up[1] or bad, 0 if up[1] or bad else articles if article else up[2]))
     pieces.append(page[at:])
@@ -301,7 +335,13 @@ def classify(items: list[Block]) -> list[Block]:
 
 
 def main_text(page: str | None) -> str:
-    return " ".join(b.text for b in classify(blocks(page or "")) if b.label == "good")
+    """The text of the good blocks. A page without any is read again by whole names only: one
+    of its outer boxes may have a name of boilerplate."""
+    for whole in (False, True):
+        text = " ".join(b.text for b in classify(blocks(page or "", whole)) if b.label == "good")
+        if text:
+            break
+    return text
 
 
 def extract(pages: DataFrame, keep: list[str]) -> DataFrame:

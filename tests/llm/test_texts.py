@@ -119,6 +119,34 @@ def test_names_are_matched_whole():
         assert html_text.main_text(f'<div>{PROSE}</div><div class="x {name}">{PROSE}</div>') == clean
 
 
+BOILERPLATE = """id="disqus_thread"|class="user-comments"|class="comment-body"|class="sidebar-left"|class="main-nav"|class="ad-container"|class="cookie-consent-wrapper"|class="comments"|class="related-posts"
+class="userComments"|id="sidebarLeft"|class="x c-comment__body y"|class="comments-area"|class="share-buttons"|class="newsletter-signup-form"|class="post-navigation"|class="article-comments"
+class="header-ad-slot"|class="widget_text"|class="block--ad"|class="comment_content"|id='google-ad-1'|class=gdpr-popup""".replace("\n", "|").split("|")
+CONTENT = """content-with-sidebar|has-sidebar|comment-policy-article|main-content|no-comments|page--sidebar-left|elementor-widget-container|ad-hoc-report|cookie-recipes|side-effects|navigation-guide
+article-body|post-content|entry-content|with-comments|article-and-comments|story-text|shadow|download|content-sidebar-wrap""".replace("\n", "|").split("|")
+
+
+@pytest.mark.parametrize("name", BOILERPLATE)
+def test_boilerplate_by_its_name(name):
+    clean, other = PROSE.strip(), PROSE.replace("story", "rumour")
+    box = f"<div {name}><p>{other}</p><p>{other}</p></div>"
+    assert html_text.main_text(f"<article><h1>Title</h1><p>{PROSE}</p></article>{box}") == f"Title {clean}"
+    assert html_text.main_text(f"<article><h1>Title</h1><p>{PROSE}</p>{box}<p>The end.</p></article>") == f"Title {clean} The end."
+    assert html_text.main_text(f"<div><p>{PROSE}</p><p>{PROSE}</p></div>{box}") == f"{clean} {clean}"
+
+
+@pytest.mark.parametrize("name", CONTENT)
+def test_content_by_its_name(name):
+    clean = PROSE.strip()
+    for page in (f'<div class="{name}"><p>{PROSE}</p><p>{PROSE}</p></div>', f'<div>{PROSE}</div><div id="{name}"><p>{PROSE}</p></div>'):
+        assert html_text.main_text(page) == f"{clean} {clean}"
+
+
+def test_a_page_inside_a_box_of_boilerplate_is_read_by_whole_names():
+    clean = PROSE.strip()
+    assert html_text.main_text(f'<div class="three-col-sidebar"><p>{PROSE}</p><p>{PROSE}</p><div class="comments">{PROSE}</div></div>') == f"{clean} {clean}"
+
+
 def test_generated_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
     got = {r["page_id"]: r["text"] for r in html_text.op4_html_text(spark, SF).collect()}
