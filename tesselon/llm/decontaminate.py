@@ -10,14 +10,15 @@ holds one shingle on average, so a shared shingle is its bin's least with chance
 0.63 or more: an item of 16 shingles contained to 0.8 is missed with chance 3e-6,
 and longer ones less. Items with fewer than FEW shingles have as many bins as there
 are hashes: each of their shingles is compared with all of the document's.
-Candidates are verified on the full shingle sets: |item & document| / |item|.
+Only a document's signature is looked up, one hash for each of its bins; candidates are
+then verified on the full shingle sets: |item & document| / |item|.
 
 Bins nest: a shingle that is its bin's least at p bits is so at more bits. So the
 signatures of an item at all partitions are its shingles, each with the fewest bits at
 which it is its bin's least. Tasks store them as sorted arrays in the shared folder, in
-shards of about SHARD entries; the tasks that read documents map these into memory,
-search them and verify there. No document is shuffled, whatever the size of the
-benchmark, and there is one way for all sizes.
+shards of about SHARD entries, and the items' sets beside them; the tasks that read
+documents map these into memory, search them and verify there. No document is shuffled,
+whatever the size of the benchmark, and there is one way for all sizes.
 
 Defined results: shingles are of WIDTH words; an item with fewer words is one
 shingle of all its words, searched as such in all documents; items and documents
@@ -43,7 +44,7 @@ from tesselon.llm.common import bounded, new_folder, scratch, table
 WIDTH, PERCENT, FEW = 5, 80, 16
 #: Entries of one shard of the index, about; bits of a worker's filter of hashes at most.
 SHARD, FILTER_BITS = 1 << 21, 24
-_ALL, _NO_ID = 200, 1  # marks of entries that are compared without bins, and of null item ids
+_WHOLE, _NO_ID = 16, 1  # added to the width of items with a bin for each hash; mark of null item ids
 
 
 def _sets(column, width: int):
@@ -90,8 +91,9 @@ _ENTRY = "width int, hash long, least int, owner long, n int, item_id long, mark
 
 
 def item_entries(items: DataFrame) -> DataFrame:
-    """A row for each shingle of each item: its width in words, its hash, the fewest bits
-    at which it is its bin's least, its item's row number, size and id."""
+    """A row for each shingle of each item: its width in words (and _WHOLE, where the item has
+    a bin for each hash), its hash, the fewest bits at which it is its bin's least, its item's
+    row number, size and id."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -106,8 +108,8 @@ def item_entries(items: DataFrame) -> DataFrame:
                 pick = np.flatnonzero((words == w) if w < WIDTH else (words >= w))
                 got = [sets[starts[i] : starts[i + 1]] for i in pick]
                 n = np.array([len(s) for s in got], np.int32)
-                least = np.concatenate([_fewest_bits(s) if len(s) >= FEW else np.full(len(s), _ALL) for s in got])
-                cols = [np.full(n.sum(), w, np.int32), np.concatenate(got).view(np.int64), least.astype(np.int32), np.repeat(row + pick, n), np.repeat(n, n), np.repeat(ids[pick], n), np.repeat(np.where(known[pick], 0, _NO_ID).astype(np.int32), n)]
+                least = np.concatenate([_fewest_bits(s) for s in got])
+                cols = [np.repeat(np.where(n < FEW, w + _WHOLE, w).astype(np.int32), n), np.concatenate(got).view(np.int64), least.astype(np.int32), np.repeat(row + pick, n), np.repeat(n, n), np.repeat(ids[pick], n), np.repeat(np.where(known[pick], 0, _NO_ID).astype(np.int32), n)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["width", "hash", "least", "owner", "n", "item_id", "mark"])
             row += len(b)
 
@@ -144,10 +146,25 @@ def store_items(items: DataFrame) -> Stored:
             arrays.save(folder, f"{w}-{s}", {"hash": h[order], **{k: g[k].to_numpy()[order].astype(t) for k, t in kinds.items()}})
             return pd.DataFrame({"n": [len(g)]})
 
+        def store_sets(g: pd.DataFrame) -> pd.DataFrame:
+            w, s = int(g["width"].iloc[0]), int(g["shard"].iloc[0])
+            h, owner = g["hash"].to_numpy().view(np.uint64), g["owner"].to_numpy()
+            order = np.lexsort((h, owner))
+            first = np.flatnonzero(np.diff(owner[order], prepend=owner[order[:1]] - 1))
+            arrays.save(folder, f"set-{w}-{s}", {"owner": owner[order][first], "start": np.append(first, len(order)), "hash": h[order]})
+            return pd.DataFrame({"n": [len(g)]})
+
         dealt.groupBy("width", "shard").applyInPandas(store, "n long").agg(F.sum("n")).first()
+        sets = entries.where(F.col("width") < _WHOLE).select("width", "hash", "owner", _set_shard(F.col("owner"), bits).alias("shard"))
+        sets.groupBy("width", "shard").applyInPandas(store_sets, "n long").agg(F.sum("n")).first()
     return Stored(folder, bits, widths)
 
 
+def _set_shard(owner, bits: int):
+    """The shard of an item's set; items are numbered within their tasks."""
+    return owner % (1 << bits)
+
+
 class Index:
     """The stored entries, mapped, and a filter of their hashes for each width."""
 
@@ -181,24 +198,37 @@ class Index:
         for each width."""
         raw, offsets = T.buffers(column)
         hashes, first = T.tokens(raw, offsets)
-        for w in sorted(self.stored.widths):
+        for code in sorted(self.stored.widths):
+            w = code % _WHOLE
             sets, starts = _sets_of(hashes, first, w)
-            which, entry = self.find(w, sets)
-            if not len(which):
-                continue
             sizes = np.diff(starts)
             row, p = np.repeat(np.arange(len(sizes)), sizes), _partition(sizes)
-            signed = np.zeros(len(sets), bool)
-            signed[_bin_leasts(sets, row, p)] = True
-            r = row[which]
-            agree = (entry["least"] == _ALL) | signed[which] & (entry["least"] <= p[r])
+            bins = np.arange(len(sets)) if code > w else _bin_leasts(sets, row, p)
+            which, entry = self.find(code, sets[bins])
+            r = row[bins[which]]
+            agree = np.ones(len(r), bool) if code > w else entry["least"] <= p[r]
+            r, entry = r[agree], {k: v[agree] for k, v in entry.items()}
+            if not len(r):
+                continue
             order = np.lexsort((entry["owner"], r))
             new = np.flatnonzero(np.concatenate([[True], (np.diff(r[order]) != 0) | (np.diff(entry["owner"][order]) != 0)]))
-            shared, candidate = np.diff(np.append(new, len(order))), np.logical_or.reduceat(agree[order], new)
             one = order[new]
-            ok = candidate & (100 * shared >= percent * entry["n"][one])
+            # with a bin for each hash, agreeing bins are the shared shingles
+            shared = np.diff(np.append(new, len(order))) if code > w else self.shared(w, r[one], entry["owner"][one], sets, starts)
+            ok = 100 * shared >= percent * entry["n"][one]
             yield r[one][ok], entry["item_id"][one][ok], entry["mark"][one][ok], entry["n"][one][ok], shared[ok]
 
+    def shared(self, w: int, rows: np.ndarray, owners: np.ndarray, sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """How many shingles each candidate's item (owners) and document (rows) share."""
+        out = np.zeros(len(rows), np.int64)
+        for s, at in arrays.by_shard(_set_shard(owners, self.stored.bits)):
+            held = self.files[f"set-{w}-{s}"]
+            for i, k in zip(at.tolist(), np.searchsorted(held["owner"], owners[at]).tolist(), strict=True):
+                item, mine = held["hash"][held["start"][k] : held["start"][k + 1]], sets[starts[rows[i]] : starts[rows[i] + 1]]
+                place = np.minimum(np.searchsorted(mine, item), len(mine) - 1)
+                out[i] = np.count_nonzero(mine[place] == item)
+        return out
+
 
 def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, item_id, n_item, n_shared, containment of every document that holds

@@ -1,8 +1,10 @@
 """Near-duplicates, decontamination and components against brute force."""
 
+import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,3 +221,32 @@ def test_segments_do_not_change_tokens(monkeypatch):
 def test_query_columns(spark):
     df = near_dup.op9_near_dup(spark, "/root/testdata/sf0.001")
     assert df.columns == ["doc_id", "n_shingles", "component_id", "kept"] and df.where(F.col("kept") != (F.col("doc_id") == F.col("component_id"))).count() == 0
+
+
+def test_documents_look_up_their_signatures_only(spark, monkeypatch):
+    """At most one look-up for each bin, sets counted only for items that a bin names, and
+    every planted item found."""
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(5000)}"
+    items = [(i, " ".join(word() for _ in range(r.choice([24, 40, 90])))) for i in range(60)]
+    docs, want = [], set()
+    for d in range(40):
+        body = [word() for _ in range(r.randrange(200, 900))]
+        if d % 2:
+            i, text = items[r.randrange(60)]
+            w, at = text.split(), r.randrange(len(body))
+            keep = -(-85 * (len(w) - 4) // 100) + 4  # 85 of 100 shingles, in a row
+            body[at:at] = w[:keep]
+            want.add((d, i))
+        docs.append((d, " ".join(body)))
+    stored = decontaminate.store_items(spark.createDataFrame(items, "item_id long, text string"))
+    index, looked, compared = decontaminate.Index(stored), [], []
+    find, shared = index.find, index.shared
+    monkeypatch.setattr(index, "find", lambda w, h: looked.append(len(h)) or find(w, h))
+    monkeypatch.setattr(index, "shared", lambda w, rows, *a: compared.append(len(rows)) or shared(w, rows, *a))
+    column = pa.array([t for _, t in docs])
+    got = {(int(row), int(i)) for part in index.leaks(column, 80) for row, i in zip(part[0], part[1], strict=True)}
+    sizes = [len(set(zip(*(t.split()[k:] for k in range(5)), strict=False))) for _, t in docs]
+    assert got == want
+    assert sum(looked) < 0.8 * sum(sizes) and sum(looked) <= sum(2 ** math.ceil(math.log2(n)) for n in sizes)
+    assert len(want) <= sum(compared) < 3 * len(want)
