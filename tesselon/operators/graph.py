@@ -405,9 +405,17 @@ def null_by_joins(e: DataFrame, by: list[str], iterations: int, seed: int, pair_
     return x.where("x > 0").join(errors, by).select(*by, F.col("a").alias("src"), F.col("b").alias("dst"), F.col("x").alias("w"), "margin_error")
 
 
-def shortest_paths(segments: DataFrame, sources: DataFrame, by: list[str]) -> DataFrame:
-    """by, node, distance from the block's source over undirected weighted segments (a,
-    b, w); that of unreachable nodes is infinite (K3). sources: by, node."""
+def shortest_paths(segments: DataFrame, sources: DataFrame, by: list[str], task_edges: int = TASK_ARCS) -> DataFrame:
+    """by, node, distance from the block's sources over undirected segments (a, b, w) with
+    weights of 0 or more; that of unreachable nodes is infinite (K3). sources: by, node.
+    Blocks of at most task_edges segments take a task each, larger ones go by joins."""
+    from tesselon.operators.relational import checkpointed
+
+    large = checkpointed(segments.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > task_edges).drop("n"))
+    if not large.isEmpty():
+        far = paths_by_joins(segments.join(large, by, "left_semi"), sources.join(large, by, "left_semi"), by)
+        near = shortest_paths(segments.join(large, by, "left_anti"), sources.join(large, by, "left_anti"), by, 1 << 62)
+        return near.unionByName(far)
     schema = ", ".join([*[f"`{c}` {segments.schema[c].dataType.simpleString()}" for c in by], "node long, distance double"])
 
     def run(g: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
@@ -432,6 +440,29 @@ def shortest_paths(segments: DataFrame, sources: DataFrame, by: list[str]) -> Da
     return segments.groupBy(*by).cogroup(sources.groupBy(*by)).applyInPandas(run, schema)
 
 
+def paths_by_joins(segments: DataFrame, sources: DataFrame, by: list[str], delta: float | None = None) -> DataFrame:
+    """shortest_paths for blocks of any size, all of them together. Each round extends the
+    open nodes - those that got nearer since they were extended - within delta of the nearest
+    open one of their block, so that few are extended twice; rounds end when none is open.
+    delta: four mean weights if not given."""
+    from tesselon.operators.relational import checkpointed
+
+    a, b = segments.select(*by, F.col("a").alias("node"), F.col("b").alias("other"), "w"), segments.select(*by, F.col("b"), F.col("a"), "w")
+    arcs = checkpointed(a.unionAll(b).groupBy(*by, "node", "other").agg(F.min("w").cast("double").alias("w")))
+    if delta is None:
+        delta = max(4 * (arcs.agg(F.avg("w")).first()[0] or 1.0), 1e-9)
+    state = checkpointed(sources.select(*by, "node").distinct().withColumns({"d": F.lit(0.0), "open": F.lit(True)}))
+    while not (pending := state.where("open")).isEmpty():
+        bound = pending.groupBy(*by).agg((F.min("d") + delta).alias("bound"))
+        now = checkpointed(pending.join(bound, by).where("d <= bound").select(*by, "node", "d"))
+        step = now.join(arcs, [*by, "node"]).groupBy(*by, F.col("other").alias("node")).agg(F.min(F.col("d") + F.col("w")).alias("s"))
+        both = state.join(step, [*by, "node"], "full_outer").join(now.select(*by, "node", F.lit(1).alias("went")), [*by, "node"], "left")
+        nearer = F.col("s").isNotNull() & (F.col("d").isNull() | (F.col("s") < F.col("d")))
+        state = checkpointed(both.select(*by, "node", F.least("d", "s").alias("d"), (nearer | F.coalesce("open", F.lit(False)) & F.col("went").isNull()).alias("open")))
+    nodes = arcs.select(*by, "node").unionAll(sources.select(*by, "node")).distinct()
+    return nodes.join(state, [*by, "node"], "left").select(*by, "node", F.coalesce("d", F.lit(float("inf"))).alias("distance"))
+
+
 def split_two_means(df: DataFrame, by: list[str], value: str, ties: list[str]) -> DataFrame:
     """low_group: whether a value lies in the lower part of the exact one-dimensional
     2-means split of its block (K4): the cut of the sorted values with the least sum of

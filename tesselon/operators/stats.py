@@ -162,23 +162,53 @@ def with_kruskal_p(df: DataFrame) -> DataFrame:
     return df.withColumn("p", chi2_p("h", F.col("k") - 1))
 
 
+def _slice_of_pairs(g: pd.DataFrame) -> pd.DataFrame:
+    """slice, a, b, u, x of one slice of values: for its groups, u is how many pairs of a
+    value of a and a smaller one of b lie in it, equal ones counted half, and x the sum of
+    squared counts of a times counts of b at equal values."""
+    names, code = np.unique(g["g"].to_numpy(), return_inverse=True)
+    order = np.argsort(g["v"].to_numpy(), kind="stable")
+    v, code, c = g["v"].to_numpy()[order], code[order], g["c"].to_numpy(float)[order]
+    edges = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1], [True]]))
+    below, u, x = np.zeros(len(names)), np.zeros((len(names),) * 2), np.zeros((len(names),) * 2)
+    for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        k, n = code[i:j], c[i:j]
+        u[k] += n[:, None] * below
+        u[np.ix_(k, k)] += np.outer(n, n) / 2
+        x[np.ix_(k, k)] += np.outer(n * n, n)
+        below[k] += n
+    m = len(names)
+    return pd.DataFrame({"slice": int(g["slice"].iloc[0]), "a": np.repeat(names, m), "b": np.tile(names, m), "u": u.ravel(), "x": x.ravel()})
+
+
 def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
     """a < b, na, nb, u (of a), z with tie and continuity correction, ties (sum of t^3 -
-    t), for all pairs of groups (ST16)."""
-    v = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
-    names = v.select("g").distinct()
-    pairs = names.select(F.col("g").alias("a")).join(names.select(F.col("g").alias("b")), F.col("a") < F.col("b"))
-    rows = pairs.withColumn("g", F.explode(F.array("a", "b"))).join(v, "g")
-    r = avg_rank(rows, "v", ["a", "b"], "rk")
-    is_a = F.col("g") == F.col("a")
-    g = r.groupBy("a", "b").agg(F.count_if(is_a).alias("na"), F.count_if(~is_a).alias("nb"), F.sum(F.when(is_a, F.col("rk"))).alias("ra"))
-    t = r.groupBy("a", "b", "v").agg(F.count("*").alias("t")).groupBy("a", "b").agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    t), for all pairs of groups (ST16). Rows are counted by group and value once and dealt to
+    slices of values; within a slice all pairs are counted in one pass over it, between
+    slices by the groups' sizes in them."""
+    from tesselon.operators.relational import checkpointed
+
+    v = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    c = checkpointed(v.repartitionByRange("v").withColumn("slice", F.spark_partition_id()))
+    kind = c.schema["g"].dataType.simpleString()
+    within = c.groupBy("slice").applyInPandas(_slice_of_pairs, f"slice int, a {kind}, b {kind}, u double, x double")
+    sizes = c.groupBy("slice", "g").agg(F.sum("c").alias("n"))
+    sums = c.groupBy("g").agg(F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * F.col("c") * F.col("c") - F.col("c")).alias("own"))
+    names = sums.select("g")
+    # every slice with every group: as many rows as slices times groups
+    every = sizes.select("slice").distinct().crossJoin(F.broadcast(names) if names.count() <= 100_000 else names).join(sizes, ["slice", "g"], "left")
+    before = every.select("slice", F.col("g").alias("b"), F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    between = sizes.join(before, "slice").select("slice", F.col("g").alias("a"), "b", (F.col("n") * F.col("before")).cast("double").alias("u"), F.lit(0.0).alias("x"))
+    both = within.unionByName(between).groupBy("a", "b").agg(F.sum("u").alias("u"), F.sum("x").alias("x"))
+    back = both.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("x").alias("y"))
+    of = lambda end: sums.select(F.col("g").alias(end), F.col("n").alias(f"n{end}"), F.col("own").alias(f"own_{end}"))
+    g = both.where("a < b").join(back, ["a", "b"]).join(of("a"), "a").join(of("b"), "b")
+    g = g.withColumn("ties", F.col("own_a") + F.col("own_b") + 3 * (F.col("x") + F.col("y")))
     na, nb = F.col("na").cast("double"), F.col("nb").cast("double")
     n = na + nb
     sd = F.sqrt(na * nb / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
-    u = F.col("ra") - na * (na + 1) / 2
-    gap = u - na * nb / 2
-    return g.join(t, ["a", "b"]).select("a", "b", "na", "nb", u.alias("u"), divide(F.signum(gap) * F.greatest(F.abs(gap) - 0.5, F.lit(0.0)), sd).alias("z"), F.col("ties").cast("double").alias("ties"))
+    gap = F.col("u") - na * nb / 2
+    return g.select("a", "b", "na", "nb", "u", divide(F.signum(gap) * F.greatest(F.abs(gap) - 0.5, F.lit(0.0)), sd).alias("z"), "ties")
 
 
 def wilcoxon(df: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:

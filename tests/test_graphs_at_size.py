@@ -79,3 +79,18 @@ def test_modularity_within_counts_lone_nodes(spark):
     got = {r["region"]: r for r in G.modularity_within(edges, "region", nodes).collect()}
     assert got[0]["n_communities"] == 4 and got[0]["q"] == pytest.approx(0.5)
     assert got[1]["n_communities"] == 0 and (got[1]["q"] is None or math.isnan(got[1]["q"]))
+
+
+@pytest.mark.parametrize("delta", [None, 0.5, 100.0])
+def test_paths_by_joins_equal_those_by_tasks(spark, delta):
+    r = np.random.default_rng(2)
+    rows = [(g, int(a), int(b), float(w)) for g, n in ((0, 30), (1, 12)) for a, b, w in zip(r.integers(0, n, 2 * n), r.integers(0, n, 2 * n), r.integers(0, 9, 2 * n), strict=True)]
+    rows += [(0, 100, 101, 1.0), (2, 1, 2, 3.0)]
+    segments = spark.createDataFrame(rows, "block int, a long, b long, w double")
+    sources = spark.createDataFrame([(0, 0), (0, 5), (1, 3), (3, 8)], "block int, node long")
+    key = lambda df: {(x["block"], x["node"]): x["distance"] for x in df.collect()}
+    want = key(G.shortest_paths(segments, sources, ["block"]))
+    assert key(G.paths_by_joins(segments, sources, ["block"], delta)) == want
+    assert want[0, 101] == math.inf and want[2, 1] == math.inf and want[3, 8] == 0
+    if delta is None:
+        assert key(G.shortest_paths(segments, sources, ["block"], task_edges=20)) == want

@@ -104,3 +104,22 @@ def test_joins_refuse_missing_keys(spark):
         with pytest.raises(Exception, match="a key is missing"):
             run().collect()
     assert R.join_checked(a.dropna(), b, ["k"]).collect() == [(1, 1.0, 5.0)]
+
+
+def test_mann_whitney_over_slices_equals_plain_code(spark):
+    r = np.random.default_rng(5)
+    rows = [(f"g{g}", float(x)) for g, n in enumerate((30, 7, 50, 1)) for x in np.round(r.normal(g / 4, 1, n), 1)] + [("far", 99.0), ("far", 98.0), ("g0", None), (None, 1.0)]
+    got = {(x["a"], x["b"]): x for x in ST.mann_whitney(spark.createDataFrame(rows, "g string, v double").repartition(3), "v", "g").collect()}
+    by = {}
+    for g, v in rows:
+        if g is not None and v is not None:
+            by.setdefault(g, []).append(v)
+    assert set(got) == {(a, b) for a in by for b in by if a < b}
+    for (a, b), x in got.items():
+        both = by[a] + by[b]
+        u = sum((p > q) + (p == q) / 2 for p in by[a] for q in by[b])
+        ties = sum(n**3 - n for n in (both.count(v) for v in set(both)))
+        assert (x["na"], x["nb"], x["u"], x["ties"]) == (len(by[a]), len(by[b]), u, ties)
+        n, gap = len(both), u - len(by[a]) * len(by[b]) / 2
+        sd = (len(by[a]) * len(by[b]) / 12 * (n + 1 - ties / (n * (n - 1)))) ** 0.5
+        assert x["z"] == pytest.approx(np.sign(gap) * max(abs(gap) - 0.5, 0) / sd)
