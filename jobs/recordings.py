@@ -1,6 +1,6 @@
 """Keep unit traces and correlation variability of growing recordings up to date.
 
-    spark-submit jobs/recordings.py --config jobs/recordings.json --input EVENTS --output OUT --checkpoint MARKS
+    python -m jobs.recordings --config jobs/recordings.json --input EVENTS --output OUT --checkpoint MARKS
 
 A file stream takes the files of EVENTS (a folder of Parquet files, or a glob of files or
 folders) that no earlier run took. Each batch is

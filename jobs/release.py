@@ -1,6 +1,6 @@
 """Take stock of the text tables of a release and audit them against an earlier one.
 
-    spark-submit jobs/release.py --config jobs/release.json --input TABLES --output OUT
+    python -m jobs.release --config jobs/release.json --input TABLES --output OUT
 
 For each table TABLES/name.parquet of the settings two partitioned tables are written:
 
