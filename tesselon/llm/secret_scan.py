@@ -7,7 +7,9 @@ every stretch that decodes from base64, also one wrapped over lines, becomes a f
 layer, and so does data inside base64 or percent escapes that is compressed (gzip, zlib,
 raw deflate, bzip2, xz), until no new layer appears. No pattern spans lines. A layer whose
 content was seen on the way to it, or at the same place, is not entered again, so cycles
-end. A layer knows which stretches of the layer before it its stretches came from, so a
+end. The worklist goes depth first and takes the next layer of a text only when it is done
+with the one before, and keeps hashes of the texts it has seen, so at any time one layer of
+each depth is held, whatever a text unfolds to. A layer knows which stretches of the layer before it its stretches came from, so a
 finding in any layer maps, layer by layer, to a span of the original text.
 
 Kinds, leftmost and non-overlapping in each layer: assign (a secret's name, ``:`` or
@@ -366,25 +368,35 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
     order = lambda x: (x[1], rank[x[0]], x[2])
     base = sorted(matches(text), key=order)
     known, added = set(base), set()
-    work = [(_Layer(text), frozenset([text]))]
-    entered: set[tuple[int, int, str]] = set()
+    first = _digest(text)
+    work = [(_Layer(text), frozenset([first]), layers(text))]
+    entered: set[tuple[int, int, bytes]] = set()
     while work:
-        layer, seen = work.pop()
-        if layer.above is not None:
-            for kind, a, z in matches(layer.text):
-                span = (kind, *layer.origin(a, z))
+        layer, seen, rest = work[-1]
+        for a, z, plain, places in rest:
+            if not plain or plain == layer.text[a:z] or (name := _digest(plain)) in seen:
+                continue
+            place = (*layer.origin(a, z), name)
+            if place in entered:
+                continue
+            entered.add(place)
+            below = _Layer(plain, layer, a, z, places)
+            for kind, i, j in matches(plain):
+                span = (kind, *below.origin(i, j))
                 if span not in known:
                     added.add(span)
-        for a, z, plain, places in layers(layer.text):
-            if not plain or plain in seen or plain == layer.text[a:z]:
-                continue
-            place = (*layer.origin(a, z), plain)
-            if place not in entered:
-                entered.add(place)
-                work.append((_Layer(plain, layer, a, z, places), seen | {plain}))
+            work.append((below, seen | {name}, layers(plain)))
+            break
+        else:
+            work.pop()
     return base, sorted(added, key=order)
 
 
+def _digest(text: str) -> bytes:
+    """What stands for a layer's text where texts are only compared."""
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 _HEXES = np.zeros(256, bool)
 _HEXES[list(b"0123456789abcdef")] = True
 _SIXTY = np.zeros(256, bool)

@@ -11,6 +11,7 @@ import os
 import random
 import re
 import urllib.parse
+import weakref
 import zlib
 
 import duckdb
@@ -441,3 +442,23 @@ def test_modules_have_documented_edge_cases():
 
     for m in (chat_format, decontaminate, html_text, near_dup, pieces, secret_scan, corpus_pipeline, lang_id, ngram_lm, topk_search, toxicity):
         assert "Defined results" in m.__doc__
+
+
+def test_unfolding_holds_one_layer_of_each_depth(monkeypatch):
+    """Memory is bounded by pieces, not by what a text unfolds to."""
+    live, most = weakref.WeakSet(), [0]
+
+    class Layer(secret_scan._Layer):
+        def __init__(self, *args, **more):
+            super().__init__(*args, **more)
+            live.add(self)
+            most[0] = max(most[0], len(live))
+
+    monkeypatch.setattr(secret_scan, "_Layer", Layer)
+    monkeypatch.setattr(secret_scan, "PIECE", 1 << 15)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 1 << 10)
+    plain = "".join(f"line {i} of words\n" for i in range(200_000)) + "password = abcdefghijklmnop\n"
+    text = base64.b64encode(gzip.compress(plain.encode())).decode()
+    base, added = secret_scan.scan(f"x {text} y")
+    assert not base and added == [("assign", 2, 2 + len(text))]
+    assert len(plain) > 100 * secret_scan.PIECE and most[0] <= 4
