@@ -111,7 +111,9 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), np.float32(1e-12))
+    """x, with its rows scaled to length 1 in place."""
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), np.float32(1e-12))[:, None]
+    return x
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
