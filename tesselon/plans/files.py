@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
-import io
 import uuid
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from tesselon.plans.catalogue import query
@@ -39,45 +36,53 @@ def csv_gzip_inferred(spark, sf):
     return T.read_csv(spark, path).select(F.col("k").cast("long").alias("k"), "g", "x")
 
 
-@query("arrow_scan", "SELECT n_nationkey::BIGINT AS k, n_name AS name FROM nation")
+@query("arrow_scan", "SELECT c_custkey::BIGINT AS k, c_mktsegment AS g FROM customer")
 def arrow_scan(spark, sf):
-    """S3: an Arrow file."""
-    import pyarrow as pa
-    import pyarrow.feather as feather
+    """S3: Arrow files, written and read by tasks; columns are pruned."""
+    path = _folder(spark, "arrow")
+    T.write_feather(_customers(spark, sf).repartition(3, "k"), path)
+    return T.read_feather(spark, f"{path}/*.arrow", columns=["k", "g"])
 
-    rows = T.table(spark, sf, "nation").select("n_nationkey", "n_name").collect()  # 25 rows
-    held, path = io.BytesIO(), f"{_folder(spark, 'arrow')}/nation.feather"
-    feather.write_feather(pa.table({"k": pa.array([r[0] for r in rows], pa.int64()), "name": [r[1] for r in rows]}), held)
-    T.write_bytes(spark, path, held.getvalue())
-    return T.read_feather(spark, path)
 
-
-@query("array_scan", "SELECT n_nationkey::BIGINT AS i, 0::BIGINT AS j, n_regionkey::DOUBLE AS value FROM nation")
+@query("array_scan", """SELECT c_mktsegment AS g, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS i, 0::BIGINT AS j, c_acctbal AS value FROM customer""")
 def array_scan(spark, sf):
-    """An array of a bundle, read by tasks and stored as a table."""
-    rows = T.table(spark, sf, "nation").select("n_nationkey", "n_regionkey").orderBy("n_nationkey").collect()  # 25 rows
-    held, path = io.BytesIO(), _folder(spark, "arrays")
-    np.savez(held, region=np.array([r[1] for r in rows]), other=np.zeros(2))
-    T.write_bytes(spark, f"{path}/n.npz", held.getvalue())
-    T.write_array_table(T.read_arrays(spark, f"{path}/n.npz", "region"), f"{path}/table")
-    return spark.read.parquet(f"{path}/table").select("i", "j", "value")
+    """Bundles of arrays, written and read by tasks, one array of each stored as
+    a table."""
+    path = _folder(spark, "arrays")
+    T.write_arrays(_customers(spark, sf), f"{path}/bundles", "g", "k")
+    T.write_array_table(T.read_arrays(spark, f"{path}/bundles/*.npz", "x"), f"{path}/table")
+    return spark.read.parquet(f"{path}/table").select(F.regexp_extract(F.url_decode("path"), r"([^/]+)\.npz$", 1).alias("g"), "i", "j", "value")
 
 
-@query("manifest", "SELECT * FROM (VALUES ('there', 'one/*.txt', 2::BIGINT, 'OK'), ('gone', 'two/*.txt', 0::BIGINT, 'MISSING')) AS t(name, relative_path, n_files, status)")
+@query("manifest", """SELECT DISTINCT c_mktsegment AS name, 'g=' || c_mktsegment || '/part-*' AS relative_path, 1::BIGINT AS n_files, 'OK' AS status FROM customer
+UNION ALL SELECT DISTINCT c_mktsegment || ' (old)', 'old/' || c_mktsegment || '/*.txt', 0, 'MISSING' FROM customer""")
 def manifest(spark, sf):
-    """Files behind each pattern of a manifest."""
-    root = _folder(spark, "manifest")
-    for k in "ab":
-        T.write_bytes(spark, f"{root}/one/{k}.txt", k.encode())
-    return T.manifest_audit(spark, spark.createDataFrame([("there", "one/*.txt"), ("gone", "two/*.txt")], "name string, relative_path string"), root)
+    """Files behind each pattern of a manifest, of a table written in a folder for each
+    market segment."""
+    root, c = _folder(spark, "manifest"), _customers(spark, sf)
+    c.repartition("g").write.partitionBy("g").parquet(root)
+    names = c.select("g").distinct()
+    there = names.select(F.col("g").alias("name"), F.format_string("g=%s/part-*", "g").alias("relative_path"))
+    return T.manifest_audit(spark, there.unionAll(names.select(F.format_string("%s (old)", "g"), F.format_string("old/%s/*.txt", "g"))), root)
 
 
-@query("file_inventory", f"SELECT 'a.txt' AS name, 5::BIGINT AS bytes, '{hashlib.sha256(b'hello').hexdigest()}' AS sha256")
+@query("file_inventory", """SELECT 'n=' || c_nationkey AS name, sum(octet_length(encode(c_name)) + 1)::BIGINT AS bytes, sha256(string_agg(c_name, chr(10) ORDER BY c_custkey) || chr(10)) AS sha256 FROM customer GROUP BY c_nationkey""")
 def file_inventory(spark, sf):
-    """Sizes and checksums of a folder's files."""
+    """Sizes and checksums of a folder's files, one of the customers of each nation."""
     root = _folder(spark, "inventory")
-    T.write_bytes(spark, f"{root}/a.txt", b"hello")
-    return T.inventory(spark, root).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "bytes", "sha256")
+    c = T.table(spark, sf, "customer").select(F.col("c_nationkey").alias("n"), "c_custkey", "c_name")
+    c.repartition("n").sortWithinPartitions("n", "c_custkey").select("n", "c_name").write.partitionBy("n").text(root)
+    return T.inventory(spark, f"{root}/n=*").select(F.regexp_extract("path", "(n=[^/]+)/[^/]+$", 1).alias("name"), "bytes", "sha256")
+
+
+@query("json_settings", """SELECT r_name AS region, n_name AS node, n_nationkey::BIGINT AS id FROM nation JOIN region ON r_regionkey = n_regionkey""")
+def json_settings(spark, sf):
+    """Settings files, nested JSON of each region's nodes, read with a schema."""
+    path = _folder(spark, "json")
+    n, r = T.table(spark, sf, "nation"), T.table(spark, sf, "region")
+    nested = n.join(r, n["n_regionkey"] == r["r_regionkey"]).groupBy(F.col("r_name").alias("region")).agg(F.collect_list(F.struct(F.col("n_name").alias("node"), F.col("n_nationkey").alias("id"))).alias("nodes"))
+    nested.write.json(path)
+    return spark.read.schema("region string, nodes array<struct<node: string, id: bigint>>").json(path).select("region", F.inline("nodes"))
 
 
 @query("checked_cache", "SELECT n_nationkey::BIGINT AS k, n_name AS name FROM nation")

@@ -11,6 +11,7 @@ import io
 import json
 import pickle
 import tempfile
+import uuid
 from pathlib import Path
 
 import numpy as np
@@ -103,6 +104,63 @@ def read_arrays(spark: SparkSession, path: str, name: str | None = None) -> Data
     return files.mapInPandas(run, "path string, i long, j long, value double")
 
 
+def _put(folder: str, name: str, write) -> None:
+    """A file of a folder in any store that a task reaches: write(sink) fills it under
+    another name, then it gets its own, so a task that is repeated leaves one whole file."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(folder)
+    store.create_dir(at, recursive=True)
+    held = f"{at}/.{name}.{uuid.uuid4().hex}"
+    with store.open_output_stream(held) as sink:
+        write(sink)
+    store.move(held, f"{at}/{name}")
+
+
+def write_feather(df: DataFrame, path: str) -> int:
+    """Arrow files (Feather), one written by each task, batch by batch; the number of rows
+    (S3). A partition without rows has no file."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    def run(batches):
+        first = next(batches, None)
+        if first is None:
+            return
+        n = [first.num_rows]
+
+        def write(sink):
+            with pa.ipc.new_file(sink, first.schema) as out:
+                out.write_batch(first)
+                for b in batches:
+                    n[0] += b.num_rows
+                    out.write_batch(b)
+
+        _put(path, f"part-{TaskContext.get().partitionId():05d}.arrow", write)
+        yield pa.RecordBatch.from_arrays([pa.array(n)], names=["n"])
+
+    return df.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def write_arrays(df: DataFrame, path: str, by: str, order: str) -> int:
+    """A bundle of named arrays (.npz) for each value of a column, with an array of every
+    other column in the order of one of them; the number of bundles (S12). A bundle is
+    written by one task."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(order, kind="stable")
+        _put(path, f"{g[by].iloc[0]}.npz", lambda sink: sink.write(_bundle({c: g[c].to_numpy() for c in g.columns if c != by})))
+        return pd.DataFrame({"n": [1]})
+
+    return df.groupBy(by).applyInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def _bundle(arrays: dict[str, np.ndarray]) -> bytes:
+    held = io.BytesIO()
+    np.savez(held, **arrays)
+    return held.getvalue()
+
+
 def write_array_table(df: DataFrame, path: str) -> None:
     """The Parquet form of an array bundle: one table for each array."""
     df.write.mode("overwrite").parquet(path)

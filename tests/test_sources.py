@@ -110,3 +110,19 @@ def test_matlab_files(spark, tmp_path):
     assert (got["x"] == x).all() and (got["c"][0, 0] == x).all() and got["t"] == "hi" and got["s"]["f"][0, 0] == 7.5 and got["z"][0, 0] == 7.5
     (tmp_path / "a.mat").write_bytes(data)
     assert matlab.read_matlab(spark, str(tmp_path / "a.mat"), "c").groupBy("cell").count().orderBy("cell").collect() == [(0, 6), (1, 1)]
+
+
+def test_files_written_by_tasks_come_back(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"g {i % 3}", i / 2 if i % 5 else None) for i in range(40)], "k long, g string, x double")
+    arrow = str(tmp_path / "arrow")
+    assert T.write_feather(df.repartition(4).where("k < 38 AND k <> 7"), arrow) == 37
+    got = T.read_feather(spark, f"{arrow}/*.arrow").collect()
+    assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in df.where("k < 38 AND k <> 7").collect())
+    assert T.write_feather(df.where("false"), str(tmp_path / "none")) == 0
+    assert T.write_feather(df.repartition(4), arrow) == 40 and len(list((tmp_path / "arrow").iterdir())) <= 4  # a repeat replaces its files
+    arrays = str(tmp_path / "arrays")
+    assert T.write_arrays(df, arrays, "g", "k") == 3
+    x = np.load(f"{arrays}/g 1.npz", allow_pickle=False)
+    assert x["k"].tolist() == list(range(1, 40, 3)) and sorted(x.files) == ["k", "x"]
+    back = T.read_arrays(spark, f"{arrays}/*.npz", "k").groupBy("path").agg({"value": "sum"}).collect()
+    assert sorted(r[1] for r in back) == [sum(range(i, 40, 3)) for i in range(3)]
