@@ -125,4 +125,4 @@ def test_files_written_by_tasks_come_back(spark, tmp_path):
     x = np.load(f"{arrays}/g 1.npz", allow_pickle=False)
     assert x["k"].tolist() == list(range(1, 40, 3)) and sorted(x.files) == ["k", "x"]
     back = T.read_arrays(spark, f"{arrays}/*.npz", "k").groupBy("path").agg({"value": "sum"}).collect()
-    assert sorted(r[1] for r in back) == [sum(range(i, 40, 3)) for i in range(3)]
+    assert sorted(r[1] for r in back) == sorted(sum(range(i, 40, 3)) for i in range(3))
