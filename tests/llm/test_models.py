@@ -61,17 +61,65 @@ def test_language_model_without_training_texts(spark, tmp_path):
     assert (x["n_tokens"], x["n_known"], x["train_tokens"], x["base_score"], x["score"]) == (3, 0, 0, 0, 0)
 
 
+def _bundle(text, seed=7):
+    """The vector of one text, letter by letter."""
+    total, padded = np.zeros(lang_id.DIMENSIONS), [0, *(ord(c.lower()[0]) if c.isalpha() else 0 for c in text), 0]
+    base = {p: lang_id.letter_vectors(np.array([p]), seed)[0].astype(float) for p in set(padded)}
+    for a, b, c in zip(padded, padded[1:], padded[2:]):
+        if b:
+            total += np.roll(base[a], 2) * np.roll(base[b], 1) * base[c]
+    return total
+
+
 def test_trigram_sums_equal_bundled_vectors():
-    one, two, three = lang_id._letters(7)
-    texts = ["Hello, World", "", "çà 漢", "x"]
-    owner, tri = lang_id.trigrams(texts)
-    counts = np.bincount(tri[owner == 0], minlength=lang_id.TRIGRAMS)
-    n = lang_id.SYMBOLS
-    bundle = sum(one[t // n // n] * two[t // n % n] * three[t % n] for t in tri[owner == 0])
-    assert np.allclose(lang_id.prototype(counts, 7), bundle)
-    table = lang_id.products(bundle, 7)
-    assert table[tri[owner == 0]].sum() == pytest.approx(float(bundle @ bundle), rel=1e-4)
-    assert set(owner) == {0, 2, 3} and (owner == 3).sum() == 1
+    texts = ["Hello, World", "", "çà 漢 \U00020000z", "x", "a.b", "".join(chr(0x4E00 + i) for i in range(400))]
+    owner, kind, ids = lang_id.trigrams(texts)
+    protos = np.stack([np.rint(_bundle(t)) for t in texts])
+    got = lang_id.Products(protos, 7)
+    dots = got.dots(owner, kind, ids, len(texts))
+    for i, t in enumerate(texts):
+        assert np.array_equal(lang_id.bundle(ids, np.bincount(kind[owner == i], minlength=len(ids)), 7), _bundle(t))
+        assert np.array_equal(dots[:, i], protos @ _bundle(t))
+    assert np.array_equal(got.of(ids[::2]), lang_id.products(ids[::2], protos, 7))  # kept ones
+    assert set(owner) == {0, 2, 3, 4, 5} and (owner == 3).sum() == 1
+
+
+def test_products_in_blocks_of_prototypes(monkeypatch):
+    texts = ["one two three", "vier fünf", "шесть"]
+    owner, kind, ids = lang_id.trigrams(texts)
+    protos = np.stack([_bundle(t) for t in texts])
+    whole = lang_id.Products(protos, 7).dots(owner, kind, ids, 3)
+    monkeypatch.setattr(lang_id, "WIDE", 1)
+    monkeypatch.setattr(lang_id, "HELD", 1)
+    assert np.array_equal(lang_id.Products(protos, 7).dots(owner, kind, ids, 3), whole)
+
+
+def test_each_letter_has_its_own_vector():
+    letters = [ord(c) for c in map(chr, range(0x30000)) if c.isalpha() and c == c.lower()[0]]
+    some = random.Random(3).sample(letters, 3000)
+    v = lang_id.letter_vectors(np.array(sorted(some)), 7)
+    assert len(np.unique(v, axis=0)) == 3000
+    cosines = v[:500].astype(float) @ v[:500].T / lang_id.DIMENSIONS
+    assert np.abs(cosines - np.eye(500)).max() < 0.15
+
+
+def test_twenty_languages_of_three_scripts(spark):
+    """Words of each language are drawn from letters that its script's other languages have too."""
+    r = random.Random(11)
+    scripts = ["abcdefghijklmnopqrstuvwxyzàáâãäåçèéêëìíîïñòóôõöùúûüý", "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x4E00, 0x4E00 + 300)))]
+    rows = []
+    for k in range(20):
+        letters = scripts[k % 3]
+        weights = [r.random() ** 3 for _ in letters]
+        words = ["".join(r.choices(letters, weights, k=r.randint(2, 3) if k % 3 == 2 else r.randint(3, 8))) for _ in range(150)]
+        rows += [(k * 100 + i, " ".join(r.choices(words, k=25)), f"l{k:02}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train, held = df.where("doc_id % 100 < 40"), df.where("doc_id % 100 >= 40")
+    profiles = lang_id.learn(train)
+    got = {x["doc_id"]: x for x in lang_id.predict(held, profiles, ["doc_id", "lang"]).collect()}
+    assert len(got) == 400 and sum(x["lang"] == x["lang_pred"] for x in got.values()) >= 380
+    again = lang_id.predict(held.repartition(7), lang_id.learn(train.repartition(5)), ["doc_id"]).collect()
+    assert all((x["lang_pred"], x["score"]) == (got[x["doc_id"]]["lang_pred"], got[x["doc_id"]]["score"]) for x in again)
 
 
 def test_language_accuracy_and_edges(spark):
@@ -91,13 +139,9 @@ def test_languages_equal_bundled_vectors(spark):
     rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs] + [(None, "der hund und die katze", None), (None, None, "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = lang_id.predict(df.withColumn("text2", F.col("text")), lang_id.learn(df), ["doc_id", "text"]).collect()
-    base = lang_id._letters(7)[2].astype(np.float64)
-    n = lang_id.SYMBOLS
 
     def vector(texts):
-        _, tri = lang_id.trigrams(texts)
-        kinds, counts = np.unique(tri, return_counts=True)
-        return sum((c * np.roll(base[t // n // n], 2) * np.roll(base[t // n % n], 1) * base[t % n] for t, c in zip(kinds, counts, strict=True)), np.zeros(lang_id.DIMENSIONS))
+        return sum(map(_bundle, texts), np.zeros(lang_id.DIMENSIONS))
 
     langs = sorted({x for _, t, x in rows if x and t})
     proto = np.stack([vector([t for _, t, y in rows if y == x and t]) for x in langs])
