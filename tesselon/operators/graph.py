@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tesselon.functions.scalars import divide, divide_positive
 from tesselon.operators.communities import communities
+from tesselon.operators.units import kmeans_units
 
 #: Edges of a graph, and pairs of nodes of a null model, that one task takes.
 TASK_ARCS, TASK_PAIRS = 2_000_000, 4_000_000
@@ -481,34 +482,6 @@ def split_two_means(df: DataFrame, by: list[str], value: str, ties: list[str]) -
     return scored.withColumn("low_group", low).drop("__i", "__n", "__s", "__t", "__b")
 
 
-def kmeans_units(points: DataFrame, by: list[str], vector: str, size: int, seed: int = 42) -> DataFrame:
-    """by, id, unit, inertia: k-means units of a region's points, k = floor(n / size)
-    less one where n > size and the rest is under a quarter of size (K2)."""
-    schema = ", ".join([*[f"`{c}` {points.schema[c].dataType.simpleString()}" for c in by], "id long, unit int, inertia double"])
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(g[vector].to_numpy()).astype(float)
-        n = len(x)
-        k = n // size - (1 if n > size and 0 < n % size < size / 4 else 0)
-        label = np.zeros(n, int)
-        if k > 1:
-            r = np.random.default_rng(seed)
-            centre = x[[r.integers(n)]]
-            while len(centre) < k:
-                d = ((x[:, None] - centre) ** 2).sum(axis=2).min(axis=1)
-                centre = np.vstack([centre, x[r.choice(n, p=d / d.sum()) if d.sum() else r.integers(n)]])
-            for _ in range(100):
-                label = ((x[:, None] - centre) ** 2).sum(axis=2).argmin(axis=1)
-                new = np.array([x[label == j].mean(axis=0) if (label == j).any() else centre[j] for j in range(k)])
-                if np.allclose(new, centre):
-                    break
-                centre = new
-        inertia = sum(((x[label == j] - x[label == j].mean(axis=0)) ** 2).sum() for j in np.unique(label))
-        return pd.DataFrame({**{c: [g[c].iloc[0]] * n for c in by}, "id": g["id"].to_numpy(), "unit": label, "inertia": inertia})
-
-    return points.groupBy(*by).applyInPandas(run, schema)
-
-
 def transform_points(points: DataFrame, matrix: list[list[float]], swap: bool = True) -> DataFrame:
     """x, y, z by an affine 3 x 4 matrix, after swapping x and y (K1)."""
     x, y, z = (F.col(c) for c in (("y", "x", "z") if swap else ("x", "y", "z")))

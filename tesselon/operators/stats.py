@@ -7,6 +7,8 @@ resulting rows. Resampling joins rows with a table of drawn indices, so any draw
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +18,9 @@ from tesselon.functions.scalars import clip, corr, divide, fisher_z
 from tesselon.functions.special import chi2_p, normal_two_sided, r_p, t_p
 from tesselon.operators.sequence import avg_rank
 
+#: Rows of a group whose permutations tasks draw in blocks.
+TASK_ROWS = 1_000_000
+
 
 def pearson(df: DataFrame, x: str, y: str, by: list[str], least: int = 4) -> DataFrame:
     """by, n, r of complete pairs; r is null under least pairs (ST1)."""
@@ -105,6 +110,54 @@ def permutation_r(rows: DataFrame, draws: DataFrame, x: str, y: str, by: list[st
     return draws.join(a, "pos").join(b, [*by, "idx"]).groupBy(*by, "draw").agg(corr(x, y).alias("r"))
 
 
+def permutation_blocks(rows: DataFrame, key: str, x: str, y: str, draws: int, number: Callable, by: list[str] = (), strata: list[str] = (), block: int = 500, task_rows: int = TASK_ROWS) -> DataFrame:
+    """by, draw, r of y with x permuted within strata (ST5, ST10). In each draw the rows of a
+    stratum are put in the order of number(key, draw) and then of key, and the i-th of them
+    gives its x to the i-th row by key; number is arithmetic that columns and numpy arrays
+    both have, from 0 to 2**31, so a draw is the same wherever it is made. A task takes a
+    block of draws of one group and returns one row. Groups of more than task_rows rows are
+    ordered by windows instead, a window for each draw. Rows with a null in key, x or y take
+    no part; r is null where x or y doesn't vary. Keys are whole numbers, different within
+    a group; by and strata may not be null."""
+    from tesselon.operators.relational import checkpointed, with_keys
+
+    t = with_keys(rows, [*by, *strata]).where(F.col(key).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull())
+    t = t.select(*by, *strata, F.lit(0).alias("one"), F.col(key).cast("long").alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    own = ["one", *by]
+    large = checkpointed(t.groupBy(*own).agg(F.count("*").alias("n")).where(F.col("n") > task_rows).drop("n"))
+    s = F.xxhash64(*strata) if strata else F.lit(0).cast("long")
+    groups = t.join(large, own, "left_anti").groupBy(*own).agg(F.sort_array(F.collect_list(F.struct(s.alias("s"), "k", "x", "y"))).alias("t"))
+    blocks = groups.select(*by, *[F.col(f"t.{c}").alias(c) for c in "skxy"], F.explode(F.sequence(F.lit(0), F.lit(-(-draws // block) - 1))).alias("b")).repartition(*by, "b")
+
+    def run(batches):
+        for g in batches:
+            out = []
+            for s, k, a, c, b in zip(g["s"], g["k"], g["x"], g["y"], g["b"], strict=True):
+                k, a, c = np.asarray(k, np.int64), np.asarray(a, float), np.asarray(c, float)
+                run_of = np.concatenate([[0], np.cumsum(np.diff(np.asarray(s, np.int64)) != 0)]).astype(np.int64)
+                r = []
+                for lo in range(b * block, min((b + 1) * block, draws), step := max(1, (1 << 21) // len(k))):
+                    d = np.arange(lo, min(lo + step, (b + 1) * block, draws), dtype=np.int64)
+                    order = np.argsort(run_of * (1 << 32) + number(k[None], d[:, None]), axis=1, kind="stable")
+                    p, q = a[order] - a.mean(), c - c.mean()
+                    size = np.sqrt((p * p).sum(axis=1) * (q * q).sum())
+                    flat = np.ptp(a) == 0 or np.ptp(c) == 0
+                    r += [None] * len(d) if flat else (p @ q / size).tolist()
+                out.append(r)
+            yield pd.DataFrame({**{c: g[c] for c in by}, "b": g["b"], "r": out})
+
+    schema = ", ".join([*[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by], "b int, r array<double>"])
+    done = blocks.mapInPandas(run, schema).select(*by, "b", F.posexplode("r").alias("i", "r"))
+    done = done.select(*by, (F.col("b").cast("long") * block + F.col("i")).alias("draw"), "r")
+    if large.isEmpty():
+        return done
+    far = t.join(large, own, "left_semi")
+    each = far.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
+    put = each.withColumn("i", F.row_number().over(Window.partitionBy(*own, "draw", *strata).orderBy(number(F.col("k"), F.col("draw")), "k"))).drop("k", "y")
+    at = far.withColumn("i", F.row_number().over(Window.partitionBy(*own, *strata).orderBy("k"))).select(*own, *strata, "i", "y")
+    return done.unionByName(put.join(at, [*own, *strata, "i"]).groupBy(*own, "draw").agg(corr("x", "y").alias("r")).drop("one"))
+
+
 def interval(draws: DataFrame, value: str, by: list[str], level: float = 0.95) -> DataFrame:
     """Percentile interval, mean, sd and the share above 0 of drawn values (A5, ST27)."""
     a = (1 - level) / 2

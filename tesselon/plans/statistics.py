@@ -82,14 +82,8 @@ r AS (SELECT p.draw, corr(a.x, b.y) AS r FROM p JOIN nat a ON a.k = p.pos JOIN n
 SELECT round(obs, 6) + 0.0 AS obs, round((1 + count(*) FILTER (round(abs(r), 12) >= round(abs(obs), 12))) / (count(*) + 1.0::DOUBLE), 6) + 0.0 AS p_two_sided, round((1 + count(*) FILTER (round(r, 12) >= round(obs, 12))) / (count(*) + 1.0::DOUBLE), 6) + 0.0 AS p_upper, round((1 + count(*) FILTER (round(abs(r - m), 12) >= round(abs(obs - m), 12))) / (count(*) + 1.0::DOUBLE), 6) + 0.0 AS p_centred FROM r, o, m GROUP BY obs, m""")
 def permutation_p(spark, sf):
     """ST5 ST6 ST7: permutation p of r over 10,000 draws, three conventions."""
-    from pyspark.sql import Window
-
     n = nation_table(spark, sf)
-    at = spark.range(25 * 10_000).select(F.col("id").alias("p"))
-    key = F.pmod(F.pmod(F.pmod((F.col("p") * 1000003 + 5) * 48271, F.lit(2147483647)) * 69621, F.lit(2147483647)), F.lit(1000003))
-    order = Window.partitionBy("draw").orderBy("key", "p")
-    d = at.select(F.floor(F.col("p") / 25).alias("draw"), (F.col("p") % 25).alias("pos"), key.alias("key"), "p").withColumn("idx", (F.row_number().over(order) - 1).cast("long")).select("draw", "pos", "idx")
-    r = ST.permutation_r(n.withColumn("idx", F.col("k")), d, "x", "y")
+    r = ST.permutation_blocks(n, "k", "x", "y", 10_000, lambda k, d: ((((d * 25 + k) * 1000003 + 5) * 48271) % 2147483647 * 69621) % 2147483647 % 1000003)
     e = ST.empirical_p(r, ST.pearson(n, "x", "y", []).select(F.col("r").alias("obs")), "r", [])
     return e.select(*[rnd(c).alias(c) for c in ("obs", "p_two_sided", "p_upper", "p_centred")])
 
@@ -100,14 +94,8 @@ r AS (SELECT p.draw, corr(a.x, b.y) AS r FROM p JOIN z a ON a.k = p.k JOIN z b O
 SELECT round(obs, 6) + 0.0 AS obs, round((1 + count(*) FILTER (round(abs(r), 12) >= round(abs(obs), 12))) / (count(*) + 1.0::DOUBLE), 6) + 0.0 AS p FROM r, o GROUP BY obs""")
 def permutation_within(spark, sf):
     """ST10 ST9: 20,000 permutations within groups of group-adjusted values."""
-    from pyspark.sql import Window
-
     n = ST.group_residual(ST.group_residual(nation_table(spark, sf), "x", ["g"], "x"), "y", ["g"], "y")
-    z = n.withColumn("i", F.row_number().over(Window.partitionBy("g").orderBy("k")))
-    key = F.pmod((F.col("k") * 1000003 + F.col("draw") * 7919) * 48271, F.lit(2147483647))
-    draws = spark.range(20_000).select(F.col("id").alias("draw"))
-    p = z.crossJoin(F.broadcast(draws)).withColumn("i", F.row_number().over(Window.partitionBy("draw", "g").orderBy(key, "k"))).select("draw", "g", "x", "i")  # a table of draws against the nations
-    r = p.join(z.select("g", "i", "y"), ["g", "i"]).groupBy("draw").agg(ST.corr("x", "y").alias("r"))
+    r = ST.permutation_blocks(n, "k", "x", "y", 20_000, lambda k, d: (k * 1000003 + d * 7919) * 48271 % 2147483647, strata=["g"])
     e = ST.empirical_p(r, ST.pearson(n, "x", "y", []).select(F.col("r").alias("obs")), "r", [])
     return e.select(rnd("obs").alias("obs"), rnd("p_two_sided").alias("p"))
 
