@@ -73,11 +73,12 @@ def calibration_search(spark, sf):
     sizes = p.groupBy("region").agg(F.count("*").alias("n"))
     target = p.groupBy("region").agg(F.avg("x").alias("value"))
 
+    moved = p.select("block", F.col("y").alias("x"), F.col("x").alias("y"), "z")  # x and y are swapped before the map
+
     def strength(settings):
-        scale, shift = F.col("p")[0], F.col("p")[1]
-        moved = G.transform_points(p.crossJoin(F.broadcast(settings)), [[scale, 0.0, 0.0, shift], [0.0, scale, 0.0, shift], [0.0, 0.0, scale, shift]])  # 25 settings at most
-        near = P.radius_join(moved.withColumn("of", F.struct("setting", "block")), p, "of", "region", 0.02)
-        n = near.groupBy("a_id.setting", "a_id.block", F.col("b_id").alias("region")).agg(F.count("*").alias("n_source"))
+        of = {r["setting"]: r["p"] for r in settings.collect()}  # 25 settings at most
+        maps = {k: [[scale, 0.0, 0.0, shift], [0.0, scale, 0.0, shift], [0.0, 0.0, scale, shift]] for k, (scale, shift) in of.items()}
+        n = P.near_counts(moved, p, "block", "region", 0.02, maps).select(F.col("map").alias("setting"), F.col("a").alias("block"), F.col("b").alias("region"), F.col("n").alias("n_source"))
         return G.calibrated_strength(n.withColumn("n_target", F.col("n_source")), sizes, ["setting"])
 
     return calibrate(spark, strength, target, [1.0, 0.0], [0.3, 0.05])

@@ -182,6 +182,27 @@ def test_guards_and_joins(spark):
     assert {tuple(r) for r in R.upsert(a, spark.createDataFrame([(2, 9.0), (4, 1.0)], "k int, v double"), ["k"]).collect()} == {(1, 2.0), (2, 9.0), (4, 1.0)}
 
 
+@pytest.mark.parametrize("block", [64, 100_000])
+def test_near_counts_equal_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(P, "LEFT_BLOCK", block)
+    monkeypatch.setattr(P, "RIGHT_BLOCK", block)
+    r = np.random.default_rng(5)
+    at = np.concatenate([r.normal(0, 0.2, (400, 3)), np.repeat([[0.1, 0.0, 0.2]], 150, axis=0), r.integers(-4, 5, (150, 3)) / 8, [[30.0, 1.0, 2.0]]])  # copies, distances of just the radius, one far away
+    of = r.integers(0, 4, len(at))
+    rows = [(int(k), *map(float, p)) for k, p in zip(of, at, strict=True)]
+    df = spark.createDataFrame([*rows, (None, 0.0, 0.0, 0.0), (1, None, 0.0, 0.0), (1, float("nan"), 0.0, 0.0), (1, 0.0, float("inf"), 0.0)], "of long, x double, y double, z double")
+    maps = {0: [[1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]], 7: [[0.0, 0.8, 0.0, 0.05], [0.8, 0.0, 0.1, 0.0], [0.0, 0.0, 1.2, -0.3]]}
+    got = {(x["map"], x["a"], x["b"]): x["n"] for x in P.near_counts(df, df, "of", "of", 0.0625, maps).collect()}
+    want = {}
+    for k, m in maps.items():
+        x, y, z = at.T
+        moved = np.column_stack([x * c[0] + y * c[1] + z * c[2] + c[3] for c in m])
+        d = moved[:, None] - at[None]
+        near = d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2] < 0.0625
+        want |= {(k, a, b): n for a in range(4) for b in range(4) if (n := int(near[np.ix_(of == a, of == b)].sum()))}
+    assert got == want
+
+
 def test_radius_join_is_strict(spark):
     p = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 2.0, 0.0, 0.0), (2, -1.5, 0.0, 0.5)], "id int, x double, y double, z double")
     assert {(r["a_id"], r["b_id"]) for r in P.radius_join(p, p, "id", "id", 4.0).where("a_id < b_id").collect()} == {(0, 2)}
