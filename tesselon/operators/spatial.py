@@ -201,11 +201,56 @@ def near_counts(left: DataFrame, right: DataFrame, of_left: str, of_right: str,
     return checkpointed(by_blocks(a, b, boxes, r2, run, schema).groupBy("map", "a", "b").agg(F.sum("n").alias("n")))
 
 
+def _nearest_block(a: Block, b: Block, rank: np.ndarray, r2: float) -> tuple[np.ndarray, np.ndarray]:
+    """The least square distance under r2 of each point of a to those of b, and that point's
+    place in b: of equal ones, the one of the smallest rank; infinite and -1 if there is none.
+    The boxes nearest to a box come first; then those that may hold a nearer point."""
+    best, of = np.full(len(a.p), np.inf), np.full(len(a.p), -1)
+    for k, start in enumerate(a.starts):
+        end = start + a.sizes[k]
+        least, _ = b.reach(a.lo[k], a.hi[k])
+        order = np.argsort(least)
+        order = order[least[order] <= r2 * (1 + 1e-9)]
+        done, take = 0, 4
+        while done < len(order):
+            now = order[done : done + take]
+            bound = min(best[start:end].max(), r2) * (1 + 1e-9)
+            now = now[least[now] <= bound]  # ascending: what is left out stays out
+            if not len(now):
+                break
+            part = np.concatenate([np.arange(b.starts[x], b.starts[x] + b.sizes[x]) for x in now])
+            part = part[np.argsort(rank[part])]
+            d = _exact(a.p[start:end, None], b.p[part][None])
+            at = d.argmin(axis=1)  # the first of equal ones
+            d, at = d[np.arange(end - start), at], part[at]
+            old = of[start:end]
+            nearer = (d < r2) & ((d < best[start:end]) | (d == best[start:end]) & (rank[at] < rank[old]))
+            best[start:end][nearer], of[start:end][nearer] = d[nearer], at[nearer]
+            done, take = done + len(now), min(2 * take, 64)
+    return best, of
+
+
 def nearest_join(left: DataFrame, right: DataFrame, id_left: str, id_right: str, r2: float, by: list[str] = ()) -> DataFrame:
     """The nearest right point of each left one within the radius, ties to the smaller
-    id (J16)."""
-    w = Window.partitionBy(*by, "a_id").orderBy("d2", "b_id")
-    return radius_join(left, right, id_left, id_right, r2, True, by).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    id (J16). Pairs aren't formed: a task takes a block of either side. Points without an id
+    or a place have no row."""
+    from tesselon.operators.relational import checkpointed
+
+    clean = lambda df, of, name: checkpointed(_placed(df.select(*by, F.col(of).alias(name), *[F.col(c).cast("double").alias(c) for c in XYZ])).where(F.col(name).isNotNull()))
+    a, b = clean(left, id_left, "a_id"), clean(right, id_right, "b_id")
+    schema = ", ".join([*[f"`{c}` {a.schema[c].dataType.simpleString()}" for c in by], *[f"{c} {d.schema[c].dataType.simpleString()}" for d, c in ((a, "a_id"), (b, "b_id"))], "d2 double"])
+    a, b = dealt(a, LEFT_BLOCK, "__l"), dealt(b, RIGHT_BLOCK, "__r")
+
+    def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        at, to = p[list(XYZ)].to_numpy(float), q[list(XYZ)].to_numpy(float)
+        (order, starts), (other, cells) = _leaves(at, LEFT_BOX), _leaves(to, RIGHT_BOX)
+        ids = q["b_id"].to_numpy()[other]
+        best, of = _nearest_block(Block(at[order], starts), Block(to[other], cells), np.unique(ids, return_inverse=True)[1], r2)
+        found = of >= 0
+        return pd.DataFrame({**{c: [p[c].iloc[0]] * int(found.sum()) for c in by}, "a_id": p["a_id"].to_numpy()[order][found], "b_id": ids[of[found]], "d2": best[found]})
+
+    near = by_blocks(a, b, _boxes(a, "__l", by), r2, run, schema, by)
+    return near.groupBy(*by, "a_id").agg(F.min(F.struct("d2", "b_id")).alias("m")).select(*by, "a_id", "m.b_id", "m.d2")
 
 
 def nearest_vertex(points: DataFrame, vertices: DataFrame, by: list[str], z_scale: float = 2.0) -> DataFrame:

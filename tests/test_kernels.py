@@ -203,6 +203,26 @@ def test_near_counts_equal_all_pairs(spark, monkeypatch, block):
     assert got == want
 
 
+@pytest.mark.parametrize(("block", "by"), [(50, []), (100_000, []), (50, ["g"])])
+def test_nearest_join_equals_all_pairs_in_blocks(spark, monkeypatch, block, by):
+    monkeypatch.setattr(P, "LEFT_BLOCK", block)
+    monkeypatch.setattr(P, "RIGHT_BLOCK", block)
+    monkeypatch.setattr(P, "radius_join", None)  # no pairs
+    r = np.random.default_rng(6)
+    at = np.concatenate([r.normal(0, 0.2, (300, 3)), np.repeat([[0.1, 0.0, 0.2]], 120, axis=0), r.integers(-4, 5, (200, 3)) / 8, [[9.0, 9.0, 9.0]]])[r.permutation(621)]
+    side, g = r.integers(0, 2, len(at)), r.integers(0, 2, len(at))
+    df = spark.createDataFrame([(i, int(s), int(k), *map(float, p)) for i, (s, k, p) in enumerate(zip(side, g, at, strict=True))] + [(9999, 0, 0, None, 1.0, 1.0)], "id long, side int, g int, x double, y double, z double")
+    got = {x["a_id"]: (x["b_id"], x["d2"]) for x in P.nearest_join(df.where("side = 0"), df.where("side = 1"), "id", "id", 0.0625, by).collect()}
+    want = {}
+    for i in np.flatnonzero(side == 0):
+        d = at[i] - at
+        d = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
+        d[(side == 0) | (bool(by) & (g != g[i]))] = np.inf
+        if d.min() < 0.0625:
+            want[int(i)] = (int(d.argmin()), float(d.min()))
+    assert got == want
+
+
 def test_radius_join_is_strict(spark):
     p = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 2.0, 0.0, 0.0), (2, -1.5, 0.0, 0.5)], "id int, x double, y double, z double")
     assert {(r["a_id"], r["b_id"]) for r in P.radius_join(p, p, "id", "id", 4.0).where("a_id < b_id").collect()} == {(0, 2)}
