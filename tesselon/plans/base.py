@@ -76,15 +76,22 @@ nat AS (SELECT n_nationkey::BIGINT AS k, n_regionkey::BIGINT AS g, avg(c_acctbal
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)"""
 
 
+#: Line items of a task where they meet their orders.
+TASK_ITEMS = 500_000
+
+
 def cell_edges(spark: SparkSession, sf: str) -> DataFrame:
     """src_unit, dst_unit, block: one row for each line item, supplier nation to customer
-    nation, with its order as the block."""
-    li, o = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey"), table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    nation, with its order as the block. Items and orders take their nations first and meet
+    last, dealt by order to as many tasks as their number asks for, so that what a task holds
+    doesn't grow with the tables and rows of a block are together."""
+    items = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     c, s = table(spark, sf, "customer").select("c_custkey", "c_nationkey"), table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
-    return (
-        li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-        .select(F.col("s_nationkey").cast("long").alias("src"), F.col("c_nationkey").cast("long").alias("dst"), F.col("l_orderkey").alias("block"))
-    )
+    tasks = max(spark.sparkContext.defaultParallelism, -(-items.count() // TASK_ITEMS))
+    src = items.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_orderkey").alias("block"), F.col("s_nationkey").cast("long").alias("src"))
+    dst = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("block"), F.col("c_nationkey").cast("long").alias("dst"))
+    return src.repartition(tasks, "block").join(dst.repartition(tasks, "block"), "block").select("src", "dst", "block")
 
 
 def nation_graph(spark: SparkSession, sf: str, least: int = 1) -> DataFrame:

@@ -94,3 +94,20 @@ def test_paths_by_joins_equal_those_by_tasks(spark, delta):
     assert want[0, 101] == math.inf and want[2, 1] == math.inf and want[3, 8] == 0
     if delta is None:
         assert key(G.shortest_paths(segments, sources, ["block"], task_edges=20)) == want
+
+
+@pytest.mark.parametrize("name", ["support_filter"])
+def test_items_meet_orders_in_tasks_of_bounded_size(spark, monkeypatch, name):
+    from tesselon.plans import base, catalogue
+
+    key = lambda df: sorted(map(tuple, df.collect()))
+    whole = key(catalogue.queries()[name](spark, "/root/testdata/sf0.001"))
+    monkeypatch.setattr(base, "TASK_ITEMS", 300)
+    e = base.cell_edges(spark, "/root/testdata/sf0.001")
+    sizes = [r["n"] for r in e.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert len(sizes) > n // 400 and max(sizes) < 600 and sum(sizes) == e.count()
+    df = catalogue.queries()[name](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") + plan.count("BroadcastHashJoin") <= 3  # the tables are joined once
+    assert key(df) == whole
