@@ -168,11 +168,9 @@ def support_filter(spark, sf):
 SELECT src, dst, round(w * k / n, 6) + 0.0 AS w FROM t""")
 def morph_subsample(spark, sf):
     """Weights scaled by the selected share of the support."""
-    e = cell_edges(spark, sf)
-    total = G.support(e, "block", "src", "dst")
-    part = G.support(e.where("block % 5 <> 0"), "block", "src", "dst").withColumnRenamed("n_blocks", "k")
-    w = e.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
-    return w.join(total, ["src", "dst"]).join(part, ["src", "dst"], "left").select("src", "dst", rnd(F.col("w") * F.coalesce("k", F.lit(0)) / F.col("n_blocks")).alias("w"))
+    counts = cell_edges(spark, sf).groupBy("block", "src", "dst").agg(F.count("*").alias("w"))
+    t = counts.groupBy("src", "dst").agg(F.count("*").alias("n_blocks"), F.count_if(F.col("block") % 5 != 0).alias("k"), F.sum("w").cast("double").alias("w"))
+    return t.select("src", "dst", rnd(F.col("w") * F.col("k") / F.col("n_blocks")).alias("w"))
 
 
 @query("block_overwrite", """WITH m AS (SELECT DISTINCT l_orderkey // 8 AS block, l_suppkey % 40 AS cell FROM lineitem), r AS (SELECT block, cell, (cell + block) % 2 = 0 AS s, (cell + block) % 3 = 0 AS t FROM m),

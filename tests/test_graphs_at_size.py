@@ -96,7 +96,7 @@ def test_paths_by_joins_equal_those_by_tasks(spark, delta):
         assert key(G.shortest_paths(segments, sources, ["block"], task_edges=20)) == want
 
 
-@pytest.mark.parametrize("name", ["support_filter"])
+@pytest.mark.parametrize("name", ["support_filter", "morph_subsample"])
 def test_items_meet_orders_in_tasks_of_bounded_size(spark, monkeypatch, name):
     from tesselon.plans import base, catalogue
 
