@@ -43,13 +43,18 @@ def cell_map(counts_a: DataFrame, counts_b: DataFrame, least: float = 0.30) -> D
     return R.best_row(share, ["cell"], "n", ["region"]).where(F.col("confidence") >= least).select("cell", "region", "confidence")
 
 
-def mapped_network(connections: DataFrame, cells: DataFrame, least_weight: int = 5) -> DataFrame:
+def mapped_network(connections: DataFrame, cells: DataFrame, least_weight: int = 5, times: str | None = None) -> DataFrame:
     """region, post_dca, pre_dca, oo, n_cells of a network whose cells lie in regions with
     a side suffix (H18): rows under least_weight are dropped before weights of a pair are
-    summed; rank-1 scores inside each region; pooled means by region without its side."""
-    kept = connections.where(F.col("w") >= least_weight).groupBy("src", "dst").agg(F.sum("w").cast("double").alias("w")).where("src <> dst")
+    summed; rank-1 scores inside each region; pooled means by region without its side.
+    times: a column that says how many equal rows a row stands for."""
+    from tesselon.operators.relational import checkpointed
+
+    w = F.col("w") * F.col(times) if times else F.col("w")
+    kept = connections.where(F.col("w") >= least_weight).groupBy("src", "dst").agg(F.sum(w).cast("double").alias("w")).where("src <> dst")
     m = cells.select(F.col("cell").alias("node"), "region")
     e = kept.join(m.select(F.col("node").alias("src"), F.col("region").alias("src_region")), "src").join(m.select(F.col("node").alias("dst"), F.col("region").alias("dst_region")), "dst")
+    e = checkpointed(e)
     inside = e.where("src_region = dst_region").select(F.col("src_region").alias("region"), "src", "dst", "w")
     dca = G.rank1_by_group(inside, ["region"], 300, 1e-9, "stop").select("node", "dca")
     at = lambda c: dca.select(F.col("node").alias(c), F.col("dca").alias(f"dca_{c}"))

@@ -111,3 +111,18 @@ def test_items_meet_orders_in_tasks_of_bounded_size(spark, monkeypatch, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") + plan.count("BroadcastHashJoin") <= 3  # the tables are joined once
     assert key(df) == whole
+
+
+def test_mapped_network_joins_its_tables_once(spark):
+    from tesselon.operators.structure import mapped_network
+    from tesselon.plans import catalogue
+
+    plan = catalogue.queries()["mapped_network"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan  # only the counts of the one join are read again
+    r = np.random.default_rng(9)
+    rows = [(int(a), int(b), int(w), int(n)) for a, b, w, n in zip(r.integers(0, 12, 200), r.integers(0, 12, 200), r.integers(1, 5, 200), r.integers(1, 4, 200), strict=True)]
+    few = spark.createDataFrame(rows, "src long, dst long, w long, n long")
+    cells = spark.createDataFrame([(i, f"R{i % 2}_{'LR'[i % 3 % 2]}") for i in range(12)], "cell long, region string")
+    each = few.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("src", "dst", "w")
+    a, b = ({x["region"]: x for x in df.collect()} for df in (mapped_network(few, cells, 2, "n"), mapped_network(each, cells, 2)))
+    assert a.keys() == b.keys() and all(a[k][c] == pytest.approx(b[k][c]) for k in a for c in ("post_dca", "pre_dca", "oo", "n_cells"))
