@@ -14,8 +14,9 @@ from tesselon.functions.scalars import divide, divide_positive
 from tesselon.operators.communities import communities
 from tesselon.operators.units import kmeans_units
 
-#: Edges of a graph, and pairs of nodes of a null model, that one task takes.
-TASK_ARCS, TASK_PAIRS = 2_000_000, 4_000_000
+#: Edges of a graph, pairs of nodes of a null model, and segments of paths that one task
+#: takes; a segment takes some 340 bytes of a worker.
+TASK_ARCS, TASK_PAIRS, TASK_SEGMENTS = 2_000_000, 4_000_000, 1_000_000
 
 
 def unit_adjacency(edges: DataFrame, cells: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -406,7 +407,30 @@ def null_by_joins(e: DataFrame, by: list[str], iterations: int, seed: int, pair_
     return x.where("x > 0").join(errors, by).select(*by, F.col("a").alias("src"), F.col("b").alias("dst"), F.col("x").alias("w"), "margin_error")
 
 
-def shortest_paths(segments: DataFrame, sources: DataFrame, by: list[str], task_edges: int = TASK_ARCS) -> DataFrame:
+def distances(a: np.ndarray, b: np.ndarray, w: np.ndarray, sources: np.ndarray, n: int) -> np.ndarray:
+    """The path length from sources to each of n nodes over undirected segments. Arcs are
+    arrays sorted by node, a node is pushed only when it gets nearer, and lists of Python
+    objects hold no more than the open nodes."""
+    node = np.concatenate([a, b]).astype(np.int32)
+    order = np.argsort(node, kind="stable").astype(np.int32)
+    start = np.searchsorted(node[order], np.arange(n + 1))
+    to, length = np.concatenate([b, a]).astype(np.int32)[order], np.concatenate([w, w])[order]
+    best = np.full(n, np.inf)
+    best[sources] = 0.0
+    heap = [(0.0, x) for x in np.unique(sources).tolist()]
+    while heap:
+        d, x = heapq.heappop(heap)
+        if d > best[x]:
+            continue
+        i, z = start[x], start[x + 1]
+        for y, v in zip(to[i:z].tolist(), length[i:z].tolist(), strict=True):
+            if d + v < best[y]:
+                best[y] = d + v
+                heapq.heappush(heap, (d + v, y))
+    return best
+
+
+def shortest_paths(segments: DataFrame, sources: DataFrame, by: list[str], task_edges: int = TASK_SEGMENTS) -> DataFrame:
     """by, node, distance from the block's sources over undirected segments (a, b, w) with
     weights of 0 or more; that of unreachable nodes is infinite (K3). sources: by, node.
     Blocks of at most task_edges segments take a task each, larger ones go by joins."""
@@ -420,23 +444,11 @@ def shortest_paths(segments: DataFrame, sources: DataFrame, by: list[str], task_
     schema = ", ".join([*[f"`{c}` {segments.schema[c].dataType.simpleString()}" for c in by], "node long, distance double"])
 
     def run(g: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list] = {}
-        for a, b, w in zip(g["a"], g["b"], g["w"], strict=True):
-            near.setdefault(a, []).append((b, w))
-            near.setdefault(b, []).append((a, w))
-        best = {int(x): 0.0 for x in s["node"]}
-        heap = [(0.0, x) for x in best]
-        while heap:
-            d, x = heapq.heappop(heap)
-            if d > best.get(x, np.inf):
-                continue
-            for y, w in near.get(x, ()):
-                if d + w < best.get(y, np.inf):
-                    best[y] = d + w
-                    heapq.heappush(heap, (d + w, y))
-        nodes = sorted(set(near) | set(best))
+        nodes, code = np.unique(np.concatenate([g["a"].to_numpy(np.int64), g["b"].to_numpy(np.int64), s["node"].to_numpy(np.int64)]), return_inverse=True)
+        n = len(g)
+        best = distances(code[:n], code[n : 2 * n], g["w"].to_numpy(float), code[2 * n :], len(nodes))
         first = g if len(g) else s
-        return pd.DataFrame({**{c: [first[c].iloc[0]] * len(nodes) for c in by}, "node": nodes, "distance": [best.get(x, np.inf) for x in nodes]})
+        return pd.DataFrame({**{c: np.repeat(first[c].iloc[:1].to_numpy(), len(nodes)) for c in by}, "node": nodes, "distance": best})
 
     return segments.groupBy(*by).cogroup(sources.groupBy(*by)).applyInPandas(run, schema)
 

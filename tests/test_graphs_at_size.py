@@ -126,3 +126,20 @@ def test_mapped_network_joins_its_tables_once(spark):
     each = few.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("src", "dst", "w")
     a, b = ({x["region"]: x for x in df.collect()} for df in (mapped_network(few, cells, 2, "n"), mapped_network(each, cells, 2)))
     assert a.keys() == b.keys() and all(a[k][c] == pytest.approx(b[k][c]) for k in a for c in ("post_dca", "pre_dca", "oo", "n_cells"))
+
+
+def test_paths_of_a_task_hold_arrays(monkeypatch):
+    import tracemalloc
+
+    n = 200_000
+    child = np.arange(1, n)
+    w = np.random.default_rng(1).random(n - 1)
+    tracemalloc.start()
+    got = G.distances(child // 2, child, w, np.array([0]), n)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.zeros(n)
+    for i in range(1, n):
+        want[i] = want[i // 2] + w[i - 1]
+    assert np.array_equal(got, want)
+    assert peak < 250 * n  # lists of neighbours took about twice this
